@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docgauge.llm import mixing
+from docgauge.llm import mixing, packing, token_files
 
 
 def _table(spark, sf_dir, name):
@@ -14,8 +14,18 @@ def op1_source_mixing(spark, sf_dir):
     return mixing.mix(docs, carry=["doc_id"])
 
 
+def op3_token_files(spark, sf_dir):
+    return token_files.encode_and_read(_table(spark, sf_dir, "documents"))
+
+
+def op9_sequence_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op3_token_files": op3_token_files,
+    "op9_sequence_packing": op9_sequence_packing,
 }
 ORACLE = {
     "op1_source_mixing": mixing.SQL,
