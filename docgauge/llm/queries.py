@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docgauge.llm import mixing, packing, token_files
+from docgauge.llm import media, mixing, packing, token_files, warc
 
 
 def _table(spark, sf_dir, name):
@@ -22,11 +22,22 @@ def op9_sequence_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_media_columns(spark, sf_dir):
+    return media.media_columns(_table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark, sf_dir):
+    return warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op3_token_files": op3_token_files,
+    "op8_media_columns": op8_media_columns,
     "op9_sequence_packing": op9_sequence_packing,
+    "op10_warc": op10_warc,
 }
 ORACLE = {
     "op1_source_mixing": mixing.SQL,
+    "op10_warc": warc.SQL,
 }
