@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from docgauge.llm.common import WholeFile, file_system, make_dir, shared_dir, ship, small, written
 
 LEAST, FILE, RANGE, STEP, PIECE = 100, 256 << 20, 4 << 20, 1 << 20, 16 << 10
-MAGIC = b"\x1f\x8b\x08"
+MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = "urn:page:"
 
@@ -94,48 +94,71 @@ def write_archives(pages: DataFrame) -> DataFrame:
     return written(pages.mapInArrow(archived, "uri string, n_bytes long"), "warc-manifest")
 
 
+class _Ahead:
+    """A file's bytes from some place on, read step by step and let go of behind."""
+
+    def __init__(self, file, at: int, step: int):
+        self.file, self.base, self.held, self.step, self.size = file, at, b"", step, file.size()
+
+    def more(self) -> bool:
+        got = self.file.read_at(self.step, self.base + len(self.held)) if self.base + len(self.held) < self.size else b""
+        self.held += got
+        return bool(got)
+
+    def let_go(self, upto: int) -> None:
+        if upto - self.base > self.step:
+            self.held, self.base = self.held[upto - self.base :], upto
+
+    def member(self, at: int, head_only: bool = False) -> tuple[bytes, int] | None:
+        """(decoded record, its end) if a record's gzip member starts at `at`; of the record, its first bytes if only those are asked for."""
+        z, out, used = zlib.decompressobj(31), b"", at - self.base
+        parts = []
+        try:
+            while not z.eof:
+                if used >= len(self.held) and not self.more():
+                    return None
+                part = z.decompress(self.held[used : used + PIECE])
+                used = min(len(self.held), used + PIECE)
+                parts.append(part)
+                if len(out) < len(VERSION):
+                    out += part
+                    if not out.startswith(VERSION[: len(out)]):
+                        return None
+                    if head_only and len(out) >= len(VERSION):
+                        return out, at
+        except zlib.error:
+            return None
+        return (b"".join(parts), self.base + used - len(z.unused_data)) if len(out) >= len(VERSION) else None
+
+
 def members(uri: str, start: int, end: int, step: int = STEP):
-    """The decoded members that start in start..end-1 of a file."""
+    """The decoded records whose members start in start..end-1 of a file.
+
+    A range that starts inside a record may meet a whole gzip member within that
+    record's bytes (an archive in an archive), so its first member must also be
+    followed by another record or by the end of the file; from there on, each
+    record starts where the last one ended.
+    """
     store, path = file_system(uri)
     with store.open_input_file(path) as f:
-        held, base = b"", start  # held: the file's bytes from `base` on
-
-        def more() -> bool:
-            nonlocal held
-            got = f.read_at(step, base + len(held))
-            held += got
-            return bool(got)
-
-        at = start
+        ahead, at, sure = _Ahead(f, start, step), start, start == 0
         while at < end:
-            if at - base > step:
-                held, base = held[at - base :], at
-            k = held.find(MAGIC, at - base)
+            ahead.let_go(at)
+            k = ahead.held.find(MAGIC, at - ahead.base)
             if k < 0:
-                at = max(at, base + len(held) - len(MAGIC) + 1)  # a magic may go on in what comes next
-                if at >= end or not more():
+                at = max(at, ahead.base + len(ahead.held) - len(MAGIC) + 1)  # a magic may go on in what comes next
+                if not ahead.more():
                     return
                 continue
-            at = base + k
+            sure, at = sure and ahead.base + k == at, ahead.base + k
             if at >= end:
                 return
-            z, out, used = zlib.decompressobj(31), [], k
-            try:
-                while not z.eof:
-                    if used == len(held) and not more():
-                        break
-                    part = z.decompress(held[used : used + PIECE])
-                    used = min(len(held), used + PIECE)
-                    out.append(part)
-                    if len(out) == 1 and not part.startswith(b"WARC/1."[: len(part)]):
-                        raise zlib.error("not a record")
-            except zlib.error:
-                out = []
-            if out and z.eof and (raw := b"".join(out)).startswith(b"WARC/1."):
-                yield raw
-                at = base + used - len(z.unused_data)
+            got = ahead.member(at)
+            if got and (sure or got[1] == ahead.size or ahead.member(got[1], head_only=True)):
+                yield got[0]
+                at, sure = got[1], True
             else:
-                at += 1
+                at, sure = at + 1, False
 
 
 def read_archives(archives: DataFrame, size: int = RANGE) -> DataFrame:
