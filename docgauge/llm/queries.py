@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docgauge.llm import media, mixing, packing, token_files, warc
+from docgauge.llm import language, media, mixing, packing, token_files, warc
 
 
 def _table(spark, sf_dir, name):
@@ -14,6 +14,10 @@ def op1_source_mixing(spark, sf_dir):
     return mixing.mix(docs, carry=["doc_id"])
 
 
+def op2_language_id(spark, sf_dir):
+    return language.language_id(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark, sf_dir):
     return token_files.encode_and_read(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op10_warc(spark, sf_dir):
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_language_id": op2_language_id,
     "op3_token_files": op3_token_files,
     "op8_media_columns": op8_media_columns,
     "op9_sequence_packing": op9_sequence_packing,
