@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docgauge.llm import language, media, mixing, packing, token_files, warc
+from docgauge.llm import language, media, mixing, packing, secrets, token_files, warc
 
 
 def _table(spark, sf_dir, name):
@@ -26,6 +26,10 @@ def op9_sequence_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark, sf_dir):
+    return secrets.secret_scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_media_columns(spark, sf_dir):
     return media.media_columns(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_language_id": op2_language_id,
     "op3_token_files": op3_token_files,
+    "op4_secret_scan": op4_secret_scan,
     "op8_media_columns": op8_media_columns,
     "op9_sequence_packing": op9_sequence_packing,
     "op10_warc": op10_warc,
