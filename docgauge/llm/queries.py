@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docgauge.llm import language, media, mixing, packing, secrets, token_files, warc
+from docgauge.llm import embeddings, language, media, mixing, packing, secrets, token_files, warc
 
 
 def _table(spark, sf_dir, name):
@@ -30,6 +30,10 @@ def op4_secret_scan(spark, sf_dir):
     return secrets.secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_dedup(spark, sf_dir):
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_media_columns(spark, sf_dir):
     return media.media_columns(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_token_files": op3_token_files,
     "op4_secret_scan": op4_secret_scan,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_media_columns": op8_media_columns,
     "op9_sequence_packing": op9_sequence_packing,
     "op10_warc": op10_warc,
