@@ -1,2 +1,400 @@
+"""The engine's queries over the test tables, each with its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from docgauge.functions import geometry as G
+from docgauge.functions import parsers as P
+from docgauge.functions import text as T
+from docgauge.operators import matching, ordering, prep, scoring
+from docgauge.plans.fixtures import SQL as FIX
+from docgauge.plans.fixtures import TYPES, blocks, greedy_sql, iou_sql, pages, table
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def r6(x):
+    return F.round(x, 6)
+
+
+_ASCII = "length(text) = octet_length(text)"
+_SQL_NORM = r"trim(regexp_replace(text, '[\s\x1c-\x1f]+', ' ', 'g'))"
+
+
+@query(rf"""SELECT role, round(avg(cer), 6) AS mean_cer, count(*) AS n FROM (
+  SELECT role, CASE WHEN length(t) = 0 THEN 0.0 ELSE levenshtein(translate(t, 'el', 'c1'), t)::DOUBLE / length(t) END AS cer
+  FROM (SELECT role, {_SQL_NORM} AS t FROM conversations WHERE length(text) = strlen(text))) GROUP BY role""")
+def cer_normalized(spark, d):
+    c = table(spark, d, "conversations").where(_ASCII)
+    return c.select("role", T.cer_normalized(F.translate("text", "el", "c1"), "text").alias("cer")).groupBy("role").agg(r6(F.avg("cer")).alias("mean_cer"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT conv_id, turn, round(CASE WHEN length(text) = 0 THEN 0.0 ELSE levenshtein(translate(text, 'el', 'c1'), text)::DOUBLE / length(text) END, 6) AS cer
+FROM conversations WHERE length(text) = strlen(text)""")
+def cer_by_turn(spark, d):
+    return table(spark, d, "conversations").where(_ASCII).select("conv_id", "turn", r6(T.cer(F.translate("text", "el", "c1"), "text")).alias("cer"))
+
+
+@query("""SELECT pred, gt, CASE WHEN gt = '' THEN CASE WHEN pred <> '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE levenshtein(pred, gt)::DOUBLE / length(gt) END AS cer
+FROM (SELECT r.r_name AS gt, '' AS pred FROM region r UNION ALL SELECT '', r_name FROM region UNION ALL SELECT '', '' UNION ALL SELECT 'abc', 'abc' UNION ALL SELECT 'b', 'aaaa') x""")
+def cer_empty_rules(spark, d):
+    r = table(spark, d, "region")
+    rows = r.select(F.col("r_name").alias("gt"), F.lit("").alias("pred")).unionByName(r.select(F.lit("").alias("gt"), F.col("r_name").alias("pred")))
+    rows = rows.unionByName(spark.createDataFrame([("", ""), ("abc", "abc"), ("b", "aaaa")], "gt string, pred string"))
+    return rows.select("pred", "gt", T.cer("pred", "gt").alias("cer"))
+
+
+_SQL_WORDS = r"list_filter(regexp_split_to_array({}, '[\s\x1c-\x1f]+'), lambda w : w <> '')[1:40]"
+
+
+@query(rf"""WITH w AS (SELECT conv_id, turn, {_SQL_WORDS.format('text')} AS g, {_SQL_WORDS.format("translate(text, 'el', 'c1')")} AS p FROM conversations WHERE length(text) = strlen(text)),
+k AS (SELECT *, list_distinct(list_concat(g, p)) AS v FROM w),
+s AS (SELECT conv_id, turn, len(g) AS n, list_aggregate(list_transform(g, lambda x : chr(CAST(33 + list_position(v, x) AS INTEGER))), 'string_agg', '') AS gs, list_aggregate(list_transform(p, lambda x : chr(CAST(33 + list_position(v, x) AS INTEGER))), 'string_agg', '') AS ps FROM k)
+SELECT conv_id, turn, round(CASE WHEN n = 0 THEN 0.0 ELSE levenshtein(ps, gs)::DOUBLE / n END, 6) AS wer FROM s""")
+def wer_normalized(spark, d):
+    c = table(spark, d, "conversations").where(_ASCII)
+    first = lambda x: F.array_join(F.slice(T.words(x), 1, 40), " ")
+    return c.select("conv_id", "turn", r6(T.wer_normalized(first(F.translate("text", "el", "c1")), first("text"))).alias("wer"))
+
+
+@query(rf"SELECT doc_id, {_SQL_NORM} AS t, len(list_filter(regexp_split_to_array(text, '[\s\x1c-\x1f]+'), lambda w : w <> '')) AS n_words FROM documents")
+def normalize_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.normalize_text("text").alias("t"), T.word_count("text").cast("long").alias("n_words"))
+
+
+@query("""WITH t AS (SELECT DISTINCT ON (k) k, v FROM (SELECT CASE WHEN page_id % 3 = 0 THEN regexp_replace(regexp_extract(url, '[^/]*$'), '\\.[^.]*$', '') ELSE regexp_extract(url, '[^/]*$') END AS k, page_id AS v FROM pages) ORDER BY k, v DESC),
+s AS (SELECT regexp_replace(k, '(.)\\.[^.]*$', '\\1') AS st, max(v) AS v FROM t GROUP BY 1),
+p AS (SELECT page_id, regexp_extract(url, '[^/]*$') AS name, regexp_replace(regexp_extract(url, '[^/]*$'), '(.)\\.[^.]*$', '\\1') AS stem FROM pages)
+SELECT p.page_id, coalesce(a.v, s.v) AS v FROM p LEFT JOIN t a ON p.name = a.k LEFT JOIN s ON p.stem = s.st WHERE coalesce(a.v, s.v) IS NOT NULL""")
+def eval_join_name_or_stem(spark, d):
+    p = table(spark, d, "pages").select(F.col("url").alias("image"), "page_id")
+    truth = p.select(F.when(F.col("page_id") % 3 == 0, T.stem("image")).otherwise(T.file_name("image")).alias("image"), F.col("page_id").alias("v"), F.col("page_id").alias("seq"))
+    return scoring.with_truth(p, truth, seq="seq").select("page_id", "v")
+
+
+@query("""SELECT d.doc_id, coalesce(l.quality, -1) AS quality, CASE WHEN l.doc_id IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS cer FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def eval_missing_gt_empty(spark, d):
+    docs, labels = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels").select(F.col("doc_id").alias("l"), "quality")
+    j = docs.join(labels, F.col("doc_id") == F.col("l"), "left")
+    truth = F.when(F.col("l").isNull(), "").otherwise(F.col("text"))
+    return j.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.when(truth == F.col("text"), 0.0).otherwise(T.cer("text", truth)).alias("cer"))
+
+
+@query("""SELECT count(*) AS n, round(avg(quality), 6) AS mean_quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.text <> ''""")
+def eval_missing_gt_skip(spark, d):
+    return table(spark, d, "documents").where("text <> ''").select("doc_id").join(table(spark, d, "labels"), "doc_id").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("quality")).alias("mean_quality"))
+
+
+@query("""SELECT event_type, round(avg(value), 6) AS latency_avg, round(coalesce(stddev_samp(value), 0.0), 6) AS latency_std, round(coalesce(max(value), 0.0), 6) AS latency_max,
+round(CASE WHEN avg(value) > 0 THEN 60 / avg(value) ELSE 0.0 END, 6) AS throughput_ppm, count(*) AS n FROM events GROUP BY event_type""")
+def latency_summary(spark, d):
+    s = scoring.latency_summary(table(spark, d, "events"), ["event_type"], "value")
+    return s.select("event_type", *[r6(c).alias(c) for c in ("latency_avg", "latency_std", "latency_max", "throughput_ppm")], "n")
+
+
+@query("""SELECT event_type, round(avg(v), 6) AS stage_avg FROM (SELECT event_type, user_id, arg_max(value, event_id) AS v FROM events GROUP BY event_type, user_id) GROUP BY event_type""")
+def stage_latency_last_image(spark, d):
+    return scoring.stage_latency(table(spark, d, "events"), ["event_type"], "user_id", "event_id", "value", last_only=True).select("event_type", r6("stage_avg").alias("stage_avg"))
+
+
+@query("SELECT r_name, CAST(k AS INTEGER) AS run FROM region CROSS JOIN range(5) t(k)")
+def runs_x_images(spark, d):
+    from docgauge.operators.connectors import repeated
+
+    return repeated(table(spark, d, "region").select("r_name"), 5)
+
+
+@query(f"WITH {FIX} SELECT page, i, c1, c2, c3, c4 FROM pr")
+def bbox_normalize(spark, d):
+    p = pages(spark, d).select("page", F.posexplode(G.corners("pred")).alias("i", "c"))
+    return p.select("page", "i", *[F.col("c")[k].alias(f"c{k + 1}") for k in range(4)])
+
+
+@query(f"""WITH {FIX} SELECT page, g, CAST(trunc(g1 / 999.0::DOUBLE * 1000) AS DOUBLE) AS b1, CAST(trunc(g2 / 999.0::DOUBLE * 700) AS DOUBLE) AS b2, CAST(trunc(g3 / 999.0::DOUBLE * 1000) AS DOUBLE) AS b3, CAST(trunc(g4 / 999.0::DOUBLE * 700) AS DOUBLE) AS b4,
+CAST(CAST(trunc((-g1 / 512) * 333) AS BIGINT) AS DOUBLE) AS l1, CAST(trunc((g3 / 512) * 333) AS DOUBLE) AS l3 FROM gt""")
+def bbox_scale_trunc(spark, d):
+    g = F.col("gt")
+    b = G.bins(g[0], g[1], g[2], g[3], F.lit(1000), F.lit(700))
+    s = G.scaled_ltrb(-g[0] / 512, g[1] / 512, g[2] / 512, g[3] / 512, F.lit(333), F.lit(333))
+    return blocks(spark, d).select("page", F.col("b").alias("g"), *[b[k].alias(f"b{k + 1}") for k in range(4)], s[0].alias("l1"), s[2].alias("l3"))
+
+
+@query(f"""WITH {FIX} SELECT page, g, list_min([g3, g1 + 0.5, g1, g3]) AS q1, list_min([g2, g2, g4, g4 + 0.25]) AS q2, list_max([g3, g1 + 0.5, g1, g3]) AS q3, trunc(list_max([g2, g2, g4, g4 + 0.25])) AS q4 FROM gt""")
+def quad_to_bbox(spark, d):
+    g = F.col("gt")
+    q = G.flat_quad(F.array(g[2], g[1], g[0] + 0.5, g[1], g[0], g[3], g[2], g[3] + 0.25))
+    n = G.nested_quad(F.array(F.array(g[2], g[1]), F.array(g[0] + 0.5, g[1]), F.array(g[0], g[3]), F.array(g[2], g[3] + 0.25)))
+    both = F.when(q == n, q)
+    return blocks(spark, d).select("page", F.col("b").alias("g"), *[both[k].alias(f"q{k + 1}") for k in range(4)])
+
+
+@query(f"""WITH {FIX} SELECT page, g, CASE WHEN l_partkey % 5 = 0 THEN 0.0 ELSE g1 END::DOUBLE AS x1, CASE WHEN l_partkey % 5 = 0 THEN 0.0 ELSE g4 END::DOUBLE AS y2 FROM gt""")
+def bbox_parse_string(spark, d):
+    g = F.transform("gt", lambda x: (x + 0.5).cast("string"))
+    text = F.concat(F.lit("["), F.array_join(g, ", "), F.when(F.col("l_partkey") % 5 == 0, ", x").otherwise(""), F.lit("]"))
+    b = G.parse_box(text)
+    return blocks(spark, d).select("page", F.col("b").alias("g"), b[0].alias("x1"), b[3].alias("y2"))
+
+
+@query(f"WITH {FIX} SELECT page, i, g, round(iou, 9) AS iou FROM (SELECT pr.page, pr.i, gt.g, {iou_sql('pr', 'gt')} AS iou FROM pr JOIN gt ON pr.page = gt.page) WHERE iou > 0")
+def pairwise_iou(spark, d):
+    p = pages(spark, d).select("page", F.posexplode(matching.overlaps(G.corners("pred"), "gt")).alias("i", "row")).select("page", "i", F.posexplode("row").alias("g", "iou"))
+    return p.where("iou > 0").select("page", "i", "g", F.round("iou", 9).alias("iou"))
+
+
+@query(f"WITH RECURSIVE {FIX}, {greedy_sql('pr', 'gt', 'iou >= 0.1')} SELECT page, i AS p, g, round(iou, 6) AS iou FROM m")
+def block_match_greedy(spark, d):
+    p = pages(spark, d).select("page", G.corners("pred").alias("pred"), "gt")
+    return matching.matched(p, "pred", "gt").select("page", "p", "g", r6("iou").alias("iou"))
+
+
+_PAGE_SQL = f"""WITH RECURSIVE {FIX}, {greedy_sql('pr', 'gt', 'iou >= 0.1')},
+s AS (SELECT page, count(*) AS matched, avg(iou) AS mean_iou FROM m GROUP BY page), tg AS (SELECT page, count(*) AS n FROM gt GROUP BY page), tp AS (SELECT page, count(*) AS n FROM pr GROUP BY page),
+a AS (SELECT tg.page, coalesce(s.mean_iou, 0.0) AS mean_iou, coalesce(s.matched, 0) AS matched, tg.n AS total_gt, coalesce(tp.n, 0) AS total_pred, coalesce(s.matched, 0)::DOUBLE / tg.n AS recall, CASE WHEN coalesce(tp.n, 0) > 0 THEN coalesce(s.matched, 0)::DOUBLE / tp.n ELSE 0.0 END AS prec
+  FROM tg LEFT JOIN s ON s.page = tg.page LEFT JOIN tp ON tp.page = tg.page)"""
+
+
+@query(_PAGE_SQL + ' SELECT page, round(mean_iou, 6) AS mean_iou, CAST(matched AS INTEGER) AS matched, CAST(total_gt AS INTEGER) AS total_gt, CAST(total_pred AS INTEGER) AS total_pred, round(recall, 6) AS recall, round(prec, 6) AS "precision" FROM a')
+def block_iou_page_metrics(spark, d):
+    p, g = F.col("p"), F.col("gt")
+    m = pages(spark, d).select("page", G.corners("pred").alias("p"), "gt").select("page", scoring.block_metrics(matching.greedy(p, g), F.size(g), F.size(p)).alias("b")).select("page", "b.*")
+    return m.select("page", r6("mean_iou").alias("mean_iou"), "matched", "total_gt", "total_pred", r6("recall").alias("recall"), r6("precision").alias("precision"))
+
+
+_ERR = "['capitalization', 'spelling', 'grammar', 'punctuation', 'structural', 'unknown'][CAST({} % 6 + 1 AS INTEGER)]"
+
+
+def _errors(p):
+    kind = lambda k: F.element_at(F.array(*[F.lit(t) for t in TYPES]), (k % 6 + 1).cast("int"))
+    gt = F.transform("rows", lambda r: F.struct(kind(r["l_suppkey"]).alias("type"), r["gt"].alias("bbox")))
+    pred = F.transform(F.filter("rows", lambda r: r["pred"].isNotNull()), lambda r: F.struct(kind(r["l_suppkey"]).alias("type"), r["pred"].alias("bbox")))
+    return p.select("page", pred.alias("pred"), gt.alias("gt"))
+
+
+@query(f"""WITH RECURSIVE {FIX},
+ep AS (SELECT page * 10 + l_suppkey % 6 AS page, CAST(row_number() OVER (PARTITION BY page, l_suppkey % 6 ORDER BY b) - 1 AS INTEGER) AS i, r1 AS c1, r2 AS c2, r3 AS c3, r4 AS c4 FROM raw WHERE l_suppkey % 6 < 5),
+eg AS (SELECT page * 10 + l_suppkey % 6 AS page, CAST(row_number() OVER (PARTITION BY page, l_suppkey % 6 ORDER BY g) - 1 AS INTEGER) AS g, g1, g2, g3, g4 FROM gt WHERE l_suppkey % 6 < 5),
+{greedy_sql('ep', 'eg', 'iou >= 0.5', 'g')},
+k AS (SELECT page, sum(p) AS np, sum(g) AS ng FROM (SELECT page, 1 AS p, 0 AS g FROM ep UNION ALL SELECT page, 0, 1 FROM eg) GROUP BY page),
+f AS (SELECT k.page // 10 AS page, 2.0 * coalesce(t.n, 0) / (np + ng) AS f1 FROM k LEFT JOIN (SELECT page, count(*) AS n FROM m GROUP BY page) t ON t.page = k.page)
+SELECT a.page, round(coalesce(avg(f1), 0.0), 6) AS f1 FROM (SELECT DISTINCT page FROM blk) a LEFT JOIN f ON f.page = a.page GROUP BY a.page""")
+def error_f1_macro(spark, d):
+    return _errors(pages(spark, d)).select("page", r6(scoring.error_f1("pred", "gt")).alias("f1"))
+
+
+@query(f"""WITH RECURSIVE {FIX}, rp AS (SELECT page, i, r1 AS c1, r2 AS c2, r3 AS c3, r4 AS c4 FROM raw), {greedy_sql('rp', 'gt', 'iou >= 0.1')},
+s AS (SELECT page, count(*) AS matched, avg(iou) AS mean_iou FROM m GROUP BY page)
+SELECT a.page, coalesce(matched, 0) AS matched, round(coalesce(mean_iou, 0.0), 6) AS mean_iou FROM (SELECT DISTINCT page FROM blk) a LEFT JOIN s ON s.page = a.page""")
+def error_iou(spark, d):
+    p, g = F.col("p"), F.col("g")
+    boxes = _errors(pages(spark, d)).select("page", F.transform("pred", lambda e: e["bbox"]).alias("p"), F.transform("gt", lambda e: e["bbox"]).alias("g"))
+    m = boxes.select("page", scoring.error_metrics(matching.greedy(p, g), F.size(g), F.size(p)).alias("m"))
+    return m.select("page", F.col("m.matched").cast("long").alias("matched"), r6("m.mean_iou").alias("mean_iou"))
+
+
+@query(f"WITH {FIX} SELECT page, i, CAST(row_number() OVER (PARTITION BY page ORDER BY c2, c1, i) - 1 AS INTEGER) AS rank FROM pr")
+def reading_order_rank(spark, d):
+    return pages(spark, d).select("page", F.posexplode(ordering.ranks(ordering.reading_order("pred"))).alias("i", "rank"))
+
+
+_TAU = """WITH b AS (SELECT l_orderkey AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS INTEGER) AS g, l_partkey % 5 AS p FROM lineitem),
+s AS (SELECT x.page, count(*) AS n, sum(CASE WHEN sign(x.p - y.p) * sign(x.g - y.g) > 0 THEN 1 ELSE 0 END) AS c, sum(CASE WHEN sign(x.p - y.p) * sign(x.g - y.g) < 0 THEN 1 ELSE 0 END) AS d, sum(CASE WHEN x.p = y.p THEN 1 ELSE 0 END) AS tp FROM b x JOIN b y ON x.page = y.page AND x.g < y.g GROUP BY x.page)
+SELECT a.page, """
+
+
+@query(_TAU + "round(CASE WHEN n IS NULL OR n - tp = 0 THEN 0.0 ELSE (c - d)::DOUBLE / sqrt((n - tp)::DOUBLE * n) END, 6) AS tau FROM (SELECT DISTINCT page FROM b) a LEFT JOIN s ON s.page = a.page")
+def kendall_tau_b(spark, d):
+    a, b = F.transform("rows", lambda r: (r["l_partkey"] % 5).cast("int")), F.transform("rows", lambda r: r["b"])
+    return pages(spark, d).select("page", r6(ordering.kendall_tau_b(a, b)).alias("tau"))
+
+
+@query(_TAU + "round(CASE WHEN n IS NULL THEN 1.0 WHEN c + d = 0 THEN 0.0 ELSE (c - d)::DOUBLE / (c + d) END, 6) AS gamma FROM (SELECT DISTINCT page FROM b) a LEFT JOIN s ON s.page = a.page")
+def kendall_gamma(spark, d):
+    a, b = F.transform("rows", lambda r: (r["l_partkey"] % 5).cast("int")), F.transform("rows", lambda r: r["b"])
+    return pages(spark, d).select("page", r6(ordering.kendall_gamma(a, b)).alias("gamma"))
+
+
+_ORDER_SQL = f"""WITH RECURSIVE {FIX}, op AS (SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY c2, c1, i) - 1 AS INTEGER) AS i, c1, c2, c3, c4 FROM pr), {greedy_sql('op', 'gt', 'iou > 0.05')},
+v AS (SELECT page, g, row_number() OVER (PARTITION BY page ORDER BY i) AS r FROM m),
+t AS (SELECT x.page, sum(sign(x.r - y.r) * sign(x.g - y.g)) AS s, count(*) AS n FROM v x JOIN v y ON x.page = y.page AND x.g < y.g GROUP BY x.page),
+k AS (SELECT page, count(*) AS n FROM v GROUP BY page), tg AS (SELECT page, count(*) AS n FROM gt GROUP BY page),
+o AS (SELECT tg.page, coalesce(t.s::DOUBLE / t.n, 0.0) AS tau, coalesce(k.n, 0) AS matched_blocks, tg.n AS total_gt_blocks FROM tg LEFT JOIN k ON k.page = tg.page LEFT JOIN t ON t.page = tg.page)"""
+
+
+@query(_ORDER_SQL + " SELECT page, round(tau, 6) AS kendall_tau, CAST(matched_blocks AS INTEGER) AS matched_blocks, CAST(total_gt_blocks AS INTEGER) AS total_gt_blocks FROM o")
+def reading_order_from_blocks(spark, d):
+    o = pages(spark, d).select("page", scoring.order_metrics("pred", "gt", F.transform("rows", lambda r: r["b"])).alias("o")).select("page", "o.*")
+    return o.select("page", r6("kendall_tau").alias("kendall_tau"), "matched_blocks", "total_gt_blocks")
+
+
+@query(_PAGE_SQL + """ SELECT page % 4 AS candidate, round(coalesce(avg(CASE WHEN matched > 0 THEN mean_iou END), 0.0), 6) AS mean_iou, round(avg(recall), 6) AS mean_recall, round(avg(prec), 6) AS mean_precision, count(*) FILTER (matched > 0) AS iou_pages, count(*) AS pages FROM a GROUP BY 1""")
+def layout_report(spark, d):
+    p = pages(spark, d).select("page", (F.col("page") % 4).alias("candidate"), "pred", "gt")
+    s = scoring.layout_summary(scoring.layout_pages(p), ["candidate"])
+    return s.select("candidate", *[r6(c).alias(c) for c in ("mean_iou", "mean_recall", "mean_precision")], "iou_pages", "pages")
+
+
+@query(_ORDER_SQL + " SELECT page % 4 AS candidate, round(coalesce(avg(CASE WHEN matched_blocks >= 2 THEN tau END), 0.0), 6) AS mean_tau, round(avg(tau), 6) AS mean_tau_all, count(*) FILTER (matched_blocks >= 2) AS tau_pages FROM o GROUP BY 1")
+def layout_order_report(spark, d):
+    p = pages(spark, d).select("page", (F.col("page") % 4).alias("candidate"), "pred", "gt", F.transform("rows", lambda r: r["b"]).alias("o"))
+    s = p.select("candidate", scoring.order_metrics("pred", "gt", "o").alias("m"))
+    return s.groupBy("candidate").agg(r6(scoring.mean_or_zero(F.when(F.col("m.matched_blocks") >= 2, F.col("m.kendall_tau")))).alias("mean_tau"), r6(F.avg("m.kendall_tau")).alias("mean_tau_all"), F.count_if(F.col("m.matched_blocks") >= 2).alias("tau_pages"))
+
+
+_BOX_SQL = f"""WITH {FIX}, u AS (SELECT page, min(g1) AS x1, min(g2) AS y1, max(g3) AS x2, max(g4) AS y2 FROM gt GROUP BY page)"""
+
+
+def _union(spark, d):
+    return pages(spark, d).select("page", "gt", G.union_box("gt").alias("u"))
+
+
+@query(_BOX_SQL + " SELECT * FROM u")
+def page_union_bbox(spark, d):
+    return _union(spark, d).select("page", *[F.col("u")[k].alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))])
+
+
+@query(_BOX_SQL + " SELECT page, greatest(0.0, x1 - 20) AS x1, greatest(0.0, y1 - 20) AS y1, least(310.0, x2 + 20) AS x2, least(150.0, y2 + 20) AS y2 FROM u")
+def crop_box(spark, d):
+    c = G.padded_crop("u", F.lit(310), F.lit(150))
+    return _union(spark, d).select("page", *[c[k].alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))])
+
+
+@query(_BOX_SQL + " SELECT gt.page, g, g1 - greatest(0.0, x1 - 20) AS x1, g2 - greatest(0.0, y1 - 20) AS y1, g3 - greatest(0.0, x1 - 20) AS x2, g4 - greatest(0.0, y1 - 20) AS y2 FROM gt JOIN u ON u.page = gt.page")
+def crop_offset(spark, d):
+    c = _union(spark, d).select("page", F.posexplode(F.transform("gt", lambda b: G.crop_offset(b, F.col("u")))).alias("g", "c"))
+    return c.select("page", "g", *[F.col("c")[k].alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))])
+
+
+@query(r"""WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Name: ' || substr(text, 1, 9) ELSE substr(text, 1, 12) END AS t, turn * 900 AS y1, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)
+SELECT conv_id, turn FROM l WHERE NOT ((turn = last AND contains(t, 'Name:')) OR (len(list_filter(regexp_split_to_array(t, '[\s\x1c-\x1f]+'), lambda w : w <> '')) <= 2 AND y1 > 0.85 * 3542))""")
+def signature_filter(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Name: "), F.substring("text", 1, 9))).otherwise(F.substring("text", 1, 12)).alias("t"), (F.col("turn") * 900).alias("y1"), F.lit(None).cast("int").alias("h"))
+    return prep.drop_signatures(c, "conv_id", "turn", "t", "y1", "h").select("conv_id", "turn")
+
+
+@query(r"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS i, t AS line FROM (SELECT doc_id, k, regexp_replace(regexp_replace(line, '^[\s\x1c-\x1f]+', ''), '[\s\x1c-\x1f]+$', '') AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)) WHERE t <> ''""")
+def lines_to_blocks(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(P.line_blocks("text")).alias("i", "b")).select("doc_id", "i", F.col("b.text").alias("line"))
+
+
+@query("""SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN lang ELSE '' END, ''), nullif(CASE WHEN doc_id % 3 = 1 THEN source END, ''), lang || source) AS t FROM documents""")
+def parsed_fallback_text(spark, d):
+    j = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("[1, 2, 3, 4]").alias("block_bbox"), F.col("lang").alias("block_content"))).alias("parsing_res_list")).alias("res"))))
+    return table(spark, d, "documents").select("doc_id", P.document_text(j, F.when(F.col("doc_id") % 3 == 1, F.col("source")), F.concat("lang", "source")).alias("t"))
+
+
+@query("""SELECT event_id, event_type AS type, CASE WHEN event_id % 7 BETWEEN 1 AND 3 THEN (event_id % 7 - 1) * 10 ELSE 0 END::DOUBLE AS x1 FROM events WHERE event_id % 5 <> 4""")
+def llm_json_errors(spark, d):
+    e = table(spark, d, "events")
+    body = F.to_json(F.struct(F.array(F.struct(F.col("event_type").alias("type"), (F.col("event_id") % 7 - 1).cast("int").alias("block_index"), F.lit("x").alias("description"))).alias("errors")))
+    said = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n``` done"))).when(F.col("event_id") % 5 == 1, F.concat(F.lit("```\n"), body, F.lit("\n```"))).when(F.col("event_id") % 5 == 4, F.lit("no {json")).otherwise(body)
+    at = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.struct(F.array(k * 10.0, F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("bbox")))
+    return e.select("event_id", F.explode(P.placed_errors(P.listed_errors(said), at)).alias("e")).select("event_id", "e.type", F.col("e.bbox")[0].alias("x1"))
+
+
+@query("SELECT doc_id, substr(text, 1, 5) || substr(text, 8, 4) || substr(text, n_chars - 2) AS t FROM documents")
+def text_anchor_slice(spark, d):
+    s = lambda a, b: F.struct(F.lit(a).cast("int").alias("start_index") if not hasattr(a, "cast") else a.cast("int").alias("start_index"), F.lit(b).cast("int").alias("end_index"))
+    return table(spark, d, "documents").select("doc_id", T.text_anchor("text", F.array(s(None, 5), s(7, 11), s(F.col("n_chars") - 3, None))).alias("t"))
+
+
+@query()
+def doctags_parse(spark, d):
+    b = table(spark, d, "benchmark")
+    text = F.concat(F.lit("5>90>20>99>Head line\n<text>1>"), (F.col("item_id") % 50 + 10).cast("string"), F.lit(">400>60>"), F.col("text"), F.lit("</text>\n<table>7>5>9>8>cell</table>"))
+    blocks_ = P.doctag_blocks(text, F.lit(1000), F.lit(800))
+    return b.select("item_id", F.posexplode(blocks_).alias("i", "b")).select("item_id", "i", "b.type", F.col("b.bbox")[0].alias("x1"), F.col("b.bbox")[1].alias("y1"), "b.text")
+
+
+@query(r"SELECT item_id, regexp_replace(regexp_replace(text, '^[\s\x1c-\x1f]+', ''), '[\s\x1c-\x1f]+$', '') AS t FROM benchmark")
+def got_cleanup(spark, d):
+    heads = F.element_at(F.array(*[F.lit(x) for x in ("user\nOCR with format: assistant\n", "OCR:\n", "assistant\n", "x\ny\nOCR\nSentence Database \nA04-039b \n")]), (F.col("item_id") % 4 + 1).cast("int"))
+    return table(spark, d, "benchmark").select("item_id", P.chat_cleanup(F.concat(heads, "text", F.lit("\n Assistant \n"))).alias("t"))
+
+
+_CUTS = """t AS (SELECT n_chars, length(source) AS n_source, doc_id, source FROM documents),
+q AS (SELECT list_sort(list(n_chars))[count(*) // 3 + 1] AS n_low, list_sort(list(n_chars))[2 * count(*) // 3 + 1] AS n_high, list_sort(list(n_source))[count(*) // 3 + 1] AS s_low, list_sort(list(n_source))[2 * count(*) // 3 + 1] AS s_high FROM t),
+k AS (SELECT doc_id, 'd' || CASE WHEN n_chars >= n_high THEN 'H' WHEN n_chars <= n_low THEN 'L' ELSE 'M' END || '_l' || CASE WHEN n_source >= s_high THEN 'H' WHEN n_source <= s_low THEN 'L' ELSE 'M' END AS bucket FROM t, q)"""
+
+
+def _features(spark, d):
+    return table(spark, d, "documents").select("doc_id", "n_chars", F.length("source").alias("n_source"))
+
+
+@query(f"WITH {_CUTS} SELECT bucket, count(*) AS n, min(doc_id) AS first FROM k GROUP BY bucket")
+def diversity_tertiles(spark, d):
+    return prep.bucket(_features(spark, d), {"n_chars": "d", "n_source": "l"}).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+
+
+@query(f"""WITH {_CUTS}, f AS (SELECT bucket, min(doc_id) AS doc_id FROM k GROUP BY bucket), r AS (SELECT doc_id FROM k WHERE doc_id NOT IN (SELECT doc_id FROM f))
+SELECT doc_id FROM (SELECT doc_id, 0 AS o, bucket AS b FROM f UNION ALL SELECT doc_id, 1, '' FROM r) ORDER BY o, b, doc_id LIMIT 50""")
+def diversity_sample(spark, d):
+    return prep.diverse_sample(_features(spark, d), {"n_chars": "d", "n_source": "l"}, 50, F.col("doc_id")).select("doc_id")
+
+
+@query("""WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, source FROM documents)
+SELECT source, doc_id, pick FROM r, (VALUES ('best'), ('worst'), ('median'), ('lower'), ('upper')) p(pick)
+WHERE (pick = 'best' AND i = 0) OR (pick = 'worst' AND n > 1 AND i = n - 1) OR (pick = 'median' AND n > 2 AND i = n // 2) OR (pick = 'lower' AND n > 5 AND i = n // 4) OR (pick = 'upper' AND n > 5 AND i = 3 * n // 4)""")
+def representative_picks(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", F.col("n_chars").cast("double").alias("cer"))
+    return prep.representative(docs, "cer", "doc_id", ["source"]).select("source", "doc_id", "pick")
+
+
+@query("""WITH p AS (SELECT event_type, event_id % 500 AS y, count(*) FILTER (value < 50) * 2 > count(*) AS dark FROM events GROUP BY 1, 2),
+g AS (SELECT event_type, y, y - row_number() OVER (PARTITION BY event_type ORDER BY y) AS k FROM p WHERE dark)
+SELECT event_type, min(y) AS y1, max(y) + 1 AS y2 FROM g GROUP BY event_type, k HAVING max(y) + 1 - min(y) >= 3""")
+def text_line_runs(spark, d):
+    p = table(spark, d, "events").groupBy("event_type", (F.col("event_id") % 500).alias("y")).agg((F.count_if(F.col("value") < 50) * 2 > F.count(F.lit(1))).alias("dark"))
+    return prep.runs(p, ["event_type"], "y", "dark", 3)
+
+
+@query("SELECT doc_id, left(sha256(text), 16) AS sha FROM documents")
+def sha_prefix(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.sha_prefix("text").alias("sha"))
+
+
+@query("""SELECT page_id, CASE lower(regexp_extract(u, '\\.([^./]+)$', 1)) WHEN 'jpg' THEN 'image/jpeg' WHEN 'jpeg' THEN 'image/jpeg' WHEN 'png' THEN 'image/png' WHEN 'bmp' THEN 'image/bmp' WHEN 'tiff' THEN 'image/tiff' ELSE 'image/png' END AS mime
+FROM (SELECT page_id, url || ['.JPG', '.jpeg', '.Tiff', '.bmp', ''][CAST(page_id % 5 + 1 AS INTEGER)] AS u FROM pages)""")
+def mime_type(spark, d):
+    ends = F.element_at(F.array(*[F.lit(x) for x in (".JPG", ".jpeg", ".Tiff", ".bmp", "")]), (F.col("page_id") % 5 + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", T.mime_type(F.concat("url", ends)).alias("mime"))
+
+
+@query("SELECT count(*) FILTER (quality = 0 AND toxic = 1) AS errors, count(*) FILTER (quality = 0 AND toxic = 0) AS warnings, bool_and(NOT (quality = 0 AND toxic = 1)) AS passed FROM labels")
+def check_summary(spark, d):
+    failed, severe = F.col("quality") == 0, F.col("toxic") == 1
+    return table(spark, d, "labels").agg(F.count_if(failed & severe).alias("errors"), F.count_if(failed & ~severe).alias("warnings"), F.bool_and(~(failed & severe)).alias("passed"))
+
+
+@query("SELECT conv_id, turn, left(text, 80) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k <= 3")
+def top3_samples(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, d, "conversations").withColumn("k", F.row_number().over(w)).where("k <= 3").select("conv_id", "turn", F.left("text", F.lit(80)).alias("text"))
+
+
+@query("SELECT r_name AS candidate_name, CAST(r_regionkey AS DOUBLE) AS cer, CAST(NULL AS VARCHAR) AS model FROM region UNION ALL SELECT n_name, CAST(NULL AS DOUBLE), 'm' FROM nation")
+def schema_superset_union(spark, d):
+    a = table(spark, d, "region").select(F.col("r_name").alias("candidate_name"), F.col("r_regionkey").cast("double").alias("cer"))
+    b = table(spark, d, "nation").select(F.col("n_name").alias("candidate_name"), F.lit("m").alias("model"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query("""WITH p AS (SELECT event_type AS candidate, CAST(event_id % 200 AS VARCHAR) || '.png' AS image, value AS latency FROM events)
+SELECT candidate, round(avg(latency), 6) AS latency_avg, count(*) AS n, count(*) FILTER (CAST(replace(image, '.png', '') AS INTEGER) < 120) AS n_scored FROM p GROUP BY candidate""")
+def evaluate_candidates(spark, d):
+    preds = table(spark, d, "events").select(F.col("event_type").alias("candidate"), F.concat((F.col("event_id") % 200).cast("string"), F.lit(".png")).alias("image"), F.col("event_type").alias("text"), F.col("value").alias("latency"))
+    truth = spark.range(120).select(F.col("id").cast("string").alias("image"), F.lit("click").alias("text"))
+    return scoring.evaluate(preds, truth).select("candidate", r6("latency_avg").alias("latency_avg"), "n", "n_scored")
