@@ -29,12 +29,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written; marked for broadcast if it is counted to be small."""
+def small(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`df`, written; marked for broadcast if it is counted to have `rows` rows at most."""
     from pyspark.sql import functions as F
 
     df = written(df, name)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def ship(spark: SparkSession) -> None:

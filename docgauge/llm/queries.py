@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docgauge.llm import embeddings, language, media, mixing, packing, secrets, shingles, token_files, warc
+from docgauge.llm import embeddings, language, media, mixing, packing, secrets, shingles, substrings, token_files, warc
 
 
 def _table(spark, sf_dir, name):
@@ -30,6 +30,10 @@ def op4_secret_scan(spark, sf_dir):
     return secrets.secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark, sf_dir):
     return shingles.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_token_files": op3_token_files,
     "op4_secret_scan": op4_secret_scan,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_media_columns": op8_media_columns,
