@@ -51,7 +51,13 @@ class TokenCache:
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.lead = bool(self.tok.encode("a b", add_special_tokens=False).ids != self.tok.encode("a  b", add_special_tokens=False).ids)
         self.most = most
-        self._plain = re.compile(("( )" if self.lead else "()") + "[!-~À-ÖØ-öø-ÿ]+")
+        #: The narrowest type that holds the ids.
+        self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self._word = re.compile((" " if self.lead else "") + "[A-Za-zÀ-ÖØ-öø-ÿ]+")
+        # whether a token starts (ends) a word, by id: what is before (after) it then belongs to another word
+        vocabulary = self.tok.get_vocab()
+        self._edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._edge[[i for t, i in vocabulary.items() if (t.startswith("Ġ") if self.lead else t.endswith("</w>"))]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -67,16 +73,18 @@ class TokenCache:
         self.flat = np.concatenate([self.flat, ids])
 
     def _library(self, chunks: list[str]) -> None:
-        """One call for many chunks where their tokens' offsets tell them apart, else one each."""
-        plain, rest = [], []
+        """One call for many plain words, told apart by the tokens at their edges; one for each other chunk."""
+        words, rest = [], []
         for c in chunks:
-            (plain if self._plain.fullmatch(c) else rest).append(c)
-        for i in range(0, len(plain), 20_000):
-            part = plain[i : i + 20_000]
-            got = self.tok.encode(("" if self.lead else "\n").join(part), add_special_tokens=False)
-            ends = np.fromiter((b for _, b in got.offsets), np.int64, len(got.offsets))
-            upto = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + (not self.lead))
-            self._add(part, np.diff(np.searchsorted(ends, upto, "right"), prepend=0), np.asarray(got.ids, "<u4"))
+            (words if self._word.fullmatch(c) else rest).append(c)
+        for i in range(0, len(words), 50_000):
+            part = words[i : i + 50_000]
+            ids = np.asarray(self.tok.encode(("" if self.lead else "\n").join(part), add_special_tokens=False).ids, "<u4")
+            edges = np.flatnonzero(self._edge[ids])
+            if len(edges) == len(part):
+                self._add(part, np.diff(edges, append=len(ids)) if self.lead else np.diff(edges, prepend=-1), ids)
+            else:
+                rest += part
         if rest:
             got = [x.ids for x in self.tok.encode_batch(rest, add_special_tokens=False)]
             self._add(rest, np.fromiter(map(len, got), np.int64, len(got)), np.fromiter((i for x in got for i in x), "<u4"))
@@ -109,17 +117,19 @@ class TokenCache:
             odd = odd | pc.match_substring_regex(texts, "^[ \n]|[ \n]$").to_numpy(zero_copy_only=False)
             cut = pc.replace_substring(pc.replace_substring(texts, " ", MARK + " "), "\n", MARK + "\n")
         else:
-            cut = pc.replace_substring(pc.replace_substring(texts, "\n", " "), " ", MARK)
+            # white space and the case of A-Z make no difference here
+            cut = pc.replace_substring(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ", MARK)
         chunks = pc.split_pattern(cut, MARK)
         del cut
         coded = pc.dictionary_encode(chunks.values)
         words, rows = coded.dictionary.to_pylist(), {}
         for i in np.flatnonzero(odd).tolist():
             rows[i] = _WORD.findall(texts[i].as_py())
-        need = [w for w in set(words).union(*rows.values()) if w not in self.known]
+        more = set().union(*rows.values()) if rows else set()
+        need = [w for w in words if w not in self.known] + [w for w in more.difference(words) if w not in self.known]
         if len(self.known) + len(need) > self.most:
             self._forget()
-            need = list(set(words).union(*rows.values()) - {""})
+            need = [w for w in more.union(words) if w]
         self._learn(need)
         known = self.known
         bounds = chunks.offsets.to_numpy()
