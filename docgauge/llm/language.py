@@ -118,12 +118,12 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, top: int = GRAMS) -> Filter
                 seen.setdefault(lang, []).append(np.unique(grams(np.frombuffer(normalised(text), np.uint8))))
         for lang, found in seen.items():
             g, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     counts = drawn.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     held = {}
     for lang in sizes:  # at most `top` n-grams a language reach the driver
-        rows = counts.where(F.col("lang") == lang).where("n > 1").orderBy(F.desc("n"), "gram").limit(top).select("gram").toArrow()
+        rows = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(top).select("gram").toArrow()
         held[lang] = rows.column(0).to_numpy().view(np.uint64)
     return Filters.of(held)
 
