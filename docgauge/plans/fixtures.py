@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores if its scan has fewer splits, before work that takes far more time a row than moving it; larger scans stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page, b (its index), l_partkey, l_suppkey, gt box; dx, dy; pred box or null, as xywh where the part's number is a multiple of 7."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
