@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docgauge.functions.geometry import bins, parse_box
-from docgauge.functions.text import _c
+from docgauge.functions.geometry import bins, flat_quad, nested_quad, parse_box, scaled_ltrb, vertices
+from docgauge.functions.text import _c, text_anchor
 
 TRIM = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
@@ -133,3 +133,52 @@ def chat_content(response) -> Column:
 def prompt_blocks(blocks) -> Column:
     """The blocks as JSON for a prompt: index, bbox, text."""
     return F.to_json(F.transform(_c(blocks), lambda b, i: F.struct(i.alias("index"), b["bbox"].alias("bbox"), b["text"].alias("text"))))
+
+
+def _block(bbox: Column, text: Column, confidence: Column) -> Column:
+    return F.struct(bbox.alias("bbox"), text.alias("text"), confidence.cast("double").alias("confidence"))
+
+
+def quad_blocks(quads, labels) -> Column:
+    """Flat quads beside their labels (the shorter list ends both)."""
+    q, t = _c(quads), _c(labels)
+    n = F.least(F.size(q), F.size(t))
+    return F.transform(F.slice(F.arrays_zip(q.alias("q"), t.alias("t")), F.lit(1), n), lambda z: _block(flat_quad(z["q"]), z["t"], F.lit(1.0)))
+
+
+def nested_quad_blocks(regions) -> Column:
+    """Structs of quad (4 x 2), text, confidence."""
+    return F.transform(_c(regions), lambda r: _block(nested_quad(r["quad"]), r["text"], r["confidence"]))
+
+
+def scaled_blocks(regions, width, height) -> Column:
+    """Structs of left, upper, right, lower in 0..1, text, confidence."""
+    return F.transform(_c(regions), lambda r: _block(scaled_ltrb(r["left"], r["upper"], r["right"], r["lower"], width, height), r["text"], r["confidence"]))
+
+
+def word_blocks(words) -> Column:
+    """A struct of parallel lists text, left, top, width, height, conf (in hundredths); blank words go."""
+    w = _c(words)
+    rows = F.transform(w["text"], lambda t, i: F.struct(strip(t).alias("t"), *[F.get(w[n], i).cast("double").alias(n) for n in ("left", "top", "width", "height", "conf")]))
+    kept = F.filter(rows, lambda r: r["t"] != "")
+    return F.transform(kept, lambda r: _block(F.array(r["left"], r["top"], r["left"] + r["width"], r["top"] + r["height"]), r["t"], r["conf"] / 100))
+
+
+#: A cloud service's document: its text, and per page its size and blocks placed in the text and on the page.
+CLOUD_SCHEMA = (
+    "struct<text:string,pages:array<struct<dimension:struct<width:double,height:double>,blocks:array<struct<layout:struct<confidence:double,text_anchor:struct<text_segments:array<struct<start_index:int,end_index:int>>>,"
+    "bounding_poly:struct<normalized_vertices:array<struct<x:double,y:double>>>>>>>>>"
+)
+
+
+def cloud_blocks(document_json) -> Column:
+    """Blocks of all pages in order: text by anchors, stripped; boxes in pixels."""
+    d = F.from_json(_c(document_json), CLOUD_SCHEMA)
+    none = F.array().cast("array<struct<start_index:int,end_index:int>>")
+    points = F.array().cast("array<struct<x:double,y:double>>")
+
+    def one(b, p):
+        at = b["layout"]
+        return _block(vertices(F.coalesce(at["bounding_poly"]["normalized_vertices"], points), p["dimension"]["width"], p["dimension"]["height"]), strip(text_anchor(d["text"], F.coalesce(at["text_anchor"]["text_segments"], none))), at["confidence"])
+
+    return F.flatten(F.transform(d["pages"], lambda p: F.transform(p["blocks"], lambda b: one(b, p))))

@@ -46,3 +46,60 @@ def parsed(inferred: DataFrame) -> DataFrame:
     """The JSON columns of `infer` as arrays."""
     kinds = dict(x.strip().split(" ", 1) for x in PREDICTION.split(", "))
     return inferred.withColumn("blocks", F.from_json("blocks", kinds["blocks"])).withColumn("errors", F.from_json("errors", kinds["errors"]))
+
+
+#: What an exhausted quota and an overloaded service say; seconds to wait.
+QUOTA, BUSY = ("resource_exhausted", "quota"), ("503", "unavailable")
+QUOTA_WAIT, LONGEST_WAIT = 30, 30
+
+
+def patient(fn: Callable[[dict], dict], attempts: int = 8, per_minute: float | None = None, sleep=time.sleep, clock=time.perf_counter) -> Callable[[dict], dict]:
+    """`fn` with a least interval between calls and with retries; what still fails gives no errors and says why in `_note`.
+
+    The interval holds in each Python worker: give the service's rate divided by
+    the number of workers that run at once.
+    """
+    last = [float("-inf")]
+
+    def wait_for(error: str, attempt: int) -> float:
+        low = error.lower()
+        if any(x in low for x in QUOTA):
+            return QUOTA_WAIT
+        return min(2**attempt, LONGEST_WAIT) if any(x in low for x in BUSY) else 2**attempt
+
+    def call(page: dict) -> dict:
+        if per_minute:
+            sleep(max(0.0, 60 / per_minute - (clock() - last[0])))
+        for attempt in range(attempts):
+            try:
+                got = fn(page)
+                last[0] = clock()
+                return got
+            except Exception as e:
+                note = f"{type(e).__name__}: {e}"
+                if attempt + 1 < attempts:
+                    sleep(wait_for(str(e), attempt))
+        return {"errors": [], "feedback": "", "stage2_latency": 0.0, "_note": note}
+
+    return call
+
+
+#: Names of candidates and the functions that make their connectors.
+REGISTRY: dict[str, Callable[[], Callable[[dict], dict]]] = {}
+
+
+def candidate(name: str):
+    def register(make):
+        REGISTRY[name] = make
+        return make
+
+    return register
+
+
+def infer_all(pages: DataFrame, names: list[str] | None = None, runs: int = 1) -> DataFrame:
+    """All named candidates (or every registered one) over the pages; each loads once a worker."""
+    out = None
+    for name in names or sorted(REGISTRY):
+        one = infer(pages, lambda page, fn: fn(page), name, runs, load=REGISTRY[name])
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -153,3 +153,39 @@ def test_results_round_trip_and_connector(spark, tmp_path):
 
     out = connectors.parsed(connectors.infer(spark.createDataFrame([("a",), ("b",)], "image string"), fn, "c", runs=2)).collect()
     assert len(out) == 4 and {r.image: (r.text, r._note, len(r.blocks)) for r in out} == {"a": ("t", None, 1), "b": ("", "ValueError: no", 0)}
+
+
+def test_region_parsers(spark):
+    df = spark.sql("""SELECT array(array(3D, 1D, 9D, 2D, 9D, 8.5D, 2D, 8D), array(0D, 0D, 1D, 0D, 1D, 1D, 0D, 1D)) q, array('a') t,
+      named_struct('text', array(' w ', ' '), 'left', array(1, 2), 'top', array(3, 4), 'width', array(5, 6), 'height', array(7, 8), 'conf', array(95, -1)) w,
+      array(named_struct('left', 0.1D, 'upper', 0.2D, 'right', 0.5D, 'lower', 0.999D, 'text', 'n', 'confidence', 0.5D)) r,
+      '{"text":"hello world","pages":[{"dimension":{"width":100,"height":50},"blocks":[{"layout":{"confidence":0.9,"text_anchor":{"text_segments":[{"start_index":6}]},"bounding_poly":{"normalized_vertices":[{"x":0.1,"y":0.2},{"x":0.5,"y":0.9}]}}},{"layout":{"confidence":0.1}}]}]}' d""")
+    row = df.select(P.quad_blocks("q", "t").alias("q"), P.word_blocks("w").alias("w"), P.scaled_blocks("r", F.lit(100), F.lit(10)).alias("r"), P.cloud_blocks("d").alias("d")).first()
+    plain = lambda bs: [(b["bbox"], b["text"], b["confidence"]) for b in bs]
+    assert plain(row.q) == [([2, 1, 9, 8], "a", 1.0)] and plain(row.w) == [([1, 3, 6, 10], "w", 0.95)] and plain(row.r) == [([10, 2, 50, 9], "n", 0.5)]
+    assert plain(row.d) == [([10, 10, 50, 45], "world", 0.9), ([0, 0, 0, 0], "", 0.1)]
+
+
+def test_patient_calls():
+    waits, said = [], iter(["quota", "503", "other", None])
+
+    def fn(page):
+        if (x := next(said)) is not None:
+            raise RuntimeError(x)
+        return {"text": "ok"}
+
+    assert connectors.patient(fn, sleep=waits.append)({}) == {"text": "ok"} and waits == [30, 2, 4]
+
+    def never(page):
+        raise RuntimeError("x")
+
+    assert connectors.patient(never, attempts=2, sleep=waits.append)({})["_note"] == "RuntimeError: x"
+
+
+def test_registered_candidates(spark):
+    connectors.candidate("upper")(lambda: lambda page: {"text": page["image"].upper()})
+    try:
+        got = connectors.infer_all(spark.createDataFrame([("a",)], "image string")).collect()
+    finally:
+        connectors.REGISTRY.clear()
+    assert [(r.candidate, r.text) for r in got] == [("upper", "A")]
