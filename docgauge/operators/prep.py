@@ -47,13 +47,25 @@ def truth_pages(lines: DataFrame) -> DataFrame:
 
 
 def cut_points(df: DataFrame, *features: str) -> DataFrame:
-    """One row: the order statistics at n // 3 and 2 n // 3 of each feature (null: 0), exact, by ranks."""
+    """One row: the order statistics at n // 3 and 2 n // 3 of each feature (null: 0), exact.
+
+    Approximate quantiles bracket each place, counts tell how many values lie
+    below the bracket, and only the bracket's own values (about 1 in 500) are
+    ranked in order.
+    """
+    x = {f: F.coalesce(F.col(f), F.lit(0)) for f in features}
     n = df.count()
+    places = [(f, side, p) for f in features for side, p in (("low", n // 3), ("high", 2 * n // 3))]
+    near = df.agg(*[F.percentile_approx(x[f], [max(0.0, p / max(1, n) - 0.001), min(1.0, p / max(1, n) + 0.001)], 10_000).alias(f"{f}_{side}") for f, side, p in places]).first()
+    held = df.agg(*[c for f, side, _ in places if near[f"{f}_{side}"] for c in (F.count_if(x[f] < near[f"{f}_{side}"][0]).alias(f"{f}_{side}_a"), F.count_if(x[f] <= near[f"{f}_{side}"][1]).alias(f"{f}_{side}_b"))] or [F.lit(0)]).first()
     out = None
-    for f in features:
-        ranked = df.select(F.coalesce(F.col(f), F.lit(0)).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy("x")))
-        one = ranked.agg(*[F.min(F.when(F.col("upto") > p, F.col("x"))).alias(f"{f}_{side}") for side, p in (("low", n // 3), ("high", 2 * n // 3))])
-        out = one if out is None else out.crossJoin(one)
+    for f, side, p in places:
+        rows, below = df.select(x[f].alias("x")), 0
+        if near[f"{f}_{side}"] and held[f"{f}_{side}_a"] <= p < held[f"{f}_{side}_b"]:
+            rows, below = rows.where(F.col("x").between(*near[f"{f}_{side}"])), held[f"{f}_{side}_a"]
+        ranked = rows.groupBy("x").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy("x")) + below)
+        one = ranked.agg(F.min(F.when(F.col("upto") > p, F.col("x"))).alias(f"{f}_{side}"))
+        out = one if out is None else out.crossJoin(one)  # single rows
     return out
 
 
