@@ -10,10 +10,17 @@ from docgauge.functions.text import _c, text_anchor
 
 TRIM = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
-#: Block tags, literal chat prefixes, error types.
+#: Block tags, literal chat prefixes, error types, and the patterns of tagged blocks, bare lines, a chat's task
+#: line, a page's header, a form's id and a trailing role.
 TAGS = ("text", "table", "code", "formula", "chart", "figure", "caption", "list", "header", "footer", "section", "title")
 PREFIXES = ("OCR with format: assistant\n", "OCR with format:\n", "OCR: assistant\n", "OCR:\n", "assistant\n")
 ERROR_TYPES = ("capitalization", "spelling", "grammar", "punctuation", "structural")
+TAGGED = rf"(?s)<({'|'.join(TAGS)})>\s*(\d+)>(\d+)>(\d+)>(\d+)>(.*?)</\1>"
+BARE = r"^(\d+)>(\d+)>(\d+)>(\d+)>(.+)$"
+TASK_LINE = r"(?s)\A.*?OCR(?:\s+with\s+format)?:?\s*(?:assistant\s*)?\n"
+PAGE_HEADER = r"\ASentence Database\s*\n"
+FORM_ID = r"\A[A-Ka-k]\d{2}-\d{3}[a-z]?\s*\n"
+LAST_ROLE = r"(?i)\n\s*(?:assistant|user|system)\s*\z"
 
 
 def strip(text) -> Column:
@@ -54,10 +61,6 @@ def document_text(result_json, markdown=None, plain=None) -> Column:
     return strip(first_text(blocks, *[x for x in (markdown, plain) if x is not None]))
 
 
-_TAGGED = rf"(?s)<({'|'.join(TAGS)})>\s*(\d+)>(\d+)>(\d+)>(\d+)>(.*?)</\1>"
-_BARE = r"^(\d+)>(\d+)>(\d+)>(\d+)>(.+)$"
-
-
 def doctag_blocks(text, width, height) -> Column:
     """Tagged blocks, and bare coordinate lines that start in none, ordered by (y1, x1).
 
@@ -66,18 +69,18 @@ def doctag_blocks(text, width, height) -> Column:
     closed before it.
     """
     t = _c(text)
-    got = [F.regexp_extract_all(t, F.lit(_TAGGED), F.lit(k)) for k in range(1, 7)]
+    got = [F.regexp_extract_all(t, F.lit(TAGGED), F.lit(k)) for k in range(1, 7)]
     tagged = F.transform(F.arrays_zip(*[g.alias(f"g{k}") for k, g in enumerate(got)]), lambda z: F.struct(bins(z["g1"], z["g2"], z["g3"], z["g4"], _c(width), _c(height)).alias("bbox"), strip(z["g5"]).alias("text"), F.lit(1.0).alias("confidence"), z["g0"].alias("type")))
     open_, close = "", ""
-    lines = F.split(F.regexp_replace(t, _TAGGED, f"{open_}$0{close}"), "\n")
+    lines = F.split(F.regexp_replace(t, TAGGED, f"{open_}$0{close}"), "\n")
     count = lambda x, mark: F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit("")))
     walked = F.aggregate(
         lines,
         F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("lines")),
         lambda acc, x: F.struct((acc["depth"] + count(x, open_) - count(x, close)).alias("depth"), F.when((acc["depth"] > 0) | x.startswith(open_), acc["lines"]).otherwise(F.array_append(acc["lines"], F.translate(x, open_ + close, ""))).alias("lines")),
     )["lines"]
-    part = lambda x, k: F.regexp_extract(x, _BARE, k)
-    bare = F.transform(F.filter(walked, lambda x: x.rlike(_BARE)), lambda x: F.struct(bins(part(x, 1), part(x, 2), part(x, 3), part(x, 4), _c(width), _c(height)).alias("bbox"), strip(part(x, 5)).alias("text"), F.lit(1.0).alias("confidence"), F.lit("header").alias("type")))
+    part = lambda x, k: F.regexp_extract(x, BARE, k)
+    bare = F.transform(F.filter(walked, lambda x: x.rlike(BARE)), lambda x: F.struct(bins(part(x, 1), part(x, 2), part(x, 3), part(x, 4), _c(width), _c(height)).alias("bbox"), strip(part(x, 5)).alias("text"), F.lit(1.0).alias("confidence"), F.lit("header").alias("type")))
     blocks = F.filter(F.concat(tagged, bare), lambda b: b["text"] != "")
     keyed = F.transform(blocks, lambda b, i: F.struct(b["bbox"][1].alias("y"), b["bbox"][0].alias("x"), i.alias("i"), b.alias("b")))
     return F.transform(F.array_sort(keyed, lambda p, q: F.when(p["y"] < q["y"], -1).when(p["y"] > q["y"], 1).when(p["x"] < q["x"], -1).when(p["x"] > q["x"], 1).otherwise(p["i"] - q["i"])), lambda k: k["b"])
@@ -91,16 +94,16 @@ def doctag_text(blocks, raw) -> Column:
 def chat_cleanup(text) -> Column:
     """A chat model's transcription without its template: up to the first task line, else a literal prefix; page header, form id, trailing role."""
     raw = _c(text)
-    cut = F.regexp_replace(raw, r"(?s)\A.*?OCR(?:\s+with\s+format)?:?\s*(?:assistant\s*)?\n", "")
+    cut = F.regexp_replace(raw, TASK_LINE, "")
     literal = raw
     chain = None
     for p in PREFIXES:
         then = strip(F.substring(raw, F.lit(len(p) + 1), F.length(raw)))
         chain = F.when(raw.startswith(p), then) if chain is None else chain.when(raw.startswith(p), then)
     out = F.when(cut != raw, cut).otherwise(chain.otherwise(literal))
-    out = F.regexp_replace(out, r"\ASentence Database\s*\n", "")
-    out = F.regexp_replace(out, r"\A[A-Ka-k]\d{2}-\d{3}[a-z]?\s*\n", "")
-    return strip(F.regexp_replace(out, r"(?i)\n\s*(?:assistant|user|system)\s*\z", ""))
+    out = F.regexp_replace(out, PAGE_HEADER, "")
+    out = F.regexp_replace(out, FORM_ID, "")
+    return strip(F.regexp_replace(out, LAST_ROLE, ""))
 
 
 ERRORS_SCHEMA = "struct<errors:array<struct<type:string,block_index:int,description:string>>>"
