@@ -119,10 +119,17 @@ def fragments(texts: DataFrame, shared: DataFrame) -> DataFrame:
         import xxhash
 
         for b in batches:
-            for doc, raw, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                parts = [raw[r["first"] : r["first"] + r["more"] + LENGTH] for r in own]
-                marks = np.array([xxhash.xxh3_64_intdigest(p) for p in parts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([r["key"] for r in own], pa.int64()), pa.array(marks), pa.array([doc] * len(own), pa.int64()), pa.array([r["first"] for r in own], pa.int64()), pa.array([len(p) for p in parts], pa.int32()), pa.array(parts, pa.binary())], ["key", "mark", "doc", "first", "size", "fragment"])
+            own = b.column(2)
+            at, flat = own.offsets.to_numpy(), own.flatten()
+            at = at - at[0]
+            key, first, more = (flat.field(k) for k in range(3))
+            ends = first.to_numpy() + more.to_numpy() + LENGTH
+            parts = []
+            for raw, x, y in zip(b.column(1).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                parts += [raw[p:q] for p, q in zip(first[x:y].to_pylist(), ends[x:y].tolist())]
+            marks = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts)).view(np.int64)
+            docs = np.repeat(b.column(0).to_numpy(), np.diff(at))
+            yield pa.RecordBatch.from_arrays([key, pa.array(marks), pa.array(docs), first, pa.array(ends - first.to_numpy(), pa.int32()), pa.array(parts, pa.binary())], ["key", "mark", "doc", "first", "size", "fragment"])
 
     return joined.mapInArrow(cut, "key long, mark long, doc long, first long, size int, fragment binary")
 
@@ -151,6 +158,23 @@ def marked(distinct: DataFrame) -> DataFrame:
 
     def sort(batches):
         keys, marks, lows, several, parts, size = [], [], [], [], [], 0
+        single: list[tuple] = []  # anchors with one fragment: its strings are nowhere else, copies of it lose all
+        pending: list[tuple] = []
+
+        def singles():
+            rows = [(key, mark, low, []) for key, mark, low, more, _ in single if more]
+            single.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else ((), (), (), ()), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["key", "mark", "low", "starts"])
+
+        def settle():
+            nonlocal size
+            if len(pending) == 1:
+                single.append(pending[0])
+            else:
+                for key, mark, low, more, part in pending:
+                    keys.append(key), marks.append(mark), lows.append(low), several.append(more), parts.append(part)
+                    size += len(part)
+            pending.clear()
 
         def done():
             found = repeated_strings(parts, np.array(lows, np.int64))
@@ -159,12 +183,16 @@ def marked(distinct: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(take(keys), pa.int64()), pa.array(take(marks), pa.int64()), pa.array(take(lows), pa.int64()), pa.array(take(found), pa.list_(pa.int32()))], ["key", "mark", "low", "starts"])
 
         for b in batches:
-            for key, mark, low, more, part in zip(*(c.to_pylist() for c in b.columns)):
-                if size > SHARD and key != keys[-1]:  # an anchor's fragments stay together
-                    yield done()
-                    keys, marks, lows, several, parts, size = [], [], [], [], [], 0
-                keys.append(key), marks.append(mark), lows.append(low), several.append(more), parts.append(part)
-                size += len(part)
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if pending and row[0] != pending[-1][0]:  # an anchor's fragments stay together
+                    settle()
+                    if size > SHARD:
+                        yield done()
+                        keys, marks, lows, several, parts, size = [], [], [], [], [], 0
+                pending.append(row)
+            yield singles()
+        settle()
+        yield singles()
         if parts:
             yield done()
 
