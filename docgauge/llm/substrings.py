@@ -43,6 +43,8 @@ LENGTH, GRAM = 50, 16
 WINDOW, SIDE = LENGTH - GRAM + 1, (LENGTH - GRAM) // 2
 SLICE, IDS = 2 << 20, 500_000
 NONE = 0xFFF
+#: Anchors are told apart by so many bits: what they let through beyond is told apart by its bytes.
+KEY = np.uint64(2**48 - 1)
 
 
 def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -75,7 +77,7 @@ def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         h = mixed(eight[q] * _ODD[1] + eight[np.minimum(q + 8, n - 1)]) + raw[np.minimum(q + 16, n - 1)].astype(np.uint64) * _ODD[2]
         return np.where(ok, (mixed(h) >> np.uint64(40)) % np.uint64(NONE), np.uint64(NONE)).astype(np.int64)
 
-    return d, first, more, gram[at].view(np.int64), side(at - SIDE), side(at + GRAM)
+    return d, first, more, (gram[at] & KEY).view(np.int64), side(at - SIDE), side(at + GRAM)
 
 
 def runs(texts: DataFrame) -> DataFrame:
