@@ -30,7 +30,6 @@ def r6(x):
     return F.round(x, 6)
 
 
-_ASCII = "length(text) = octet_length(text)"
 _SQL_NORM = r"trim(regexp_replace(text, '[\s\x1c-\x1f]+', ' ', 'g'))"
 
 
@@ -38,14 +37,14 @@ _SQL_NORM = r"trim(regexp_replace(text, '[\s\x1c-\x1f]+', ' ', 'g'))"
   SELECT role, CASE WHEN length(t) = 0 THEN 0.0 ELSE levenshtein(translate(t, 'el', 'c1'), t)::DOUBLE / length(t) END AS cer
   FROM (SELECT role, {_SQL_NORM} AS t FROM conversations WHERE length(text) = strlen(text))) GROUP BY role""")
 def cer_normalized(spark, d):
-    c = spread(table(spark, d, "conversations").where(_ASCII))
+    c = spread(table(spark, d, "conversations"))
     return c.select("role", T.cer_normalized(F.translate("text", "el", "c1"), "text").alias("cer")).groupBy("role").agg(r6(F.avg("cer")).alias("mean_cer"), F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT conv_id, turn, round(CASE WHEN length(text) = 0 THEN 0.0 ELSE levenshtein(translate(text, 'el', 'c1'), text)::DOUBLE / length(text) END, 6) AS cer
 FROM conversations WHERE length(text) = strlen(text)""")
 def cer_by_turn(spark, d):
-    return spread(table(spark, d, "conversations").where(_ASCII)).select("conv_id", "turn", r6(T.cer(F.translate("text", "el", "c1"), "text")).alias("cer"))
+    return spread(table(spark, d, "conversations")).select("conv_id", "turn", r6(T.cer(F.translate("text", "el", "c1"), "text")).alias("cer"))
 
 
 @query("""SELECT pred, gt, CASE WHEN gt = '' THEN CASE WHEN pred <> '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE levenshtein(pred, gt)::DOUBLE / length(gt) END AS cer
@@ -65,7 +64,7 @@ k AS (SELECT *, list_distinct(list_concat(g, p)) AS v FROM w),
 s AS (SELECT conv_id, turn, len(g) AS n, list_aggregate(list_transform(g, lambda x : chr(CAST(33 + list_position(v, x) AS INTEGER))), 'string_agg', '') AS gs, list_aggregate(list_transform(p, lambda x : chr(CAST(33 + list_position(v, x) AS INTEGER))), 'string_agg', '') AS ps FROM k)
 SELECT conv_id, turn, round(CASE WHEN n = 0 THEN 0.0 ELSE levenshtein(ps, gs)::DOUBLE / n END, 6) AS wer FROM s""")
 def wer_normalized(spark, d):
-    c = spread(table(spark, d, "conversations").where(_ASCII))
+    c = spread(table(spark, d, "conversations"))
     first = lambda x: F.array_join(F.slice(T.words(x), 1, 40), " ")
     return c.select("conv_id", "turn", r6(T.wer_normalized(first(F.translate("text", "el", "c1")), first("text"))).alias("wer"))
 
