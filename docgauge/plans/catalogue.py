@@ -65,8 +65,7 @@ s AS (SELECT conv_id, turn, len(g) AS n, list_aggregate(list_transform(g, lambda
 SELECT conv_id, turn, round(CASE WHEN n = 0 THEN 0.0 ELSE levenshtein(ps, gs)::DOUBLE / n END, 6) AS wer FROM s""")
 def wer_normalized(spark, d):
     c = spread(table(spark, d, "conversations"))
-    first = lambda x: F.array_join(F.slice(T.words(x), 1, 40), " ")
-    return c.select("conv_id", "turn", r6(T.wer_normalized(first(F.translate("text", "el", "c1")), first("text"))).alias("wer"))
+    return c.select("conv_id", "turn", r6(T.wer_normalized(F.translate("text", "el", "c1"), "text")).alias("wer"))
 
 
 @query(rf"SELECT doc_id, {_SQL_NORM} AS t, len(list_filter(regexp_split_to_array(text, '[\s\x1c-\x1f]+'), lambda w : w <> '')) AS n_words FROM documents")

@@ -59,3 +59,11 @@ def test_word_rates_of_any_text(spark, conversations):
     d, rows = conversations
     got = {(r.conv_id, r.turn): r.wer for r in catalogue.QUERIES["wer_normalized"](spark, d).collect()}
     assert got == {(c, t): pytest.approx(rate(noisy(x).split(), x.split()), abs=1e-6) for c, t, _, x in rows}
+
+
+def test_word_rates_of_long_texts(spark, tmp_path):
+    rows = [(k, 0, "user", " ".join(["go up"] * 20 + [line(k, n)] + [f"w{i}" for i in range(n)])) for k, n in enumerate((1, 150, 400))]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.wer for r in catalogue.QUERIES["wer_normalized"](spark, str(tmp_path)).collect()}
+    assert got == {c: pytest.approx(rate(noisy(x).split(), x.split()), abs=1e-6) for c, _, _, x in rows}
+    assert min(got.values()) > 0  # the first 40 words have no error
