@@ -11,10 +11,13 @@ with a smaller doc_id.
    so only runs that share their anchor and the hash of either side with another
    document go on: no string that repeats is lost.
 3. The bytes of those runs are fragments; equal ones are joined before the
-   shuffle, with the smallest doc_id, so a passage that a third of all documents
-   hold is one row.  Shards of fragments, by anchor, are suffix-sorted by external
-   induced sorting (see `induced`) with common-prefix values, and neighbours that
-   share `LENGTH` bytes are groups, each with its smallest doc_id.
+   shuffle, with the smallest doc_id.  Shards of fragments, by anchor, are
+   suffix-sorted by external induced sorting (see `induced`) with common-prefix
+   values, and neighbours that share `LENGTH` bytes are groups, each with its
+   smallest doc_id.  A fragment reaches up to 34 bytes beyond a passage, so one
+   that many documents hold in different surroundings gives its outer anchors as
+   many fragments: anchors with runs of more than `HOT` bytes aren't sorted, their
+   strings are grouped one by one, by the hash of all their bytes.
 4. A fragment's strings are marked for the document that is its smallest where a
    group's smallest is smaller still, and all of them for the others; marks are
    joined to runs per document, and the bytes they cover are cut.
@@ -43,6 +46,8 @@ LENGTH, GRAM = 50, 16
 WINDOW, SIDE = LENGTH - GRAM + 1, (LENGTH - GRAM) // 2
 SLICE, IDS = 2 << 20, 500_000
 NONE = 0xFFF
+SHARD = 6 << 20
+HOT = SHARD
 #: Anchors are told apart by so many bits: what they let through beyond is told apart by its bytes.
 KEY = np.uint64(2**48 - 1)
 
@@ -102,14 +107,16 @@ def runs(texts: DataFrame) -> DataFrame:
 
 
 def shared_runs(found: DataFrame) -> DataFrame:
-    """Runs whose anchor and either side another document has too: key, doc, first, more."""
+    """Runs whose anchor and either side another document has too: key, doc, first, more, hot (the anchor's runs have more than HOT bytes)."""
     found = found.repartition("key")
     left, right = F.shiftright("packed", 12).bitwiseAND(NONE), F.col("packed").bitwiseAND(NONE)
     several = lambda w: F.min("doc").over(w) < F.max("doc").over(w)
-    found = found.withColumn("several", several(Window.partitionBy("key"))).where("several")
+    more = F.shiftright("packed", 24).bitwiseAND(63)
+    hot = F.sum(more + LENGTH).over(Window.partitionBy("key")) > HOT
+    found = found.withColumn("several", several(Window.partitionBy("key"))).withColumn("hot", hot).where("several")
     found = found.withColumn("l", left).withColumn("r", right)
     found = found.withColumn("a", several(Window.partitionBy("key", "l"))).withColumn("b", several(Window.partitionBy("key", "r"))).where("a OR b")
-    return found.select("key", "doc", F.shiftright("packed", 30).alias("first"), F.shiftright("packed", 24).bitwiseAND(63).cast("int").alias("more"))
+    return found.select("key", "doc", F.shiftright("packed", 30).alias("first"), more.cast("int").alias("more"), "hot")
 
 
 def fragments(texts: DataFrame, shared: DataFrame) -> DataFrame:
@@ -152,9 +159,6 @@ def repeated_strings(parts: list[bytes], docs: np.ndarray) -> list[list[int]]:
     return out
 
 
-SHARD = 6 << 20
-
-
 def marked(distinct: DataFrame) -> DataFrame:
     """`distinct`: key, mark, low (smallest doc), several, fragment. Gives key, mark, low, starts for those that lose strings."""
 
@@ -202,6 +206,28 @@ def marked(distinct: DataFrame) -> DataFrame:
     return rows.mapInArrow(sort, "key long, mark long, low long, starts array<int>")
 
 
+def marked_by_string(distinct: DataFrame) -> DataFrame:
+    """As `marked`, for hot anchors: each string is a group by anchor and hash, so no task holds all fragments of an anchor."""
+
+    def cut(batches):
+        import xxhash
+
+        for b in batches:
+            parts = b.column(3).to_pylist()
+            n = np.array([len(x) - LENGTH + 1 for x in parts], np.int64)
+            row = np.repeat(np.arange(len(parts)), n)
+            start = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            strings = (parts[i][a : a + LENGTH] for i, a in zip(row.tolist(), start.tolist()))
+            found = np.fromiter(map(xxhash.xxh3_64_intdigest, strings), np.uint64, len(row)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(row)) for k in range(3)), pa.array(start, pa.int32()), pa.array(found)], ["key", "mark", "low", "start", "string"])
+
+    strings = distinct.select("key", "mark", "low", "fragment").mapInArrow(cut, "key long, mark long, low long, start int, string long")
+    least = strings.groupBy("key", "string").agg(F.min("low").alias("least"), F.max("low").alias("most")).where("least < most").drop("most")
+    lost = strings.join(least, ["key", "string"]).where("low > least").groupBy("key", "mark").agg(F.array_sort(F.collect_list("start")).alias("starts"))
+    rows = distinct.select("key", "mark", "low", "several").join(lost, ["key", "mark"], "left").where("several OR starts IS NOT NULL")
+    return rows.select("key", "mark", "low", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
+
+
 def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
     """(bytes removed, maximal runs removed, sha256 of the rest)."""
     h, removed, n, upto = hashlib.sha256(), 0, 0, 0
@@ -237,8 +263,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     shared = written(shared_runs(runs(own)), "substring-runs")
     touched = small(shared.select("doc").distinct(), "substring-docs", IDS)
     parts = written(fragments(own.join(touched, "doc", "left_semi").dropDuplicates(["doc"]), shared), "substring-fragments")
-    distinct = parts.groupBy("key", "mark").agg(F.min("doc").alias("low"), (F.max("doc") > F.min("doc")).alias("several"), F.first("fragment").alias("fragment"))
-    lost = written(marked(distinct), "substring-marked")
+    distinct = lambda rows: rows.groupBy("key", "mark").agg(F.min("doc").alias("low"), (F.max("doc") > F.min("doc")).alias("several"), F.first("fragment").alias("fragment"))
+    hot = small(shared.where("hot").select("key").distinct(), "substring-hot")
+    if hot.isEmpty():
+        lost = written(marked(distinct(parts)), "substring-marked")
+    else:
+        many = written(distinct(parts.join(hot, "key", "left_semi")), "substring-hot-fragments")
+        lost = marked(distinct(parts.join(hot, "key", "left_anti"))).unionByName(marked_by_string(many))
+        lost = written(lost, "substring-marked")
     hit = parts.select("key", "mark", "doc", "first", "size").join(lost, ["key", "mark"])
     every = F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("size")).alias("b")))
     some = F.transform("starts", lambda s: F.struct((F.col("first") + s).alias("a"), (F.col("first") + s + LENGTH).alias("b")))

@@ -253,6 +253,25 @@ def test_substrings_random(spark):
     assert got == brute_repeats(table)
 
 
+def test_passage_in_many_surroundings(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    passage = "".join(rng.choice(list("abcdefgh é"), 90))
+    around = lambda n: "".join(rng.choice(list("ijklmn "), n))
+    table = [(int(k), around(20 + k % 50) + passage[k % 3 :] + around(60)) for k in rng.permutation(150)] + [(900 + k, around(200)) for k in range(20)]
+    table += [(1000 + k, table[k][1][:-5]) for k in range(5)]
+    sorted_bytes, marked = [], substrings.marked
+
+    def watched(distinct):
+        sorted_bytes.append(distinct.groupBy("key").agg(F.sum(F.octet_length("fragment")).alias("n")).agg(F.max("n")).first()[0] or 0)
+        return marked(distinct)
+
+    monkeypatch.setattr(substrings, "marked", watched)
+    monkeypatch.setattr(substrings, "HOT", 3000, raising=False)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert got == brute_repeats(table)
+    assert max(sorted_bytes) <= 3000  # no sort holds more of one anchor
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_induced_sorting(seed, monkeypatch):
     rng = np.random.default_rng(seed)
