@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir), is written as Parquet and read again as
 the next one's documents.  All but the last return the columns of documents:
 
-1. language: documents whose language isn't known (no letter, no known n-gram) go;
+1. language: documents without a letter, whose language is unknown, go;
 2. near_duplicates: of each group of documents that are linked by five-word
    shingles at a Jaccard similarity of 0.8 or more, the smallest doc_id stays;
 3. secrets: every secret found is replaced by a mark, n_chars is counted anew;

@@ -13,27 +13,33 @@ hold, so a count c out of n becomes (c - n p) / (1 - p).  The largest corrected
 count wins, ties by the name of the language; the score is its share of the
 corrected counts of the best two.
 
-Rules for odd rows: a text that is null or has no letter is `und` with score 0;
-so is one of which no n-gram is in any filter; without labelled rows all are
-`und`; repeated rows and null ids are judged each by its text; an empty table
+Short texts.  A text with letters of which no n-gram is in any filter (a word of
+two letters has none) is judged by its `SHORT`-byte n-grams, which every text with
+a letter has: the largest sum of the shares of a language's sampled documents that
+hold them wins, scored as above.  Where none of those is known either it is the
+language with most labelled documents, with score 0.
+
+Rules for odd rows: only a text that is null or has no letter is `und`, with
+score 0; without labelled rows all are `und`; repeated rows and null ids are judged each by its text; an empty table
 gives no rows.  Only the text decides.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from docgauge.llm.common import free_names, ship
 
 N, GRAMS, SAMPLE, HASHES, SLOTS = 5, 20_000, 3000, 3, 1 << 20
+SHORT, SHORT_GRAMS = 3, 5000
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -59,6 +65,25 @@ def _slots(g: np.ndarray, k: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(29))) * np.uint64(_MULTIPLIERS[(k + 1) % 3]) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
 
+@dataclass
+class ShortGrams:
+    """Rows of an n-gram, a language (its index) and the share of documents that hold it, by n-gram; and the commonest language."""
+
+    grams: np.ndarray
+    languages: np.ndarray
+    shares: np.ndarray
+    usual: int = 0
+
+    def sums(self, text: bytes, n: int) -> np.ndarray:
+        """The sum of shares for each of n languages."""
+        g = np.unique(grams(np.frombuffer(text, np.uint8), SHORT))
+        ranges = zip(np.searchsorted(self.grams, g, "left").tolist(), np.searchsorted(self.grams, g, "right").tolist())
+        out = np.zeros(n)
+        for a, b in ranges:
+            out[self.languages[a:b]] += self.shares[a:b]
+        return out
+
+
 @dataclass
 class Filters:
     """The bit-sliced filter: `words[w][slot]` has the bits of languages 64 w .. 64 w + 63."""
@@ -66,6 +91,7 @@ class Filters:
     languages: list[str]
     words: list[np.ndarray]
     fill: np.ndarray
+    short: ShortGrams = field(default_factory=lambda: ShortGrams(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)))
 
     @classmethod
     def of(cls, held: dict[str, np.ndarray]) -> Filters:
@@ -111,21 +137,32 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, top: int = GRAMS) -> Filter
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, sample / n))]), F.col("lang"))
     drawn = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
 
-    def counted(batches):
-        seen: dict[str, list[np.ndarray]] = {}
-        for b in batches:
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen.setdefault(lang, []).append(np.unique(grams(np.frombuffer(normalised(text), np.uint8))))
-        for lang, found in seen.items():
-            g, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+    def counting(size):
+        def counted(batches):
+            seen: dict[str, list[np.ndarray]] = {}
+            for b in batches:
+                for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    seen.setdefault(lang, []).append(np.unique(grams(np.frombuffer(normalised(text), np.uint8), size)))
+            for lang, found in seen.items():
+                g, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+
+        return drawn.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
-    counts = drawn.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = counting(N)
     held = {}
     for lang in sizes:  # at most `top` n-grams a language reach the driver
         rows = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(top).select("gram").toArrow()
         held[lang] = rows.column(0).to_numpy().view(np.uint64)
-    return Filters.of(held)
+    filters = Filters.of(held)
+    at = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    rows = counting(SHORT).withColumn("at", at).where(F.col("at") <= SHORT_GRAMS).orderBy("gram", "lang").select("gram", "lang", "n").toArrow()
+    index = {lang: i for i, lang in enumerate(filters.languages)}
+    langs = rows.column(1).to_pylist()
+    drawn_of = np.array([min(sample, sizes[lang]) for lang in langs], float)
+    usual = index[min(sizes, key=lambda lang: (-sizes[lang], lang))]
+    filters.short = ShortGrams(rows.column(0).to_numpy().view(np.uint64), np.array([index[lang] for lang in langs], np.int64), rows.column(2).to_numpy() / drawn_of, usual)
+    return filters
 
 
 def predict(docs: DataFrame, filters: Filters, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -149,11 +186,17 @@ def predict(docs: DataFrame, filters: Filters, text: str = "text", lang: str = "
                 ends = np.cumsum([len(t) for t in texts])
                 starts = ends - [len(t) for t in texts]
                 counts = f.counts(np.frombuffer(b"".join(texts), np.uint8), starts, ends) if f.languages else np.zeros((len(texts), 1))
+                fixed = np.zeros(len(texts), bool)
+                for i in np.flatnonzero(counts.max(axis=1) <= 0).tolist() if f.languages else ():
+                    if texts[i] and any(map(str.isalpha, texts[i].decode())):
+                        counts[i] = f.short.sums(texts[i], len(f.languages))
+                        fixed[i] = not counts[i].any()
                 best = counts.argmax(axis=1)
                 first = counts.max(axis=1)
                 second = np.sort(counts, axis=1)[:, -2] if counts.shape[1] > 1 else np.zeros(len(texts))
                 known = first > 0
-                names = [f.languages[i] if k else UNKNOWN for i, k in zip(best.tolist(), known.tolist())]
+                best[fixed] = f.short.usual
+                names = [f.languages[i] if k else UNKNOWN for i, k in zip(best.tolist(), (known | fixed).tolist())]
                 scores = np.where(known, first / np.where(known, first + second, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*columns, lang, score])
 
@@ -177,6 +220,6 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The documents whose language is known; `und` ones go. Columns as in `docs`."""
+    """The documents with a language; `und` ones, without a letter, go. Columns as in `docs`."""
     found = predict(docs, learned(docs))
     return found.where(F.col(found.columns[-2]) != UNKNOWN).select(*docs.columns)

@@ -157,6 +157,20 @@ def test_language(spark, docs, none):
     assert all(held[k] == (zlib.crc32(str(k).encode()) % 4 == 2) for k in (1, 2, 3, 15))
 
 
+def test_every_text_with_a_letter_has_a_language(spark):
+    train = [(k, t, lang) for k, (t, lang) in enumerate([("re of the house a", "en"), ("das haus im wald", "de"), ("de la maison", "fr")] * 20 + [("the end", "en")] * 3)]
+    train = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    short = [(1000, "Re."), (1001, "A."), (1002, "De."), (1003, "x"), (1004, "ж"), (1005, "北"), (1006, "12 !"), (1007, ""), (1008, None), (1009, "²"), (1010, "qqqqqqq zzzzzz")]
+    table = spark.createDataFrame(short, "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(table, language.learned(train)).collect()}
+    assert {k for k, (lang, _) in got.items() if lang == "und"} == {1006, 1007, 1008, 1009}
+    assert [got[k][0] for k in (1000, 1001, 1002)] == ["en", "en", "fr"] and got[1000][1] > 0.5
+    assert got[1003] == got[1005] == got[1010] == ("en", 0.0)
+    labelled = table.withColumn("lang", F.lit(None).cast("string")).unionByName(train)
+    kept = {r.doc_id for r in language.known_language(labelled).collect()}
+    assert kept >= {1000, 1001, 1002, 1003, 1004, 1005, 1010} and not kept & {1006, 1007, 1008, 1009}
+
+
 def test_filters_correct_false_positives():
     rng = np.random.default_rng(5)
     f = language.Filters.of({"a": rng.integers(0, 1 << 40, 120_000).astype(np.uint64), "b": np.zeros(0, np.uint64)})
