@@ -279,7 +279,7 @@ def crop_offset(spark, d):
 @query(r"""WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Name: ' || substr(text, 1, 9) ELSE substr(text, 1, 12) END AS t, turn * 900 AS y1, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)
 SELECT conv_id, turn FROM l WHERE NOT ((turn = last AND contains(t, 'Name:')) OR (len(list_filter(regexp_split_to_array(t, '[\s\x1c-\x1f]+'), lambda w : w <> '')) <= 2 AND y1 > 0.85 * 3542))""")
 def signature_filter(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Name: "), F.substring("text", 1, 9))).otherwise(F.substring("text", 1, 12)).alias("t"), (F.col("turn") * 900).alias("y1"), F.lit(None).cast("int").alias("h"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Name: "), "text")).otherwise(F.col("text")).alias("t"), (F.col("turn") * 900).alias("y1"), F.lit(None).cast("int").alias("h"))
     return prep.drop_signatures(c, "conv_id", "turn", "t", "y1", "h").select("conv_id", "turn")
 
 

@@ -67,3 +67,16 @@ def test_word_rates_of_long_texts(spark, tmp_path):
     got = {r.conv_id: r.wer for r in catalogue.QUERIES["wer_normalized"](spark, str(tmp_path)).collect()}
     assert got == {c: pytest.approx(rate(noisy(x).split(), x.split()), abs=1e-6) for c, _, _, x in rows}
     assert min(got.values()) > 0  # the first 40 words have no error
+
+
+def test_signatures_of_whole_texts(spark, tmp_path):
+    texts = ["a", "one two", "characters many more words", "Hello there, this is long", "my dear", "incomprehensible of course", "two", "thanks for Name: Bo", "bye"]
+    rows = [(c, t, "user", texts[(c + t) % len(texts)]) for c in range(9) for t in range(3 + c % 4)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    last = {c: max(t for d, t, *_ in rows if d == c) for c, *_ in rows}
+    want = set()
+    for c, t, _, x in rows:
+        x = f"Name: {x}" if t % 2 == 0 else x
+        if not (t == last[c] and "Name:" in x or len(x.split()) <= 2 and t * 900 > 0.85 * 3542):
+            want.add((c, t))
+    assert {tuple(r) for r in catalogue.QUERIES["signature_filter"](spark, str(tmp_path)).collect()} == want
