@@ -19,12 +19,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: The characters with the Unicode property White_Space (fixed values).
-WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Stands between chunks while Arrow cuts a batch; texts that hold it take the other path.
-MARK = ""
-_IRREGULAR = "[\t\x0b\x0c\r\u0085   -     　]|[ \n][ \n]"
+MARK = "\ue000"
+_IRREGULAR = "[\t\x0b\x0c\r\u0085\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ue000]|[ \n][ \n]"
 _WORD = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-_SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]+)")
+_SIMPLE = re.compile("( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:]+)")
 
 
 def tokenizer_path(name: str) -> str:
@@ -53,11 +53,11 @@ class TokenCache:
         self.most = most
         #: The narrowest type that holds the ids.
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self._word = re.compile((" " if self.lead else "") + "[A-Za-zÀ-ÖØ-öø-ÿ]+")
+        self._word = re.compile((" " if self.lead else "") + "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
         # whether a token starts (ends) a word, by id: what is before (after) it then belongs to another word
         vocabulary = self.tok.get_vocab()
         self._edge = np.zeros(max(vocabulary.values()) + 1, bool)
-        self._edge[[i for t, i in vocabulary.items() if (t.startswith("Ġ") if self.lead else t.endswith("</w>"))]] = True
+        self._edge[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if self.lead else t.endswith("</w>"))]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -111,7 +111,8 @@ class TokenCache:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets): text i has ids[offsets[i]:offsets[i+1]]. Null counts as empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        # a slice keeps its parent's offsets, which pc.ascii_lower would read against a new buffer: copy it first
+        texts = pc.fill_null(pa.concat_arrays([texts]).cast(pa.large_string()), "")
         odd = pc.match_substring_regex(texts, _IRREGULAR).to_numpy(zero_copy_only=False)
         if self.lead:
             odd = odd | pc.match_substring_regex(texts, "^[ \n]|[ \n]$").to_numpy(zero_copy_only=False)

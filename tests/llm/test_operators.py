@@ -457,3 +457,24 @@ def test_warc_ranges_meet_archives_in_archives(tmp_path):
     for size, step in ((1000, 512), (33_333, 4096), (1 << 20, 1 << 20)):
         got = [warc.parse(raw)[2] for a in range(0, n, size) for raw in warc.members(str(tmp_path / "a.warc.gz"), a, min(n, a + size), step)]
         assert got == want
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_of_slices(name):
+    """Parts of a batch hold the ids that the library gives, with and without nulls and beyond ASCII."""
+    import pyarrow as pa
+
+    cache = tokens.TokenCache(tokens.tokenizer_path(name))
+    plain = [f"Some Words No {k} in a ROW, again" for k in range(9)]
+    for texts in (plain, [f"{t} naïve Größe 北京 Ελλάδα" for t in plain], ["", None, *plain, None, "Ünï"], [None, None]):
+        library = [cache.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+        for kind in (pa.string(), pa.large_string()):
+            whole = pa.array(texts, kind)
+            for a in range(len(texts)):
+                ids, at = cache.encode(whole.slice(a, 3))
+                assert [ids[x:y].tolist() for x, y in zip(at, at[1:])] == library[a : a + 3]
+            for most in (1, 40, 100, 10_000):
+                got = [ids[x:y].tolist() for _, ids, at in cache.encode_in_parts(whole, most) for x, y in zip(at, at[1:])]
+                assert got == library
+                first = [a for a, _, _ in cache.encode_in_parts(whole, most)]
+                assert first[0] == 0 and (most > 1000 or len(first) > 1 or not any(texts))
