@@ -24,7 +24,7 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006
 MARK = "\ue000"
 _IRREGULAR = "[\t\x0b\x0c\r\u0085\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ue000]|[ \n][ \n]"
 _WORD = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-_SIMPLE = re.compile("( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:]+)")
+_SIMPLE = re.compile("( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:]*)")
 
 
 def tokenizer_path(name: str) -> str:
@@ -53,7 +53,6 @@ class TokenCache:
         self.most = most
         #: The narrowest type that holds the ids.
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self._word = re.compile((" " if self.lead else "") + "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
         # whether a token starts (ends) a word, by id: what is before (after) it then belongs to another word
         vocabulary = self.tok.get_vocab()
         self._edge = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -72,22 +71,23 @@ class TokenCache:
         self.size = np.concatenate([self.size, sizes])
         self.flat = np.concatenate([self.flat, ids])
 
-    def _library(self, chunks: list[str]) -> None:
-        """One call for many plain words, told apart by the tokens at their edges; one for each other chunk."""
-        words, rest = [], []
-        for c in chunks:
-            (words if self._word.fullmatch(c) else rest).append(c)
+    def _words(self, words: list[str]) -> list[str]:
+        """One call for many plain words, told apart by the tokens at their edges; gives back those that can't be told apart."""
+        back = []
         for i in range(0, len(words), 50_000):
             part = words[i : i + 50_000]
-            ids = np.asarray(self.tok.encode(("" if self.lead else "\n").join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.asarray(self.tok.encode_batch_fast([("" if self.lead else "\n").join(part)], add_special_tokens=False)[0].ids, "<u4")
             edges = np.flatnonzero(self._edge[ids])
             if len(edges) == len(part):
                 self._add(part, np.diff(edges, append=len(ids)) if self.lead else np.diff(edges, prepend=-1), ids)
             else:
-                rest += part
-        if rest:
-            got = [x.ids for x in self.tok.encode_batch(rest, add_special_tokens=False)]
-            self._add(rest, np.fromiter(map(len, got), np.int64, len(got)), np.fromiter((i for x in got for i in x), "<u4"))
+                back += part
+        return back
+
+    def _others(self, chunks: list[str]) -> None:
+        if chunks:
+            got = [x.ids for x in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
+            self._add(chunks, np.fromiter(map(len, got), np.int64, len(got)), np.fromiter((i for x in got for i in x), "<u4"))
 
     def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self.size[which]
@@ -95,16 +95,24 @@ class TokenCache:
         return self.flat[np.repeat(self.first[which] - upto[:-1], n) + np.arange(upto[-1])], upto
 
     def _learn(self, chunks: list[str]) -> None:
-        known, split, heads = self.known, [], {}
+        """A plain word with punctuation behind it has the ids of both, one after the other."""
+        known, split, plain, rest = self.known, [], {}, {}
         for c in chunks:
-            if m := _SIMPLE.fullmatch(c):
+            if c.isalpha() and c.isascii() and not self.lead:
+                plain[c] = None
+            elif (m := _SIMPLE.fullmatch(c)) and (c[0] == " ") == self.lead:
                 a, b = m.groups()
                 a = a if self.lead else a.lower()
-                split.append((c, a, b))
-                heads[a] = heads[b] = None
+                plain[a] = None
+                if b:
+                    split.append((c, a, b))
+                    rest[b] = None
+                elif a != c:
+                    split.append((c, a, ""))
             else:
-                heads[c] = None
-        self._library([c for c in heads if c not in known])
+                rest[c] = None
+        back = self._words([c for c in plain if c not in known])
+        self._others([*back, *(c for c in rest if c not in known)])
         if split:
             ids, upto = self._gather(np.fromiter((known[x] for _, a, b in split for x in (a, b)), np.int64, 2 * len(split)))
             self._add([c for c, _, _ in split], np.diff(upto[::2]), ids)
@@ -123,7 +131,7 @@ class TokenCache:
         chunks = pc.split_pattern(cut, MARK)
         del cut
         coded = pc.dictionary_encode(chunks.values)
-        words, rows = coded.dictionary.to_pylist(), {}
+        words, rows = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), {}
         for i in np.flatnonzero(odd).tolist():
             rows[i] = _WORD.findall(texts[i].as_py())
         more = set().union(*rows.values()) if rows else set()
