@@ -31,14 +31,29 @@ def smallest_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
+#: Links that a task contracts at once.
+HELD = 1_000_000
+
+
 def _contracted(batches):
-    table = pa.Table.from_batches(list(batches), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
-    if table.num_rows:
-        u, v = (c.to_numpy() for c in table.columns)
+    """The links of a partition as stars, `HELD` at a time."""
+
+    def stars(held):
+        u, v = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
         nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
         label = nodes[smallest_labels(at[: len(u)], at[len(u) :], len(nodes))]
         more = label != nodes
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[more]), pa.array(label[more])], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(nodes[more]), pa.array(label[more])], ["u", "v"])
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= HELD:
+            yield stars(held)
+            held, n = [], 0
+    if n:
+        yield stars(held)
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -54,7 +69,8 @@ def components(links: DataFrame) -> DataFrame:
     mark = _mark(links)
     while mark[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join's two sides come from exchanges and a hub's rows can be split between tasks
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "links-low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))

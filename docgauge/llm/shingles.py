@@ -1,48 +1,59 @@
 """Jaccard join on word shingles, with count-vector R-trees.
 
 A document's set holds the hashes of its distinct shingles; equal sets are one
-class and only classes go on.
+class, told by two fingerprints and the size, and only classes go on.
 
 Candidates.  Linked sets of sizes a <= b differ in at most
 (a + b) (1 - t) / (1 + t) shingles.  Sizes fall into ranges that grow by 1 / t; in
 a range whose largest difference is r, hash space is cut into r + 1 + s parts, so
 linked sets agree in at least s + 1 parts.  Each part that isn't empty gives a key
-(range, part, content); a set with more than s empty parts also gives the range's
-`empty` key, so two linked sets share a key whichever parts agree.  Sets that
-share a key are joined to the smallest of them (a row each, never all pairs), and
-what hangs together is a candidate group.
-
-Verification.  In a group, shingles are hashed into `GROUPS` counters and the
-count vectors go into an R-tree.  A node's bound on the overlap is the sum of
-coordinate minima of the query and the node's upper corner; nodes and entries
-whose bound is below the overlap that the sizes need are passed over, as are nodes
-all of whose entries already hang together with the query; surviving pairs are
-verified on the sets.  Groups of more than `CHUNK` classes are cut into chunks:
+(range, part, content).  Sets that agree in empty parts alone have more than s of
+them, both of them; a set with more than s empty parts therefore also gives the
+keys of a second cut, by other bits of the hashes, and so on for up to `CUTS` cuts
+and then the range's `empty` key, so two linked sets share a key whichever parts
+agree.  What shares a key is joined to the smallest of it (a row each, never all
+pairs): first within a slice of documents, where a key that many hold becomes one
+row and their links, then over all.  What hangs together is a candidate group.
+
+Verification.  In a group, shingles are hashed into counters, about one for two
+shingles, and the count vectors go into an R-tree.  A node's bound on the overlap
+is the sum of coordinate minima of the query and the node's upper corner; nodes
+and entries whose bound is below the overlap that the sizes need are passed over,
+as are entries that already hang together with the query; surviving pairs are
+verified on the sets, as rows of bits over the shingles that the group repeats.
+Groups of more than `CHUNK` classes or `SHINGLES` shingles are cut into chunks:
 first each chunk is joined with the first one, then, only where a group is still
-in pieces, the other pairs of chunks are, each pair a task of its own.
+in pieces, the other pairs of chunks are, each pair a task's step of its own.
 
 Rules for odd rows: a text without words has an empty set and links with nothing;
 fewer words than a shingle are one shingle; a null doc_id links with nothing and
-its component is null; rows that repeat a doc_id are the same node; an empty table
+its component is null; rows that repeat a doc_id are the same node, also where
+their texts differ: what links with one is reachable from all; an empty table
 gives no rows; other columns are left unread.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgauge.llm.common import ship, small, written
+from docgauge.llm.common import free_names, ship, small, written
 from docgauge.llm.components import components
 
 WORDS, PERCENT = 5, 80
-GROUPS, CHUNK, LEAF = 32, 1500, 32
+CHUNK, SHINGLES, LEAF, CUTS = 4000, 2_000_000, 32, 6
+#: Documents and bytes of text that are handled at once.
+SLICE, SLICE_BYTES = 4096, 4 << 20
+#: Bytes of bit rows that a group may take; beyond them pairs are compared one by one.
+BITS = 128 << 20
+#: Ids that may be broadcast, after they have been counted.
+IDS = 500_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -64,83 +75,177 @@ class WordHashes(dict):
 _hashes = WordHashes()
 
 
-def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the text's distinct shingles."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    found = text.encode().lower().split()  # of bytes: A-Z alone change, and the six ASCII spaces part words
-    if not found:
-        return np.zeros(0, np.uint64)
+def _in_order(of: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (set, hash) in order, for set numbers below n."""
+    bits = np.uint64(max(1, (n - 1).bit_length()))
+    order = np.argsort((of.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits))
+    a, b = of[order], h[order]
+    if ((a[1:] == a[:-1]) & (b[1:] < b[:-1])).any():  # apart in the lowest bits only
+        order = np.lexsort((h, of))
+        a, b = of[order], h[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): the sorted hashes of each text's distinct shingles."""
     if len(_hashes) > _hashes.MOST:
         _hashes.clear()
-    w = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
-    n = min(words, len(w))
-    total = np.full(len(w) - n + 1, n, np.uint64)
-    for k in range(n):
-        total = (total ^ w[k : len(w) - n + 1 + k]) * _ODD[k % 8]
-        total ^= total >> np.uint64(32)
-    return np.unique(mixed(total))
+    found = [t.encode().lower().split() if t else () for t in texts]  # of bytes: A-Z alone change, and the six ASCII spaces part words
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    w = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(found)), np.uint64, size.sum())
+    end = np.cumsum(size)
+    start = end - size
+
+    def hashed(at: np.ndarray, n: int) -> np.ndarray:
+        total = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            total = (total ^ w[at + k]) * _ODD[k % 8]
+            total ^= total >> np.uint64(32)
+        return mixed(total)
+
+    of = np.repeat(np.arange(len(found)), size)
+    at = np.flatnonzero(np.arange(len(w)) + words <= end[of]) if len(w) else np.zeros(0, np.int64)
+    sets, hashes = [of[at]], [hashed(at, words)]
+    for n in np.unique(size[(size > 0) & (size < words)]).tolist():
+        few = np.flatnonzero(size == n)
+        sets.append(few)
+        hashes.append(hashed(start[few], n))
+    of, h = _in_order(np.concatenate(sets), np.concatenate(hashes), len(found))
+    return h, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(found)))]).astype(np.int64)
+
+
+def fingerprints(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums over each set; 0 for an empty one."""
+    some = offsets[1:] > offsets[:-1]
+    out = []
+    for odd in (_ODD[4], _ODD[5]):
+        f = np.zeros(len(some), np.uint64)
+        if some.any():
+            f[some] = np.add.reduceat(mixed(((h + np.uint64(3)) * _ODD[3]) ^ odd), offsets[:-1][some])
+        out.append(f.view(np.int64))
+    return tuple(out)
 
 
 class Ranges:
-    """Ranges of set sizes for a threshold of `percent` in 100."""
+    """Ranges of set sizes for a threshold of `percent` in 100: smallest size, parts and s of each; parts are 0 where only equal sets link."""
 
     def __init__(self, percent: int):
-        self.percent, self.low = percent, [1]
-
-    def of(self, n: int) -> int:
-        while self.low[-1] <= n:
-            self.low.append(self.low[-1] * 100 // self.percent + 1)
-        return int(np.searchsorted(self.low, n, "right")) - 1
-
-    def parts(self, k: int) -> tuple[int, int]:
-        """(parts, s) of range k; (0, 0) where only equal sets link."""
-        self.of(self.low[k] if k < len(self.low) else self.low[-1])
-        while len(self.low) <= k + 1:
-            self.low.append(self.low[-1] * 100 // self.percent + 1)
-        r = 2 * (self.low[k + 1] - 1) * (100 - self.percent) // (100 + self.percent)
-        if not r:
-            return 0, 0
-        s = math.ceil(2 + 0.06 * r)
-        return r + 1 + s, s
-
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        n, out = len(shingles), []
-        own = self.of(n)
-        for k in (own, own + 1):
-            parts, s = self.parts(k)
-            if not parts or k > own and n * 100 // self.percent < self.low[k]:
-                continue
-            part = ((shingles >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            new = np.flatnonzero(np.diff(part, prepend=-1))
-            content = np.add.reduceat(mixed(shingles + np.uint64(1)), new)
-            out.append(mixed(content + mixed(np.array([k], np.uint64) * _ODD[0] + part[new].astype(np.uint64) * _ODD[1])))
-            if parts - len(new) > s:
-                out.append(mixed(np.array([k], np.uint64) * _ODD[2]))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, f1, f2 (the set's fingerprint), keys."""
+        self.percent = percent
+        self.low, self.parts, self.spare = [1], [], []
+
+    def _upto(self, n: int) -> None:
+        while self.low[-1] <= n or len(self.parts) < len(self.low) - 1:
+            low = self.low[-1]
+            after = low * 100 // self.percent + 1
+            r = 2 * (after - 1) * (100 - self.percent) // (100 + self.percent)
+            s = 2
+            for _ in range(4):  # so many parts of the range's smallest sets are empty, with a margin
+                empty = (r + 1 + s) * math.exp(-low / (r + 1 + s))
+                s = math.ceil(empty + 1.5 * math.sqrt(empty) + 1)
+            self.parts.append(r + 1 + s if r else 0)
+            self.spare.append(s if r else 0)
+            self.low.append(after)
+
+    def keys(self, h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, the set of each) for sets of sorted hashes."""
+        size = np.diff(offsets)
+        self._upto(int(size.max(initial=0)) * 100 // self.percent + 1)
+        low, parts, spare = (np.array(x, np.int64) for x in (self.low, self.parts, self.spare))
+        out, sets = [], []
+        own = np.searchsorted(low, size, "right") - 1
+        for step in (0, 1):
+            k = own + step
+            there = size > 0
+            there &= parts[np.minimum(k, len(parts) - 1)] > 0
+            if step:  # a set that is too small for the next range has no partner there
+                there &= size * 100 // self.percent >= low[k]
+            rows = np.flatnonzero(there)
+            for cut in range(CUTS):
+                if not len(rows):
+                    break
+                n = size[rows]
+                row = np.repeat(rows, n)
+                own_h = h[np.repeat(offsets[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                if cut:  # other bits decide; in order of the parts
+                    own_h = mixed(own_h ^ _ODD[cut + 1])
+                    row, own_h = _in_order(row, own_h, len(size))
+                part = ((own_h >> np.uint64(32)) * parts[k[row]].astype(np.uint64)) >> np.uint64(32)
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (part[1:] != part[:-1])
+                first = np.flatnonzero(new)
+                content = np.add.reduceat(mixed(own_h + np.uint64(1)), first)
+                at = row[first]
+                place = mixed(k[at].astype(np.uint64) * _ODD[0] + part[first] * _ODD[1] + np.array([cut], np.uint64) * _ODD[6])
+                out.append(mixed(content + place))
+                sets.append(at)
+                full = np.bincount(at, minlength=len(size))[rows]
+                rows = rows[parts[k[rows]] - full > spare[k[rows]]]
+            if len(rows):  # as many empty parts in every cut
+                out.append(mixed(k[rows].astype(np.uint64) * _ODD[2]))
+                sets.append(rows)
+        if not out:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.concatenate(out), np.concatenate(sets)
+
+
+def _slices(texts: pa.Array):
+    """(first, end) of slices of SLICE rows and about SLICE_BYTES at most."""
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    a = 0
+    upto = np.cumsum(size)
+    while a < len(size):
+        b = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + SLICE_BYTES, "right"))
+        b = min(max(b, a + 1), a + SLICE)
+        yield a, b
+        a = b
+
+
+def sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n, f1, f2 (the set's fingerprints)."""
     ship(docs.sparkSession)
 
     def made(batches):
-        ranges = Ranges(percent)
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                found = [shingle_set(t.as_py(), words) for t in part.column(1)]
-                keys = [ranges.keys(s) if len(s) else s for s in found]
-                f = [(s + np.uint64(3)) * _ODD[3] for s in found]
-                f1, f2 = ([int(mixed(x ^ o).sum(dtype=np.uint64)) for x in f] for o in (_ODD[4], _ODD[5]))
-                size = np.cumsum([0, *map(len, keys)])
-                flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in found], pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (f1, f2)), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(flat.view(np.int64)))], ["doc_id", "n", "f1", "f2", "keys"]
-                )
+        for batch in batches:
+            for a, b in _slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                h, offsets = shingle_sets(part.column(1).to_pylist(), words)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), *map(pa.array, fingerprints(h, offsets))], ["doc_id", "n", "f1", "f2"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(made, "doc_id long, n long, f1 long, f2 long, keys array<long>")
+    return docs.mapInArrow(made, "doc_id long, n long, f1 long, f2 long")
+
+
+def keyed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """key, node (a set's first fingerprint). Of a key that several sets of a slice hold only the smallest goes on under it; the others share a key of their own with that one."""
+    ship(docs.sparkSession)
+
+    def made(batches):
+        ranges = Ranges(percent)
+        for batch in batches:
+            for a, b in _slices(batch.column(0)):
+                h, offsets = shingle_sets(batch.column(0).slice(a, b - a).to_pylist(), words)
+                node = fingerprints(h, offsets)[0]
+                key, of = ranges.keys(h, offsets)
+                node = node[of]
+                order = np.argsort(key)
+                key, node = key[order], node[order]
+                new = np.ones(len(key), bool)
+                new[1:] = key[1:] != key[:-1]
+                first = np.flatnonzero(new)
+                if len(first) < len(key):
+                    low = np.minimum.reduceat(node, first)
+                    other = np.repeat(low, np.diff(np.append(first, len(key))))
+                    more = np.flatnonzero(node != other)
+                    links = np.unique(np.stack([node[more], other[more]]), axis=1) if len(more) else np.zeros((2, 0), np.int64)
+                    link_key = mixed(mixed(links[0].view(np.uint64) * _ODD[7]) + links[1].view(np.uint64) * _ODD[6])
+                    key, node = np.concatenate([key[first], link_key, link_key]), np.concatenate([low, links[0], links[1]])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node)], ["key", "node"])
+
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("text").mapInArrow(made, "key long, node long")
 
 
 class RTree:
@@ -158,81 +263,155 @@ class RTree:
         at = np.arange(0, len(upper), LEAF)
         return np.maximum.reduceat(upper, at, axis=0), np.minimum.reduceat(low, at)
 
-    def search(self, counts: np.ndarray, size: int, percent: int, skip=None):
-        """Entries that may overlap enough, in batches; skip(entries) tells which needn't be looked at."""
+    def search(self, counts: np.ndarray, size: int, percent: int, wanted) -> np.ndarray:
+        """Entries that may overlap enough; `wanted(entries)` tells which are to be looked at."""
+        need = -(-size * percent // 100)
 
         def may(upper, low):
-            return np.minimum(upper, counts).sum(axis=1) * (100 + percent) >= percent * (size + np.maximum(low, -(-size * percent // 100)))
+            return np.minimum(upper, counts).sum(axis=1, dtype=np.int64) * (100 + percent) >= percent * (size + np.maximum(low, need))
+
+        def children(nodes, n):
+            at = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
+            return at[at < n]
 
-        for t in np.flatnonzero(may(*self.top)).tolist():
-            a = t * LEAF
-            for x in (np.flatnonzero(may(self.leaf[0][a : a + LEAF], self.leaf[1][a : a + LEAF])) + a).tolist():
-                p = x * LEAF
-                here = np.arange(p, min(p + LEAF, len(self.counts)))
-                if skip is not None:
-                    here = here[~skip(self.order[here])]
-                    if not len(here):
-                        continue
-                yield self.order[here[may(self.counts[here], self.sizes[here])]]
+        leaves = children(np.flatnonzero(may(*self.top)), len(self.leaf[1]))
+        leaves = leaves[may(self.leaf[0][leaves], self.leaf[1][leaves])]
+        here = children(leaves, len(self.sizes))
+        here = here[wanted(self.order[here])]
+        return self.order[here[may(self.counts[here], self.sizes[here])]]
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) > len(b):
         a, b = b, a
+    if not len(a):
+        return 0
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
     return int((b[at] == a).sum())
 
 
-def linked_groups(found: list[np.ndarray], percent: int) -> np.ndarray:
+def _bit_rows(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray | None:
+    """A row of bits per set over the shingles that more than one set has; None if they took more than BITS bytes."""
+    _, at, times = np.unique(h, return_inverse=True, return_counts=True)
+    several = times > 1
+    wide = -(-int(several.sum()) // 64)
+    if n * wide * 8 > BITS:
+        return None
+    column = np.cumsum(several) - 1
+    kept = several[at]
+    column, of = column[at[kept]], of[kept]
+    rows = np.zeros((n, wide), np.uint64)
+    np.bitwise_or.at(rows.ravel(), of * wide + (column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+    return rows
+
+
+def linked_groups(h: np.ndarray, offsets: np.ndarray, percent: int) -> np.ndarray:
     """For sets that aren't empty, the smallest index that each hangs together with."""
-    n = len(found)
+    n, sizes = len(offsets) - 1, np.diff(offsets)
     root = np.arange(n)
-    counts = np.stack([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in found])
-    sizes = np.array([len(s) for s in found])
-    tree = RTree(counts, sizes)
-    for i in range(n):
-        for entries in tree.search(counts[i], sizes[i], percent, lambda e: (root[e] == root[i]) | (e > i)):
-            for j in entries.tolist():
-                if root[i] != root[j]:
-                    both = overlap(found[i], found[j])
-                    if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                        a, b = sorted((root[i], root[j]))
-                        root[root == b] = a
+    of = np.repeat(root, sizes)
+
+    def enough(i, j, both) -> np.ndarray:
+        return 100 * both >= percent * (sizes[i] + sizes[j] - both)
+
+    def pair(i: int, j: int) -> int:
+        return overlap(h[offsets[i] : offsets[i + 1]], h[offsets[j] : offsets[j + 1]])
+
+    def join(i: int, roots) -> None:
+        every = np.unique(np.append(roots, root[i]))
+        root[np.isin(root, every)] = every[0]
+
+    if n <= 3:  # most groups
+        for i in range(1, n):
+            for j in range(i):
+                if root[i] != root[j] and enough(i, j, pair(i, j)):
+                    join(i, root[j])
+        return root
+    groups = 1 << min(9, max(5, int(np.median(sizes)).bit_length() - 1))
+    counts = np.bincount(of * groups + (h & np.uint64(groups - 1)).astype(np.int64), minlength=n * groups).reshape(n, groups).astype(np.int32)
+    tree, bits = RTree(counts, sizes), _bit_rows(h, of, n)
+    for i in range(1, n):
+        near = np.sort(tree.search(counts[i], int(sizes[i]), percent, lambda e: (e < i) & (root[e] != root[i])))
+        while len(near):
+            some, near = near[:64], near[64:]
+            both = np.bitwise_count(bits[some] & bits[i]).sum(axis=1, dtype=np.int64) if bits is not None else np.array([pair(i, j) for j in some.tolist()])
+            found = some[enough(i, some, both)]
+            if len(found):
+                join(i, root[found])
+                near = near[root[near] != root[i]]
     return root
 
 
 def _verified(members: DataFrame, words: int, percent: int) -> DataFrame:
-    """`members`: grp, h, v (the two chunks), rep, label, text. Gives links rep, root."""
-
-    def verify(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("rep")
-        if g["label"].nunique() == 1 and len(g) > 1 and (g["label"] != -1).all():
-            return pd.DataFrame({"rep": [], "root": []})
-        reps = g["rep"].to_numpy()
-        root = linked_groups([shingle_set(t, words) for t in g["text"]], percent)
-        more = root != np.arange(len(g))
-        return pd.DataFrame({"rep": reps[more], "root": reps[root[more]]})
-
-    return members.groupBy("grp", "h", "v").applyInPandas(verify, "rep long, root long")
+    """`members`: grp, h, v (the two chunks), rep, label, n, f1, f2, text. Gives links rep, root.
+
+    A text that isn't the one that a class stands for (rows that repeat a doc_id
+    may differ) is told by its fingerprints and passed over.
+    """
+
+    def joined(rep, label, h, offsets):
+        if len(rep) < 2 or label[0] != -1 and (label == label[0]).all():
+            return rep[:0], rep[:0]
+        root = linked_groups(h, offsets, percent)
+        more = root != np.arange(len(rep))
+        return rep[more], rep[root[more]]
+
+    def verify(batches):
+        held = None  # the rows of the last group so far: key, rep, label, sets
+
+        def done():
+            key, reps, labels, hs, ns = held
+            rep = np.concatenate(reps)
+            a, b = joined(rep, np.concatenate(labels), np.concatenate(hs), np.concatenate([[0], np.cumsum(np.concatenate(ns))]))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["rep", "root"])
+
+        for batch in batches:
+            for x, y in _slices(batch.column(8)):
+                part = batch.slice(x, y - x)
+                h, offsets = shingle_sets(part.column(8).to_pylist(), words)
+                f1, f2 = fingerprints(h, offsets)
+                grp, h1, v1, rep, label, n, w1, w2 = (part.column(k).to_numpy() for k in range(8))
+                right = (f1 == w1) & (f2 == w2) & (np.diff(offsets) == n)
+                new = np.ones(len(grp), bool)
+                new[1:] = (grp[1:] != grp[:-1]) | (h1[1:] != h1[:-1]) | (v1[1:] != v1[:-1])
+                again = np.zeros(len(grp), bool)
+                again[1:] = ~new[1:] & (rep[1:] == rep[:-1]) & (w1[1:] == w1[:-1]) & right[:-1]
+                cut = np.append(np.flatnonzero(new), len(grp))
+                for a, b in zip(cut.tolist(), cut[1:].tolist()):
+                    key = (grp[a], h1[a], v1[a])
+                    if held and held[0] != key:
+                        yield done()
+                        held = None
+                    held = held or (key, [], [], [], [])
+                    for i in np.flatnonzero(right[a:b] & ~again[a:b]).tolist():
+                        i += a
+                        held[1].append(rep[i : i + 1]), held[2].append(label[i : i + 1])
+                        held[3].append(h[offsets[i] : offsets[i + 1]]), held[4].append(n[i : i + 1])
+        if held and held[1]:
+            yield done()
+
+    rows = members.select("grp", "h", "v", "rep", "label", "n", "f1", "f2", "text")
+    return rows.repartition("grp", "h", "v").sortWithinPartitions("grp", "h", "v", "rep", "f1", "f2").mapInArrow(verify, "rep long, root long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id."""
-    all_sets = written(sets(docs, words, percent), "shingle-sets")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    all_sets = written(sets(docs, words), "shingle-sets")
     key = ["f1", "f2", "n"]
     good = all_sets.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written(good.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "shingle-classes")
-
-    keyed = classes.select("rep", F.explode("keys").alias("key"))
-    edges = keyed.withColumn("low", F.min("rep").over(Window.partitionBy("key"))).where("rep <> low").select("rep", "low").distinct()
-    groups = written(components(edges), "shingle-groups")
-    sizes = groups.groupBy(F.col("component").alias("grp")).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
-    sizes = groups.join(sizes, F.col("component") == F.col("grp")).select(F.col("node").alias("rep"), "grp", "parts", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int").alias("own"))
-    sizes = small(sizes, "shingle-members")
-    # repeated rows of a doc_id may hold other texts: the class is told by its fingerprint alone, so take one row per class
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(sizes, "rep")
-    texts = written(texts.dropDuplicates(["rep"]), "shingle-texts")
+    classes = written(good.groupBy(*key).agg(F.min("doc_id").alias("rep")), "shingle-classes")
+
+    edges = keyed(docs, words, percent).withColumn("low", F.min("node").over(Window.partitionBy("key"))).where("node <> low").select("node", "low").distinct()
+    groups = written(components(edges), "shingle-groups").select(F.col("node").alias("f1"), F.col("component").alias("grp"))
+    members = classes.join(groups, "f1")
+    total = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("parts"))
+    members = members.join(total, "grp").withColumn("own", F.pmod(F.xxhash64("rep", "f1"), F.col("parts").cast("long")).cast("int"))
+    members = small(members, "shingle-members")
+    ids = small(members.select(F.col("rep").alias("doc_id")).distinct(), "shingle-ids", IDS)
+    texts = docs.join(ids, "doc_id", "left_semi").join(members, F.col("doc_id") == F.col("rep")).drop("doc_id")
+    texts = written(texts, "shingle-texts")
 
     def turns(first: bool):
         """The pairs of chunks that a member takes part in: those with the first chunk, or all others."""
@@ -243,28 +422,33 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             pairs = F.transform(F.filter(others, lambda v: v != F.col("own")), lambda v: F.struct(F.least(v, F.col("own")).alias("h"), F.greatest(v, F.col("own")).alias("v")))
         return F.explode(pairs).alias("t")
 
-    rows = texts.select("grp", "rep", F.lit(-1).cast("long").alias("label"), "text", turns(True)).select("grp", "t.*", "rep", "label", "text")
+    what = ["rep", "label", "n", "f1", "f2", "text"]
+    rows = texts.withColumn("label", F.lit(-1).cast("long")).select("grp", *what, turns(True)).select("grp", "t.*", *what)
     links = written(_verified(rows, words, percent), "shingle-links")
+    # rows of one doc_id with several texts: their classes hang together
+    several = small(good.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("b")).where("a <> b").select("doc_id"), "shingle-several")
+    same = good.join(several, "doc_id").join(classes, key).where("doc_id <> rep").select("rep", F.col("doc_id").alias("root"))
+    links = written(links.unionByName(same), "shingle-links")
     of = written(components(links), "shingle-components")
     big = texts.where("parts > 2").join(of.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     torn = small(big.groupBy("grp").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("grp"), "shingle-torn")
     if not torn.isEmpty():
-        rows = big.join(torn, "grp").where("own > 0").select("grp", "rep", "label", "text", turns(False)).select("grp", "t.*", "rep", "label", "text")
+        rows = big.join(torn, "grp").where("own > 0").select("grp", *what, turns(False)).select("grp", "t.*", *what)
         of = written(components(written(links.unionByName(_verified(rows, words, percent)), "shingle-links")), "shingle-components")
 
-    named = classes.select(*key, "rep").join(of.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    # documents with the same id are the same node
-    linked = good.select("doc_id", *key).join(named, key).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = all_sets.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named = classes.join(of.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
+    linked = good.join(named, key).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = all_sets.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("doc_id")).alias("component_id"))
     return linked.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents that are the smallest of their component, columns as in `docs`; of rows that repeat a doc_id one stays, of null ids all."""
     found = written(near_duplicates(docs, words, percent), "shingle-found")
-    gone = small(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "shingle-gone")
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    again = small(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__again")), "shingle-again")
-    once = kept.join(again, kept["doc_id"] == again["__again"], "left_anti")
-    several = kept.join(again, kept["doc_id"] == again["__again"], "left_semi").dropDuplicates(["doc_id"])
+    gone_id, again_id = free_names(docs, "gone", "again")
+    gone = small(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct(), "shingle-gone", IDS)
+    kept = docs.join(gone, docs["doc_id"] == gone[gone_id], "left_anti")
+    again = small(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(again_id)), "shingle-again", IDS)
+    once = kept.join(again, kept["doc_id"] == again[again_id], "left_anti")
+    several = kept.join(again, kept["doc_id"] == again[again_id], "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(several)

@@ -307,11 +307,12 @@ def test_induced_sorting(seed, monkeypatch):
 
 
 def brute_components(all_rows, words, percent):
-    sets = {}
+    """doc_id -> (sizes of its rows' sets, component); rows that repeat a doc_id are one node with several sets."""
+    sets = defaultdict(list)
     for r in all_rows:
         w = (r[1] or "").encode().lower().split()
         n = min(words, len(w))
-        sets.setdefault(r[0], {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set())
+        sets[r[0]].append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set())
     ids = [d for d in sets if d is not None]
     up = {d: d for d in ids}
 
@@ -322,14 +323,13 @@ def brute_components(all_rows, words, percent):
 
     for i, a in enumerate(ids):
         for b in ids[:i]:
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+            if any(x & y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
                 x, y = sorted((root(a), root(b)))
                 up[y] = x
-    return {d: (len(sets[d]), root(d)) for d in ids}
+    return {d: (sorted(map(len, sets[d])), root(d)) for d in ids}
 
 
-@pytest.mark.parametrize("words,percent,chunk", [(3, 90, 1500), (5, 80, 3)])
+@pytest.mark.parametrize("words,percent,chunk", [(3, 90, 4000), (5, 80, 3)])
 def test_shingle_join(spark, none, words, percent, chunk):
     rng = np.random.default_rng(6)
     vocabulary = [f"w{k}" for k in range(300)]
@@ -343,26 +343,106 @@ def test_shingle_join(spark, none, words, percent, chunk):
             table.append((100 + 10 * k + j, " ".join(own).upper() if j == 3 else "\n".join(own)))
     got = shingles.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), words, percent, chunk).collect()
     assert len(got) == len(table)
-    want = brute_components(table, words, percent)
+    want, have = brute_components(table, words, percent), defaultdict(list)
     for r in got:
-        assert (r.n_shingles, r.component_id) == want[r.doc_id] if r.doc_id is not None else r.component_id is None
+        have[r.doc_id].append(r.n_shingles)
+        if r.doc_id is None:
+            assert r.component_id is None
+        else:
+            assert r.component_id == want[r.doc_id][1]
+    assert {d: sorted(n) for d, n in have.items() if d is not None} == {d: n for d, (n, _) in want.items()}
     assert sum(d != c for d, (_, c) in want.items()) > 15
     if percent == 80:
         assert shingles.near_duplicates(none).count() == 0
 
 
+def keys_of(ranges, *sets):
+    h, at = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    key, of = ranges.keys(h, at)
+    return [key[of == k] for k in range(len(sets))]
+
+
 def test_keys_meet_for_all_linked_sets():
-    rng = np.random.default_rng(8)
+    rng, linked = np.random.default_rng(8), 0
     for percent in (90, 80):
         ranges = shingles.Ranges(percent)
         for n in [*range(1, 60), 200, 1000]:
             for _ in range(6):
-                a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+                a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1))
                 drop = rng.integers(0, 1 + n * (100 - percent) // 100)
                 b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, rng.integers(0, 1 + drop)).astype(np.uint64)]))
                 both = shingles.overlap(a, b)
                 if 100 * both >= percent * (len(a) + len(b) - both) and both < max(len(a), len(b)):
-                    assert np.intersect1d(ranges.keys(a), ranges.keys(b)).size
+                    x, none, y = keys_of(ranges, a, a[:0], b)
+                    linked += 1
+                    assert np.intersect1d(x, y).size and not len(none)
+                    assert np.array_equal(np.sort(x), np.sort(keys_of(ranges, a)[0]))  # whatever else is in the slice
+    assert linked > 200
+
+
+def test_sets_that_agree_in_empty_parts_alone_meet_in_another_cut(monkeypatch):
+    """With no spare parts, so that most sets go on to the further cuts and the last key."""
+    rng, ranges = np.random.default_rng(9), shingles.Ranges(80)
+    ranges._upto(4000)
+    ranges.parts = [p and max(1, p - s) for p, s in zip(ranges.parts, ranges.spare)]
+    ranges.spare = [0] * len(ranges.parts)
+    for n in (20, 70, 300):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1))
+        drop = n // 10
+        b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, drop).astype(np.uint64)]))
+        x, y = keys_of(ranges, a, b)
+        assert np.intersect1d(x, y).size
+
+
+def test_shingle_sets_of_many_texts():
+    rng = np.random.default_rng(4)
+    texts = [None, "", " \t", "a", "A b", "a b c d e", "a b c d e " * 40, *(" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 90))) for _ in range(60))]
+    for words in (1, 3, 5):
+        h, at = shingles.shingle_sets(texts, words)
+        f1, f2 = shingles.fingerprints(h, at)
+        known = {}
+        for k, t in enumerate(texts):
+            w = (t or "").lower().split()
+            n = min(words, len(w))
+            want = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+            own = h[at[k] : at[k + 1]]
+            assert len(own) == len(want) and (np.diff(own.astype(object)) > 0).all()
+            assert known.setdefault(frozenset(want), (f1[k], f2[k], own.tolist())) == (f1[k], f2[k], own.tolist())
+            alone, _ = shingles.shingle_sets([t], words)
+            assert alone.tolist() == own.tolist()
+        assert len({x[0] for x in known.values()}) == len(known)
+
+
+def test_groups_of_sets_against_all_pairs(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [np.unique(rng.integers(0, 1 << 62, n)) for n in (40, 45, 300, 310)]
+    sets = []
+    for k in range(90):
+        own = base[k % 4].copy()
+        at = rng.integers(0, len(own), rng.integers(0, 1 + len(own) // 3))
+        own[at] = rng.integers(0, 1 << 62, len(at))
+        sets.append(np.unique(own).astype(np.uint64))
+    h, at = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    want = np.arange(90)
+    for i in range(90):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((want[i], want[j]))
+                want[want == b] = a
+    assert 4 < len(set(want)) < 80
+    assert shingles.linked_groups(h, at, 80).tolist() == want.tolist()
+    monkeypatch.setattr(shingles, "BITS", 0)  # pairs one by one
+    assert shingles.linked_groups(h, at, 80).tolist() == want.tolist()
+
+
+def test_one_id_with_several_texts(spark):
+    """All that links with one of an id's texts is reachable from the others."""
+    a, b = ([f"{x}{k}" for k in range(60)] for x in "ab")
+    near = lambda w: " ".join([*w[:30], "other", *w[31:]])
+    table = [(1, " ".join(a)), (1, " ".join(b)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, "c d e"), (0, "c d e"), (4, near(a) + " tail"), (5, " ".join(a))]
+    got = {(r.doc_id, r.component_id) for r in shingles.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), 3, 80).collect()}
+    assert got == {(d, c) for d, (_, c) in brute_components(table, 3, 80).items()} == {(d, 0) for d in range(6)}
 
 
 def test_one_of_each_group_stays(docs):
