@@ -4,8 +4,8 @@ A document's set holds the hashes of its distinct shingles; equal sets are one
 class, told by two fingerprints and the size, and only classes go on.
 
 Candidates.  Linked sets of sizes a <= b differ in at most
-(a + b) (1 - t) / (1 + t) shingles.  Sizes fall into ranges that grow by 1 / t; in
-a range whose largest difference is r, hash space is cut into r + 1 + s parts, so
+(a + b) (1 - t) / (1 + t) shingles.  Sizes fall into ranges that grow by 1 / t twice
+(sets link in a range or with the next one's); in a range whose largest difference is r, hash space is cut into r + 1 + s parts, so
 linked sets agree in at least s + 1 parts.  Each part that isn't empty gives a key
 (range, part, content).  Sets that agree in empty parts alone have more than s of
 them, both of them; a set with more than s empty parts therefore also gives the
@@ -34,12 +34,9 @@ gives no rows; other columns are left unread.
 
 from __future__ import annotations
 
-import math
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +46,7 @@ from docgauge.llm.components import components
 WORDS, PERCENT = 5, 80
 CHUNK, SHINGLES, LEAF, CUTS = 4000, 2_000_000, 32, 6
 #: Documents and bytes of text that are handled at once.
-SLICE, SLICE_BYTES = 4096, 4 << 20
+SLICE, SLICE_BYTES = 4096, 2 << 20
 #: Bytes of bit rows that a group may take; beyond them pairs are compared one by one.
 BITS = 128 << 20
 #: Ids that may be broadcast, after they have been counted.
@@ -64,15 +61,50 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    MOST = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = WordHashes()
+#: A number for each byte, the same for a letter's two cases; 0 for the six white spaces, which part words.
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD[0])
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_BYTE[[9, 10, 11, 12, 13, 32]] = 0
+#: Powers of an odd base and of its inverse modulo 2 ** 64, as many as the longest slice has needed.
+_BASE = int(_ODD[1])
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_upto(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _powers[k] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
+    return _powers
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of an array of strings, nulls as empty."""
+    texts = pa.concat_arrays([texts.cast(pa.large_string()).fill_null("")])
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if offsets[-1] == offsets[0]:
+        return np.zeros(0, np.uint8), np.zeros(len(offsets), np.int64)
+    return np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(a hash of each word in order, words of each text): sums of byte numbers times powers of the place in the word."""
+    raw, offsets = _bytes_of(texts)
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    value = _BYTE[raw]
+    word = value != 0
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    edge = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(raw))]  # texts follow each other without a gap
+    first[edge] |= word[edge]
+    last[edge - 1] |= word[edge - 1]
+    first, last = np.flatnonzero(first), np.flatnonzero(last)
+    power, inverse = _powers_upto(len(raw))
+    value *= power[: len(raw)]
+    upto = np.cumsum(value)
+    total = upto[last] - upto[first] + value[first]
+    return mixed(total * inverse[first]), np.diff(np.searchsorted(first, offsets))
 
 
 def _in_order(of: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,13 +120,9 @@ def _in_order(of: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return a[new], b[new]
 
 
-def shingle_sets(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): the sorted hashes of each text's distinct shingles."""
-    if len(_hashes) > _hashes.MOST:
-        _hashes.clear()
-    found = [t.encode().lower().split() if t else () for t in texts]  # of bytes: A-Z alone change, and the six ASCII spaces part words
-    size = np.fromiter(map(len, found), np.int64, len(found))
-    w = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(found)), np.uint64, size.sum())
+    w, size = word_hashes(texts)
     end = np.cumsum(size)
     start = end - size
 
@@ -105,15 +133,15 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarra
             total ^= total >> np.uint64(32)
         return mixed(total)
 
-    of = np.repeat(np.arange(len(found)), size)
+    of = np.repeat(np.arange(len(size)), size)
     at = np.flatnonzero(np.arange(len(w)) + words <= end[of]) if len(w) else np.zeros(0, np.int64)
     sets, hashes = [of[at]], [hashed(at, words)]
     for n in np.unique(size[(size > 0) & (size < words)]).tolist():
         few = np.flatnonzero(size == n)
         sets.append(few)
         hashes.append(hashed(start[few], n))
-    of, h = _in_order(np.concatenate(sets), np.concatenate(hashes), len(found))
-    return h, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(found)))]).astype(np.int64)
+    of, h = _in_order(np.concatenate(sets), np.concatenate(hashes), len(size))
+    return h, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(size)))]).astype(np.int64)
 
 
 def fingerprints(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,36 +157,42 @@ def fingerprints(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Ranges:
-    """Ranges of set sizes for a threshold of `percent` in 100: smallest size, parts and s of each; parts are 0 where only equal sets link."""
+    """Ranges of set sizes up to `most` for a threshold of `percent` in 100: smallest size, parts and spare parts (s) of each; parts are 0 where only equal sets link."""
 
-    def __init__(self, percent: int):
+    def __init__(self, percent: int, most: int):
         self.percent = percent
-        self.low, self.parts, self.spare = [1], [], []
-
-    def _upto(self, n: int) -> None:
-        while self.low[-1] <= n or len(self.parts) < len(self.low) - 1:
-            low = self.low[-1]
-            after = low * 100 // self.percent + 1
-            r = 2 * (after - 1) * (100 - self.percent) // (100 + self.percent)
-            s = 2
-            for _ in range(4):  # so many parts of the range's smallest sets are empty, with a margin
-                empty = (r + 1 + s) * math.exp(-low / (r + 1 + s))
-                s = math.ceil(empty + 1.5 * math.sqrt(empty) + 1)
-            self.parts.append(r + 1 + s if r else 0)
-            self.spare.append(s if r else 0)
-            self.low.append(after)
+        low, parts, spare = [1], [], []
+        while len(low) < 3 or low[-2] <= most:  # one range more than the largest set is in
+            after = low[-1]
+            for _ in range(2):
+                after = after * 100 // percent + 1
+            r = 2 * (after - 1) * (100 - percent) // (100 + percent)
+            s = self._spare(low[-1], after - 1, r) if r else 0
+            parts.append(r + 1 + s if r else 0)
+            spare.append(s)
+            low.append(after)
+        self.low, self.parts, self.spare = (np.array(x, np.int64) for x in (low, parts, spare))
+
+    def _spare(self, low: int, high: int, r: int) -> int:
+        """The s with the fewest keys in all: more parts are more keys, fewer send more sets to another cut."""
+        s = np.arange(1, 2 * r + 4)
+        parts, keys = (r + 1 + s).astype(float), 0
+        for n in np.geomspace(max(1, low * self.percent // 100), high, 6):
+            empty = np.exp(-n / parts)
+            spread = np.sqrt(np.maximum(parts * (empty - (1 + n / parts) * empty**2), 1e-6))
+            again = 1 / (1 + np.exp(1.7 * (s + 0.5 - parts * empty) / spread))  # more than s parts are empty
+            keys = keys + parts * (1 - empty) / (1 - np.minimum(again, 0.9))
+        return int(s[np.argmin(keys)])
 
     def keys(self, h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(keys, the set of each) for sets of sorted hashes."""
-        size = np.diff(offsets)
-        self._upto(int(size.max(initial=0)) * 100 // self.percent + 1)
-        low, parts, spare = (np.array(x, np.int64) for x in (self.low, self.parts, self.spare))
+        size, low, parts, spare = np.diff(offsets), self.low, self.parts, self.spare
         out, sets = [], []
         own = np.searchsorted(low, size, "right") - 1
         for step in (0, 1):
             k = own + step
             there = size > 0
-            there &= parts[np.minimum(k, len(parts) - 1)] > 0
+            there &= parts[k] > 0
             if step:  # a set that is too small for the next range has no partner there
                 there &= size * 100 // self.percent >= low[k]
             rows = np.flatnonzero(there)
@@ -212,22 +246,21 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for a, b in _slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                h, offsets = shingle_sets(part.column(1).to_pylist(), words)
+                h, offsets = shingle_sets(part.column(1), words)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), *map(pa.array, fingerprints(h, offsets))], ["doc_id", "n", "f1", "f2"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(made, "doc_id long, n long, f1 long, f2 long")
 
 
-def keyed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def keyed(docs: DataFrame, words: int, ranges: Ranges) -> DataFrame:
     """key, node (a set's first fingerprint). Of a key that several sets of a slice hold only the smallest goes on under it; the others share a key of their own with that one."""
     ship(docs.sparkSession)
 
     def made(batches):
-        ranges = Ranges(percent)
         for batch in batches:
             for a, b in _slices(batch.column(0)):
-                h, offsets = shingle_sets(batch.column(0).slice(a, b - a).to_pylist(), words)
+                h, offsets = shingle_sets(batch.column(0).slice(a, b - a), words)
                 node = fingerprints(h, offsets)[0]
                 key, of = ranges.keys(h, offsets)
                 node = node[of]
@@ -369,7 +402,7 @@ def _verified(members: DataFrame, words: int, percent: int) -> DataFrame:
         for batch in batches:
             for x, y in _slices(batch.column(8)):
                 part = batch.slice(x, y - x)
-                h, offsets = shingle_sets(part.column(8).to_pylist(), words)
+                h, offsets = shingle_sets(part.column(8), words)
                 f1, f2 = fingerprints(h, offsets)
                 grp, h1, v1, rep, label, n, w1, w2 = (part.column(k).to_numpy() for k in range(8))
                 right = (f1 == w1) & (f2 == w2) & (np.diff(offsets) == n)
@@ -403,7 +436,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     good = all_sets.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(good.groupBy(*key).agg(F.min("doc_id").alias("rep")), "shingle-classes")
 
-    edges = keyed(docs, words, percent).withColumn("low", F.min("node").over(Window.partitionBy("key"))).where("node <> low").select("node", "low").distinct()
+    # made once, so that all machines cut alike
+    ranges = Ranges(percent, all_sets.agg(F.max("n").alias("n")).first().n or 0)
+    edges = keyed(docs, words, ranges).withColumn("low", F.min("node").over(Window.partitionBy("key"))).where("node <> low").select("node", "low").distinct()
     groups = written(components(edges), "shingle-groups").select(F.col("node").alias("f1"), F.col("component").alias("grp"))
     members = classes.join(groups, "f1")
     total = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("parts"))
