@@ -14,9 +14,11 @@ BROADCAST_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one is set."""
+    """A new folder under spark.checkpoint.dir; where that is unset a temporary one is set on one machine (tests), and a cluster is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="docgauge-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -29,12 +31,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df`, written; marked for broadcast if it is counted to have `rows` rows at most."""
+def small(df: DataFrame, name: str, rows: int = BROADCAST_ROWS, merge: bool = False) -> DataFrame:
+    """`df`, written; marked for broadcast if it is counted to have `rows` rows at most, with `merge` for a sort-merge join if it has more."""
     from pyspark.sql import functions as F
 
     df = written(df, name)
-    return F.broadcast(df) if df.count() <= rows else df
+    if df.count() <= rows:
+        return F.broadcast(df)
+    return df.hint("merge") if merge else df
+
+
+def distinct_sample(df: DataFrame, by: str, text: str, share, sample: int, name: str) -> DataFrame:
+    """`by`, `text`: at most `sample` different texts for each value of `by`, those of least hash.
+
+    `share` (a column) is what part of the rows is looked at: by hash, ahead of the
+    exact cut, so no more than that is sorted; copies are joined in each task
+    before they are moved, so a text that many rows hold is one.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    drawn = df.select(F.col(by).alias("by"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    drawn = drawn.where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < share * 1_000_000)
+    drawn = written(drawn.groupBy("by", "h").agg(F.min("text").alias("text")), name)
+    least = drawn.select("by", "h").withColumn("at", F.row_number().over(Window.partitionBy("by").orderBy(F.xxhash64("h"), "h"))).where(F.col("at") <= sample)
+    # `sample` rows for each value
+    return drawn.join(F.broadcast(least.select("by", "h")), ["by", "h"], "left_semi").select(F.col("by").alias(by), F.col("text").alias(text))
 
 
 def ship(spark: SparkSession) -> None:

@@ -8,7 +8,7 @@ only where no gap takes them.
 Token counts are whole numbers up to the capacity, so all this runs on the
 *histogram* of lengths (a row per length, `capacity` rows at most, whatever the
 corpus): equal bins are handled as one group with a count, and the plan is a
-list of groups.  Pieces then find their bin by their length and their rank among
+list of groups, whose number too depends on the capacity alone.  Pieces then find their bin by their length and their rank among
 pieces of that length.  A rank is the task's own running count plus the counts of
 earlier tasks, so a length that a third of all pieces share is never gathered.
 
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgauge.llm.common import ship, written
+from docgauge.llm.common import ship, small, written
 from docgauge.llm.tokens import cache_for, tokenizer_path
 
 CAPACITY, END = 2048, 0
@@ -139,7 +139,8 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int =
     counts = written(items.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     # at most `capacity` rows reach the driver
     slots = _slots(pack_histogram({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity))
-    before = counts.select("task", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
+    # a row per task and length: beyond the rows that may be broadcast it is joined by a shuffle of the narrow rows
+    before = small(counts.select("task", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before")), "pack-before", merge=True)
     shared = docs.sparkSession.sparkContext.broadcast(slots)
 
     def placed(batches):
