@@ -12,8 +12,8 @@ int64 (n_docs + 1), and per level chunks uint8, bits (packed, lowest first),
 ranks uint64.
 
 Ids are made once per document in the scan's own tasks, dealt by ranges of
-doc_id that are cut by approximate quantiles, sorted within a range and written
-in segments of about `SEGMENT` tokens, so a task holds one segment at most.  A
+doc_id that Spark's own range partitioning of the ids alone has cut, two bytes an
+id where the vocabulary allows, sorted within a range and written in segments of about `SEGMENT` tokens, so a task holds one segment at most.  A
 file appears only when complete, under a name that the range fixes: a task that
 is lost is run again and writes the same file.
 
@@ -147,8 +147,9 @@ def write_files(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     root = make_dir(shared_dir(spark, "tokens"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = max(1, docs.rdd.getNumPartitions())
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000).alias("q")).first().q or []
-    cuts = np.array(sorted(set(cuts)), np.int64) if n > 1 else np.array([], np.int64)
+    # the ids alone are dealt by ranges; a row a range reaches the driver
+    dealt = docs.select("doc_id").where("doc_id IS NOT NULL").repartitionByRange(n, "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("low"))
+    cuts = np.array(sorted(r.low for r in dealt.collect())[1:], np.int64)
 
     def encoded(batches):
         cache = cache_for(path)
@@ -156,9 +157,9 @@ def write_files(docs: DataFrame, path: str, end: int = END) -> DataFrame:
             doc_ids, texts = b.column(0), b.column(1)
             part = np.searchsorted(cuts, doc_ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right")
             for a, ids, offsets in cache.encode_in_parts(texts):
-                rows = len(offsets) - 1
+                rows, ids = len(offsets) - 1, ids.astype(cache.kind)
                 raw = [ids[x:y].tobytes() for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(part[a : a + rows], pa.int32()), doc_ids.slice(a, rows), pa.array(raw, pa.binary())], ["part", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[a : a + rows], pa.int32()), doc_ids.slice(a, rows), pa.array(raw, pa.binary()), pa.array(np.full(rows, cache.kind.itemsize, np.int32))], ["part", "doc_id", "ids", "width"])
 
     def stored(batches):
         seq, ids, doc_ids, held = 0, [], [], 0
@@ -171,8 +172,8 @@ def write_files(docs: DataFrame, path: str, end: int = END) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([uri]), pa.array([int(sizes.sum())], pa.int64()), pa.array([len(ids)], pa.int64())], ["part", "seq", "uri", "n_tokens", "n_docs"])
 
         for b in batches:
-            for doc_id, raw in zip(b.column(1).to_pylist(), b.column(2)):
-                x = np.append(np.frombuffer(raw.as_buffer(), "<u4"), np.uint32(end))
+            for doc_id, raw, width in zip(b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+                x = np.append(np.frombuffer(raw.as_buffer(), f"<u{width}").astype("<u4"), np.uint32(end))
                 ids.append(x)
                 doc_ids.append(doc_id)
                 held += len(x)
@@ -182,7 +183,7 @@ def write_files(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         if ids:
             yield out()
 
-    coded = docs.mapInArrow(encoded, "part int, doc_id long, ids binary")
+    coded = docs.mapInArrow(encoded, "part int, doc_id long, ids binary, width int")
     dealt = coded.repartitionById(n, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     manifest = written(dealt.mapInArrow(stored, "part int, seq int, uri string, n_tokens long, n_docs long"), "tokens-manifest")
     # a row a file: one ordered window over it is a small sum
