@@ -92,15 +92,17 @@ def mix(docs: DataFrame, carry: list[str] | None = None, quality=letter_share, w
     cut = cut.select(F.col("source").alias("c_source"), F.col("bucket").alias("cut"), "before")
     plan = small(plan.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source"), "mix-cut")
 
-    rows = sized.join(plan.withColumnsRenamed({c: f"__{c}" for c in plan.columns}), F.col(src).eqNullSafe(F.col("__source")))
-    cols = [*carry, F.col(size), F.col("__source_size").alias(source_size), F.col("__target").alias(target)]
-    base = F.col("__epochs") * F.col(size)
-    inside = F.col(bucket) == F.col("__cut")
+    # every name of the plan is one that no column of the rows has
+    of = dict(zip([*plan.columns, "more"], free_names(sized, *(f"mix_plan_{c}" for c in plan.columns), "mix_more")))
+    rows = sized.join(plan.withColumnsRenamed({c: of[c] for c in plan.columns}), F.col(src).eqNullSafe(F.col(of["source"])))
+    cols = [*carry, F.col(size), F.col(of["source_size"]).alias(source_size), F.col(of["target"]).alias(target)]
+    base = F.col(of["epochs"]) * F.col(size)
+    inside = F.col(bucket) == F.col(of["cut"])
     # below the cut a document is taken once more, above it is not; a source without a cut takes nothing more
-    whole = rows.where(~F.coalesce(inside, F.lit(False))).select(*cols, (base + F.when(F.col(bucket) < F.col("__cut"), F.col(size)).otherwise(0)).alias(taken))
+    whole = rows.where(~F.coalesce(inside, F.lit(False))).select(*cols, (base + F.when(F.col(bucket) < F.col(of["cut"]), F.col(size)).otherwise(0)).alias(taken))
     order = Window.partitionBy(src, bucket).orderBy(key, tie, size).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.col("__before") + F.coalesce(F.sum(size).over(order), F.lit(0))
-    part = rows.where(inside).withColumn("__more", F.greatest(F.lit(0).cast("long"), F.least(F.col(size), F.col("__rest") - ahead))).select(*cols, (base + F.col("__more")).alias(taken))
+    ahead = F.col(of["before"]) + F.coalesce(F.sum(size).over(order), F.lit(0))
+    part = rows.where(inside).withColumn(of["more"], F.greatest(F.lit(0).cast("long"), F.least(F.col(size), F.col(of["rest"]) - ahead))).select(*cols, (base + F.col(of["more"])).alias(taken))
     return whole.unionByName(part)
 
 
