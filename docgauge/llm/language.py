@@ -1,7 +1,7 @@
 """Language ID with n-gram filters that answer for all languages at once.
 
-Learning.  From a bounded sample of labelled documents (`SAMPLE` per language,
-drawn by a hash of the text) the commonest byte n-grams of each language are
+Learning.  From a bounded sample of labelled texts (at most `SAMPLE` different ones
+per language, those of least hash) the commonest byte n-grams of each language are
 counted; the `GRAMS` that most documents of a language hold go into a
 bit-sliced Bloom filter: a slot holds a bit mask of languages, an n-gram sets
 its language's bit in `HASHES` slots, and the AND of an n-gram's slots is the
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from docgauge.llm.common import free_names, ship
+from docgauge.llm.common import distinct_sample, free_names, ship, written
 
 N, GRAMS, SAMPLE, HASHES, SLOTS = 5, 20_000, 3000, 3, 1 << 20
 SHORT, SHORT_GRAMS = 3, 5000
@@ -127,41 +127,45 @@ class Filters:
         return np.maximum(0, (out - n[:, None] * p) / (1 - p))
 
 
+def counted(texts: DataFrame) -> DataFrame:
+    """size, lang, gram, n: how many texts of a language hold each n-gram of N and of SHORT bytes."""
+
+    def count(batches):
+        for b in batches:
+            seen: dict[str, list[bytes]] = {}
+            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                seen.setdefault(lang, []).append(normalised(text))
+            for lang, found in seen.items():
+                for size in (N, SHORT):
+                    g, n = np.unique(np.concatenate([np.unique(grams(np.frombuffer(x, np.uint8), size)) for x in found]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), size, np.int32)), pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n, pa.int64())], ["size", "lang", "gram", "n"])
+
+    return texts.mapInArrow(count, "size int, lang string, gram long, n long").groupBy("size", "lang", "gram").agg(F.sum("n").alias("n"))
+
+
 def learn(labelled: DataFrame, sample: int = SAMPLE, top: int = GRAMS) -> Filters:
-    """`labelled` has text and lang. The sample is bounded in size by sample * languages, in expectation."""
+    """`labelled` has text and lang. At most `sample` texts and `top` n-grams a language are looked at; the latter reach the driver."""
     ship(labelled.sparkSession)
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", F.col("lang").cast("string").alias("lang"))
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Filters.of({})
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, sample / n))]), F.col("lang"))
-    drawn = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
-
-    def counting(size):
-        def counted(batches):
-            seen: dict[str, list[np.ndarray]] = {}
-            for b in batches:
-                for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    seen.setdefault(lang, []).append(np.unique(grams(np.frombuffer(normalised(text), np.uint8), size)))
-            for lang, found in seen.items():
-                g, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
-
-        return drawn.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-    counts = counting(N)
-    held = {}
-    for lang in sizes:  # at most `top` n-grams a language reach the driver
-        rows = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(top).select("gram").toArrow()
-        held[lang] = rows.column(0).to_numpy().view(np.uint64)
-    filters = Filters.of(held)
-    at = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    rows = counting(SHORT).withColumn("at", at).where(F.col("at") <= SHORT_GRAMS).orderBy("gram", "lang").select("gram", "lang", "n").toArrow()
-    index = {lang: i for i, lang in enumerate(filters.languages)}
-    langs = rows.column(1).to_pylist()
-    drawn_of = np.array([min(sample, sizes[lang]) for lang in langs], float)
-    usual = index[min(sizes, key=lambda lang: (-sizes[lang], lang))]
-    filters.short = ShortGrams(rows.column(0).to_numpy().view(np.uint64), np.array([index[lang] for lang in langs], np.int64), rows.column(2).to_numpy() / drawn_of, usual)
+    # twice the share that is needed where texts differ
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, 2 * sample / n))]), F.col("by"))
+    texts = written(distinct_sample(labelled, "lang", "text", share, sample, "language-drawn").select("text", "lang"), "language-sample")
+    drawn = {r.lang: r.n for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    at = F.row_number().over(Window.partitionBy("size", "lang").orderBy(F.desc("n"), "gram"))
+    best = counted(texts).withColumn("at", at).where(F.col("at") <= F.when(F.col("size") == N, top).otherwise(SHORT_GRAMS)).drop("at")
+    rows = best.where(F.col("n") > 0).toArrow().sort_by([("gram", "ascending"), ("lang", "ascending")])
+    size, lang, gram, n = (rows.column(k).to_numpy() for k in range(4))
+    gram = gram.view(np.uint64)
+    filters = Filters.of({x: gram[(size == N) & (lang == x)] for x in sizes})
+    index = {x: i for i, x in enumerate(filters.languages)}
+    few = np.flatnonzero(size == SHORT)
+    few = few[np.lexsort(([index[x] for x in lang[few]], gram[few]))]
+    shares = n[few] / np.array([drawn[x] for x in lang[few]], float)
+    usual = index[min(sizes, key=lambda x: (-sizes[x], x))]
+    filters.short = ShortGrams(gram[few], np.array([index[x] for x in lang[few]], np.int64), shares, usual)
     return filters
 
 
