@@ -2,11 +2,17 @@
 
 The patterns give the base spans.  The field tags every token as outside a
 secret, its begin or its inside, from the token's shape, the tokens beside it
-and features of the whole text, and is decoded by Viterbi.  It is fitted here,
-by maximum likelihood (forward-backward, Adam), on windows around base spans and
-windows without any, from a sample of `SAMPLE` documents drawn by a hash of the
-text; at most `PER_DOC` windows of `WINDOW` tokens a document reach the driver.
-Its spans are added where they touch no base span.
+and features of the whole text, and is decoded by Viterbi.  Its spans are added
+where they touch no base span.
+
+Fitting.  The labels come from the patterns, but the field must not learn the
+patterns: a secret's window comes as it is, and once for each of several alphabets
+with the words that gave it away replaced and the secret drawn anew, of another
+length and half the time with the marks that many kinds of secrets have.
+Windows without secrets are from the middle of a text and around its longest
+token with a digit.  Maximum likelihood (forward-backward, Adam) on the windows
+of at most `SAMPLE` different texts, at most `PER_DOC` secrets a text and
+`WINDOWS` windows of `WINDOW` tokens in all, which is what reaches the driver.
 
 Decoding looks at all tokens.  A run of tokens can only be a secret if the sum
 of (score over outside + the most that transitions can add) is not negative;
@@ -21,7 +27,9 @@ empty table gives no rows; without any base span in the sample no span is added.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgauge.llm.common import ship
+from docgauge.llm.common import distinct_sample, ship
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -37,7 +45,9 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "crf")
 TOKEN = re.compile(r"[\w+/.-]+=*|[^\w\s]")
-SAMPLE, PER_DOC, WINDOW, NEIGHBOURS = 20_000, 4, 41, 48
+SAMPLE, PER_DOC, WINDOWS, WINDOW, NEIGHBOURS = 20_000, 4, 8_000, 25, 48
+#: Alphabets that secrets are drawn anew from.
+ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/")
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 REDACTED = "[SECRET]"
 
@@ -72,19 +82,23 @@ _KINDS = _Kinds()
 _HEX = "0123456789abcdef"
 
 
+def _is_hex(token: str) -> bool:
+    return not token.lower().strip(_HEX)
+
+
 def shape(token: str) -> list[str]:
-    """A token's features but for its word; they follow from its characters' kinds and from whether all are hexadecimal."""
-    kinds = token[:64].translate(_KINDS)
+    """A token's features but for its word; they follow from all its characters' kinds and from whether all are hexadecimal."""
+    kinds, n = token.translate(_KINDS), len(token)
     runs = 1 + sum(x != y for x, y in zip(kinds, kinds[1:]))
-    n = min(len(token), 48)
-    low = token.lower()
+    classes = set(kinds)
     return [
-        f"length {n // 4}",
-        "classes " + "".join(sorted(set(kinds))),
+        f"length {min(n, 64) // 4}",
+        "classes " + "".join(sorted(classes)),
         f"runs {min(runs, 12)}",
-        f"runs by length {round(4 * runs / max(1, n))} {n >= 16}",
-        f"digits {round(8 * kinds.count('0') / max(1, n))}",
-        f"hex {n // 8 if not low[:48].strip(_HEX) else '-'}",
+        f"runs by length {round(4 * runs / n)} {n >= 12}",
+        f"digits {round(8 * kinds.count('0') / n)} {n >= 12}",
+        f"letters and digits {'0' in classes and bool(classes & {'a', 'A'})} {min(n // 8, 2)}",
+        f"hex {min(n, 64) // 8 if _is_hex(token) else '-'}",
         f"ends {kinds[:1]}{kinds[-1:]}",
     ]
 
@@ -153,8 +167,10 @@ class Tagger(dict):
         self[""] = 0
 
     def __missing__(self, token: str) -> int:
-        low = token.lower()
-        same = (token[:64].translate(_KINDS), not low[:48].strip(_HEX), low.strip(".") if low.strip(".") in self.field.words else token if len(token) == 1 else "")
+        low = token.lower().strip(".")
+        # the shape follows from kinds and hex; a long token's is shorter than its kinds
+        like = (token.translate(_KINDS), _is_hex(token)) if len(token) <= 64 else tuple(shape(token))
+        same = (like, low if low in self.field.words else token if len(token) == 1 else "")
         n = self.like.get(same)
         if n is None:
             f = self.field
@@ -229,13 +245,34 @@ class Tagger(dict):
         """(start, kind, end) of base spans and the field's others, by start and kind."""
         out = []
         for text, found in zip(texts, self.spans(texts)):
-            base = base_spans(text)
-            out.append(sorted([*base, *((a, 3, b) for a, b in found if all(b <= x or y <= a for x, _, y in base))]))
+            base, ends, upto = base_spans(text), [], 0
+            for _, _, y in base:
+                upto = max(upto, y)
+                ends.append(upto)
+            starts = [x for x, _, _ in base]
+
+            def free(a: int, b: int) -> bool:
+                before = bisect_left(starts, b)  # spans that start before the end
+                return not before or ends[before - 1] <= a
+
+            out.append(sorted([*base, *((a, 3, b) for a, b in found if free(a, b))]) if found else base)
         return out
 
 
+def drawn_secret(draw: random.Random, alphabet: str) -> str:
+    """16 to 48 characters; half the time with a short name before a mark, or in two parts."""
+    body = "".join(draw.choices(alphabet, k=draw.randint(16, 48)))
+    how = draw.randrange(4)
+    if how == 0:
+        return "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 4))) + draw.choice("-_") + body
+    if how == 1:
+        at = draw.randint(6, len(body) - 6)
+        return body[:at] + draw.choice(".-_") + body[at:]
+    return body
+
+
 def windows(text: str) -> list[tuple[list[str], list[int], list[str]]]:
-    """Up to PER_DOC windows of tokens with their tags and the text's features: around secrets, or one from the middle of a text without."""
+    """Windows of tokens with their tags and the text's features: several around each of up to PER_DOC secrets, one around the longest other token with a digit, and in texts without secrets one from the middle."""
     tokens = [(m[0], *m.span()) for m in TOKEN.finditer(text)]
     if not tokens:
         return []
@@ -247,12 +284,37 @@ def windows(text: str) -> list[tuple[list[str], list[int], list[str]]]:
             tags.append(INSIDE if tags and tags[-1] != OUTSIDE and tokens[len(tags) - 1][2] > parts[inside][0] else BEGIN)
         else:
             tags.append(OUTSIDE)
-    at = [i for i, t in enumerate(tags) if t == BEGIN][:PER_DOC] or [len(tokens) // 2]
-    half = WINDOW // 2
-    return [([t for t, _, _ in tokens[max(0, i - half) : i + half + 1]], tags[max(0, i - half) : i + half + 1], of_file(text)) for i in at]
-
-
-def fit(examples: list[tuple[list[str], list[int], list[str]]], rounds: int = 80, rate: float = 0.15, prior: float = 1e-3) -> Field:
+    half, file, out = WINDOW // 2, of_file(text), []
+
+    def window(names: list[str], i: int):
+        a = max(0, i - half)
+        return names[a : i + half + 1], tags[a : i + half + 1], file
+
+    names = [t for t, _, _ in tokens]
+    found = [i for i, t in enumerate(tags) if t == BEGIN][:PER_DOC]
+    if found:
+        spans = [(a, b) for a, _, b in base_spans(text)]
+        plain = [t for t, tag, (_, x, y) in zip(names, tags, tokens) if tag == OUTSIDE and not any(x < b and a < y for a, b in spans)] or ["a"]
+        draw = random.Random(hashlib.md5(text.encode()).digest())
+        hidden = list(names)
+        for k, (_, x, y) in enumerate(tokens):
+            if tags[k] == OUTSIDE and any(x < b and a < y for a, b in spans):
+                hidden[k] = draw.choice(plain)
+        for i in found:
+            out.append(window(names, i))
+            for alphabet in ALPHABETS:
+                if i + 1 == len(tags) or tags[i + 1] != INSIDE:
+                    hidden[i] = drawn_secret(draw, alphabet)
+                out.append(window(hidden, i))
+    else:
+        out.append(window(names, len(names) // 2))
+    other = [(-len(t), i) for i, (t, tag) in enumerate(zip(names, tags)) if tag == OUTSIDE and len(t) > 1 and any(map(str.isdigit, t))]
+    if other:
+        out.append(window(names, min(other)[1]))
+    return out
+
+
+def fit(examples: list[tuple[list[str], list[int], list[str]]], rounds: int = 60, rate: float = 0.15, prior: float = 1e-4) -> Field:
     """Maximum likelihood over the windows."""
     seen: dict[str, int] = {}
     for tokens, tags, _ in examples:
@@ -316,23 +378,23 @@ def fit(examples: list[tuple[list[str], list[int], list[str]]], rounds: int = 80
 
 
 def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Field:
-    """The field, fitted on windows of a sample of `docs`; what reaches the driver is bounded by sample * PER_DOC * WINDOW tokens, in expectation."""
+    """The field, fitted on the windows of at most `sample` different texts of `docs`; at most WINDOWS windows reach the driver."""
     ship(docs.sparkSession)
-    texts = docs.select(F.col(text).alias("text")).where("text IS NOT NULL")
-    share = min(1.0, sample / max(1, texts.count()))
+    texts = docs.select(F.lit(0).alias("all"), F.col(text).alias("text")).where("text IS NOT NULL")
+    share = F.lit(min(1.0, 2 * sample / max(1, texts.count())))
+    drawn = distinct_sample(texts, "all", "text", share, sample, "secrets-drawn").select("text")
 
     def cut(batches):
         for b in batches:
             rows = []
             for t in b.column(0).to_pylist():
-                found = windows(t)
                 # a text without secrets is an example one time in eight
-                if found and (any(any(tags) for _, tags, _ in found) or hashlib.md5(t.encode()).digest()[0] < 32):
-                    rows += found
+                if base_spans(t) or hashlib.md5(t.encode()).digest()[0] < 32:
+                    rows += windows(t)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.string()))], ["tokens", "tags", "file"])
 
-    drawn = texts.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000)) < share * 1_000_000)
-    got = drawn.mapInArrow(cut, "tokens array<string>, tags array<int>, file array<string>").toArrow().to_pylist()
+    rows = drawn.mapInArrow(cut, "tokens array<string>, tags array<int>, file array<string>")
+    got = rows.orderBy(F.xxhash64("tokens"), "tokens").limit(WINDOWS).toArrow().to_pylist()
     return fit(sorted({(tuple(r["tokens"]), tuple(r["tags"]), tuple(r["file"])) for r in got}))
 
 
