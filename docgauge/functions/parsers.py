@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docgauge.functions.geometry import bins, flat_quad, nested_quad, parse_box, scaled_ltrb, vertices
-from docgauge.functions.text import _c, text_anchor
+from docgauge.functions.text import _c, let, text_anchor
 
 TRIM = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
@@ -61,26 +61,43 @@ def document_text(result_json, markdown=None, plain=None) -> Column:
     return strip(first_text(blocks, *[x for x in (markdown, plain) if x is not None]))
 
 
-def doctag_blocks(text, width, height) -> Column:
-    """Tagged blocks, and bare coordinate lines that start in none, ordered by (y1, x1).
+def _outer_lines(text: Column) -> Column:
+    """The lines that start in no tagged block, to their ends, which may lie in one.
 
-    A bare line never crosses a newline.  Private-use marks are put around the
-    tagged blocks; a line starts inside one if more marks were opened than
-    closed before it.
+    Tagged blocks and what lies between them are walked in turn, with the line
+    that is open, or null where the open line started in a block.
     """
+    between = F.split(text, TAGGED, -1)
+    inside = F.concat(F.regexp_extract_all(text, F.lit(TAGGED), F.lit(0)), F.array(F.lit("")))
+    none = F.array().cast("array<string>")
+
+    def add(acc, cur):
+        return F.struct(cur.alias("cur"), acc["lines"].alias("lines"))
+
+    def walk(acc, z, first):
+        def outside(parts):
+            open_ = F.when(first, parts[0]).otherwise(F.concat(acc["cur"], parts[0]))  # null stays null
+            ended = F.concat(F.when(open_.isNull(), none).otherwise(F.array(open_)), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))))
+            return F.when(F.size(parts) == 1, add(acc, open_)).otherwise(F.struct(F.element_at(parts, -1).alias("cur"), F.concat(acc["lines"], ended).alias("lines")))
+
+        def block(st, parts):
+            cur = F.when((st["cur"] == "") & (parts[0] != ""), F.lit(None).cast("string")).otherwise(F.concat(st["cur"], parts[0]))
+            return F.when(F.size(parts) == 1, F.struct(cur.alias("cur"), st["lines"].alias("lines"))).otherwise(F.struct(F.lit(None).cast("string").alias("cur"), F.concat(st["lines"], F.when(cur.isNull(), none).otherwise(F.array(cur))).alias("lines")))
+
+        return let(outside(F.split(z["a"], "\n", -1)), lambda st: block(st, F.split(z["b"], "\n", -1)))
+
+    steps = F.transform(F.arrays_zip(between.alias("a"), inside.alias("b")), lambda z, i: F.struct(z["a"].alias("a"), z["b"].alias("b"), (i == 0).alias("first")))
+    start = F.struct(F.lit(None).cast("string").alias("cur"), none.alias("lines"))
+    return F.aggregate(steps, start, lambda acc, z: walk(acc, z, z["first"]), lambda acc: F.concat(acc["lines"], F.when(acc["cur"].isNull(), none).otherwise(F.array(acc["cur"]))))
+
+
+def doctag_blocks(text, width, height) -> Column:
+    """Tagged blocks, and bare coordinate lines that start in none, ordered by (y1, x1). A bare line never crosses a newline."""
     t = _c(text)
     got = [F.regexp_extract_all(t, F.lit(TAGGED), F.lit(k)) for k in range(1, 7)]
     tagged = F.transform(F.arrays_zip(*[g.alias(f"g{k}") for k, g in enumerate(got)]), lambda z: F.struct(bins(z["g1"], z["g2"], z["g3"], z["g4"], _c(width), _c(height)).alias("bbox"), strip(z["g5"]).alias("text"), F.lit(1.0).alias("confidence"), z["g0"].alias("type")))
-    open_, close = "", ""
-    lines = F.split(F.regexp_replace(t, TAGGED, f"{open_}$0{close}"), "\n")
-    count = lambda x, mark: F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit("")))
-    walked = F.aggregate(
-        lines,
-        F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("lines")),
-        lambda acc, x: F.struct((acc["depth"] + count(x, open_) - count(x, close)).alias("depth"), F.when((acc["depth"] > 0) | x.startswith(open_), acc["lines"]).otherwise(F.array_append(acc["lines"], F.translate(x, open_ + close, ""))).alias("lines")),
-    )["lines"]
     part = lambda x, k: F.regexp_extract(x, BARE, k)
-    bare = F.transform(F.filter(walked, lambda x: x.rlike(BARE)), lambda x: F.struct(bins(part(x, 1), part(x, 2), part(x, 3), part(x, 4), _c(width), _c(height)).alias("bbox"), strip(part(x, 5)).alias("text"), F.lit(1.0).alias("confidence"), F.lit("header").alias("type")))
+    bare = F.transform(F.filter(_outer_lines(t), lambda x: x.rlike(BARE)), lambda x: F.struct(bins(part(x, 1), part(x, 2), part(x, 3), part(x, 4), _c(width), _c(height)).alias("bbox"), strip(part(x, 5)).alias("text"), F.lit(1.0).alias("confidence"), F.lit("header").alias("type")))
     blocks = F.filter(F.concat(tagged, bare), lambda b: b["text"] != "")
     keyed = F.transform(blocks, lambda b, i: F.struct(b["bbox"][1].alias("y"), b["bbox"][0].alias("x"), i.alias("i"), b.alias("b")))
     return F.transform(F.array_sort(keyed, lambda p, q: F.when(p["y"] < q["y"], -1).when(p["y"] > q["y"], 1).when(p["x"] < q["x"], -1).when(p["x"] > q["x"], 1).otherwise(p["i"] - q["i"])), lambda k: k["b"])

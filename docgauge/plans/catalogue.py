@@ -33,16 +33,20 @@ def r6(x):
 _SQL_NORM = r"trim(regexp_replace(text, '[\s\x1c-\x1f]+', ' ', 'g'))"
 
 
-@query(rf"""SELECT role, round(avg(cer), 6) AS mean_cer, count(*) AS n FROM (
-  SELECT role, CASE WHEN length(t) = 0 THEN 0.0 ELSE levenshtein(translate(t, 'el', 'c1'), t)::DOUBLE / length(t) END AS cer
-  FROM (SELECT role, {_SQL_NORM} AS t FROM conversations WHERE length(text) = strlen(text))) GROUP BY role""")
+def _sql_cer(source: str) -> str:
+    """`source` with columns g and p, and their error rate cer. DuckDB's distance is one of bytes, so each row's own characters (127 at most) become single bytes first."""
+    return f"""SELECT *, CASE WHEN length(g) = 0 THEN 0.0 ELSE levenshtein(translate(p, known, marks), translate(g, known, marks))::DOUBLE / length(g) END AS cer FROM (
+  SELECT *, list_aggregate(list_distinct(list_transform(range(1, length(g || p) + 1), lambda i : substr(g || p, i, 1))), 'string_agg', '') AS known FROM ({source})),
+  (SELECT string_agg(chr(CAST(i AS INTEGER)), '' ORDER BY i) AS marks FROM range(1, 128) r(i))"""
+
+
+@query(f"""SELECT role, round(avg(cer), 6) AS mean_cer, count(*) AS n FROM ({_sql_cer(f"SELECT role, translate(t, 'el', 'c1') AS p, t AS g FROM (SELECT role, {_SQL_NORM} AS t FROM conversations)")}) GROUP BY role""")
 def cer_normalized(spark, d):
     c = spread(table(spark, d, "conversations"))
     return c.select("role", T.cer_normalized(F.translate("text", "el", "c1"), "text").alias("cer")).groupBy("role").agg(r6(F.avg("cer")).alias("mean_cer"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT conv_id, turn, round(CASE WHEN length(text) = 0 THEN 0.0 ELSE levenshtein(translate(text, 'el', 'c1'), text)::DOUBLE / length(text) END, 6) AS cer
-FROM conversations WHERE length(text) = strlen(text)""")
+@query(f"""SELECT conv_id, turn, round(cer, 6) AS cer FROM ({_sql_cer("SELECT conv_id, turn, text AS g, translate(text, 'el', 'c1') AS p FROM conversations")})""")
 def cer_by_turn(spark, d):
     return spread(table(spark, d, "conversations")).select("conv_id", "turn", r6(T.cer(F.translate("text", "el", "c1"), "text")).alias("cer"))
 
@@ -56,13 +60,20 @@ def cer_empty_rules(spark, d):
     return rows.select("pred", "gt", T.cer("pred", "gt").alias("cer"))
 
 
-_SQL_WORDS = r"list_filter(regexp_split_to_array({}, '[\s\x1c-\x1f]+'), lambda w : w <> '')[1:40]"
+_SQL_WORDS = r"list_filter(regexp_split_to_array({}, '[\s\x1c-\x1f]+'), lambda w : w <> '')"
 
 
-@query(rf"""WITH w AS (SELECT conv_id, turn, {_SQL_WORDS.format('text')} AS g, {_SQL_WORDS.format("translate(text, 'el', 'c1')")} AS p FROM conversations WHERE length(text) = strlen(text)),
-k AS (SELECT *, list_distinct(list_concat(g, p)) AS v FROM w),
-s AS (SELECT conv_id, turn, len(g) AS n, list_aggregate(list_transform(g, lambda x : chr(CAST(33 + list_position(v, x) AS INTEGER))), 'string_agg', '') AS gs, list_aggregate(list_transform(p, lambda x : chr(CAST(33 + list_position(v, x) AS INTEGER))), 'string_agg', '') AS ps FROM k)
-SELECT conv_id, turn, round(CASE WHEN n = 0 THEN 0.0 ELSE levenshtein(ps, gs)::DOUBLE / n END, 6) AS wer FROM s""")
+#: The distance of two word lists, a row of the table at a step: with t the least over a cell's upper neighbours, a cell is j + min(t - j) over the cells up to it.
+@query(rf"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS k, conv_id, turn, {_SQL_WORDS.format('text')} AS g, {_SQL_WORDS.format("translate(text, 'el', 'c1')")} AS p FROM conversations),
+gw AS (SELECT k, CAST(generate_subscripts(g, 1) AS INTEGER) AS i, unnest(g) AS x FROM w),
+pw AS (SELECT k, 0 AS j, CAST(NULL AS VARCHAR) AS y FROM w UNION ALL SELECT k, CAST(generate_subscripts(p, 1) AS INTEGER), unnest(p) FROM w),
+st AS (SELECT k, 0 AS i, j, j AS d FROM pw
+  UNION ALL
+  SELECT k, i, j, CAST(j + min(t - j) OVER (PARTITION BY k ORDER BY j ROWS UNBOUNDED PRECEDING) AS INTEGER) FROM (
+    SELECT s.k, s.i + 1 AS i, s.j, CASE WHEN s.j = 0 THEN s.i + 1 ELSE least(s.d + 1, lag(s.d) OVER (PARTITION BY s.k ORDER BY s.j) + CASE WHEN pw.y = gw.x THEN 0 ELSE 1 END) END AS t
+    FROM st s JOIN gw ON gw.k = s.k AND gw.i = s.i + 1 JOIN pw ON pw.k = s.k AND pw.j = s.j)),
+e AS (SELECT st.k, d FROM st JOIN w ON w.k = st.k AND st.i = len(w.g) AND st.j = len(w.p))
+SELECT conv_id, turn, round(CASE WHEN len(g) = 0 THEN 0.0 ELSE d::DOUBLE / len(g) END, 6) AS wer FROM w JOIN e ON e.k = w.k""")
 def wer_normalized(spark, d):
     c = spread(table(spark, d, "conversations"))
     return c.select("conv_id", "turn", r6(T.wer_normalized(F.translate("text", "el", "c1"), "text")).alias("wer"))
@@ -276,7 +287,7 @@ def crop_offset(spark, d):
     return c.select("page", "g", *[F.col("c")[k].alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))])
 
 
-@query(r"""WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Name: ' || substr(text, 1, 9) ELSE substr(text, 1, 12) END AS t, turn * 900 AS y1, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)
+@query(r"""WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Name: ' || text ELSE text END AS t, turn * 900 AS y1, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)
 SELECT conv_id, turn FROM l WHERE NOT ((turn = last AND contains(t, 'Name:')) OR (len(list_filter(regexp_split_to_array(t, '[\s\x1c-\x1f]+'), lambda w : w <> '')) <= 2 AND y1 > 0.85 * 3542))""")
 def signature_filter(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Name: "), "text")).otherwise(F.col("text")).alias("t"), (F.col("turn") * 900).alias("y1"), F.lit(None).cast("int").alias("h"))
@@ -309,10 +320,25 @@ def text_anchor_slice(spark, d):
     return table(spark, d, "documents").select("doc_id", T.text_anchor("text", F.array(s(None, 5), s(7, 11), s(F.col("n_chars") - 3, None))).alias("t"))
 
 
-@query()
+_TRIM = r"regexp_replace(regexp_replace({}, '^[\s\x1c-\x1f]+', ''), '[\s\x1c-\x1f]+$', '')"
+_BOX = r"(\d+)>(\d+)>(\d+)>(\d+)>"
+
+
+def _sql_blocks(source: str, pattern: str, kind: str) -> str:
+    parts = ", ".join(f"unnest(regexp_extract_all({source}, '{pattern}', {k})) AS g{k}" for k in range(1, 6))
+    return f"SELECT item_id, '{kind}' AS type, {parts} FROM t"
+
+
+#: One pattern a tag, as the texts nest none; bare lines are those of the text without its tagged blocks. Some texts end in a mark of the private-use area and a bare line.
+@query(rf"""WITH t AS (SELECT *, regexp_replace(s, '(?s)<(text|table)>.*?</(text|table)>', '<>', 'g') AS bare FROM (
+  SELECT item_id, '5>90>20>99>Head line' || chr(10) || '<text>1>' || (item_id % 50 + 10) || '>400>60>' || text || '</text>' || chr(10) || '<table>7>5>9>8>cell</table>' || CASE WHEN item_id % 3 = 0 THEN ' ' || chr(57344) || chr(10) || '8>300>9>10>Tail ' || chr(57345) || chr(10) ELSE '' END AS s FROM benchmark)),
+b AS ({" UNION ALL ".join([*(_sql_blocks("s", f"(?s)<{x}>[[:space:]]*{_BOX}(.*?)</{x}>", x) for x in P.TAGS), _sql_blocks("bare", f"(?m)^{_BOX}(.+)$", "header")])}),
+c AS (SELECT item_id, type, trunc(g1::DOUBLE / 999.0::DOUBLE * 1000) AS x1, trunc(g2::DOUBLE / 999.0::DOUBLE * 800) AS y1, {_TRIM.format('g5')} AS text FROM b)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY y1, x1) - 1 AS INTEGER) AS i, type, x1, y1, text FROM c WHERE text <> ''""")
 def doctags_parse(spark, d):
     b = table(spark, d, "benchmark")
-    text = F.concat(F.lit("5>90>20>99>Head line\n<text>1>"), (F.col("item_id") % 50 + 10).cast("string"), F.lit(">400>60>"), F.col("text"), F.lit("</text>\n<table>7>5>9>8>cell</table>"))
+    tail = F.when(F.col("item_id") % 3 == 0, F.lit(" \ue000\n8>300>9>10>Tail \ue001\n")).otherwise("")
+    text = F.concat(F.lit("5>90>20>99>Head line\n<text>1>"), (F.col("item_id") % 50 + 10).cast("string"), F.lit(">400>60>"), F.col("text"), F.lit("</text>\n<table>7>5>9>8>cell</table>"), tail)
     blocks_ = P.doctag_blocks(text, F.lit(1000), F.lit(800))
     return b.select("item_id", F.posexplode(blocks_).alias("i", "b")).select("item_id", "i", "b.type", F.col("b.bbox")[0].alias("x1"), F.col("b.bbox")[1].alias("y1"), "b.text")
 

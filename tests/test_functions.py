@@ -34,8 +34,8 @@ def boxes(bs):
 def test_character_and_word_error_rates(value):
     pairs = [("abc", "abc", 0), ("", "", 0), ("x", "", 1), ("", "abc", 1), ("aaaa", "b", 4), ("über", "uber", 0.25)]
     assert value(*[T.cer(F.lit(a), F.lit(b)) for a, b, _ in pairs]) == [x for _, _, x in pairs]
-    assert value(T.cer_normalized(F.lit("a\n b\r"), F.lit("a b")), T.cer_normalized(F.lit("a b"), F.lit("a b"))) == [0, 0]
-    assert value(T.normalize_text(F.lit(" a \x1cb\n\n")), T.wer(F.lit("the cat sat"), F.lit("the dog sat down")), T.wer(F.lit(" "), F.lit(""))) == ["a b", 0.5, 0]
+    assert value(T.cer_normalized(F.lit("a\n b\r"), F.lit("a b")), T.cer_normalized(F.lit("a\u00a0b"), F.lit("a b"))) == [0, 0]
+    assert value(T.normalize_text(F.lit(" a\u2003\x1cb\n\n")), T.wer(F.lit("the cat sat"), F.lit("the dog sat down")), T.wer(F.lit(" "), F.lit(""))) == ["a b", 0.5, 0]
 
 
 def test_text_helpers(value):
@@ -84,6 +84,10 @@ def test_doctags(value):
     raw = "1>5>9>9>Bare\n<text>1>900>3>4>two\n7>7>7>7>inside</text>\n<table>0>1>2>3> </table>\n2>2>3>3>x<title>1>1>2>2>t</title>"
     got = value(P.doctag_blocks(F.lit(raw), F.lit(999), F.lit(999)))
     assert [(b["type"], b["text"], b["bbox"][:2]) for b in got] == [("title", "t", [1, 1]), ("header", "x<title>1>1>2>2>t</title>", [2, 2]), ("header", "Bare", [1, 5]), ("text", "two\n7>7>7>7>inside", [1, 900])]
+    # marks of the private-use area are text; a line goes on across the blocks in it
+    odd = "\ue000\n1>2>3>4>a\ue000<text>5>6>7>8>b</text> c <list>1>1>1>1>d\n9>9>9>9>e</list> f\n3>1>3>4>g\n<text>2>2>2>2>h</text>\n\n4>1>3>4>i"
+    got = value(P.doctag_blocks(F.lit(odd), F.lit(999), F.lit(999)))
+    assert [(b["type"], b["text"]) for b in got] == [("list", "d\n9>9>9>9>e"), ("header", "g"), ("header", "i"), ("header", "a\ue000<text>5>6>7>8>b</text> c <list>1>1>1>1>d"), ("text", "h"), ("text", "b")]
     assert value(P.doctag_text(P.doctag_blocks(F.lit("none"), F.lit(9), F.lit(9)), F.lit("none"))) == "none"
 
 

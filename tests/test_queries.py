@@ -34,8 +34,3 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(catalogue.QUERIES) <= set(e.queries()) and set(catalogue.ORACLE) <= set(e.oracle_sql())
-
-
-def test_doctags_query(spark, sf):
-    got = catalogue.QUERIES["doctags_parse"](spark, sf).toPandas()
-    assert (got.groupby("item_id").size() == 3).all() and set(got.type) == {"header", "text", "table"}

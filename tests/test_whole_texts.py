@@ -17,7 +17,7 @@ def line(k, n):
 def conversations(spark, tmp_path_factory):
     """The folder of a table of texts with characters beyond ASCII, and its rows."""
     rows = [(k, t, ("user", "assistant")[t], f"{line(k, 5 + 7 * k)}\n{line(t, 3)} ") for k in range(4) for t in range(2)]
-    rows += [(9, 0, "user", "plain level"), (9, 1, "user", ""), (9, 2, "assistant", "   "), (9, 3, "system", "é")]
+    rows += [(9, 0, "user", "plain level"), (9, 1, "user", ""), (9, 2, "assistant", " \u2003 "), (9, 3, "system", "é")]
     d = str(tmp_path_factory.mktemp("whole"))
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{d}/conversations.parquet")
     return d, rows
