@@ -6,14 +6,21 @@ class, told by two fingerprints and the size, and only classes go on.
 Candidates.  Linked sets of sizes a <= b differ in at most
 (a + b) (1 - t) / (1 + t) shingles.  Sizes fall into ranges that grow by 1 / t twice
 (sets link in a range or with the next one's); in a range whose largest difference is r, hash space is cut into r + 1 + s parts, so
-linked sets agree in at least s + 1 parts.  Each part that isn't empty gives a key
-(range, part, content).  Sets that agree in empty parts alone have more than s of
-them, both of them; a set with more than s empty parts therefore also gives the
-keys of a second cut, by other bits of the hashes, and so on for up to `CUTS` cuts
-and then the range's `empty` key, so two linked sets share a key whichever parts
-agree.  What shares a key is joined to the smallest of it (a row each, never all
-pairs): first within a slice of documents, where a key that many hold becomes one
-row and their links, then over all.  What hangs together is a candidate group.
+linked sets agree in at least s + 1 parts, and in one of any r + 1.  Each part that
+isn't empty gives a key (range, part, content).
+
+* First a key counts that at most `HOT` sets share; the others are hot (a passage
+  that many documents hold makes such parts).  A set with r + 1 keys that aren't
+  hot shares one of them with any partner.  What shares a key is joined to the
+  smallest of it: a row each, never all pairs.
+* Sets with fewer such keys are taken again, among themselves, with all their keys:
+  if a linked pair shares no key that isn't hot, both are of these.  Where they
+  agree in empty parts alone both have more than s of them; a set with so many also
+  gives the keys of a second cut, by other bits of the hashes, and so on for up to
+  `CUTS` cuts and then the range's `empty` key.
+
+In both steps a slice of documents is joined first, so a key that many hold is a
+row or a few a slice.  What hangs together is a candidate group.
 
 Verification.  In a group, shingles are hashed into counters, about one for two
 shingles, and the count vectors go into an R-tree.  A node's bound on the overlap
@@ -44,11 +51,13 @@ from docgauge.llm.common import free_names, ship, small, written
 from docgauge.llm.components import components
 
 WORDS, PERCENT = 5, 80
-CHUNK, SHINGLES, LEAF, CUTS = 4000, 2_000_000, 32, 6
+#: Sets that share a key that isn't hot; results don't depend on it.
+HOT = 3
+CHUNK, SHINGLES, LEAF, CUTS = 2000, 500_000, 32, 6
 #: Documents and bytes of text that are handled at once.
 SLICE, SLICE_BYTES = 4096, 2 << 20
 #: Bytes of bit rows that a group may take; beyond them pairs are compared one by one.
-BITS = 128 << 20
+BITS = 32 << 20
 #: Ids that may be broadcast, after they have been counted.
 IDS = 500_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -184,43 +193,60 @@ class Ranges:
             keys = keys + parts * (1 - empty) / (1 - np.minimum(again, 0.9))
         return int(s[np.argmin(keys)])
 
-    def keys(self, h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, the set of each) for sets of sorted hashes."""
-        size, low, parts, spare = np.diff(offsets), self.low, self.parts, self.spare
-        out, sets = [], []
-        own = np.searchsorted(low, size, "right") - 1
+    def _first(self, size: np.ndarray):
+        """(range, rows) of the sets that have parts in their own range, and in the next one."""
+        own = np.searchsorted(self.low, size, "right") - 1
         for step in (0, 1):
             k = own + step
-            there = size > 0
-            there &= parts[k] > 0
+            there = (size > 0) & (self.parts[k] > 0)
             if step:  # a set that is too small for the next range has no partner there
-                there &= size * 100 // self.percent >= low[k]
-            rows = np.flatnonzero(there)
+                there &= size * 100 // self.percent >= self.low[k]
+            yield k, np.flatnonzero(there)
+
+    def _cut(self, h: np.ndarray, offsets: np.ndarray, k: np.ndarray, rows: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, set of each) of the parts that aren't empty, of the sets `rows`."""
+        n = np.diff(offsets)[rows]
+        row = np.repeat(rows, n)
+        own = h[np.repeat(offsets[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        if cut:  # other bits decide; in order of the parts
+            own = mixed(own ^ _ODD[cut + 1])
+            row, own = _in_order(row, own, len(offsets) - 1)
+        part = ((own >> np.uint64(32)) * self.parts[k[row]].astype(np.uint64)) >> np.uint64(32)
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (part[1:] != part[:-1])
+        first = np.flatnonzero(new)
+        content, at = np.add.reduceat(mixed(own + np.uint64(1)), first), row[first]
+        return mixed(content + mixed(k[at].astype(np.uint64) * _ODD[0] + part[first] * _ODD[1] + np.array([cut], np.uint64) * _ODD[6])), at
+
+    def counted(self, h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The first cut: keys with the range in their lowest six bits, the set of each, and for each (set, range) a number and how many keys it has beyond r + 1."""
+        size, out, sets, which, slack = np.diff(offsets), [], [], [], np.zeros(2 * (len(offsets) - 1), np.int64)
+        for step, (k, rows) in enumerate(self._first(size)):
+            if not len(rows):
+                continue
+            key, at = self._cut(h, offsets, k, rows, 0)
+            out.append((key & ~np.uint64(63)) | (k[at] & 63).astype(np.uint64))
+            sets.append(at)
+            which.append(2 * at + step)
+            slack[2 * rows + step] = np.bincount(at, minlength=len(size))[rows] - (self.parts[k[rows]] - self.spare[k[rows]])
+        none = np.zeros(0, np.int64)
+        return (np.concatenate(out), np.concatenate(sets), np.concatenate(which), slack) if out else (np.zeros(0, np.uint64), none, none, slack)
+
+    def keys(self, h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All keys, and the set of each, for sets of sorted hashes."""
+        out, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for k, rows in self._first(np.diff(offsets)):
             for cut in range(CUTS):
                 if not len(rows):
                     break
-                n = size[rows]
-                row = np.repeat(rows, n)
-                own_h = h[np.repeat(offsets[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                if cut:  # other bits decide; in order of the parts
-                    own_h = mixed(own_h ^ _ODD[cut + 1])
-                    row, own_h = _in_order(row, own_h, len(size))
-                part = ((own_h >> np.uint64(32)) * parts[k[row]].astype(np.uint64)) >> np.uint64(32)
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (part[1:] != part[:-1])
-                first = np.flatnonzero(new)
-                content = np.add.reduceat(mixed(own_h + np.uint64(1)), first)
-                at = row[first]
-                place = mixed(k[at].astype(np.uint64) * _ODD[0] + part[first] * _ODD[1] + np.array([cut], np.uint64) * _ODD[6])
-                out.append(mixed(content + place))
+                key, at = self._cut(h, offsets, k, rows, cut)
+                out.append(key)
                 sets.append(at)
-                full = np.bincount(at, minlength=len(size))[rows]
-                rows = rows[parts[k[rows]] - full > spare[k[rows]]]
+                full = np.bincount(at, minlength=len(offsets) - 1)[rows]
+                rows = rows[self.parts[k[rows]] - full > self.spare[k[rows]]]
             if len(rows):  # as many empty parts in every cut
                 out.append(mixed(k[rows].astype(np.uint64) * _ODD[2]))
                 sets.append(rows)
-        if not out:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         return np.concatenate(out), np.concatenate(sets)
 
 
@@ -253,8 +279,48 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(made, "doc_id long, n long, f1 long, f2 long")
 
 
+def counted(docs: DataFrame, words: int, ranges: Ranges) -> DataFrame:
+    """key, node (a set's first fingerprint), w, slack: the first step's keys.
+
+    A key that more than HOT sets of a slice hold is hot whatever others have: it
+    is one row with their number and no node, and is taken off their slack.
+    """
+    ship(docs.sparkSession)
+
+    def made(batches):
+        for batch in batches:
+            for a, b in _slices(batch.column(0)):
+                h, offsets = shingle_sets(batch.column(0).slice(a, b - a), words)
+                nodes = fingerprints(h, offsets)[0]
+                key, of, which, slack = ranges.counted(h, offsets)
+                once = np.zeros(len(nodes), bool)
+                once[np.unique(nodes, return_index=True)[1]] = True  # equal sets count once
+                key, of, which = (x[once[of]] for x in (key, of, which))
+                order = np.argsort(key)
+                key, of, which = key[order], of[order], which[order]
+                new = np.ones(len(key), bool)
+                new[1:] = key[1:] != key[:-1]
+                first = np.flatnonzero(new)
+                times = np.diff(np.append(first, len(key)))
+                hot = np.repeat(times > HOT, times)
+                slack -= np.bincount(which[hot], minlength=len(slack))
+                short = np.unique(np.flatnonzero(slack < 0) // 2)
+                short = short[once[short]]
+                rest, heads = ~hot, first[times > HOT]
+                n = len(heads)
+                keys = np.concatenate([key[rest], key[heads], mixed(nodes[short].view(np.uint64) ^ _ODD[7])])
+                node = np.concatenate([nodes[of[rest]], np.zeros(n, np.int64), nodes[short]])
+                w = np.concatenate([np.ones(rest.sum(), np.int64), times[times > HOT], np.full(len(short), HOT + 1)])
+                left = np.concatenate([np.minimum(slack[which[rest]], 1 << 30), np.zeros(n, np.int64), np.full(len(short), -1)])
+                null = np.zeros(len(keys), bool)
+                null[rest.sum() : rest.sum() + n] = True
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node, mask=null), pa.array(w, pa.int32()), pa.array(left, pa.int32())], ["key", "node", "w", "slack"])
+
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("text").mapInArrow(made, "key long, node long, w int, slack int")
+
+
 def keyed(docs: DataFrame, words: int, ranges: Ranges) -> DataFrame:
-    """key, node (a set's first fingerprint). Of a key that several sets of a slice hold only the smallest goes on under it; the others share a key of their own with that one."""
+    """key, node: the second step's keys. Of a key that several sets of a slice hold only the smallest goes on under it; the others share a key of their own with that one."""
     ship(docs.sparkSession)
 
     def made(batches):
@@ -278,7 +344,21 @@ def keyed(docs: DataFrame, words: int, ranges: Ranges) -> DataFrame:
                     key, node = np.concatenate([key[first], link_key, link_key]), np.concatenate([low, links[0], links[1]])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node)], ["key", "node"])
 
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("text").mapInArrow(made, "key long, node long")
+    return docs.select("text").mapInArrow(made, "key long, node long")
+
+
+def candidate_edges(docs: DataFrame, classes: DataFrame, words: int, ranges: Ranges) -> DataFrame:
+    """node, low: what hangs together by these is a candidate group."""
+    by_key = Window.partitionBy("key")
+    shared = counted(docs, words, ranges).withColumn("times", F.sum("w").over(by_key)).withColumn("low", F.min("node").over(by_key))
+    shared = shared.where(f"node IS NOT NULL AND (times > {HOT} OR node <> low)")
+    shared = written(shared.select("node", F.when(F.col("times") <= HOT, F.col("low")).alias("low"), F.col("key").bitwiseAND(63).cast("int").alias("k"), "slack"), "shingle-shared")
+    edges = shared.where("low IS NOT NULL").select("node", "low")
+    hot = shared.where("low IS NULL").groupBy("node", "k").agg(F.count(F.lit(1)).alias("times"), F.min("slack").alias("slack")).where("times > slack")
+    ids = hot.select(F.col("node").alias("f1")).distinct().join(classes, "f1").select(F.col("rep").alias("doc_id")).distinct()
+    again = docs.join(small(ids, "shingle-again", IDS), "doc_id", "left_semi").where("text IS NOT NULL")
+    more = keyed(again, words, ranges).withColumn("low", F.min("node").over(by_key)).where("node <> low").select("node", "low")
+    return edges.unionByName(more).distinct()
 
 
 class RTree:
@@ -438,8 +518,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     # made once, so that all machines cut alike
     ranges = Ranges(percent, all_sets.agg(F.max("n").alias("n")).first().n or 0)
-    edges = keyed(docs, words, ranges).withColumn("low", F.min("node").over(Window.partitionBy("key"))).where("node <> low").select("node", "low").distinct()
-    groups = written(components(edges), "shingle-groups").select(F.col("node").alias("f1"), F.col("component").alias("grp"))
+    groups = written(components(candidate_edges(docs, classes, words, ranges)), "shingle-groups").select(F.col("node").alias("f1"), F.col("component").alias("grp"))
     members = classes.join(groups, "f1")
     total = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("parts"))
     members = members.join(total, "grp").withColumn("own", F.pmod(F.xxhash64("rep", "f1"), F.col("parts").cast("long")).cast("int"))

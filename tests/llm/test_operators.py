@@ -329,8 +329,9 @@ def brute_components(all_rows, words, percent):
     return {d: (sorted(map(len, sets[d])), root(d)) for d in ids}
 
 
-@pytest.mark.parametrize("words,percent,chunk", [(3, 90, 4000), (5, 80, 3)])
-def test_shingle_join(spark, none, words, percent, chunk):
+@pytest.mark.parametrize("words,percent,chunk,hot", [(3, 90, 4000, 3), (5, 80, 3, 3), (5, 80, 2000, 1)])
+def test_shingle_join(spark, none, monkeypatch, words, percent, chunk, hot):
+    monkeypatch.setattr(shingles, "HOT", hot)
     rng = np.random.default_rng(6)
     vocabulary = [f"w{k}" for k in range(300)]
     table = [(r[0], r[1]) for r in rows()]
@@ -341,6 +342,8 @@ def test_shingle_join(spark, none, words, percent, chunk):
             for at in rng.integers(0, len(own), rng.integers(0, 1 + len(own) // 25)):
                 own[at] = "NEW%d" % rng.integers(1e6)
             table.append((100 + 10 * k + j, " ".join(own).upper() if j == 3 else "\n".join(own)))
+    passage = " ".join(rng.choice(vocabulary, 60))  # long enough to make up most of some texts
+    table += [(900 + k, f"{' '.join(rng.choice(vocabulary, 5 + 4 * k))} {passage} end{k}") for k in range(25)]
     got = shingles.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), words, percent, chunk).collect()
     assert len(got) == len(table)
     want, have = brute_components(table, words, percent), defaultdict(list)
@@ -376,6 +379,12 @@ def test_keys_meet_for_all_linked_sets():
                     x, none, y = keys_of(ranges, a, a[:0], b)
                     linked += 1
                     assert np.intersect1d(x, y).size and not len(none)
+                    # in a range that both are in, at most r of the first cut's keys are the other's not
+                    key, of, which, slack = ranges.counted(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+                    for step in (0, 1):
+                        mine, theirs = key[which == step], key[of == 1]
+                        if len(mine) and (mine[0] & np.uint64(63)) in theirs & np.uint64(63):
+                            assert np.setdiff1d(mine, theirs).size <= len(mine) - slack[step] - 1
                     assert np.array_equal(np.sort(x), np.sort(keys_of(ranges, a)[0]))  # whatever else is in the slice
     assert linked > 200
 
