@@ -11,26 +11,30 @@ isn't empty gives a key (range, part, content).
 
 * First a key counts that at most `HOT` sets share; the others are hot (a passage
   that many documents hold makes such parts).  A set with r + 1 keys that aren't
-  hot shares one of them with any partner.  What shares a key is joined to the
-  smallest of it: a row each, never all pairs.
+  hot shares one of them with any partner.  The few sets that share a key are
+  pairs.
 * Sets with fewer such keys are taken again, among themselves, with all their keys:
   if a linked pair shares no key that isn't hot, both are of these.  Where they
   agree in empty parts alone both have more than s of them; a set with so many also
   gives the keys of a second cut, by other bits of the hashes, and so on for up to
-  `CUTS` cuts and then the range's `empty` key.
+  `CUTS` cuts and then the range's `empty` key.  What shares a key is joined to the
+  smallest of it, a row each, and what hangs together is a candidate group.
 
 In both steps a slice of documents is joined first, so a key that many hold is a
-row or a few a slice.  What hangs together is a candidate group.
-
-Verification.  In a group, shingles are hashed into counters, about one for two
-shingles, and the count vectors go into an R-tree.  A node's bound on the overlap
-is the sum of coordinate minima of the query and the node's upper corner; nodes
-and entries whose bound is below the overlap that the sizes need are passed over,
-as are entries that already hang together with the query; surviving pairs are
-verified on the sets, as rows of bits over the shingles that the group repeats.
-Groups of more than `CHUNK` classes or `SHINGLES` shingles are cut into chunks:
-first each chunk is joined with the first one, then, only where a group is still
-in pieces, the other pairs of chunks are, each pair a task's step of its own.
+row or a few a slice, and nowhere all pairs of many sets are made.
+
+Verification.  Shingles are hashed into counters, one for two to four shingles; two
+sets' overlap is at most the sum of the minima of their counts, and what that bound
+leaves is verified on the sets.  For the first step's pairs the count vectors are
+joined to the pairs, and then the sets to what is left.  A group's count vectors go
+into an R-tree: nodes and entries whose bound is below the overlap that the sizes
+need are passed over, as are entries that already hang together with the query;
+surviving pairs are verified on the sets, as rows of bits over the shingles that
+the group repeats.  Groups of more than `CHUNK` classes or `SHINGLES` shingles are
+cut into chunks, each of one range of sizes: first each chunk is joined with the
+first one of its range and these with those of the next range, then, only where a
+group is still in pieces, the other pairs of chunks of a range or of neighbours
+are, each pair a task's step of its own.
 
 Rules for odd rows: a text without words has an empty set and links with nothing;
 fewer words than a shingle are one shingle; a null doc_id links with nothing and
@@ -53,7 +57,7 @@ from docgauge.llm.components import components
 WORDS, PERCENT = 5, 80
 #: Sets that share a key that isn't hot; results don't depend on it.
 HOT = 3
-CHUNK, SHINGLES, LEAF, CUTS = 2000, 500_000, 32, 6
+CHUNK, SHINGLES, LEAF, CUTS = 2000, 1_000_000, 32, 6
 #: Documents and bytes of text that are handled at once.
 SLICE, SLICE_BYTES = 4096, 2 << 20
 #: Bytes of bit rows that a group may take; beyond them pairs are compared one by one.
@@ -347,25 +351,102 @@ def keyed(docs: DataFrame, words: int, ranges: Ranges) -> DataFrame:
     return docs.select("text").mapInArrow(made, "key long, node long")
 
 
-def candidate_edges(docs: DataFrame, classes: DataFrame, words: int, ranges: Ranges) -> DataFrame:
-    """node, low: what hangs together by these is a candidate group."""
-    by_key = Window.partitionBy("key")
-    shared = counted(docs, words, ranges).withColumn("times", F.sum("w").over(by_key)).withColumn("low", F.min("node").over(by_key))
-    shared = shared.where(f"node IS NOT NULL AND (times > {HOT} OR node <> low)")
-    shared = written(shared.select("node", F.when(F.col("times") <= HOT, F.col("low")).alias("low"), F.col("key").bitwiseAND(63).cast("int").alias("k"), "slack"), "shingle-shared")
-    edges = shared.where("low IS NOT NULL").select("node", "low")
-    hot = shared.where("low IS NULL").groupBy("node", "k").agg(F.count(F.lit(1)).alias("times"), F.min("slack").alias("slack")).where("times > slack")
-    ids = hot.select(F.col("node").alias("f1")).distinct().join(classes, "f1").select(F.col("rep").alias("doc_id")).distinct()
-    again = docs.join(small(ids, "shingle-again", IDS), "doc_id", "left_semi").where("text IS NOT NULL")
-    more = keyed(again, words, ranges).withColumn("low", F.min("node").over(by_key)).where("node <> low").select("node", "low")
-    return edges.unionByName(more).distinct()
+def candidates(docs: DataFrame, classes: DataFrame, words: int, ranges: Ranges) -> tuple[DataFrame, DataFrame]:
+    """(pairs a, b of the first step, links node, low of the second), of first fingerprints."""
+    by_key = Window.partitionBy("key").orderBy("node")
+    whole = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shared = counted(docs, words, ranges).withColumn("times", F.sum("w").over(whole))
+    before = [F.when((F.col("times") <= HOT) & (F.col("node") != F.lag("node", i).over(by_key)), F.lag("node", i).over(by_key)) for i in range(1, HOT)]
+    shared = shared.select("node", "times", F.filter(F.array(*before), lambda x: x.isNotNull()).alias("others"), F.col("key").bitwiseAND(63).cast("int").alias("k"), "slack")
+    shared = written(shared.where(f"node IS NOT NULL AND (times > {HOT} OR size(others) > 0)"), "shingle-shared")
+    pairs = shared.where(f"times <= {HOT}").select("node", F.explode("others").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    hot = shared.where(f"times > {HOT}").groupBy("node", "k").agg(F.count(F.lit(1)).alias("times"), F.min("slack").alias("slack")).where("times > slack")
+    again = _texts_of(docs, hot.select("node").distinct(), classes)
+    links = keyed(again, words, ranges).withColumn("low", F.min("node").over(Window.partitionBy("key"))).where("node <> low").select("node", "low").distinct()
+    return pairs, links
+
+
+def _texts_of(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """The documents that stand for the classes of `nodes`; where an id has several texts, all of them."""
+    ids = nodes.select(F.col("node").alias("f1")).join(classes, "f1").select(F.col("rep").alias("doc_id")).distinct()
+    return docs.join(small(ids, "shingle-ids", IDS), "doc_id", "left_semi").where("text IS NOT NULL")
+
+
+def counters(size: int) -> int:
+    """How many counters a set of that size has: a power of two, for two to four shingles each."""
+    return 1 << max(4, size.bit_length() - 2)
+
+
+def bound(a: np.ndarray, b: np.ndarray) -> int:
+    """The most that two sets with these counts can overlap; the longer vector is folded to the shorter one's counters."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) > len(a):
+        b = b.reshape(-1, len(a)).sum(axis=0, dtype=np.int64)
+    return int(np.minimum(a, b).sum(dtype=np.int64))
+
+
+def _of_nodes(docs: DataFrame, words: int, make, name: str) -> DataFrame:
+    """node, n, `name` (binary): make(set) of each different set in `docs`."""
+
+    def made(batches):
+        for batch in batches:
+            for x, y in _slices(batch.column(0)):
+                h, offsets = shingle_sets(batch.column(0).slice(x, y - x), words)
+                parts = [make(h[a:b]).tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(fingerprints(h, offsets)[0]), pa.array(np.diff(offsets)), pa.array(parts, pa.binary())], ["node", "n", name])
+
+    made_of = docs.select("text").mapInArrow(made, f"node long, n long, {name} binary")
+    return made_of.groupBy("node", "n").agg(F.min(name).alias(name))
+
+
+def _beside(pairs: DataFrame, things: DataFrame, name: str) -> DataFrame:
+    """`pairs` a, b with the `things` of both."""
+    for side in ("a", "b"):
+        pairs = pairs.join(things.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col(name).alias(f"{side}_{name}")), side)
+    return pairs.select("a", "b", "a_n", "b_n", f"a_{name}", f"b_{name}")
+
+
+def linked_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of the pairs a, b those that link, as rep, root: by sizes, then by the bound, then on the sets."""
+    sizes = classes.select(F.col("f1").alias("node"), "n")
+    sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("x")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("y")), "b")
+    pairs = written(sized.where(100 * F.least("x", "y") >= percent * F.greatest("x", "y")).select("a", "b").distinct(), "shingle-pairs")
+
+    def nodes(of: DataFrame) -> DataFrame:
+        return of.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def counts(own: np.ndarray) -> np.ndarray:
+        n = counters(len(own))
+        return np.bincount((own & np.uint64(n - 1)).astype(np.int64), minlength=n).astype(np.uint16)  # a set of under 2 ** 16 shingles a counter
+
+    def overlap_of(x: bytes, y: bytes, kind: str, f) -> int:
+        return f(np.frombuffer(x, kind), np.frombuffer(y, kind))
+
+    def kept(kind: str, f):
+        def keep(batches):
+            for batch in batches:
+                a_n, b_n = (batch.column(k).to_numpy() for k in (2, 3))
+                both = np.fromiter((overlap_of(x.as_buffer(), y.as_buffer(), kind, f) for x, y in zip(batch.column(4), batch.column(5))), np.int64, batch.num_rows)
+                good = np.flatnonzero(100 * both >= percent * (a_n + b_n - both))
+                yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(good)) for k in (0, 1)], ["a", "b"])
+
+        return keep
+
+    counted_sets = written(_of_nodes(_texts_of(docs, nodes(pairs), classes), words, counts, "counts"), "shingle-counts")
+    pairs = written(_beside(pairs, counted_sets, "counts").mapInArrow(kept("<u2", bound), "a long, b long"), "shingle-bounded")
+    whole = written(_of_nodes(_texts_of(docs, nodes(pairs), classes), words, lambda own: own, "hashes"), "shingle-hashes")
+    pairs = _beside(pairs, whole, "hashes").mapInArrow(kept("<u8", overlap), "a long, b long")
+    reps = classes.select("f1", "rep")
+    pairs = pairs.join(reps.select(F.col("f1").alias("a"), F.col("rep").alias("root")), "a").join(reps.select(F.col("f1").alias("b"), "rep"), "b")
+    return pairs.select("rep", "root")
 
 
 class RTree:
     """Count vectors, packed in order of size and counts; two levels of nodes above the entries."""
 
     def __init__(self, counts: np.ndarray, sizes: np.ndarray):
-        order = np.lexsort((*counts.T[::-1], sizes))
+        order = np.lexsort((*counts.T[3::-1], sizes))
         self.counts, self.sizes, self.order = counts[order], sizes[order], order
         self.leaf = self._nodes(self.counts, self.sizes)
         self.top = self._nodes(*self.leaf)
@@ -379,17 +460,23 @@ class RTree:
     def search(self, counts: np.ndarray, size: int, percent: int, wanted) -> np.ndarray:
         """Entries that may overlap enough; `wanted(entries)` tells which are to be looked at."""
         need = -(-size * percent // 100)
+        # sizes that can link are neighbours in the tree
+        first, last = np.searchsorted(self.sizes, need), np.searchsorted(self.sizes, size * 100 // percent, "right")
 
         def may(upper, low):
-            return np.minimum(upper, counts).sum(axis=1, dtype=np.int64) * (100 + percent) >= percent * (size + np.maximum(low, need))
+            return np.minimum(upper, counts).sum(axis=1, dtype=np.int32) * (100 + percent) >= percent * (size + np.maximum(low, need))
 
-        def children(nodes, n):
+        def children(nodes, a: int, b: int):
             at = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
-            return at[at < n]
+            return at[(at >= a) & (at < b)]
 
-        leaves = children(np.flatnonzero(may(*self.top)), len(self.leaf[1]))
+        if first >= last:
+            return self.order[:0]
+        a, b = first // LEAF, (last - 1) // LEAF + 1
+        c, d = a // LEAF, (b - 1) // LEAF + 1
+        leaves = children(np.flatnonzero(may(self.top[0][c:d], self.top[1][c:d])) + c, a, b)
         leaves = leaves[may(self.leaf[0][leaves], self.leaf[1][leaves])]
-        here = children(leaves, len(self.sizes))
+        here = children(leaves, first, last)
         here = here[wanted(self.order[here])]
         return self.order[here[may(self.counts[here], self.sizes[here])]]
 
@@ -406,24 +493,32 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 def _bit_rows(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray | None:
     """A row of bits per set over the shingles that more than one set has; None if they took more than BITS bytes."""
-    _, at, times = np.unique(h, return_inverse=True, return_counts=True)
-    several = times > 1
-    wide = -(-int(several.sum()) // 64)
+    order = np.sort(h)
+    several = np.unique(order[1:][order[1:] == order[:-1]])
+    del order
+    wide = -(-len(several) // 64)
     if n * wide * 8 > BITS:
         return None
-    column = np.cumsum(several) - 1
-    kept = several[at]
-    column, of = column[at[kept]], of[kept]
     rows = np.zeros((n, wide), np.uint64)
-    np.bitwise_or.at(rows.ravel(), of * wide + (column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+    if wide:
+        column = np.searchsorted(several, h)
+        column[column == len(several)] = 0
+        kept = several[column] == h
+        column, of = column[kept], of[kept]
+        np.bitwise_or.at(rows.ravel(), of * wide + (column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
     return rows
 
 
-def linked_groups(h: np.ndarray, offsets: np.ndarray, percent: int) -> np.ndarray:
-    """For sets that aren't empty, the smallest index that each hangs together with."""
+def linked_groups(h: np.ndarray, offsets: np.ndarray, percent: int, root: np.ndarray | None = None, side: np.ndarray | None = None) -> np.ndarray:
+    """For sets that aren't empty, the smallest index that each hangs together with.
+
+    `root` has what is known already.  With `side` (0 or 1) two sets of side 0
+    aren't compared; 2 marks a second side whose sets aren't compared either.
+    """
     n, sizes = len(offsets) - 1, np.diff(offsets)
-    root = np.arange(n)
-    of = np.repeat(root, sizes)
+    root = np.arange(n) if root is None else root.copy()
+    side = np.ones(n, np.int8) if side is None else side
+    of = np.repeat(np.arange(n), sizes)
 
     def enough(i, j, both) -> np.ndarray:
         return 100 * both >= percent * (sizes[i] + sizes[j] - both)
@@ -438,14 +533,15 @@ def linked_groups(h: np.ndarray, offsets: np.ndarray, percent: int) -> np.ndarra
     if n <= 3:  # most groups
         for i in range(1, n):
             for j in range(i):
-                if root[i] != root[j] and enough(i, j, pair(i, j)):
+                if root[i] != root[j] and (side[i] != side[j] or side[i] == 1) and enough(i, j, pair(i, j)):
                     join(i, root[j])
         return root
-    groups = 1 << min(9, max(5, int(np.median(sizes)).bit_length() - 1))
-    counts = np.bincount(of * groups + (h & np.uint64(groups - 1)).astype(np.int64), minlength=n * groups).reshape(n, groups).astype(np.int32)
+    groups = min(512, counters(int(np.median(sizes))))
+    counts = np.bincount(of * groups + (h & np.uint64(groups - 1)).astype(np.int64), minlength=n * groups).reshape(n, groups)
+    counts = counts.astype(np.uint16 if counts.max() < 1 << 16 else np.int32)
     tree, bits = RTree(counts, sizes), _bit_rows(h, of, n)
     for i in range(1, n):
-        near = np.sort(tree.search(counts[i], int(sizes[i]), percent, lambda e: (e < i) & (root[e] != root[i])))
+        near = np.sort(tree.search(counts[i], int(sizes[i]), percent, lambda e: (e < i) & (root[e] != root[i]) & ((side[e] != side[i]) | (side[i] == 1))))
         while len(near):
             some, near = near[:64], near[64:]
             both = np.bitwise_count(bits[some] & bits[i]).sum(axis=1, dtype=np.int64) if bits is not None else np.array([pair(i, j) for j in some.tolist()])
@@ -456,35 +552,44 @@ def linked_groups(h: np.ndarray, offsets: np.ndarray, percent: int) -> np.ndarra
     return root
 
 
+#: Where a chunk's number has its range of sizes.
+RANGE = 1 << 32
+
+
 def _verified(members: DataFrame, words: int, percent: int) -> DataFrame:
-    """`members`: grp, h, v (the two chunks), rep, label, n, f1, f2, text. Gives links rep, root.
+    """`members`: grp, h, v (the two chunks), own, rep, label, n, f1, f2, text. Gives links rep, root.
 
-    A text that isn't the one that a class stands for (rows that repeat a doc_id
-    may differ) is told by its fingerprints and passed over.
+    A chunk is compared within itself where it stands with the first one of its
+    range.  A text that isn't the one that a class stands for (rows that repeat a
+    doc_id may differ) is told by its fingerprints and passed over.
     """
 
-    def joined(rep, label, h, offsets):
-        if len(rep) < 2 or label[0] != -1 and (label == label[0]).all():
+    def joined(key, own, rep, label, h, offsets):
+        _, h1, v1 = key
+        known = np.unique(label, return_index=True, return_inverse=True)
+        root = np.where(label == -1, np.arange(len(rep)), known[1][known[2]])
+        if len(rep) < 2 or len(known[0]) == 1 and label[0] != -1:
             return rep[:0], rep[:0]
-        root = linked_groups(h, offsets, percent)
-        more = root != np.arange(len(rep))
-        return rep[more], rep[root[more]]
+        inner = h1 // RANGE == v1 // RANGE and h1 % RANGE == 0
+        side = np.where(own == v1, 1 if inner else 2, 0).astype(np.int8)
+        found = linked_groups(h, offsets, percent, root, side)
+        more = (found != root) & (root == np.arange(len(rep)))  # the others are known to hang together with these
+        return rep[more], rep[found[more]]
 
     def verify(batches):
-        held = None  # the rows of the last group so far: key, rep, label, sets
+        held = None  # the rows of the last group so far: its key, and lists of own, rep, label, sets, sizes
 
         def done():
-            key, reps, labels, hs, ns = held
-            rep = np.concatenate(reps)
-            a, b = joined(rep, np.concatenate(labels), np.concatenate(hs), np.concatenate([[0], np.cumsum(np.concatenate(ns))]))
+            own, rep, label, h, n = (np.concatenate(x) for x in held[1:])
+            a, b = joined(held[0], own, rep, label, h, np.concatenate([[0], np.cumsum(n)]))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["rep", "root"])
 
         for batch in batches:
-            for x, y in _slices(batch.column(8)):
+            for x, y in _slices(batch.column(9)):
                 part = batch.slice(x, y - x)
-                h, offsets = shingle_sets(part.column(8), words)
+                h, offsets = shingle_sets(part.column(9), words)
                 f1, f2 = fingerprints(h, offsets)
-                grp, h1, v1, rep, label, n, w1, w2 = (part.column(k).to_numpy() for k in range(8))
+                grp, h1, v1, own, rep, label, n, w1, w2 = (part.column(k).to_numpy() for k in range(9))
                 right = (f1 == w1) & (f2 == w2) & (np.diff(offsets) == n)
                 new = np.ones(len(grp), bool)
                 new[1:] = (grp[1:] != grp[:-1]) | (h1[1:] != h1[:-1]) | (v1[1:] != v1[:-1])
@@ -492,22 +597,54 @@ def _verified(members: DataFrame, words: int, percent: int) -> DataFrame:
                 again[1:] = ~new[1:] & (rep[1:] == rep[:-1]) & (w1[1:] == w1[:-1]) & right[:-1]
                 cut = np.append(np.flatnonzero(new), len(grp))
                 for a, b in zip(cut.tolist(), cut[1:].tolist()):
-                    key = (grp[a], h1[a], v1[a])
+                    key = (int(grp[a]), int(h1[a]), int(v1[a]))
                     if held and held[0] != key:
-                        yield done()
+                        if held[1]:
+                            yield done()
                         held = None
-                    held = held or (key, [], [], [], [])
-                    for i in np.flatnonzero(right[a:b] & ~again[a:b]).tolist():
-                        i += a
-                        held[1].append(rep[i : i + 1]), held[2].append(label[i : i + 1])
-                        held[3].append(h[offsets[i] : offsets[i + 1]]), held[4].append(n[i : i + 1])
+                    held = held or (key, [], [], [], [], [])
+                    for i in (np.flatnonzero(right[a:b] & ~again[a:b]) + a).tolist():
+                        for to, value in zip(held[1:], (own[i : i + 1], rep[i : i + 1], label[i : i + 1], h[offsets[i] : offsets[i + 1]], n[i : i + 1])):
+                            to.append(value)
         if held and held[1]:
             yield done()
 
-    rows = members.select("grp", "h", "v", "rep", "label", "n", "f1", "f2", "text")
+    rows = members.select("grp", "h", "v", "own", "rep", "label", "n", "f1", "f2", "text")
     return rows.repartition("grp", "h", "v").sortWithinPartitions("grp", "h", "v", "rep", "f1", "f2").mapInArrow(verify, "rep long, root long")
 
 
+def _chunked(members: DataFrame, ranges: Ranges, chunk: int) -> DataFrame:
+    """`members` (grp, rep, f1, n) with `pieces` (chunks of the group), k (range of sizes, 0 in groups of one chunk), at (chunk in the range), here, before, after (chunks of the range and its neighbours)."""
+    size = lambda: F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("n") / SHINGLES)).cast("long")
+    pieces = members.groupBy("grp").agg(size().alias("pieces"))
+    low = F.array(*[F.lit(int(x)) for x in ranges.low])
+    k = F.when(F.col("pieces") == 1, F.lit(0)).otherwise(F.size(F.filter(low, lambda x: x <= F.col("n"))) - 1)
+    members = members.join(pieces, "grp").withColumn("k", k.cast("long"))
+    own = members.groupBy("grp", "k").agg(size().alias("here"))
+    beside = own.select("grp", F.explode(F.array(F.struct((F.col("k") + 1).alias("k"), F.col("here").alias("before"), F.lit(0).cast("long").alias("after")), F.struct((F.col("k") - 1).alias("k"), F.lit(0).cast("long").alias("before"), F.col("here").alias("after")))).alias("b"))
+    beside = beside.groupBy("grp", "b.k").agg(F.sum("b.before").alias("before"), F.sum("b.after").alias("after"))
+    parts = own.join(beside, ["grp", "k"], "left").select("grp", "k", "here", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
+    return members.join(parts, ["grp", "k"]).withColumn("at", F.pmod(F.xxhash64("rep", "f1"), F.col("here")))
+
+
+def _turns(first: bool):
+    """The pairs of chunks that a member takes part in: first those with the first chunk of a range, then all others."""
+    k, at, here, before, after = (F.col(c) for c in ("k", "at", "here", "before", "after"))
+    chunk = lambda r, i: r * F.lit(RANGE) + i
+    own, none = chunk(k, at), F.array().cast("array<struct<h:bigint,v:bigint>>")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    pair = lambda h, v: F.struct(h.alias("h"), v.alias("v"))
+    if first:
+        heads = F.concat(F.transform(upto(here), lambda i: pair(own, chunk(k, i))), F.when(before > 0, F.array(pair(chunk(k - 1, F.lit(0)), own))).otherwise(none), F.when(after > 0, F.array(pair(own, chunk(k + 1, F.lit(0))))).otherwise(none))
+        pairs = F.when(at == 0, heads).otherwise(F.array(pair(chunk(k, F.lit(0)), own)))
+    else:
+        same = F.when(at > 0, F.transform(F.filter(upto(here), lambda i: (i > 0) & (i != at)), lambda i: pair(chunk(k, F.least(i, at)), chunk(k, F.greatest(i, at))))).otherwise(none)
+        down = F.transform(F.filter(upto(before), lambda i: (i > 0) | (at > 0)), lambda i: pair(chunk(k - 1, i), own))
+        up = F.transform(F.filter(upto(after), lambda i: (i > 0) | (at > 0)), lambda i: pair(own, chunk(k + 1, i)))
+        pairs = F.concat(same, down, up)
+    return F.explode(pairs).alias("t")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -518,36 +655,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     # made once, so that all machines cut alike
     ranges = Ranges(percent, all_sets.agg(F.max("n").alias("n")).first().n or 0)
-    groups = written(components(candidate_edges(docs, classes, words, ranges)), "shingle-groups").select(F.col("node").alias("f1"), F.col("component").alias("grp"))
-    members = classes.join(groups, "f1")
-    total = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("parts"))
-    members = members.join(total, "grp").withColumn("own", F.pmod(F.xxhash64("rep", "f1"), F.col("parts").cast("long")).cast("int"))
-    members = small(members, "shingle-members")
-    ids = small(members.select(F.col("rep").alias("doc_id")).distinct(), "shingle-ids", IDS)
-    texts = docs.join(ids, "doc_id", "left_semi").join(members, F.col("doc_id") == F.col("rep")).drop("doc_id")
+    pairs, shared = candidates(docs, classes, words, ranges)
+    linked = linked_pairs(docs, classes, pairs, words, percent)
+    groups = written(components(shared), "shingle-groups").select(F.col("node").alias("f1"), F.col("component").alias("grp"))
+    members = small(_chunked(classes.join(groups, "f1"), ranges, chunk), "shingle-members")
+    texts = _texts_of(docs, groups.select(F.col("f1").alias("node")), classes).join(members, F.col("doc_id") == F.col("rep")).drop("doc_id").withColumn("own", F.col("k") * F.lit(RANGE) + F.col("at"))
     texts = written(texts, "shingle-texts")
 
-    def turns(first: bool):
-        """The pairs of chunks that a member takes part in: those with the first chunk, or all others."""
-        others = F.sequence(F.lit(0) if first else F.lit(1), F.col("parts") - 1)
-        if first:
-            pairs = F.when(F.col("own") == 0, F.transform(others, lambda v: F.struct(F.lit(0).alias("h"), v.alias("v")))).otherwise(F.array(F.struct(F.lit(0).alias("h"), F.col("own").alias("v"))))
-        else:
-            pairs = F.transform(F.filter(others, lambda v: v != F.col("own")), lambda v: F.struct(F.least(v, F.col("own")).alias("h"), F.greatest(v, F.col("own")).alias("v")))
-        return F.explode(pairs).alias("t")
-
-    what = ["rep", "label", "n", "f1", "f2", "text"]
-    rows = texts.withColumn("label", F.lit(-1).cast("long")).select("grp", *what, turns(True)).select("grp", "t.*", *what)
-    links = written(_verified(rows, words, percent), "shingle-links")
+    what = ["own", "rep", "label", "n", "f1", "f2", "text"]
+    rows = texts.withColumn("label", F.lit(-1).cast("long")).select("grp", *what, _turns(True)).select("grp", "t.*", *what)
+    links = written(_verified(rows, words, percent).unionByName(linked), "shingle-links")
     # rows of one doc_id with several texts: their classes hang together
     several = small(good.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("b")).where("a <> b").select("doc_id"), "shingle-several")
     same = good.join(several, "doc_id").join(classes, key).where("doc_id <> rep").select("rep", F.col("doc_id").alias("root"))
     links = written(links.unionByName(same), "shingle-links")
     of = written(components(links), "shingle-components")
-    big = texts.where("parts > 2").join(of.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    big = texts.where("pieces > 1").join(of.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     torn = small(big.groupBy("grp").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("grp"), "shingle-torn")
     if not torn.isEmpty():
-        rows = big.join(torn, "grp").where("own > 0").select("grp", *what, turns(False)).select("grp", "t.*", *what)
+        rows = big.join(torn, "grp").select("grp", *what, _turns(False)).select("grp", "t.*", *what)
         of = written(components(written(links.unionByName(_verified(rows, words, percent)), "shingle-links")), "shingle-components")
 
     named = classes.join(of.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))

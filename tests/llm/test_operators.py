@@ -329,7 +329,7 @@ def brute_components(all_rows, words, percent):
     return {d: (sorted(map(len, sets[d])), root(d)) for d in ids}
 
 
-@pytest.mark.parametrize("words,percent,chunk,hot", [(3, 90, 4000, 3), (5, 80, 3, 3), (5, 80, 2000, 1)])
+@pytest.mark.parametrize("words,percent,chunk,hot", [(3, 90, 2000, 3), (5, 80, 3, 3), (5, 80, 1, 3), (5, 80, 2000, 1)])
 def test_shingle_join(spark, none, monkeypatch, words, percent, chunk, hot):
     monkeypatch.setattr(shingles, "HOT", hot)
     rng = np.random.default_rng(6)
@@ -440,6 +440,18 @@ def test_groups_of_sets_against_all_pairs(monkeypatch):
                 want[want == b] = a
     assert 4 < len(set(want)) < 80
     assert shingles.linked_groups(h, at, 80).tolist() == want.tolist()
+    # in two halves, and then what is between them
+    side, half = np.arange(90) % 2, [np.flatnonzero(np.arange(90) % 2 == k) for k in (0, 1)]
+    root = np.arange(90)
+    for rows in half:
+        own = shingles.linked_groups(np.concatenate([sets[k] for k in rows]), np.concatenate([[0], np.cumsum([len(sets[k]) for k in rows])]), 80)
+        root[rows] = rows[own]
+    for known in (root, np.arange(90)):
+        got = shingles.linked_groups(h, at, 80, known, np.where(side == 0, 0, 1 if known is not root else 2))
+        if known is root:
+            assert got.tolist() == want.tolist()
+        else:  # without the first half's own pairs
+            assert all(want[a] == want[b] for a, b in enumerate(got))
     monkeypatch.setattr(shingles, "BITS", 0)  # pairs one by one
     assert shingles.linked_groups(h, at, 80).tolist() == want.tolist()
 
@@ -564,3 +576,14 @@ def test_encoder_of_slices(name):
                 assert got == library
                 first = [a for a, _, _ in cache.encode_in_parts(whole, most)]
                 assert first[0] == 0 and (most > 1000 or len(first) > 1 or not any(texts))
+
+
+def test_bound_on_overlap():
+    rng = np.random.default_rng(3)
+    for n, m in ((5, 9), (300, 340), (3000, 3500), (40, 4000)):
+        shared = rng.integers(0, 1 << 62, min(n, m) // 2)
+        a, b = (np.unique(np.concatenate([shared, rng.integers(0, 1 << 62, k - len(shared))])).astype(np.uint64) for k in (n, m))
+        x, y = (np.bincount((s & np.uint64(shingles.counters(len(s)) - 1)).astype(np.int64), minlength=shingles.counters(len(s))).astype(np.uint16) for s in (a, b))
+        both = shingles.overlap(a, b)
+        assert both == len(np.intersect1d(a, b)) <= shingles.bound(x, y) == shingles.bound(y, x) <= min(len(a), len(b))
+        assert n == 40 or shingles.bound(x, y) < 0.95 * min(len(a), len(b)) or n < 20
