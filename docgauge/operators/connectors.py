@@ -19,27 +19,69 @@ def repeated(images: DataFrame, runs: int) -> DataFrame:
     return images.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
 
 
-def infer(pages: DataFrame, fn: Callable[[dict], dict], candidate: str, runs: int = 1, load: Callable[[], object] | None = None) -> DataFrame:
+def infer(pages: DataFrame, fn: Callable[[dict], dict], candidate: str, runs: int = 1, load: Callable[[], object] | None = None, warmup: int = 0, healthy: Callable[[], None] | None = None, limit: int = 0) -> DataFrame:
     """`fn` of each page (a dict of its columns; with `load`, also of what it returns once a worker) with the time it takes.
 
-    A page whose function fails gives a row with the error in `_note`.
+    Before its first page a worker loads the model, asks `healthy` (which raises where the service can't be reached) and
+    calls `fn` for up to `warmup` of its first pages, whose times count nowhere.  `limit` takes the first pages by image.
+    A page whose function fails gives a row with the error in `_note`; where loading or `healthy` fails, all pages of the
+    worker do, and other candidates go on.
     """
     import json
 
     def run(batches):
-        model = load() if load else None
+        def call(page):
+            return fn(page, model) if load else fn(page)
+
+        model, down = None, None
+        try:
+            if healthy:
+                healthy()
+            model = load() if load else None
+        except Exception as e:
+            down = f"{type(e).__name__}: {e}"
+        left = 0 if down else warmup
         for b in batches:
-            out = []
-            for page in b.to_dict("records"):
+            out, rows = [], b.to_dict("records")
+            for page in rows[:left]:
+                try:
+                    call(page)
+                except Exception:  # told when its turn comes
+                    pass
+            left = max(0, left - len(rows))
+            for page in rows:
                 began = time.perf_counter()
                 try:
-                    got, note = (fn(page, model) if load else fn(page)), None
+                    got, note = ({}, down) if down else (call(page), None)
                 except Exception as e:  # a page that fails must not stop the others
                     got, note = {}, f"{type(e).__name__}: {e}"
                 out.append((candidate, page["run"], page["image"], got.get("text", ""), json.dumps(got.get("blocks", [])), json.dumps(got.get("errors", [])), got.get("stage1_latency", 0.0), got.get("stage2_latency", 0.0), time.perf_counter() - began, got.get("_note") or note))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
-    return repeated(pages, runs).mapInPandas(run, OUTPUT)
+    from docgauge.operators.evaluation import first_images
+
+    return repeated(first_images(pages, limit), runs).mapInPandas(run, OUTPUT)
+
+
+def guard(*names: str) -> None:
+    """Refuses to go on where an environment variable or a module (`module:name`) that a connector needs is missing."""
+    import importlib.util
+    import os
+
+    missing = [n for n in names if (importlib.util.find_spec(n.removeprefix("module:")) is None if n.startswith("module:") else not os.environ.get(n))]
+    if missing:
+        raise RuntimeError("missing: " + ", ".join(missing))
+
+
+def environment(spark, wanted: dict[str, tuple[Callable[[], object], str]]) -> DataFrame:
+    """Runs checks (name -> function that raises or returns a detail, severity `error` or `warning`): name, passed, detail, severity."""
+    rows = []
+    for name, (check, severity) in wanted.items():
+        try:
+            rows.append((name, True, str(check() or ""), severity))
+        except Exception as e:
+            rows.append((name, False, f"{type(e).__name__}: {e}", severity))
+    return spark.createDataFrame(rows, "name string, passed boolean, detail string, severity string")
 
 
 def parsed(inferred: DataFrame) -> DataFrame:
@@ -96,10 +138,12 @@ def candidate(name: str):
     return register
 
 
-def infer_all(pages: DataFrame, names: list[str] | None = None, runs: int = 1) -> DataFrame:
-    """All named candidates (or every registered one) over the pages; each loads once a worker."""
+def infer_all(pages: DataFrame, names: list[str] | None = None, runs: int = 1, warmup: int = 0, limit: int = 0) -> DataFrame:
+    """All named candidates (or every registered one) over the pages; each loads once a worker, and one that can't be loaded gives its pages a note."""
     out = None
     for name in names or sorted(REGISTRY):
-        one = infer(pages, lambda page, fn: fn(page), name, runs, load=REGISTRY[name])
+        if name not in REGISTRY:
+            raise KeyError(f"unknown candidate {name!r}; known: {', '.join(sorted(REGISTRY))}")
+        one = infer(pages, lambda page, fn: fn(page), name, runs, load=REGISTRY[name], warmup=warmup, limit=limit)
         out = one if out is None else out.unionByName(one)
     return out

@@ -116,3 +116,73 @@ def image_features(pixels: DataFrame, by: list[str]) -> DataFrame:
     limit = rows.groupBy(*by).agg((F.avg("r") + 0.5 * F.stddev_pop("r")).alias("limit"))
     lines = rows.join(limit, by).groupBy(*by).agg(F.count_if(F.col("r") > F.col("limit")).alias("k"))
     return whole.join(lines, by).withColumn("estimated_lines", F.greatest(F.lit(1), F.floor(F.try_divide(F.col("k").cast("double"), F.col("height") * 0.02))).cast("int")).drop("k", "height")
+
+
+#: Fixed value: what a page without a form says.
+UNANNOTATED = "Ground truth not yet annotated. Populate text, blocks, reading_order manually."
+
+
+def kept_lines(forms: DataFrame, signatures: bool = True, need_boxes: bool = False, strict_boxes: bool = True) -> DataFrame:
+    """Lines of forms, without signatures unless `signatures`: whether a line is the last is told from all lines of the form that have text."""
+    lines = form_lines(forms, need_boxes, strict_boxes)
+    return lines if signatures else drop_signatures(lines.withColumn("y1", F.col("bbox")[1]), "image").drop("y1")
+
+
+def truth_entries(images: DataFrame, forms: DataFrame, crops: DataFrame | None = None, handwritten: bool = False) -> DataFrame:
+    """A true page for every image: that of the form with the image's stem, else an empty one with a note.
+
+    `images`: image; `crops` (image, crop_bbox) moves boxes into the coordinates of the padded crop; `handwritten` drops
+    signatures.  A left join by stem: forms and images are each scanned once.
+    """
+    from docgauge.functions.geometry import crop_offset
+    from docgauge.functions.text import stem
+
+    pages = truth_pages(kept_lines(forms, signatures=not handwritten)).withColumnsRenamed({"image": "__stem", "text": "__text", "blocks": "__blocks", "reading_order": "__order"})
+    known = forms.select(F.col("image").alias("__stem"), F.lit(True).alias("__known"))
+    out = images.select("image", stem("image").alias("__stem")).join(known, "__stem", "left").join(pages, "__stem", "left")
+    if crops is not None:
+        own = crops.groupBy("image").agg(F.max("crop_bbox").alias("__crop"))  # one crop an image
+        out = out.join(own, "image", "left").withColumn("__blocks", F.transform("__blocks", lambda b: F.struct(crop_offset(b["bbox"], F.col("__crop")).alias("bbox"), b["text"].alias("text"), b["confidence"].alias("confidence"))))
+    kind = dict(out.dtypes)["__blocks"]
+    source = F.when(F.col("__known"), F.lit("handwritten-part" if handwritten else "iam-xml"))
+    return out.select(
+        "image", F.coalesce("__text", F.lit("")).alias("text"), F.coalesce("__blocks", F.array().cast(kind)).alias("blocks"), F.coalesce("__order", F.array().cast("array<int>")).alias("reading_order"),
+        F.array().cast("array<struct<type:string,bbox:array<double>,description:string>>").alias("errors"), source.alias("_source"), F.when(F.col("__known").isNull(), F.lit(UNANNOTATED)).alias("_note"),
+    )
+
+
+def crop_rows(images: DataFrame, forms: DataFrame, signatures: bool = False, pad: int = 20) -> DataFrame:
+    """Per image (image, width, height) the box around its handwritten lines, the sizes before and after cropping with `pad`, and its number of lines; images without form or boxes have none."""
+    from docgauge.functions.geometry import padded_crop
+    from docgauge.functions.text import stem
+
+    lines = kept_lines(forms, signatures, need_boxes=True)
+    side = lambda k, f: f(F.col("bbox")[k])
+    boxes = lines.groupBy(F.col("image").alias("__stem")).agg(F.array(side(0, F.min), side(1, F.min), side(2, F.max), side(3, F.max)).alias("crop_bbox"), F.count(F.lit(1)).cast("int").alias("num_lines"))
+    out = images.withColumn("__stem", stem("image")).join(boxes, "__stem").withColumn("__c", padded_crop("crop_bbox", F.col("width"), F.col("height"), pad))
+    c = F.col("__c")
+    size = lambda a, b: F.array(a.cast("int"), b.cast("int"))
+    return out.select("image", F.transform("crop_bbox", lambda x: x.cast("int")).alias("crop_bbox"), size(F.col("width"), F.col("height")).alias("original_size"), size(c[2] - c[0], c[3] - c[1]).alias("cropped_size"), "num_lines", F.lit(not signatures).alias("filtered_signatures"))
+
+
+def curated(manifest: DataFrame) -> DataFrame:
+    """A manifest's rows as the curated one has them: features that are missing are 0."""
+    return manifest.select("image", "path", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("text_density", "estimated_lines", "contrast")])
+
+
+def both_modes(pages: DataFrame, mode: str) -> DataFrame:
+    """Pages with the mode that each is run in; `both` runs each twice."""
+    modes = {"both": ("handwriting", "fullform"), "handwriting": ("handwriting",), "fullform": ("fullform",)}
+    if mode not in modes:
+        raise ValueError(f"mode {mode!r} is none of {', '.join(modes)}")
+    return pages.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes[mode]])))
+
+
+def merged(left: Column, right: Column, fields: list[str]) -> Column:
+    """A struct of `fields`: those of `right`, where it has them, over those of `left` (arrays, strings and numbers alike)."""
+    return F.struct(*[F.coalesce(right[f], left[f]).alias(f) for f in fields])
+
+
+def truth_of(truth: DataFrame, image: str, seq: str | None = None) -> DataFrame:
+    """The first row of the truth for an image, or none."""
+    return truth.where(F.col("image") == image).orderBy(*([seq] if seq else [])).limit(1)

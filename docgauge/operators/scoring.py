@@ -84,7 +84,7 @@ def _order_metrics(visits: Column, n_gt: Column, order: Column | None) -> Column
 
 
 def with_truth(preds: DataFrame, truth: DataFrame, missing: str = "skip", key: str = "image", seq: str | None = None) -> DataFrame:
-    """Predictions with the truth of the same file name, else of the same stem (suffix dropped). Of several the last by `seq` counts.
+    """Predictions with the truth of the same file name, else of the same stem (suffix dropped). Of several the last by `seq` counts, without it the largest of their rows.
 
     `missing`: `skip` drops pages without truth, `empty` keeps them with null
     columns of the truth (an empty text scores as such), `text` also drops an
@@ -93,10 +93,11 @@ def with_truth(preds: DataFrame, truth: DataFrame, missing: str = "skip", key: s
     from docgauge.functions.text import file_name, stem
 
     cols = [c for c in truth.columns if c not in (key, seq)]
-    last = truth.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*cols), F.col(seq) if seq else F.lit(0)).alias("__t"))
+    order = F.struct(seq, *cols) if seq else F.struct(*cols)
+    last = truth.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*cols), order).alias("__t"))
     name = preds.withColumn("__name", file_name(key)).withColumn("__stem", stem(key))
     by_name = last.select(F.col("__key").alias("__name"), F.col("__t").alias("__t1"))
-    stems = truth.groupBy(stem(key).alias("__stem")).agg(F.max_by(F.struct(*cols), F.col(seq) if seq else F.lit(0)).alias("__t2"))
+    stems = truth.groupBy(stem(key).alias("__stem")).agg(F.max_by(F.struct(*cols), order).alias("__t2"))
     out = name.join(by_name, "__name", "left").join(stems, "__stem", "left").withColumn("__t", F.coalesce("__t1", "__t2"))
     if missing in ("skip", "text"):
         out = out.where("__t IS NOT NULL")

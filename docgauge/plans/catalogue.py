@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docgauge.functions import geometry as G
 from docgauge.functions import parsers as P
 from docgauge.functions import text as T
-from docgauge.operators import matching, ordering, prep, scoring
+from docgauge.operators import evaluation, matching, ordering, prep, scoring
 from docgauge.plans.fixtures import SQL as FIX
 from docgauge.plans.fixtures import TYPES, blocks, greedy_sql, iou_sql, pages, spread, table
+from docgauge.sources import readers
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -94,17 +94,20 @@ def eval_join_name_or_stem(spark, d):
     return scoring.with_truth(p, truth, seq="seq").select("page_id", "v")
 
 
-@query("""SELECT d.doc_id, coalesce(l.quality, -1) AS quality, CASE WHEN l.doc_id IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS cer FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+@query("""SELECT d.doc_id, coalesce(l.quality, -1) AS quality, round(CASE WHEN l.doc_id IS NULL OR d.lang IS NULL THEN 1.0 ELSE levenshtein(coalesce(d.source, ''), d.lang)::DOUBLE / length(d.lang) END, 6) AS cer
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def eval_missing_gt_empty(spark, d):
-    docs, labels = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels").select(F.col("doc_id").alias("l"), "quality")
-    j = docs.join(labels, F.col("doc_id") == F.col("l"), "left")
-    truth = F.when(F.col("l").isNull(), "").otherwise(F.col("text"))
-    return j.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.when(truth == F.col("text"), 0.0).otherwise(T.cer("text", truth)).alias("cer"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("image"), F.coalesce("source", F.lit("")).alias("text"), "lang")
+    truth = docs.join(table(spark, d, "labels"), "doc_id").select("image", F.col("lang").alias("text"), "quality")
+    scored = scoring.with_truth(docs.select("doc_id", "image", "text"), truth, "empty")
+    return scored.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), r6(T.cer("text", F.coalesce("gt_text", F.lit("")))).alias("cer"))
 
 
 @query("""SELECT count(*) AS n, round(avg(quality), 6) AS mean_quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.text <> ''""")
 def eval_missing_gt_skip(spark, d):
-    return table(spark, d, "documents").where("text <> ''").select("doc_id").join(table(spark, d, "labels"), "doc_id").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("quality")).alias("mean_quality"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("image"), "text")
+    truth = docs.join(table(spark, d, "labels"), "doc_id").select("image", "text", "quality")
+    return scoring.with_truth(docs.select("image"), truth, "text").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("quality")).alias("mean_quality"))
 
 
 @query("""SELECT event_type, round(avg(value), 6) AS latency_avg, round(coalesce(stddev_samp(value), 0.0), 6) AS latency_std, round(coalesce(max(value), 0.0), 6) AS latency_max,
@@ -397,28 +400,138 @@ def mime_type(spark, d):
     return table(spark, d, "pages").select("page_id", T.mime_type(F.concat("url", ends)).alias("mime"))
 
 
-@query("SELECT count(*) FILTER (quality = 0 AND toxic = 1) AS errors, count(*) FILTER (quality = 0 AND toxic = 0) AS warnings, bool_and(NOT (quality = 0 AND toxic = 1)) AS passed FROM labels")
+@query("SELECT count(*) FILTER (quality = 0 AND toxic = 1) AS errors, count(*) FILTER (quality = 0 AND toxic = 0) AS warnings, coalesce(bool_and(NOT (quality = 0 AND toxic = 1)), true) AS passed FROM labels")
 def check_summary(spark, d):
-    failed, severe = F.col("quality") == 0, F.col("toxic") == 1
-    return table(spark, d, "labels").agg(F.count_if(failed & severe).alias("errors"), F.count_if(failed & ~severe).alias("warnings"), F.bool_and(~(failed & severe)).alias("passed"))
+    return evaluation.checked(table(spark, d, "labels"), F.col("quality") == 0, F.col("toxic") == 1)
 
 
 @query("SELECT conv_id, turn, left(text, 80) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k <= 3")
 def top3_samples(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, d, "conversations").withColumn("k", F.row_number().over(w)).where("k <= 3").select("conv_id", "turn", F.left("text", F.lit(80)).alias("text"))
+    return evaluation.samples(table(spark, d, "conversations"), 3, ("turn",), "conv_id").select("conv_id", "turn", F.left("text", F.lit(80)).alias("text"))
 
 
-@query("SELECT r_name AS candidate_name, CAST(r_regionkey AS DOUBLE) AS cer, CAST(NULL AS VARCHAR) AS model FROM region UNION ALL SELECT n_name, CAST(NULL AS DOUBLE), 'm' FROM nation")
+@query("SELECT r_name AS candidate_name, CAST(r_regionkey AS DOUBLE) AS cer, CAST(NULL AS VARCHAR) AS model_version FROM region UNION ALL SELECT n_name, CAST(NULL AS DOUBLE), 'm' FROM nation")
 def schema_superset_union(spark, d):
-    a = table(spark, d, "region").select(F.col("r_name").alias("candidate_name"), F.col("r_regionkey").cast("double").alias("cer"))
+    a = table(spark, d, "region").select(F.col("r_name").alias("candidate_name"), F.col("r_regionkey").cast("double").alias("character_error_rate"))
     b = table(spark, d, "nation").select(F.col("n_name").alias("candidate_name"), F.lit("m").alias("model"))
-    return a.unionByName(b, allowMissingColumns=True)
+    return readers.superset(a, b).select("candidate_name", F.col("character_error_rate").alias("cer"), "model_version")
 
 
-@query("""WITH p AS (SELECT event_type AS candidate, CAST(event_id % 200 AS VARCHAR) || '.png' AS image, value AS latency FROM events)
-SELECT candidate, round(avg(latency), 6) AS latency_avg, count(*) AS n, count(*) FILTER (CAST(replace(image, '.png', '') AS INTEGER) < 120) AS n_scored FROM p GROUP BY candidate""")
+def _runs(spark, d):
+    """Events as pages of candidates: image, run, text, order of three blocks, one error, memory; the truth has 120 of the 200 images."""
+    kind = lambda k: F.element_at(F.array(*[F.lit(t) for t in TYPES]), (k % 6 + 1).cast("int"))
+    box = lambda x: F.array(F.lit(0.0), F.lit(0.0), F.lit(10.0), x.cast("double"))
+    e = F.col("event_id")
+    preds = table(spark, d, "events").select(
+        F.col("event_type").alias("candidate"), F.floor(e / 200).cast("int").alias("run"), F.concat((e % 200).cast("string"), F.lit(".png")).alias("image"), F.concat("event_type", F.lit("  "), (F.col("user_id") % 3).cast("string")).alias("text"), F.col("value").alias("latency"),
+        F.array(*[((e + k) % 3).cast("int") for k in range(3)]).alias("reading_order"), F.array(F.struct(kind(e).alias("type"), box(10 + e % 10).alias("bbox"))).alias("errors"), F.when(e % 4 != 0, F.col("value") / 2).alias("stage1_latency"), (F.col("user_id") % 1000).alias("vram_mb"),
+    )
+    k = F.col("id")
+    truth = spark.range(120).select(k.cast("string").alias("image"), F.concat(F.lit("click "), (k % 3).cast("string")).alias("text"), F.array(F.lit(0), F.lit(1), F.lit(2)).alias("reading_order"), F.array(F.struct(kind(k).alias("type"), box(F.lit(10)).alias("bbox"))).alias("errors"))
+    return preds, truth
+
+
+@query("""WITH p AS (SELECT event_type AS candidate, event_id % 200 AS k, event_type || ' ' || user_id % 3 AS text, value AS latency, event_id AS e, user_id % 1000 AS vram FROM events),
+s AS (SELECT *, 'click ' || k % 3 AS gt, e % 6 AS kp, k % 6 AS kg FROM p WHERE k < 120),
+m AS (SELECT candidate, avg(levenshtein(text, gt)::DOUBLE / length(gt)) AS cer, avg((CASE WHEN candidate <> 'click' THEN 1 ELSE 0 END + CASE WHEN right(text, 1) <> right(gt, 1) THEN 1 ELSE 0 END) / 2.0::DOUBLE) AS wer, avg(CASE WHEN e % 3 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE / 3 END) AS tau,
+  avg(CASE WHEN kp = kg AND kp < 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS f1, avg(10.0::DOUBLE / (10 + e % 10)) AS iou, count(*) AS n_scored FROM s GROUP BY candidate)
+SELECT p.candidate, round(avg(latency), 6) AS latency_avg, count(*) AS n, round(coalesce(any_value(cer), 0), 6) AS cer, round(coalesce(any_value(wer), 0), 6) AS wer, round(coalesce(any_value(tau), 0), 6) AS reading_order_tau, round(coalesce(any_value(f1), 0), 6) AS error_detection_f1,
+  round(coalesce(any_value(iou), 0), 6) AS bounding_box_iou, round(coalesce(avg(latency / 2) FILTER (e % 4 <> 0), 0), 6) AS stage1_latency_avg, max(vram) AS vram_peak_mb, coalesce(any_value(n_scored), 0) AS n_scored
+FROM p LEFT JOIN m ON m.candidate = p.candidate GROUP BY p.candidate""")
 def evaluate_candidates(spark, d):
-    preds = table(spark, d, "events").select(F.col("event_type").alias("candidate"), F.concat((F.col("event_id") % 200).cast("string"), F.lit(".png")).alias("image"), F.col("event_type").alias("text"), F.col("value").alias("latency"))
-    truth = spark.range(120).select(F.col("id").cast("string").alias("image"), F.lit("click").alias("text"))
-    return scoring.evaluate(preds, truth).select("candidate", r6("latency_avg").alias("latency_avg"), "n", "n_scored")
+    out = evaluation.run_candidates(*_runs(spark, d))
+    return out.select("candidate", r6("latency_avg").alias("latency_avg"), "n", *[r6(c).alias(c) for c in ("cer", "wer", "reading_order_tau", "error_detection_f1", "bounding_box_iou", "stage1_latency_avg")], F.col("vram_peak_mb").cast("long").alias("vram_peak_mb"), "n_scored")
+
+
+def _layout(spark, d):
+    """Pages of line items with a latency; every fifth page has no truth."""
+    at = pages(spark, d)
+    as_blocks = lambda boxes: F.transform(boxes, lambda b, i: F.struct(b.alias("bbox"), F.concat(F.lit("t"), i.cast("string")).alias("text")))
+    image = F.concat(F.col("page").cast("string"), F.lit(".png")).alias("image")
+    preds = at.select(image, as_blocks(F.col("pred")).alias("blocks"), ((F.col("page") % 97).cast("double") / 8).alias("stage1_latency"))
+    truth = at.where("page % 5 <> 0").select(image, as_blocks(F.col("gt")).alias("blocks"), F.transform("rows", lambda r: r["b"]).alias("reading_order"))
+    return evaluation.layout_eval(preds, truth, "lines")
+
+
+_LAYOUT_SQL = f"""WITH x AS (SELECT b.page, b.mean_iou, b.matched, b.total_gt, b.total_pred, b.recall, b.prec, o.tau, o.matched_blocks FROM ({_PAGE_SQL} SELECT * FROM a) b JOIN ({_ORDER_SQL} SELECT * FROM o) o ON o.page = b.page WHERE b.page % 5 <> 0),
+n AS (SELECT count(DISTINCT l_orderkey) AS n FROM lineitem)"""
+
+
+@query(_LAYOUT_SQL + """ SELECT 'lines_bbox' AS candidate, round(coalesce(avg(mean_iou) FILTER (matched > 0), 0), 4) AS mean_bbox_iou, round(coalesce(avg(tau) FILTER (matched_blocks >= 2), 0), 4) AS mean_kendall_tau,
+round(sum((page % 97)::DOUBLE / 8) / any_value(n.n), 2) AS mean_latency_s, count(*) FILTER (matched > 0) AS images_with_bbox_matches, count(*) FILTER (matched_blocks >= 2) AS images_with_tau, any_value(n.n) AS total_images FROM x, n""")
+def layout_eval_summary(spark, d):
+    return _layout(spark, d)[0]
+
+
+@query(_LAYOUT_SQL + """ SELECT page || '.png' AS image, CAST(total_pred AS INTEGER) AS num_pred_blocks, CAST(total_gt AS INTEGER) AS num_gt_blocks, round(mean_iou, 4) AS bbox_mean_iou, round(recall, 4) AS bbox_recall, round(prec, 4) AS bbox_precision, round(tau, 4) AS reading_order_tau,
+CAST(matched_blocks AS INTEGER) AS reading_order_matched, round((page % 97)::DOUBLE / 8, 2) AS latency_s, CAST(least(3, total_pred) AS INTEGER) AS n_samples FROM x""")
+def layout_eval_images(spark, d):
+    return _layout(spark, d)[1].withColumn("n_samples", F.size("sample_blocks")).drop("candidate", "sample_blocks")
+
+
+def _forms(spark, d):
+    """Conversations as forms: a line a turn, with up to two components; every fifth has no handwritten part, every fourth image no form."""
+    k, t = F.col("conv_id"), F.col("turn")
+    part = lambda x, y: F.struct(x.cast("int").alias("_x"), y.cast("int").alias("_y"), F.when(t % 3 != 2, 40 + t % 5).cast("int").alias("_width"), F.lit(20).alias("_height"))
+    word = F.struct(F.lit("w").alias("_id"), F.lit("w").alias("_text"), F.when(t % 4 == 1, F.array(part(k % 50 + 7 * t, 900 - 40 * t), part(k % 30, 905 - 40 * t))).otherwise(F.array(part(k % 50, 900 - 40 * t))).alias("cmp"))
+    line = F.struct(t.alias("turn"), F.when(t % 6 != 5, F.col("text")).otherwise("").alias("_text"), F.array(word).alias("word"))
+    lines = table(spark, d, "conversations").where("conv_id % 4 <> 3").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: F.struct(x["_text"].alias("_text"), x["word"].alias("word"))).alias("l"))
+    forms = lines.select(F.concat(F.lit("c"), k.cast("string")).alias("image"), F.lit(1000).alias("_height"), F.when(k % 5 != 0, F.struct(F.col("l").alias("line"))).alias("handwritten-part"), F.when(k % 5 == 0, F.col("l")).alias("line"))
+    return table(spark, d, "conversations").select(F.concat(F.lit("c"), k.cast("string"), F.lit(".png")).alias("image")).distinct(), forms
+
+
+_FORMS_SQL = """WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS idx, CASE WHEN turn % 6 <> 5 THEN text ELSE '' END AS text FROM conversations WHERE conv_id % 4 <> 3),
+l AS (SELECT conv_id, idx, text, CASE WHEN turn % 3 = 2 THEN 0 WHEN turn % 4 = 1 THEN least(conv_id % 50 + 7 * turn, conv_id % 30) ELSE conv_id % 50 END AS x1, CASE WHEN turn % 3 = 2 THEN 0 ELSE 900 - 40 * turn END AS y1,
+  CASE WHEN turn % 3 = 2 THEN 0 WHEN turn % 4 = 1 THEN greatest(conv_id % 50 + 7 * turn, conv_id % 30) + 40 + turn % 5 ELSE conv_id % 50 + 40 + turn % 5 END AS x2, CASE WHEN turn % 3 = 2 THEN 0 WHEN turn % 4 = 1 THEN 925 - 40 * turn ELSE 920 - 40 * turn END AS y2, turn % 3 <> 2 AS boxed FROM c WHERE text <> '')"""
+
+
+@query(_FORMS_SQL + """, i AS (SELECT DISTINCT conv_id FROM conversations),
+p AS (SELECT conv_id, count(*) AS n, string_agg(text, chr(10) ORDER BY y1, x1, idx) AS text, min(x1) AS x1, max(y2) AS y2 FROM l GROUP BY conv_id)
+SELECT 'c' || i.conv_id || '.png' AS image, coalesce(p.text, '') AS text, coalesce(p.n, 0) AS n_blocks, coalesce(p.x1, -1)::DOUBLE AS x1, coalesce(p.y2, -1)::DOUBLE AS y2, i.conv_id % 4 = 3 AS skeleton FROM i LEFT JOIN p ON p.conv_id = i.conv_id""")
+def truth_from_forms(spark, d):
+    images, forms = _forms(spark, d)
+    side = lambda k, f: F.coalesce(f(F.transform("blocks", lambda b: b["bbox"][k])), F.lit(-1.0))
+    return prep.truth_entries(images, forms).select("image", "text", F.size("blocks").cast("long").alias("n_blocks"), side(0, F.array_min).alias("x1"), side(3, F.array_max).alias("y2"), F.col("_note").isNotNull().alias("skeleton"))
+
+
+@query(_FORMS_SQL + """, b AS (SELECT conv_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS n FROM l WHERE boxed AND conv_id % 5 <> 0 GROUP BY conv_id)
+SELECT 'c' || conv_id || '.png' AS image, x1 AS x1, y2 AS y2, CAST(least(200, x2 + 20) - greatest(0, x1 - 20) AS BIGINT) AS cropped_width, CAST(least(1000, y2 + 20) - greatest(0, y1 - 20) AS BIGINT) AS cropped_height, n AS num_lines FROM b""")
+def crop_manifest(spark, d):
+    images, forms = _forms(spark, d)
+    rows = prep.crop_rows(images.select("image", F.lit(200).alias("width"), F.lit(1000).alias("height")), forms, signatures=True)
+    at = lambda c, k: F.col(c)[k].cast("long")
+    return rows.select("image", at("crop_bbox", 0).alias("x1"), at("crop_bbox", 3).alias("y2"), at("cropped_size", 0).alias("cropped_width"), at("cropped_size", 1).alias("cropped_height"), F.col("num_lines").cast("long").alias("num_lines"))
+
+
+@query("SELECT 'd' || doc_id AS image, source AS path, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE n_chars / 1000.0::DOUBLE END::DOUBLE AS text_density, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE n_chars END::BIGINT AS estimated_lines, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE doc_id END::BIGINT AS contrast FROM documents")
+def curated_manifest(spark, d):
+    k = F.col("doc_id")
+    rows = table(spark, d, "documents").select(F.concat(F.lit("d"), k.cast("string")).alias("image"), F.col("source").alias("path"), F.when(k % 3 != 0, F.col("n_chars") / 1000.0).alias("text_density"), F.when(k % 4 != 0, F.col("n_chars").cast("long")).alias("estimated_lines"), F.when(k % 5 != 0, k.cast("long")).alias("contrast"), k)
+    return prep.curated(rows)
+
+
+#: 16 columns and 25 rows of samples (shares of 400 have four places at most) for each page, by whole-number arithmetic.
+_PIXEL_SQL = "(page_id * 7 + x * 13 + y * y * 29) % 256"
+
+
+@query(f"""WITH p AS (SELECT page_id, y, {_PIXEL_SQL} AS v FROM pages, range(16) a(x), range(25) b(y)),
+r AS (SELECT page_id, y, avg(CASE WHEN v < 128 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS dark FROM p GROUP BY page_id, y),
+t AS (SELECT page_id, avg(dark) + 0.5 * stddev_pop(dark) AS top FROM r GROUP BY page_id),
+k AS (SELECT r.page_id, greatest(1, CAST(trunc(count(*) FILTER (dark > top) / (25 * 0.02::DOUBLE)) AS INTEGER)) AS estimated_lines FROM r JOIN t ON t.page_id = r.page_id GROUP BY r.page_id)
+SELECT p.page_id || '.png' AS image, 16 AS width, 25 AS height, 0.64::DOUBLE AS aspect_ratio, round(avg(CASE WHEN v < 128 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS text_density, round(stddev_pop(v), 2) AS contrast, any_value(k.estimated_lines) AS estimated_lines FROM p JOIN k ON k.page_id = p.page_id GROUP BY p.page_id""")
+def image_manifest(spark, d):
+    """Features of image files that are made from the pages' numbers."""
+    import numpy as np
+    import pyarrow as pa
+
+    from docgauge.sources import images
+
+    def files(batches):
+        x, y = np.arange(16), np.arange(25)[:, None]
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            content = [images.to_png(((k * 7 + x * 13 + y * y * 29) % 256).astype(np.uint8)) for k in ids]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{k}.png" for k in ids], pa.string()), pa.array([f"pages/{k}.png" for k in ids], pa.string()), pa.array(content, pa.binary())], ["image", "path", "content"])
+
+    made = table(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id")).mapInArrow(files, "image string, path string, content binary")
+    return images.manifest(made).select("image", "width", "height", "aspect_ratio", "text_density", "contrast", "estimated_lines")

@@ -58,7 +58,61 @@ def result_images(spark: SparkSession, path: str, image: str = "struct<image:str
     return json_rows(spark, path, f"candidate string, images array<{image}>").where("images IS NOT NULL").select("candidate", F.explode("images").alias("i")).select("candidate", "i.*")
 
 
-def forms(spark: SparkSession, path: str) -> DataFrame:
-    """Forms in XML, one row each; `image` is the file's stem; of several files with a stem the first path counts."""
-    df = spark.read.format("xml").option("rowTag", "form").schema(FORM).load(path).withColumn("path", F.input_file_name())
+CURATED = "image string, path string, text_density double, estimated_lines int, contrast double, writer_prefix string"
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of a data set: an image and its features, or an error, a row."""
+    return json_rows(spark, path, MANIFEST)
+
+
+def curated(spark: SparkSession, path: str) -> DataFrame:
+    """A curated manifest in either form: with the writer's prefix, or with the contrast."""
+    return json_rows(spark, path, CURATED)
+
+
+def crops(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of cropped pages."""
+    return json_rows(spark, path, CROPS)
+
+
+def template(spark: SparkSession, path: str) -> DataFrame:
+    """True pages from JSON files that may begin with lines of # comments, a file a row of `wholetext`."""
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"(?m)^#.*$", "").alias("json"))
+    return text.select(F.explode(F.from_json("json", f"array<struct<{_colons(TRUTH)}>>")).alias("t")).select("t.*")
+
+
+def _colons(schema: str) -> str:
+    """`a int, b array<..>` as the fields of a struct type."""
+    depth, fields, at = 0, [], 0
+    for i, c in enumerate(schema + ","):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            fields.append(schema[at:i].strip())
+            at = i + 1
+    return ",".join(f.replace(" ", ":", 1) for f in fields)
+
+
+def superset(*frames: DataFrame, schema: str = RESULT) -> DataFrame:
+    """Results of different shapes as rows of the superset of their fields; a model without version gives its name as the version."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    fields = _parse_datatype_string(schema).fields
+    shaped = [f.select(*[(F.col(x.name) if x.name in f.columns else F.lit(None)).cast(x.dataType).alias(x.name) for x in fields]) for f in frames]
+    out = shaped[0]
+    for f in shaped[1:]:
+        out = out.unionByName(f)
+    return out.withColumn("model_version", F.coalesce("model_version", "model")) if {"model_version", "model"} <= set(out.columns) else out
+
+
+def settings(spark: SparkSession, prefix: str = "docgauge.", **defaults: str) -> dict[str, str]:
+    """Settings by name: the session's (`prefix` and name), else the environment's (name in capitals), else the default."""
+    import os
+
+    return {k: spark.conf.get(prefix + k, None) or os.environ.get(k.upper()) or v for k, v in defaults.items()}
+
+
+def forms(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """Forms in XML, one row each, with `recursive` also from folders below; `image` is the file's stem; of several files with a stem the first path counts."""
+    df = spark.read.format("xml").option("rowTag", "form").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.xml").schema(FORM).load(path).withColumn("path", F.input_file_name())
     return df.withColumn("image", stem("path")).groupBy("image").agg(F.min_by(F.struct(*df.columns), "path").alias("f")).select("image", "f.*")

@@ -26,3 +26,14 @@ def details_by_image(images: DataFrame, by: str = "candidate", image: str = "ima
 
 def save_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def result_json(df: DataFrame, name: str = "json") -> DataFrame:
+    """Each row as one JSON object, fields without a value included; times and other types as text."""
+    return df.select(*[c for c, kind in df.dtypes if c in ("candidate", "candidate_name")], F.to_json(F.struct(*[F.col(c).cast("string").alias(c) if kind in ("timestamp", "date") else F.col(c) for c, kind in df.dtypes]), {"ignoreNullFields": "false"}).alias(name))
+
+
+def save_report(summary: DataFrame, images: DataFrame, path: str, by: str = "candidate") -> None:
+    """A layout report as two folders of JSON, summary and images, in folders by candidate: no candidate's images are one row."""
+    summary.write.mode("overwrite").json(f"{path}/summary")
+    images.repartition(by, F.pmod(F.xxhash64("image"), F.lit(64))).sortWithinPartitions(by, "image").write.mode("overwrite").partitionBy(by).json(f"{path}/images")
