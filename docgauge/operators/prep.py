@@ -184,5 +184,5 @@ def merged(left: Column, right: Column, fields: list[str]) -> Column:
 
 
 def truth_of(truth: DataFrame, image: str, seq: str | None = None) -> DataFrame:
-    """The first row of the truth for an image, or none."""
-    return truth.where(F.col("image") == image).orderBy(*([seq] if seq else [])).limit(1)
+    """The first row of the truth for an image by `seq` (without it by the row itself), or none."""
+    return truth.where(F.col("image") == image).orderBy(*([seq] if seq else truth.columns)).limit(1)
