@@ -59,6 +59,16 @@ def distinct_sample(df: DataFrame, by: str, text: str, share, sample: int, name:
     return drawn.join(F.broadcast(least.select("by", "h")), ["by", "h"], "left_semi").select(F.col("by").alias(by), F.col("text").alias(text))
 
 
+_held: dict[str, object] = {}
+
+
+def sole_cache(name: str, clear) -> None:
+    """Told by a Python worker that is about to fill a large cache: what other operators left in the same worker is dropped."""
+    for other in [x for x in _held if x != name]:
+        _held.pop(other)()
+    _held[name] = clear
+
+
 def ship(spark: SparkSession) -> None:
     """Puts this package on the executors' path."""
     sc = spark.sparkContext

@@ -1,8 +1,9 @@
 """Connected components of a link table, by alternating large and small stars.
 
-No task or machine holds all links: every round is a pre-aggregated minimum and
-an equi-join, written to the shared folder.  Before the rounds each partition
-contracts its own links to stars, which leaves few rounds.
+First each task contracts its own links to stars, `HELD` links at a time.  What is
+left and fits into one such step (it is counted) is contracted once more and done.
+Otherwise come the rounds: every round is a pre-aggregated minimum and an
+equi-join, written to the shared folder, so no task or machine holds all links.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ def smallest_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-#: Links that a task contracts at once.
-HELD = 1_000_000
+#: Links that a task contracts at once (16 bytes each).
+HELD = 500_000
 
 
 def _contracted(batches):
@@ -65,7 +66,11 @@ def components(links: DataFrame) -> DataFrame:
     ship(links.sparkSession)
     u, v = links.columns
     links = links.select(F.greatest(u, v).cast("long").alias("u"), F.least(u, v).cast("long").alias("v")).where("u <> v")
-    links = written(links.mapInArrow(_contracted, "u long, v long").distinct(), "links")
+    links = written(links.mapInArrow(_contracted, "u long, v long"), "links")
+    if links.count() <= HELD:
+        links = written(links.coalesce(1).mapInArrow(_contracted, "u long, v long"), "links")
+        return _labelled(links)
+    links = written(links.distinct(), "links")
     mark = _mark(links)
     while mark[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -78,5 +83,10 @@ def components(links: DataFrame) -> DataFrame:
         last, mark = mark, _mark(links)
         if mark == last:
             break
+    return _labelled(links)
+
+
+def _labelled(links: DataFrame) -> DataFrame:
+    """Stars u, v -> node, component, the centres included."""
     roots = links.select(F.col("v").alias("node")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgauge.llm.common import distinct_sample, ship
+from docgauge.llm.common import distinct_sample, ship, sole_cache
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -155,7 +155,7 @@ class Field:
 class Tagger(dict):
     """A worker's field: token -> number of its row of scores (own, for the next token, for the one before; begin and inside each). Tokens that are alike share a row."""
 
-    MOST = 400_000
+    MOST = 250_000
 
     def __init__(self, field: Field):
         self.field, self.slack = field, field.slack()
@@ -402,6 +402,7 @@ _taggers: dict[bytes, Tagger] = {}
 
 
 def _tagger(key: bytes, field: Field) -> Tagger:
+    sole_cache("taggers", _taggers.clear)
     if key not in _taggers:
         _taggers.clear()
         _taggers[key] = Tagger(field)

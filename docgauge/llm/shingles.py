@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgauge.llm.common import free_names, ship, small, written
+from docgauge.llm.common import free_names, ship, small, sole_cache, written
 from docgauge.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -84,6 +84,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers_upto(n: int) -> list[np.ndarray]:
+    sole_cache("powers", lambda: _powers.__setitem__(slice(None), [np.ones(1, np.uint64)] * 2))
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             _powers[k] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
@@ -615,16 +616,19 @@ def _verified(members: DataFrame, words: int, percent: int) -> DataFrame:
 
 def _chunked(members: DataFrame, ranges: Ranges, chunk: int) -> DataFrame:
     """`members` (grp, rep, f1, n) with `pieces` (chunks of the group), k (range of sizes, 0 in groups of one chunk), at (chunk in the range), here, before, after (chunks of the range and its neighbours)."""
-    size = lambda: F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("n") / SHINGLES)).cast("long")
-    pieces = members.groupBy("grp").agg(size().alias("pieces"))
     low = F.array(*[F.lit(int(x)) for x in ranges.low])
-    k = F.when(F.col("pieces") == 1, F.lit(0)).otherwise(F.size(F.filter(low, lambda x: x <= F.col("n"))) - 1)
-    members = members.join(pieces, "grp").withColumn("k", k.cast("long"))
-    own = members.groupBy("grp", "k").agg(size().alias("here"))
-    beside = own.select("grp", F.explode(F.array(F.struct((F.col("k") + 1).alias("k"), F.col("here").alias("before"), F.lit(0).cast("long").alias("after")), F.struct((F.col("k") - 1).alias("k"), F.lit(0).cast("long").alias("before"), F.col("here").alias("after")))).alias("b"))
-    beside = beside.groupBy("grp", "b.k").agg(F.sum("b.before").alias("before"), F.sum("b.after").alias("after"))
-    parts = own.join(beside, ["grp", "k"], "left").select("grp", "k", "here", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
-    return members.join(parts, ["grp", "k"]).withColumn("at", F.pmod(F.xxhash64("rep", "f1"), F.col("here")))
+    members = members.withColumn("size_range", (F.size(F.filter(low, lambda x: x <= F.col("n"))) - 1).cast("long"))
+    size = lambda w: F.greatest(F.ceil(F.sum("c").over(w) / chunk), F.ceil(F.sum("s").over(w) / SHINGLES)).cast("long")
+    # a row a group and range from here on
+    per = members.groupBy("grp", "size_range").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    in_group = Window.partitionBy("grp")
+    per = per.withColumn("pieces", size(in_group))
+    per = per.withColumn("k", F.when(F.col("pieces") == 1, F.lit(0).cast("long")).otherwise(F.col("size_range")))
+    own = per.withColumn("here", size(Window.partitionBy("grp", "k")))
+    beside = in_group.orderBy("k")
+    near = lambda d: F.coalesce(F.max(F.col("here")).over(beside.rangeBetween(d, d)), F.lit(0)).cast("long")
+    parts = own.withColumn("before", near(-1)).withColumn("after", near(1)).select("grp", "size_range", "pieces", "k", "here", "before", "after")
+    return members.join(small(parts, "shingle-parts"), ["grp", "size_range"]).drop("size_range").withColumn("at", F.pmod(F.xxhash64("rep", "f1"), F.col("here")))
 
 
 def _turns(first: bool):

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from docgauge.llm.common import sole_cache
+
 #: The characters with the Unicode property White_Space (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Stands between chunks while Arrow cuts a batch; texts that hold it take the other path.
@@ -92,7 +94,10 @@ class TokenCache:
     def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self.size[which]
         upto = np.concatenate([[0], np.cumsum(n)])
-        return self.flat[np.repeat(self.first[which] - upto[:-1], n) + np.arange(upto[-1])], upto
+        kind = np.int32 if max(int(upto[-1]), len(self.flat)) < 1 << 31 else np.int64
+        at = np.arange(upto[-1], dtype=kind)
+        at += np.repeat((self.first[which] - upto[:-1]).astype(kind), n)
+        return self.flat[at], upto
 
     def _learn(self, chunks: list[str]) -> None:
         """A plain word with punctuation behind it has the ids of both, one after the other."""
@@ -163,6 +168,7 @@ _caches: dict[str, TokenCache] = {}
 
 
 def cache_for(path: str) -> TokenCache:
+    sole_cache(path, lambda: _caches.pop(path, None))
     if path not in _caches:
         _caches[path] = TokenCache(path)
     return _caches[path]

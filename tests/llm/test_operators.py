@@ -472,7 +472,9 @@ def test_one_of_each_group_stays(docs):
     assert out.columns == docs.columns and ids == sorted([-1, *(d for d, (_, c) in want.items() if c == d)])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("held", [500_000, 3])
+def test_components(spark, monkeypatch, held):
+    monkeypatch.setattr(components, "HELD", held)
     links = [(k, k + 1) for k in range(1, 40)] + [(100, 50), (7, 7), (60, 100), (60, 50)]
     got = dict(components.components(spark.createDataFrame(links, "a long, b long").repartition(6)).collect())
     assert got == {**{k: 1 for k in range(1, 41)}, 50: 50, 60: 50, 100: 50}
