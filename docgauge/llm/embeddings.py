@@ -4,10 +4,11 @@ Unit vectors with cosine >= c are at a squared distance of at most 2 - 2 c.  The
 vectors are rotated by a fixed random rotation and cut into blocks of `WIDTH`
 dimensions; a pair within the whole budget is within the block's share of it
 (block width / dimensions) in at least one block.  Each block is range-joined:
-its first dimensions are cut into cells of four radii, a vector belongs to its
+some of its dimensions are cut into cells of four radii, a vector belongs to its
 cell and visits the neighbouring cells that its radius reaches, and within a cell
 block distances make the candidates, verified by the whole cosine in double
-precision.  A pair is counted in the first block that finds it only, so degrees
+precision.  How many dimensions are cut is told by the cells' sizes, counted over
+all vectors for each number: one more makes cells smaller and rows more.  A pair is counted in the first block that finds it only, so degrees
 need no table of pairs.
 
 Equal vectors of a label are one class with a count before the join, so a vector
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 from docgauge.llm.common import ship, written
 from docgauge.llm.components import components, smallest_labels
 
-COSINE, WIDTH, CHUNK, SEED = 0.98, 8, 2000, 7
+COSINE, WIDTH, CHUNK, SEED = 0.98, 8, 8000, 7
+#: Rows of a chunk whose distances are held at once; so many compared pairs take the time of one row that is moved.
+STRIP, PAIRS = 500, 2000
 _SLACK = 1 + 1e-9
 
 
@@ -48,7 +51,7 @@ def blocks(d: int) -> list[tuple[int, int]]:
     return [(a, min(d, a + WIDTH)) for a in range(0, d, WIDTH)]
 
 
-def rotated(vectors: list) -> np.ndarray:
+def rotated(vectors: np.ndarray | list) -> np.ndarray:
     """Unit vectors of one length, rotated; each row's result depends on that row alone."""
     x = np.array(vectors, np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -82,36 +85,70 @@ def _pairs(y: np.ndarray, ids: np.ndarray, home: np.ndarray, visit: np.ndarray,
     a, b = cuts[block]
     limit = np.array([budget * (q - p) / d for p, q in cuts]) * _SLACK + 1e-15
     h, v = np.flatnonzero(home), np.flatnonzero(visit)
-    hb, vb = y[h, a:b], y[v, a:b]
-    near = (hb * hb).sum(axis=1)[:, None] + (vb * vb).sum(axis=1) - 2 * hb @ vb.T <= limit[block] + 1e-12
-    near &= ids[h][:, None] < ids[v]
-    at, to = np.nonzero(near)
+    vb = y[v, a:b]
+    v2 = (vb * vb).sum(axis=1)
     out = []
-    for k in range(0, len(at), 50_000):
-        i, j = h[at[k : k + 50_000]], v[to[k : k + 50_000]]
-        linked = (y[i] * y[j]).sum(axis=1) >= cosine
-        i, j = i[linked], j[linked]
-        gap = (y[i] - y[j]) ** 2
-        by = np.stack([gap[:, p:q].sum(axis=1) for p, q in cuts], axis=1) <= limit
-        first = by[:, block] & ~by[:, :block].any(axis=1)
-        out.append((i[first], j[first]))
+    for x in range(0, len(h), STRIP):
+        some = h[x : x + STRIP]
+        hb = y[some, a:b]
+        near = (hb * hb).sum(axis=1)[:, None] + v2 - 2 * hb @ vb.T <= limit[block] + 1e-12
+        near &= ids[some][:, None] < ids[v]
+        at, to = np.nonzero(near)
+        for k in range(0, len(at), 50_000):
+            i, j = some[at[k : k + 50_000]], v[to[k : k + 50_000]]
+            linked = (y[i] * y[j]).sum(axis=1) >= cosine
+            i, j = i[linked], j[linked]
+            gap = (y[i] - y[j]) ** 2
+            by = np.stack([gap[:, p:q].sum(axis=1) for p, q in cuts], axis=1) <= limit
+            first = by[:, block] & ~by[:, :block].any(axis=1)
+            out.append((i[first], j[first]))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int),) * 2
 
 
+def _by_length(batch: pa.RecordBatch, column: int):
+    """(dimensions, rows, their unit vectors rotated) for each length in a batch."""
+    vectors = batch.column(column)
+    flat, at = vectors.flatten().to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
+    at = at - at[0]
+    size = np.diff(at)
+    for d in np.unique(size).tolist():
+        rows = np.flatnonzero(size == d)
+        yield d, rows, rotated(flat[at[rows][:, None] + np.arange(d)])
+
+
+def cut_dimensions(classes: DataFrame, cosine: float = COSINE) -> int:
+    """How many dimensions of a block are cut: the number for which pairs and rows together take least, by the sizes of all cells."""
+    ship(classes.sparkSession)
+
+    def sizes(batches):
+        for b in batches:
+            labels = b.column(0).to_pylist()
+            for d, rows, y in _by_length(b, 1):
+                for k, (p, q) in enumerate(blocks(d)):
+                    width = 4 * np.sqrt((2 - 2 * cosine) * (q - p) / d) * _SLACK
+                    own = np.floor(y[:, p:q] / width).astype(np.int64)
+                    for dims in range(1, q - p + 1):
+                        seen: dict[str, int] = {}
+                        for i, c in zip(rows.tolist(), own[:, :dims].tolist()):
+                            name = f"{labels[i]}/{d}/{k}/{c}"
+                            seen[name] = seen.get(name, 0) + 1
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), dims, np.int32)), pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["dims", "cell", "n"])
+
+    cells = classes.select("label", "embedding").mapInArrow(sizes, "dims int, cell string, n long").groupBy("dims", "cell").agg(F.sum("n").cast("double").alias("n"))
+    # a vector visits 1.5 cells a dimension
+    found = cells.groupBy("dims").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("rows")).collect()
+    return min(((r.pairs / 2 + PAIRS * r.rows) * 1.5**r.dims, r.dims) for r in found)[1] if found else 2
+
+
 def links(classes: DataFrame, cosine: float = COSINE, chunk: int = CHUNK) -> DataFrame:
     """`classes`: rep, n, label, embedding. Gives rep, more (vectors of other classes that it links with), root (another rep in reach, or itself)."""
     ship(classes.sparkSession)
-    many = classes.count()
-    dims = 2 + (many > 1_000_000) + (many > 100_000_000)  # a finer grid for larger tables; results are the same
+    dims = cut_dimensions(classes, cosine)
 
     def placed(batches):
         for b in batches:
             reps, n, labels = (b.column(k) for k in range(3))
-            vectors = b.column(3).to_pylist()
-            size = np.array([len(v) for v in vectors])
-            for d in np.unique(size).tolist():
-                rows = np.flatnonzero(size == d)
-                y = rotated([vectors[i] for i in rows])
+            for d, rows, y in _by_length(b, 3):
                 for k, (p, q) in enumerate(blocks(d)):
                     at, cell, home = cells(y, p, q, (2 - 2 * cosine) * (q - p) / d, dims)
                     name = pa.array([f"{d}/{k}/" + ",".join(map(str, c)) for c in cell.tolist()])

@@ -5,10 +5,12 @@ A document's bytes, padded with 255 to a positive multiple of `WIDTH`, are the
 a tar file under its payload's digest.  Rows carry digest, shard, offset and
 length.  A task writes its own shard and stores a payload once in it; where
 several shards hold a payload, all rows refer to the first of them, so equal
-texts have equal values and no text is shuffled.
+texts have equal values and no text is shuffled.  (What other shards hold of the
+same payload is not referred to: a copy a shard at most.)
 
-Metadata columns come from reads of the image's first 33 bytes (signature and
-IHDR), features from reading the stored bytes back, once per payload.
+Metadata columns (width, height, bits) come from range reads of the image's first
+33 bytes, signature and IHDR; features from reading the stored bytes back, once
+per payload.
 
 Rules for odd rows: null and empty texts are `WIDTH` bytes of padding; very long
 texts are one tall image; repeated rows and null doc_ids each give a row; an
@@ -160,7 +162,8 @@ def features(places: DataFrame) -> DataFrame:
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """A row per document with what its stored payload gives."""
+    """A row per document with its payload's digest, shard, offset and length, what its header tells (width, height, bits), and what its stored bytes give."""
     rows = store(docs)
-    found = features(places(rows))
-    return rows.select("doc_id", "n_bytes", "digest").join(found, "digest").drop("digest")
+    at = places(rows)
+    found = features(at).join(metadata(at), "digest").join(at, "digest")
+    return rows.select("doc_id", "n_bytes", "digest").join(found, "digest")
