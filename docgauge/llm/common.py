@@ -59,13 +59,30 @@ def distinct_sample(df: DataFrame, by: str, text: str, share, sample: int, name:
     return drawn.join(F.broadcast(least.select("by", "h")), ["by", "h"], "left_semi").select(F.col("by").alias(by), F.col("text").alias(text))
 
 
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the system: workers stay while their executor does other work."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(c := ctypes.CDLL(None), "malloc_trim"):
+        c.malloc_trim(0)
+
+
 _held: dict[str, object] = {}
 
 
 def sole_cache(name: str, clear) -> None:
     """Told by a Python worker that is about to fill a large cache: what other operators left in the same worker is dropped."""
-    for other in [x for x in _held if x != name]:
+    others = [x for x in _held if x != name]
+    for other in others:
         _held.pop(other)()
+    if others:
+        import gc
+
+        gc.collect()
+        trim()
     _held[name] = clear
 
 

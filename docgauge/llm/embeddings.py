@@ -204,3 +204,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     linked = good.select("vec_id", *key).join(classes, key).select("vec_id", "n_links", "component_id")
     alone = v.where("h1 IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x : x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x : x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT r.vec_id, e.b FROM r JOIN e ON e.a = r.c),
+k AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id)
+SELECT v.vec_id, coalesce(d.n, 0) AS n_links, k.component_id, v.vec_id = k.component_id AS kept FROM v JOIN k ON k.vec_id = v.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) d ON d.a = v.vec_id
+"""

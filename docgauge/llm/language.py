@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from docgauge.llm.common import distinct_sample, free_names, ship, written
+from docgauge.llm.common import distinct_sample, free_names, ship, sole_cache, written
 
 N, GRAMS, SAMPLE, HASHES, SLOTS = 5, 20_000, 3000, 3, 1 << 20
 SHORT, SHORT_GRAMS = 3, 5000
@@ -131,6 +131,7 @@ def counted(texts: DataFrame) -> DataFrame:
     """size, lang, gram, n: how many texts of a language hold each n-gram of N and of SHORT bytes."""
 
     def count(batches):
+        sole_cache("language", lambda: None)
         for b in batches:
             seen: dict[str, list[bytes]] = {}
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -179,6 +180,7 @@ def predict(docs: DataFrame, filters: Filters, text: str = "text", lang: str = "
     columns = docs.columns
 
     def judged(batches):
+        sole_cache("language", lambda: None)
         f = shared.value
         for b in batches:
             size = pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False)

@@ -64,5 +64,7 @@ QUERIES = {
 }
 ORACLE = {
     "op1_source_mixing": mixing.SQL,
+    "op6_ngram_jaccard_join": shingles.SQL,
+    "op7_embedding_near_dedup": embeddings.SQL,
     "op10_warc": warc.SQL,
 }

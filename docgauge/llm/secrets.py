@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgauge.llm.common import distinct_sample, ship, sole_cache
+from docgauge.llm.common import distinct_sample, ship, sole_cache, trim
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -418,6 +418,7 @@ def _scanned(docs: DataFrame, field: Field, text: str, make, schema: str | objec
     def scan(batches):
         tagger = _tagger(key, shared.value)
         for b in batches:
+            trim()
             texts = [t or "" for t in b.column(at).to_pylist()]
             part = np.cumsum([len(t) for t in texts]) // (2 << 20)
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)] if texts else [0]

@@ -43,7 +43,7 @@ class TokenCache:
     the corpus; beyond it the memory is emptied and filled again.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -127,18 +127,26 @@ class TokenCache:
         # a slice keeps its parent's offsets, which pc.ascii_lower would read against a new buffer: copy it first
         texts = pc.fill_null(pa.concat_arrays([texts]).cast(pa.large_string()), "")
         odd = pc.match_substring_regex(texts, _IRREGULAR).to_numpy(zero_copy_only=False)
+        n, rows = len(texts), {}
         if self.lead:
             odd = odd | pc.match_substring_regex(texts, "^[ \n]|[ \n]$").to_numpy(zero_copy_only=False)
-            cut = pc.replace_substring(pc.replace_substring(texts, " ", MARK + " "), "\n", MARK + "\n")
+        for i in np.flatnonzero(odd).tolist():
+            rows[i] = _WORD.findall(texts[i].as_py())
+        # each step's text goes before the next one's is made
+        if self.lead:
+            texts = pc.replace_substring(texts, " ", MARK + " ")
+            texts = pc.replace_substring(texts, "\n", MARK + "\n")
         else:
             # white space and the case of A-Z make no difference here
-            cut = pc.replace_substring(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ", MARK)
-        chunks = pc.split_pattern(cut, MARK)
-        del cut
+            texts = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
+            texts = pc.replace_substring(texts, " ", MARK)
+        chunks = pc.split_pattern(texts, MARK)
+        del texts
+        bounds = chunks.offsets.to_numpy()
         coded = pc.dictionary_encode(chunks.values)
-        words, rows = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), {}
-        for i in np.flatnonzero(odd).tolist():
-            rows[i] = _WORD.findall(texts[i].as_py())
+        del chunks
+        words, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        del coded
         more = set().union(*rows.values()) if rows else set()
         need = [w for w in words if w not in self.known] + [w for w in more.difference(words) if w not in self.known]
         if len(self.known) + len(need) > self.most:
@@ -146,16 +154,16 @@ class TokenCache:
             need = [w for w in more.union(words) if w]
         self._learn(need)
         known = self.known
-        bounds = chunks.offsets.to_numpy()
-        which = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        which = np.fromiter(map(known.__getitem__, words), np.int32, len(words))[which]
+        del words
         ids, upto = self._gather(which)
         offsets = upto[bounds - bounds[0]]
         if rows:
-            out = [self._gather(np.fromiter((known[w] for w in rows[i]), np.int64, len(rows[i])))[0] if i in rows else ids[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
+            out = [self._gather(np.fromiter((known[w] for w in rows[i]), np.int64, len(rows[i])))[0] if i in rows else ids[offsets[i] : offsets[i + 1]] for i in range(n)]
             offsets, ids = np.concatenate([[0], np.cumsum([len(x) for x in out])]), np.concatenate(out)
         return ids, offsets
 
-    def encode_in_parts(self, texts: pa.Array, most_bytes: int = 8 << 20):
+    def encode_in_parts(self, texts: pa.Array, most_bytes: int = 5 << 20):
         """(first row, ids, offsets) of slices of about `most_bytes` each."""
         size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(size) // most_bytes
