@@ -97,4 +97,5 @@ def sha_prefix(data, n: int = 16) -> Column:
 
 
 def data_uri(content, mime: str = "image/png") -> Column:
-    return F.concat(F.lit(f"data:{mime};base64,"), F.base64(_c(content)))
+    """Base64 without the line ends that the function puts in."""
+    return F.concat(F.lit(f"data:{mime};base64,"), F.translate(F.base64(_c(content)), "\r\n", ""))

@@ -46,27 +46,44 @@ def truth_pages(lines: DataFrame) -> DataFrame:
     return lines.groupBy("image").agg(order.alias("b")).select("image", F.array_join(F.transform("b", lambda x: x["text"]), "\n").alias("text"), F.transform("b", lambda x: F.struct(x["bbox"].alias("bbox"), x["text"].alias("text"), F.lit(1.0).alias("confidence"))).alias("blocks"), F.transform("b", lambda _, i: i.cast("int")).alias("reading_order"))
 
 
+#: Values between two brackets that are ranked as they are.
+RANKED = 200_000
+
+
 def cut_points(df: DataFrame, *features: str) -> DataFrame:
     """One row: the order statistics at n // 3 and 2 n // 3 of each feature (null: 0), exact.
 
-    Approximate quantiles bracket each place, counts tell how many values lie
-    below the bracket, and only the bracket's own values (about 1 in 500) are
-    ranked in order.
+    Approximate quantiles bracket each place and counts tell how many values lie
+    below the bracket; while it holds more than `RANKED` different rows and gets
+    narrower, quantiles of its own values bracket it again.  Each round is one
+    scan for all places, and only the last brackets' values are ranked in order.
     """
     x = {f: F.coalesce(F.col(f), F.lit(0)) for f in features}
-    n = df.count()
-    places = [(f, side, p) for f in features for side, p in (("low", n // 3), ("high", 2 * n // 3))]
-    near = df.agg(*[F.percentile_approx(x[f], [max(0.0, p / max(1, n) - 0.001), min(1.0, p / max(1, n) + 0.001)], 10_000).alias(f"{f}_{side}") for f, side, p in places]).first()
-    held = df.agg(*[c for f, side, _ in places if near[f"{f}_{side}"] for c in (F.count_if(x[f] < near[f"{f}_{side}"][0]).alias(f"{f}_{side}_a"), F.count_if(x[f] <= near[f"{f}_{side}"][1]).alias(f"{f}_{side}_b"))] or [F.lit(0)]).first()
-    out = None
-    for f, side, p in places:
-        rows, below = df.select(x[f].alias("x")), 0
-        if near[f"{f}_{side}"] and held[f"{f}_{side}_a"] <= p < held[f"{f}_{side}_b"]:
-            rows, below = rows.where(F.col("x").between(*near[f"{f}_{side}"])), held[f"{f}_{side}_a"]
-        ranked = rows.groupBy("x").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy("x")) + below)
-        one = ranked.agg(F.min(F.when(F.col("upto") > p, F.col("x"))).alias(f"{f}_{side}"))
-        out = one if out is None else out.crossJoin(one)  # single rows
-    return out
+    first = df.agg(F.count(F.lit(1)).alias("n"), *[c for f in features for c in (F.min(x[f]).alias(f"{f}_lo"), F.max(x[f]).alias(f"{f}_hi"))]).first()
+    n = first.n
+    if not n:
+        return df.sparkSession.createDataFrame([[None] * 2 * len(features)], ", ".join(f"{f}_{s} {kind}" for f, kind in df.select(*[x[f].alias(f) for f in features]).dtypes for s in ("low", "high")))
+    # each place: lowest and highest value that it can have, rows below, rows within
+    at = {(f, side): (p, first[f"{f}_lo"], first[f"{f}_hi"], 0, n) for f in features for side, p in (("low", n // 3), ("high", 2 * n // 3))}
+    while wide := [k for k, (_, lo, hi, _, held) in at.items() if held > RANKED and lo < hi]:
+        within = {k: F.when(x[k[0]].between(at[k][1], at[k][2]), x[k[0]]) for k in wide}
+        share = {k: (at[k][0] - at[k][3]) / at[k][4] for k in wide}
+        near = df.agg(*[F.percentile_approx(within[k], [max(0.0, share[k] - 0.001), min(1.0, share[k] + 0.001)], 10_000).alias(f"{k[0]}_{k[1]}") for k in wide]).first()
+        held = df.agg(*[c for k in wide for q in [near[f"{k[0]}_{k[1]}"]] for c in (F.count_if(x[k[0]] < q[0]).alias(f"{k[0]}_{k[1]}_a"), F.count_if(x[k[0]] <= q[1]).alias(f"{k[0]}_{k[1]}_b"))]).first()
+        narrower = False
+        for k in wide:
+            (p, lo, hi, _, _), q, a, b = at[k], near[f"{k[0]}_{k[1]}"], held[f"{k[0]}_{k[1]}_a"], held[f"{k[0]}_{k[1]}_b"]
+            if a <= p < b and (q[0], q[1]) != (lo, hi):
+                at[k], narrower = (p, q[0], q[1], a, b - a), True
+        if not narrower:
+            break
+    # one more scan for what the brackets hold
+    held = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), x[f].cast("double").alias("x"), x[f].between(lo, hi).alias("held")) for i, ((f, _), (_, lo, hi, _, _)) in enumerate(at.items())]), lambda v: v["held"])
+    ranked = df.select(F.explode(held).alias("v")).groupBy("v.i", "v.x").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(Window.partitionBy("i").orderBy("x")))
+    places = list(at.items())
+    due = F.element_at(F.array(*[F.lit(p - below) for _, (p, _, _, below, _) in places]), F.col("i") + 1)
+    kinds = dict(df.select(*[x[f].alias(f) for f in features]).dtypes)
+    return ranked.where(F.col("upto") > due).agg(*[F.min(F.when(F.col("i") == i, F.col("x"))).cast(kinds[f]).alias(f"{f}_{side}") for i, ((f, side), _) in enumerate(places)])
 
 
 def bucket(df: DataFrame, features: dict[str, str]) -> DataFrame:

@@ -535,3 +535,106 @@ def image_manifest(spark, d):
 
     made = table(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id")).mapInArrow(files, "image string, path string, content binary")
     return images.manifest(made).select("image", "width", "height", "aspect_ratio", "text_density", "contrast", "estimated_lines")
+
+
+@query("SELECT doc_id, 'data:image/png;base64,' || to_base64(encode(text)) AS uri FROM documents WHERE text IS NOT NULL")
+def data_uri(spark, d):
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", T.data_uri(F.encode("text", "UTF-8")).alias("uri"))
+
+
+@query(f"""WITH {FIX}, x AS (SELECT raw.page, raw.b AS i, g, greatest(0.0::DOUBLE, least(r3, g3) - greatest(r1, g1)) * greatest(0.0::DOUBLE, least(r4, g4) - greatest(r2, g2)) AS common, greatest(0.0::DOUBLE, (r3 - r1) * (r4 - r2)) AS a, greatest(0.0::DOUBLE, (g3 - g1) * (g4 - g2)) AS c FROM raw JOIN gt ON gt.page = raw.page)
+SELECT page, i, g, round(CASE WHEN a + c - common > 0 THEN common / (a + c - common) ELSE 0 END, 9) AS iou FROM x""")
+def iou_clamped(spark, d):
+    """Boxes as predicted, xywh ones among them unturned, so that some are inverted."""
+    p = pages(spark, d).select("page", "gt", F.posexplode("rows").alias("i", "r")).where("r.pred IS NOT NULL").select("page", "i", F.col("r.pred").alias("p"), F.posexplode("gt").alias("g", "t"))
+    return p.select("page", "i", "g", F.round(G.iou("p", "t", clamp=True), 9).alias("iou"))
+
+
+@query(f"""WITH {FIX} SELECT page, '[' || string_agg('{{"index":' || g || ',"bbox":[' || g1 || ',' || g2 || ',' || g3 || ',' || g4 || '],"text":"t' || g || '"}}', ',' ORDER BY g) || ']' AS prompt FROM gt GROUP BY page""")
+def prompt_blocks(spark, d):
+    blocks_ = F.transform("gt", lambda b, i: F.struct(b.alias("bbox"), F.concat(F.lit("t"), i.cast("string")).alias("text")))
+    return pages(spark, d).select("page", P.prompt_blocks(blocks_).alias("prompt"))
+
+
+@query(f"""WITH {FIX} SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY g) - 1 AS INTEGER) AS i, 'w' || g AS text, g1 AS x1, g2 AS y1, g1 + l_partkey % 9 AS x2, g2 + 7 AS y2, (l_suppkey % 101)::DOUBLE / 100 AS confidence FROM gt WHERE l_partkey % 4 <> 0""")
+def word_rows(spark, d):
+    """Parallel lists of words, some of them blank."""
+    of = lambda f: F.transform("rows", f)
+    text = of(lambda r: F.when(r["l_partkey"] % 4 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" w"), r["b"].cast("string"))))
+    lists = F.struct(text.alias("text"), of(lambda r: r["gt"][0]).alias("left"), of(lambda r: r["gt"][1]).alias("top"), of(lambda r: (r["l_partkey"] % 9).cast("double")).alias("width"), of(lambda r: F.lit(7.0)).alias("height"), of(lambda r: (r["l_suppkey"] % 101).cast("double")).alias("conf"))
+    w = pages(spark, d).select("page", lists.alias("w")).select("page", F.posexplode(P.word_blocks("w")).alias("i", "b"))
+    return w.select("page", "i", "b.text", *[F.col("b.bbox")[k].alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))], "b.confidence")
+
+
+@query(f"""WITH {FIX}, n AS (SELECT page, count(*) FILTER (l_partkey % 11 <> 0) AS n FROM blk GROUP BY page), k AS (SELECT page, g, g1, row_number() OVER (PARTITION BY page ORDER BY g) AS r FROM gt)
+SELECT k.page, CAST(k.r - 1 AS INTEGER) AS i, k.g1 AS x1, 'p' || (k.r - 1) AS label FROM k JOIN n ON n.page = k.page WHERE k.r <= n.n""")
+def positional_zip(spark, d):
+    """True boxes beside one label for each prediction: the shorter list ends both."""
+    labels = F.transform("pred", lambda _, i: F.concat(F.lit("p"), i.cast("string")))
+    z = pages(spark, d).select("page", F.col("gt").alias("box"), labels.alias("label")).select("page", F.posexplode(P.zipped("box", "label")).alias("i", "z"))
+    return z.select("page", "i", F.col("z.box")[0].alias("x1"), F.col("z.label").alias("label"))
+
+
+@query(f"""WITH {FIX}, t AS (SELECT page, max(g) AS last FROM gt GROUP BY page)
+SELECT gt.page, gt.g AS i, 't' || g AS text, trunc((l_suppkey % 50) / 100.0::DOUBLE * 200) AS x1, trunc((l_partkey % 7) / 10.0::DOUBLE * 90) AS y1, trunc((l_suppkey % 50 + 5) / 100.0::DOUBLE * 200) AS x2, (l_partkey % 100) / 100.0::DOUBLE AS confidence FROM gt""")
+def cloud_document(spark, d):
+    """A service's document for each page of line items: text by anchors (a length and an end marked by 0), boxes by vertices in 0..1."""
+    name = F.transform("rows", lambda r: F.concat(F.lit("t"), r["b"].cast("string"), F.lit(" ")))
+    upto = lambda i: F.length(F.array_join(F.slice(F.col("names"), F.lit(1), i), "")).cast("int")
+    p = pages(spark, d).select("page", "rows", name.alias("names"))
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    n = F.size("rows")
+
+    def block(r, i):
+        anchor = F.struct(F.array(F.struct(F.when(i > 0, upto(i)).alias("start_index"), F.when(i < n - 1, upto(i + 1)).otherwise(0).alias("end_index"))).alias("text_segments"))
+        x, y = r["l_suppkey"] % 50, (r["l_partkey"] % 7) / F.lit(10.0)
+        corners_ = F.array(point(x / F.lit(100.0), y), point((x + 5) / F.lit(100.0), y))
+        return F.struct(F.struct(((r["l_partkey"] % 100) / F.lit(100.0)).alias("confidence"), anchor.alias("text_anchor"), F.struct(corners_.alias("normalized_vertices")).alias("bounding_poly")).alias("layout"))
+
+    page = F.struct(F.struct(F.lit(200.0).alias("width"), F.lit(90.0).alias("height")).alias("dimension"), F.transform("rows", block).alias("blocks"))
+    said = F.to_json(F.struct(F.array_join("names", "").alias("text"), F.array(page).alias("pages")))
+    b = p.select("page", said.alias("j")).select("page", F.posexplode(P.cloud_blocks("j")).alias("i", "b"))
+    return b.select("page", "i", "b.text", F.col("b.bbox")[0].alias("x1"), F.col("b.bbox")[1].alias("y1"), F.col("b.bbox")[2].alias("x2"), "b.confidence")
+
+
+@query(_ORDER_SQL + " SELECT page, round(tau, 6) AS kendall_tau, CAST(matched_blocks AS INTEGER) AS matched_blocks FROM o")
+def reading_order_fallback(spark, d):
+    """A true order of another length than the blocks counts as none: their own order stands for it."""
+    longer = F.array_append(F.transform("rows", lambda r: r["b"]), F.lit(99))
+    o = pages(spark, d).select("page", scoring.order_metrics("pred", "gt", longer).alias("o"))
+    return o.select("page", r6("o.kendall_tau").alias("kendall_tau"), "o.matched_blocks")
+
+
+@query("SELECT r_name, m AS mode, CASE WHEN r_regionkey % 2 = 0 THEN r_regionkey ELSE -1 END::BIGINT AS a, 'left' AS b FROM region, (VALUES ('handwriting'), ('fullform')) v(m)")
+def modes_and_merges(spark, d):
+    """Both modes of each row; of two records the right one's fields count where it has them."""
+    k = F.col("r_regionkey").cast("long")
+    left, right = F.struct(F.lit(-1).cast("long").alias("a"), F.lit("left").alias("b")), F.struct(F.when(k % 2 == 0, k).alias("a"), F.lit(None).cast("string").alias("b"))
+    both = prep.both_modes(table(spark, d, "region"), "both").select("r_name", "mode", prep.merged(left, right, ["a", "b"]).alias("m"))
+    return both.select("r_name", "mode", "m.a", "m.b")
+
+
+@query(f"""SELECT page_id || '.png' AS image, CAST(least(16, page_id % 9 + 6) - greatest(0, page_id % 9 - 1) AS INTEGER) AS width, CAST(least(25, page_id % 20 + 5) - greatest(0, page_id % 20 - 1) AS INTEGER) AS height, CAST(sum(v) AS BIGINT) AS total
+FROM (SELECT page_id, x, y, {_PIXEL_SQL} AS v FROM pages, range(16) a(x), range(25) b(y)) WHERE x >= page_id % 9 - 1 AND x < page_id % 9 + 6 AND y >= page_id % 20 - 1 AND y < page_id % 20 + 5 GROUP BY page_id""")
+def image_crops(spark, d):
+    """The pages' images cropped to a box with a border of one, and read again."""
+    import numpy as np
+    import pyarrow as pa
+
+    from docgauge.sources import images
+
+    def files(batches):
+        x, y = np.arange(16), np.arange(25)[:, None]
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            content = [images.to_png(((k * 7 + x * 13 + y * y * 29) % 256).astype(np.uint8)) for k in ids]
+            boxes_ = [[k % 9, k % 20, k % 9 + 5, k % 20 + 4] for k in ids]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{k}.png" for k in ids], pa.string()), pa.array(content, pa.binary()), pa.array(boxes_, pa.list_(pa.int32()))], ["image", "content", "crop_bbox"])
+
+    def sums(batches):
+        for b in batches:
+            total = [int(images.pixels(raw.as_py()).sum(dtype=np.int64)) for raw in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(total, pa.int64())], ["image", "width", "height", "total"])
+
+    made = table(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id")).mapInArrow(files, "image string, content binary, crop_bbox array<int>")
+    return images.cropped(made, pad=1).mapInArrow(sums, "image string, width int, height int, total long")
