@@ -193,3 +193,17 @@ def test_environment(spark, monkeypatch):
     assert {(r.name, r.passed, r.severity) for r in rows.collect()} == {("fine", True, "error"), ("slow", False, "warning")}
     s = evaluation.checked(rows, ~F.col("passed"), F.col("severity") == "error").first()
     assert (s.errors, s.warnings, s.passed) == (0, 1, True)
+
+
+@pytest.mark.parametrize("ranked", [200_000, 5])
+def test_cut_points_in_rounds(spark, monkeypatch, ranked):
+    monkeypatch.setattr(prep, "RANKED", ranked)
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 10_000, 3001), np.where(rng.random(3001) < 0.4, 7, rng.integers(0, 9, 3001))
+    df = spark.createDataFrame([(int(x), None if y == 8 else float(y)) for x, y in zip(a, b)], "a long, b double").repartition(4)
+    got = prep.cut_points(df, "a", "b").first()
+    zeros = np.where(b == 8, 0, b)
+    assert (got.a_low, got.a_high, got.b_low, got.b_high) == (np.sort(a)[1000], np.sort(a)[2000], np.sort(zeros)[1000], np.sort(zeros)[2000])
+    assert dict(prep.cut_points(df, "a", "b").dtypes) == {"a_low": "bigint", "a_high": "bigint", "b_low": "double", "b_high": "double"}
+    none = prep.cut_points(df.limit(0), "a", "b").first()
+    assert none.a_low is None and none.b_high is None
