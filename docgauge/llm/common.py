@@ -86,9 +86,15 @@ def sole_cache(name: str, clear) -> None:
     _held[name] = clear
 
 
+#: Bytes of an Arrow batch, unless the session sets its own: rows differ in length by a factor of a hundred thousand.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 6 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Puts this package on the executors' path."""
+    """Puts this package on the executors' path, and bounds the bytes of the batches that Python workers get."""
     sc = spark.sparkContext
+    if not spark.conf.get(BATCH_SETTING, None):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     if getattr(sc, "_docgauge_shipped", False):
         return
     here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from docgauge.llm.common import distinct_sample, free_names, ship, sole_cache, written
+from docgauge.llm.common import distinct_sample, free_names, ship, sole_cache, trim, written
 
 N, GRAMS, SAMPLE, HASHES, SLOTS = 5, 20_000, 3000, 3, 1 << 20
 SHORT, SHORT_GRAMS = 3, 5000
@@ -183,6 +183,7 @@ def predict(docs: DataFrame, filters: Filters, text: str = "text", lang: str = "
         sole_cache("language", lambda: None)
         f = shared.value
         for b in batches:
+            trim()
             size = pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False)
             part = np.cumsum(size) // (4 << 20)
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows] if b.num_rows else [0]

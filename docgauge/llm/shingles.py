@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgauge.llm.common import free_names, ship, small, sole_cache, written
+from docgauge.llm.common import free_names, ship, small, sole_cache, trim, written
 from docgauge.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -59,7 +59,7 @@ WORDS, PERCENT = 5, 80
 HOT = 3
 CHUNK, SHINGLES, LEAF, CUTS = 2000, 1_000_000, 32, 6
 #: Documents and bytes of text that are handled at once.
-SLICE, SLICE_BYTES = 4096, 2 << 20
+SLICE, SLICE_BYTES = 4096, 1 << 20
 #: Bytes of bit rows that a group may take; beyond them pairs are compared one by one.
 BITS = 32 << 20
 #: Ids that may be broadcast, after they have been counted.
@@ -275,6 +275,7 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
 
     def made(batches):
         for batch in batches:
+            trim()
             for a, b in _slices(batch.column(1)):
                 part = batch.slice(a, b - a)
                 h, offsets = shingle_sets(part.column(1), words)
@@ -294,6 +295,7 @@ def counted(docs: DataFrame, words: int, ranges: Ranges) -> DataFrame:
 
     def made(batches):
         for batch in batches:
+            trim()
             for a, b in _slices(batch.column(0)):
                 h, offsets = shingle_sets(batch.column(0).slice(a, b - a), words)
                 nodes = fingerprints(h, offsets)[0]
@@ -330,6 +332,7 @@ def keyed(docs: DataFrame, words: int, ranges: Ranges) -> DataFrame:
 
     def made(batches):
         for batch in batches:
+            trim()
             for a, b in _slices(batch.column(0)):
                 h, offsets = shingle_sets(batch.column(0).slice(a, b - a), words)
                 node = fingerprints(h, offsets)[0]
@@ -392,6 +395,7 @@ def _of_nodes(docs: DataFrame, words: int, make, name: str) -> DataFrame:
 
     def made(batches):
         for batch in batches:
+            trim()
             for x, y in _slices(batch.column(0)):
                 h, offsets = shingle_sets(batch.column(0).slice(x, y - x), words)
                 parts = [make(h[a:b]).tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
@@ -586,6 +590,7 @@ def _verified(members: DataFrame, words: int, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["rep", "root"])
 
         for batch in batches:
+            trim()
             for x, y in _slices(batch.column(9)):
                 part = batch.slice(x, y - x)
                 h, offsets = shingle_sets(part.column(9), words)
