@@ -10,7 +10,8 @@ patterns: a secret's window comes as it is, and once for each of several alphabe
 with the words that gave it away replaced and the secret drawn anew, of another
 length and half the time with the marks that many kinds of secrets have.
 Windows without secrets are from the middle of a text and around its longest
-token with a digit.  Maximum likelihood (forward-backward, Adam) on the windows
+token with a digit; windows with a token that looks drawn at random but is in no
+base span teach nothing, as it may be what the patterns miss.  Maximum likelihood (forward-backward, Adam) on the windows
 of at most `SAMPLE` different texts, at most `PER_DOC` secrets a text and
 `WINDOWS` windows of `WINDOW` tokens in all, which is what reaches the driver.
 
@@ -271,6 +272,17 @@ def drawn_secret(draw: random.Random, alphabet: str) -> str:
     return body
 
 
+_DRAWN = re.compile(r"(?:[A-Za-z]{2,5}[-_])?(?=[A-Za-z+/]*[0-9])(?=[0-9+/]*[A-Za-z])[A-Za-z0-9+/]{16,}=*")
+
+
+def unclear(token: str) -> bool:
+    """Whether a token has the looks of a secret: 16 or more letters and digits whose kinds change often, a short name before them aside."""
+    if len(token) < 16 or not _DRAWN.fullmatch(token):
+        return False
+    kinds = token.translate(_KINDS)
+    return 4 * (1 + sum(x != y for x, y in zip(kinds, kinds[1:]))) >= len(token)
+
+
 def windows(text: str) -> list[tuple[list[str], list[int], list[str]]]:
     """Windows of tokens with their tags and the text's features: several around each of up to PER_DOC secrets, one around the longest other token with a digit, and in texts without secrets one from the middle."""
     tokens = [(m[0], *m.span()) for m in TOKEN.finditer(text)]
@@ -290,6 +302,9 @@ def windows(text: str) -> list[tuple[list[str], list[int], list[str]]]:
         a = max(0, i - half)
         return names[a : i + half + 1], tags[a : i + half + 1], file
 
+    def clear(w) -> bool:
+        return not any(tag == OUTSIDE and unclear(t) for t, tag in zip(*w[:2]))
+
     names = [t for t, _, _ in tokens]
     found = [i for i, t in enumerate(tags) if t == BEGIN][:PER_DOC]
     if found:
@@ -311,7 +326,7 @@ def windows(text: str) -> list[tuple[list[str], list[int], list[str]]]:
     other = [(-len(t), i) for i, (t, tag) in enumerate(zip(names, tags)) if tag == OUTSIDE and len(t) > 1 and any(map(str.isdigit, t))]
     if other:
         out.append(window(names, min(other)[1]))
-    return out
+    return [w for w in out if clear(w)]
 
 
 def fit(examples: list[tuple[list[str], list[int], list[str]]], rounds: int = 60, rate: float = 0.15, prior: float = 1e-4) -> Field:
