@@ -7,9 +7,10 @@ sampling: a document's key is ``-ln(u) / w`` with `u` from a hash of its id and
 order, and the sum is cut at what is left of the target.
 
 The prefix sum never sorts a whole source in one task.  Keys are cut into
-`BUCKETS` ranges; sums per (source, range) are combined before the shuffle,
-their prefix sums (at most `BUCKETS` rows a source) tell in which range the cut
-falls, and only the rows of that one range are sorted.
+`BUCKETS` ranges; sums per (source, range) are combined before the shuffle.
+Prefix sums over blocks of `BLOCK` ranges tell in which block the cut falls, those
+over its ranges (each at most 256 rows a source) in which range, and only the rows
+of that one range are sorted.
 
 Rules for odd rows: a null or empty text has size 0, quality `FLOOR` and is
 taken 0 times; a null source is a source of its own, last in order; a null
@@ -28,7 +29,7 @@ from docgauge.llm.common import free_names, small, written
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2
-BUCKETS = 65_536
+BUCKETS, BLOCK = 65_536, 256
 FLOOR = 0.05
 SEED = "mix-1"
 
@@ -86,8 +87,16 @@ def mix(docs: DataFrame, carry: list[str] | None = None, quality=letter_share, w
     plan = plan.withColumn("rest", F.col("words_due") - F.col("epochs") * F.col("source_size"))
     plan = small(plan, "mix-plan")
 
-    upto = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words"))
-    cut = upto.join(plan.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s"))).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
+    def with_cut(parts: DataFrame, by: str, start) -> DataFrame:
+        """Of a source's parts the one that its cut falls in, with the words before it."""
+        before = start + F.sum("words").over(Window.partitionBy("source").orderBy(by)) - F.col("words")
+        return parts.withColumn("before", before).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
+
+    due = plan.select(F.col("source").alias("s"), "rest")
+    blocks = sums.groupBy("source", F.floor(F.col("bucket") / BLOCK).alias("block")).agg(F.sum("words").alias("words"))
+    blocks = with_cut(blocks.join(due, F.col("source").eqNullSafe(F.col("s"))), "block", F.lit(0)).select("s", "block", "rest", F.col("before").alias("start"))
+    blocks = small(blocks, "mix-blocks")
+    cut = with_cut(sums.join(blocks, F.col("source").eqNullSafe(F.col("s")) & (F.floor(F.col("bucket") / BLOCK) == F.col("block"))), "bucket", F.col("start"))
     # at most one range of a source holds the cut; with none, the source ends on a range's edge
     cut = cut.select(F.col("source").alias("c_source"), F.col("bucket").alias("cut"), "before")
     plan = small(plan.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source"), "mix-cut")
