@@ -24,9 +24,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Whether a query's shuffle files go when it has ended, unless the session sets it: what comes next reads the written table.
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df`, written to the shared folder and read again: nothing upstream runs twice, and lost executors take nothing along."""
     path = shared_dir(df.sparkSession, name)
+    if not df.sparkSession.conf.get(CLEANUP_SETTING, None):
+        df.sparkSession.conf.set(CLEANUP_SETTING, "true")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
