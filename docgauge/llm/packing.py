@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgauge.llm.common import ship, small, trim, written
-from docgauge.llm.tokens import cache_for, tokenizer_path
+from docgauge.llm.tokens import cache_for, gathered, tokenizer_path
 
 CAPACITY, END = 2048, 0
 
@@ -104,7 +104,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
 
     def cut(batches):
         cache, seen, task = cache_for(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
-        for b in batches:
+        for b in gathered(batches, 1):
             trim()
             for a, ids, offsets in cache.encode_in_parts(b.column(1)):
                 doc_ids = b.column(0).slice(a, len(offsets) - 1)

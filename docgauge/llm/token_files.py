@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgauge.llm.common import WholeFile, file_system, make_dir, shared_dir, ship, trim, written
-from docgauge.llm.tokens import cache_for, tokenizer_path
+from docgauge.llm.tokens import cache_for, gathered, tokenizer_path
 
 MAGIC = b"DACTOK1\n"
 CHUNK, BLOCK, SEGMENT = 8, 512, 4_000_000
@@ -155,7 +155,7 @@ def write_files(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 
     def encoded(batches):
         cache = cache_for(path)
-        for b in batches:
+        for b in gathered(batches, 1):
             trim()
             doc_ids, texts = b.column(0), b.column(1)
             part = np.searchsorted(cuts, doc_ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right")

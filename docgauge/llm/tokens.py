@@ -13,6 +13,7 @@ texts are put together from the chunks' ids.  Results equal
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -147,15 +148,18 @@ class TokenCache:
         del chunks
         words, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         del coded
-        more = set().union(*rows.values()) if rows else set()
-        need = [w for w in words if w not in self.known] + [w for w in more.difference(words) if w not in self.known]
-        if len(self.known) + len(need) > self.most:
+        known, unknown = self.known, -1
+        codes = np.fromiter(map(known.get, words, repeat(unknown)), np.int32, len(words))
+        new = np.flatnonzero(codes == unknown)
+        need = [words[i] for i in new.tolist()]
+        more = [w for w in set().union(*rows.values()) if w not in known] if rows else []
+        if len(known) + len(need) + len(more) > self.most:
             self._forget()
-            need = [w for w in more.union(words) if w]
-        self._learn(need)
-        known = self.known
-        which = np.fromiter(map(known.__getitem__, words), np.int32, len(words))[which]
-        del words
+            known, new, need, more = self.known, np.arange(len(words)), words, set().union(*rows.values())
+        self._learn([w for w in dict.fromkeys([*need, *more]) if w])
+        codes[new] = np.fromiter(map(known.__getitem__, need), np.int32, len(need))
+        which = codes[which]
+        del words, need
         ids, upto = self._gather(which)
         offsets = upto[bounds - bounds[0]]
         if rows:
@@ -163,7 +167,7 @@ class TokenCache:
             offsets, ids = np.concatenate([[0], np.cumsum([len(x) for x in out])]), np.concatenate(out)
         return ids, offsets
 
-    def encode_in_parts(self, texts: pa.Array, most_bytes: int = 8 << 20):
+    def encode_in_parts(self, texts: pa.Array, most_bytes: int = 16 << 20):
         """(first row, ids, offsets) of slices of about `most_bytes` each."""
         size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(size) // most_bytes
@@ -172,6 +176,19 @@ class TokenCache:
             yield a, *self.encode(texts.slice(a, b - a))
 
 
+def gathered(batches, column: int, least_bytes: int = 14 << 20):
+    """Batches joined until their texts have `least_bytes`: the more texts at once, the fewer different words a text."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(column).nbytes
+        if size >= least_bytes:
+            yield held[0] if len(held) == 1 else pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield held[0] if len(held) == 1 else pa.concat_batches(held)
+
+
 _caches: dict[str, TokenCache] = {}
 
 
