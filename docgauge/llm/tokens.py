@@ -44,7 +44,7 @@ class TokenCache:
     the corpus; beyond it the memory is emptied and filled again.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 700_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -167,7 +167,7 @@ class TokenCache:
             offsets, ids = np.concatenate([[0], np.cumsum([len(x) for x in out])]), np.concatenate(out)
         return ids, offsets
 
-    def encode_in_parts(self, texts: pa.Array, most_bytes: int = 16 << 20):
+    def encode_in_parts(self, texts: pa.Array, most_bytes: int = 8 << 20):
         """(first row, ids, offsets) of slices of about `most_bytes` each."""
         size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(size) // most_bytes
@@ -176,7 +176,7 @@ class TokenCache:
             yield a, *self.encode(texts.slice(a, b - a))
 
 
-def gathered(batches, column: int, least_bytes: int = 14 << 20):
+def gathered(batches, column: int, least_bytes: int = 24 << 20):
     """Batches joined until their texts have `least_bytes`: the more texts at once, the fewer different words a text."""
     held, size = [], 0
     for b in batches:
