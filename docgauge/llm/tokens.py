@@ -183,8 +183,10 @@ def gathered(batches, column: int, least_bytes: int = 24 << 20):
         held.append(b)
         size += b.column(column).nbytes
         if size >= least_bytes:
-            yield held[0] if len(held) == 1 else pa.concat_batches(held)
-            held, size = [], 0
+            joined = held[0] if len(held) == 1 else pa.concat_batches(held)
+            del b
+            held, size = [], 0  # the parts go before the whole is worked on
+            yield joined
     if held:
         yield held[0] if len(held) == 1 else pa.concat_batches(held)
 
