@@ -109,6 +109,14 @@ def ship(spark: SparkSession) -> None:
     sc._docgauge_shipped = True
 
 
+def arrow_schema(ddl: str):
+    """The Arrow schema of a DDL string; on the driver."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def file_system(uri: str):
     """(file system, path) of a URI; any store that Arrow knows."""
     from pyarrow import fs

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docgauge.llm import embeddings, language, media, mixing, packing, secrets, shingles, substrings, token_files, warc
+from docgauge.llm import embeddings, infilling, language, media, mixing, packing, secrets, shingles, substrings, token_files, warc
 
 
 def _table(spark, sf_dir, name):
@@ -50,6 +50,10 @@ def op10_warc(spark, sf_dir):
     return warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")))
 
 
+def op12_fill_in_middle(spark, sf_dir):
+    return infilling.infilling_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_language_id": op2_language_id,
@@ -61,10 +65,12 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_sequence_packing": op9_sequence_packing,
     "op10_warc": op10_warc,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 ORACLE = {
     "op1_source_mixing": mixing.SQL,
     "op6_ngram_jaccard_join": shingles.SQL,
     "op7_embedding_near_dedup": embeddings.SQL,
     "op10_warc": warc.SQL,
+    "op12_fill_in_middle": infilling.SQL,
 }
