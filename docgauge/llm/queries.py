@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docgauge.llm import embeddings, infilling, language, media, mixing, packing, secrets, shingles, substrings, token_files, warc
+from docgauge.llm import embeddings, infilling, language, media, merges, mixing, packing, secrets, shingles, substrings, token_files, warc
 
 
 def _table(spark, sf_dir, name):
@@ -54,6 +54,10 @@ def op12_fill_in_middle(spark, sf_dir):
     return infilling.infilling_digests(_table(spark, sf_dir, "documents"))
 
 
+def op13_byte_bpe(spark, sf_dir):
+    return merges.encoding_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_language_id": op2_language_id,
@@ -66,6 +70,7 @@ QUERIES = {
     "op9_sequence_packing": op9_sequence_packing,
     "op10_warc": op10_warc,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLE = {
     "op1_source_mixing": mixing.SQL,
