@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docgauge.llm import embeddings, infilling, language, media, merges, mixing, packing, secrets, shingles, substrings, token_files, warc
+from docgauge.llm import embeddings, infilling, language, media, merges, mixing, packing, search, secrets, shingles, substrings, token_files, warc
 
 
 def _table(spark, sf_dir, name):
@@ -50,6 +50,10 @@ def op10_warc(spark, sf_dir):
     return warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")))
 
 
+def op11_ranked_search(spark, sf_dir):
+    return search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_fill_in_middle(spark, sf_dir):
     return infilling.infilling_digests(_table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_sequence_packing": op9_sequence_packing,
     "op10_warc": op10_warc,
+    "op11_ranked_search": op11_ranked_search,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_byte_bpe": op13_byte_bpe,
 }
@@ -77,5 +82,6 @@ ORACLE = {
     "op6_ngram_jaccard_join": shingles.SQL,
     "op7_embedding_near_dedup": embeddings.SQL,
     "op10_warc": warc.SQL,
+    "op11_ranked_search": search.SQL,
     "op12_fill_in_middle": infilling.SQL,
 }
