@@ -14,13 +14,13 @@ BROADCAST_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset a temporary one is set on one machine (tests), and a cluster is refused."""
+    """A new folder under spark.checkpoint.dir; where that is unset the context gets a temporary one on one machine (tests), and a cluster is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all machines share")
-        root = "file://" + tempfile.mkdtemp(prefix="docgauge-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        # the setting can't be changed in a running session: the context keeps the folder
+        root = spark.sparkContext._docgauge_dir = getattr(spark.sparkContext, "_docgauge_dir", None) or "file://" + tempfile.mkdtemp(prefix="docgauge-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

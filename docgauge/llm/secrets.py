@@ -11,7 +11,10 @@ with the words that gave it away replaced and the secret drawn anew, of another
 length and half the time with the marks that many kinds of secrets have.
 Windows without secrets are from the middle of a text and around its longest
 token with a digit; windows with a token that looks drawn at random but is in no
-base span teach nothing, as it may be what the patterns miss.  Maximum likelihood (forward-backward, Adam) on the windows
+base span teach nothing, as it may be what the patterns miss.  What such windows
+would teach is drawn instead: ordinary tokens that look like secrets (addresses,
+paths, book and account numbers, versions, identifiers, UUIDs; `ordinary.KINDS`)
+stand where a secret might, tagged as outside.  Maximum likelihood (forward-backward, Adam) on the windows
 of at most `SAMPLE` different texts, at most `PER_DOC` secrets a text and
 `WINDOWS` windows of `WINDOW` tokens in all, which is what reaches the driver.
 
@@ -39,6 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docgauge.llm.common import distinct_sample, ship, sole_cache, trim
+from docgauge.llm.ordinary import KINDS as KINDS_OF_ORDINARY
+from docgauge.llm.ordinary import ordinary
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -47,6 +52,8 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "crf")
 TOKEN = re.compile(r"[\w+/.-]+=*|[^\w\s]")
 SAMPLE, PER_DOC, WINDOWS, WINDOW, NEIGHBOURS = 20_000, 4, 8_000, 25, 48
+#: Windows with ordinary tokens for each secret.
+PER_SECRET = 5
 #: Alphabets that secrets are drawn anew from.
 ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/")
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
@@ -87,11 +94,22 @@ def _is_hex(token: str) -> bool:
     return not token.lower().strip(_HEX)
 
 
+_CONSONANTS = re.compile("[b-df-hj-np-tv-xz]+")
+
+
+def _unspoken(token: str) -> int:
+    """The most consonants in a row, 6 at most; words have few."""
+    return min(6, max(map(len, _CONSONANTS.findall(token.lower())), default=0))
+
+
 def shape(token: str) -> list[str]:
-    """A token's features but for its word; they follow from all its characters' kinds and from whether all are hexadecimal."""
+    """A token's features but for its word; they follow from all its characters' kinds, from whether all are hexadecimal and from its consonants."""
     kinds, n = token.translate(_KINDS), len(token)
     runs = 1 + sum(x != y for x, y in zip(kinds, kinds[1:]))
     classes = set(kinds)
+    between = kinds.split(".")
+    mixed = max((len(p) for p in between if "0" in p and ("a" in p or "A" in p)), default=0)
+    changes = max(sum(x != y for x, y in zip(p, p[1:])) for p in between)
     return [
         f"length {min(n, 64) // 4}",
         "classes " + "".join(sorted(classes)),
@@ -101,6 +119,10 @@ def shape(token: str) -> list[str]:
         f"letters and digits {'0' in classes and bool(classes & {'a', 'A'})} {min(n // 8, 2)}",
         f"hex {min(n, 64) // 8 if _is_hex(token) else '-'}",
         f"ends {kinds[:1]}{kinds[-1:]}",
+        f"consonants {_unspoken(token)} {min(n, 24) // 6}",
+        f"marks {min(len(between) - 1, 6)}",
+        f"mixed between marks {min(mixed, 40) // 4}",
+        f"changes between marks {min(changes, 12)} {min(mixed, 40) // 8}",
     ]
 
 
@@ -169,8 +191,8 @@ class Tagger(dict):
 
     def __missing__(self, token: str) -> int:
         low = token.lower().strip(".")
-        # the shape follows from kinds and hex; a long token's is shorter than its kinds
-        like = (token.translate(_KINDS), _is_hex(token)) if len(token) <= 64 else tuple(shape(token))
+        # the shape follows from these; a long token's is shorter than its kinds
+        like = (token.translate(_KINDS), _is_hex(token), _unspoken(token)) if len(token) <= 64 else tuple(shape(token))
         same = (like, low if low in self.field.words else token if len(token) == 1 else "")
         n = self.like.get(same)
         if n is None:
@@ -261,8 +283,8 @@ class Tagger(dict):
 
 
 def drawn_secret(draw: random.Random, alphabet: str) -> str:
-    """16 to 48 characters; half the time with a short name before a mark, or in two parts."""
-    body = "".join(draw.choices(alphabet, k=draw.randint(16, 48)))
+    """16 to 48 characters, short ones more often; half the time with a short name before a mark, or in two parts."""
+    body = "".join(draw.choices(alphabet, k=min(draw.randint(16, 48), draw.randint(16, 48))))
     how = draw.randrange(4)
     if how == 0:
         return "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 4))) + draw.choice("-_") + body
@@ -283,8 +305,25 @@ def unclear(token: str) -> bool:
     return 4 * (1 + sum(x != y for x, y in zip(kinds, kinds[1:]))) >= len(token)
 
 
-def windows(text: str) -> list[tuple[list[str], list[int], list[str]]]:
-    """Windows of tokens with their tags and the text's features: several around each of up to PER_DOC secrets, one around the longest other token with a digit, and in texts without secrets one from the middle."""
+def _covered(tokens: list[tuple[str, int, int]], spans: list[tuple[int, int]]) -> list[bool]:
+    """Whether each token meets a span; both are sorted by their starts, and spans may overlap."""
+    out, at, upto = [], 0, -1
+    for _, a, b in tokens:
+        while at < len(spans) and spans[at][0] < b:
+            upto = max(upto, spans[at][1])
+            at += 1
+        out.append(a < upto)
+    return out
+
+
+def windows(text: str, kinds: tuple[str, ...] = tuple(KINDS_OF_ORDINARY)) -> list[tuple[list[str], list[int], list[str]]]:
+    """Windows of tokens with their tags and the text's features.
+
+    Several around each of up to PER_DOC secrets, with secrets and with ordinary
+    tokens of `kinds` in its place; one around the longest other token with a
+    digit; and in texts without secrets two from the middle, as it is and with an
+    ordinary token.  Linear in the text.
+    """
     tokens = [(m[0], *m.span()) for m in TOKEN.finditer(text)]
     if not tokens:
         return []
@@ -297,6 +336,7 @@ def windows(text: str) -> list[tuple[list[str], list[int], list[str]]]:
         else:
             tags.append(OUTSIDE)
     half, file, out = WINDOW // 2, of_file(text), []
+    draw = random.Random(hashlib.md5(text.encode()).digest())
 
     def window(names: list[str], i: int):
         a = max(0, i - half)
@@ -305,31 +345,41 @@ def windows(text: str) -> list[tuple[list[str], list[int], list[str]]]:
     def clear(w) -> bool:
         return not any(tag == OUTSIDE and unclear(t) for t, tag in zip(*w[:2]))
 
-    names = [t for t, _, _ in tokens]
+    def with_ordinary(names: list[str], i: int):
+        """The window around i with ordinary tokens in i's place, if nothing beside it is unclear."""
+        own, own_tags, _ = window(names, i)
+        at = min(i, half)
+        if kinds and clear((own[:at] + own[at + 1 :], own_tags[:at] + own_tags[at + 1 :])):
+            drawn = TOKEN.findall(ordinary(draw, kinds))
+            added.append((own[:at] + drawn + own[at + 1 :], own_tags[:at] + [OUTSIDE] * len(drawn) + own_tags[at + 1 :], file))
+
+    names, added = [t for t, _, _ in tokens], []
     found = [i for i, t in enumerate(tags) if t == BEGIN][:PER_DOC]
     if found:
-        spans = [(a, b) for a, _, b in base_spans(text)]
-        plain = [t for t, tag, (_, x, y) in zip(names, tags, tokens) if tag == OUTSIDE and not any(x < b and a < y for a, b in spans)] or ["a"]
-        draw = random.Random(hashlib.md5(text.encode()).digest())
-        hidden = list(names)
-        for k, (_, x, y) in enumerate(tokens):
-            if tags[k] == OUTSIDE and any(x < b and a < y for a, b in spans):
-                hidden[k] = draw.choice(plain)
+        spans = sorted((a, b) for a, _, b in base_spans(text))
+        covered = _covered(tokens, spans)
+        plain = [t for t, tag, c in zip(names, tags, covered) if tag == OUTSIDE and not c] or ["a"]
+        hidden = [draw.choice(plain) if c and tag == OUTSIDE else t for t, tag, c in zip(names, tags, covered)]
         for i in found:
+            alone = i + 1 == len(tags) or tags[i + 1] != INSIDE
             out.append(window(names, i))
-            for alphabet in ALPHABETS:
-                if i + 1 == len(tags) or tags[i + 1] != INSIDE:
+            for alphabet in ALPHABETS * 2:
+                if alone:
                     hidden[i] = drawn_secret(draw, alphabet)
                 out.append(window(hidden, i))
+            if alone:
+                for _ in range(PER_SECRET):
+                    with_ordinary(hidden, i)
     else:
         out.append(window(names, len(names) // 2))
+        with_ordinary(names, len(names) // 2)
     other = [(-len(t), i) for i, (t, tag) in enumerate(zip(names, tags)) if tag == OUTSIDE and len(t) > 1 and any(map(str.isdigit, t))]
     if other:
         out.append(window(names, min(other)[1]))
-    return [w for w in out if clear(w)]
+    return [w for w in out if clear(w)] + added
 
 
-def fit(examples: list[tuple[list[str], list[int], list[str]]], rounds: int = 60, rate: float = 0.15, prior: float = 1e-4) -> Field:
+def fit(examples: list[tuple[list[str], list[int], list[str]]], rounds: int = 150, rate: float = 0.15, prior: float = 1e-4) -> Field:
     """Maximum likelihood over the windows."""
     seen: dict[str, int] = {}
     for tokens, tags, _ in examples:
@@ -343,7 +393,10 @@ def fit(examples: list[tuple[list[str], list[int], list[str]]], rounds: int = 60
     n, most = len(examples), max((len(t) for t, _, _ in examples), default=0)
     if not any(any(tags) for _, tags, _ in examples):
         return Field({}, [[0.0, -50.0, -50.0], [0.0, -50.0, -50.0], [0.0, -50.0, -50.0]], {})
-    rows = [[(names.setdefault(x, len(names) + 1)) for x in [*(f"own {s}" for s in shape(tokens[i])), *(f"before {s}" for s in (beside(tokens[i - 1], words) if i else [])), *(f"after {s}" for s in (beside(tokens[i + 1], words) if i + 1 < len(tokens) else [])), *(f"file {s}" for s in file)]] for tokens, _, file in examples for i in range(len(tokens))]
+    # places with the same features count as one, with their number: words share few shapes
+    numbers: dict[tuple[str, ...], int] = {}
+    which = np.array([numbers.setdefault((*(f"own {s}" for s in shape(tokens[i])), *(f"before {s}" for s in (beside(tokens[i - 1], words) if i else [])), *(f"after {s}" for s in (beside(tokens[i + 1], words) if i + 1 < len(tokens) else [])), *(f"file {s}" for s in file)), len(numbers)) for tokens, _, file in examples for i in range(len(tokens))])
+    rows = [[names.setdefault(x, len(names) + 1) for x in row] for row in numbers]
     wide = max(map(len, rows))
     flat = np.array([r + [0] * (wide - len(r)) for r in rows])
     size = np.array([len(t) for t, _, _ in examples])
@@ -368,7 +421,7 @@ def fit(examples: list[tuple[list[str], list[int], list[str]]], rounds: int = 60
         return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
     for step in range(1, rounds + 1):
-        own = weights[flat].sum(axis=1)
+        own = weights[flat].sum(axis=1)[which]
         e = np.where(there[..., None], own[where], 0.0)
         e[:, 0, INSIDE] += -1e4
         t = moves + barred
@@ -382,6 +435,7 @@ def fit(examples: list[tuple[list[str], list[int], list[str]]], rounds: int = 60
         p = np.exp(alpha + beta - z[:, None, None]) * there[..., None]
         joint = np.exp(alpha[:, :-1, :, None] + t + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * there[:, 1:, None, None]
         miss = (gold1 - p)[there]
+        miss = np.stack([np.bincount(which, miss[:, k], len(rows)) for k in range(3)], 1)
         grad = np.stack([np.bincount(flat.ravel(), np.repeat(miss[:, k], wide), len(weights)) for k in range(3)], 1) / n - prior * weights
         grad[0] = grad[:, OUTSIDE] = 0
         up = (pairs - joint.sum(axis=(0, 1))) / n - prior * moves
