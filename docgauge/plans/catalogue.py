@@ -638,3 +638,44 @@ def image_crops(spark, d):
 
     made = table(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id")).mapInArrow(files, "image string, content binary, crop_bbox array<int>")
     return images.cropped(made, pad=1).mapInArrow(sums, "image string, width int, height int, total long")
+
+
+#: Kinds of image files: bits, channels, filters of the rows in turn, interlaced, palette.
+FILE_KINDS = ((8, 1, (0, 1, 2, 3, 4), False, False), (8, 1, (4, 3), True, False), (4, 1, (4,), False, False), (2, 1, (3, 0), True, False), (1, 1, (4, 2), False, False), (16, 1, (1, 4), False, False), (8, 3, (4, 3, 2, 1, 0), False, False), (8, 4, (3, 4), True, False), (4, 1, (2, 4), False, True), (16, 2, (3,), True, False))
+_FILE_BITS = "CASE page_id % 10 " + " ".join(f"WHEN {k} THEN {f[0]}" for k, f in enumerate(FILE_KINDS)) + " END"
+_FILE_CHANNELS = "CASE page_id % 10 " + " ".join(f"WHEN {k} THEN {3 if f[4] else f[1]}" for k, f in enumerate(FILE_KINDS)) + " END"
+
+
+@query(f"""WITH k AS (SELECT page_id, {_FILE_BITS} AS bits, {_FILE_CHANNELS} AS channels FROM pages),
+v AS (SELECT page_id, bits, channels, x, y, c, ({_PIXEL_SQL} + CASE WHEN page_id % 10 = 8 THEN 0 ELSE 85 * c END) % 256 AS s FROM k, range(16) a(x), range(25) b(y), range(4) d(c) WHERE c < channels),
+d AS (SELECT *, CASE WHEN page_id % 10 = 8 THEN (s // 16 * 31 + c * 7) % 256 WHEN bits < 8 THEN CASE bits WHEN 4 THEN s // 16 * 17 WHEN 2 THEN s // 64 * 85 ELSE s // 128 * 255 END ELSE s END AS o FROM v)
+SELECT page_id || '.png' AS image, CAST(any_value(channels) AS INTEGER) AS channels, CAST(sum(o) AS BIGINT) AS total, CAST(sum(o * (x + 16 * y + 400 * c)) AS BIGINT) AS placed FROM d GROUP BY page_id""")
+def image_kinds(spark, d):
+    """The pages' images in files of ten kinds (depths, colours, all filters, interlaced, palettes), read again: sums of samples, and weighted by their place."""
+    import numpy as np
+    import pyarrow as pa
+
+    from docgauge.sources import images, png
+
+    kinds = FILE_KINDS
+
+    def files(batches):
+        x, y, c = np.arange(16)[:, None], np.arange(25)[:, None, None], np.arange(4)
+        for b in batches:
+            content = []
+            for k in b.column(0).to_pylist():
+                bits, channels, filters, interlaced, palette = kinds[k % 10]
+                s = (k * 7 + x * 13 + y * y * 29 + 85 * c[:channels]) % 256
+                s = s >> 8 - bits if bits < 8 else s * 256 + x if bits == 16 else s
+                colours = (np.arange(16)[:, None] * 31 + np.arange(3) * 7) % 256 if palette else None
+                content.append(png.encode(s, bits, np.array(filters), interlaced, colours))
+            yield pa.RecordBatch.from_arrays([pa.array([f"{k}.png" for k in b.column(0).to_pylist()], pa.string()), pa.array(content, pa.binary())], ["image", "content"])
+
+    def sums(batches):
+        for b in batches:
+            read = [images.pixels(raw.as_py()).astype(np.int64) for raw in b.column(1)]
+            places = [(np.arange(p.shape[1])[:, None] + 16 * np.arange(len(p))[:, None, None] + 400 * np.arange(p.shape[2])) for p in read]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p.shape[2] for p in read], pa.int32()), pa.array([int(p.sum()) for p in read], pa.int64()), pa.array([int((p * at).sum()) for p, at in zip(read, places)], pa.int64())], ["image", "channels", "total", "placed"])
+
+    made = table(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id")).mapInArrow(files, "image string, content binary")
+    return made.mapInArrow(sums, "image string, channels int, total long, placed long")

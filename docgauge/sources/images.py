@@ -1,82 +1,36 @@
 """Images from their bytes: grey samples, features, crops.
 
-PNG is decoded here; other formats where the optional imaging library is there,
-else they give a row with an error, as files that can't be read do.  Each image
-is a row of its own, so nothing is gathered; a task holds one image's samples.
+PNG and baseline JPEG are decoded here (`png`, `jpeg`); other formats where the
+optional imaging library is there, else they give a row with an error, as files
+that can't be read do.  Each image is a row of its own, so nothing is gathered; a
+task holds one image's samples.
 """
 
 from __future__ import annotations
 
 import io
-import struct
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docgauge.sources import jpeg, png
+
 FEATURES = "image string, path string, sha256 string, width int, height int, aspect_ratio double, text_density double, contrast double, estimated_lines int, error string"
-#: Samples a pixel of PNG's colour types; weights of red, green and blue in 2 ** 16.
-CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+#: Weights of red, green and blue in 2 ** 16.
 GREY = (19595, 38470, 7471)
 
 
-def _unfiltered(rows: np.ndarray, step: int) -> np.ndarray:
-    """Rows with their filter byte -> samples."""
-    out = np.zeros((len(rows), rows.shape[1] - 1), np.uint8)
-    above = np.zeros(rows.shape[1] - 1, np.uint8)
-    for y, row in enumerate(rows):
-        kind, line = row[0], row[1:].copy()
-        if kind == 1:
-            line = np.cumsum(line.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
-        elif kind == 2:
-            line += above
-        elif kind in (3, 4):
-            left = np.zeros(step, np.int32)
-            corner = np.zeros(step, np.int32)
-            for x in range(0, len(line), step):
-                up = above[x : x + step].astype(np.int32)
-                if kind == 3:
-                    guess = (left + up) // 2
-                else:
-                    p = left + up - corner
-                    a, b, c = abs(p - left), abs(p - up), abs(p - corner)
-                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
-                left = (line[x : x + step] + guess) & 255
-                line[x : x + step] = left
-                corner = up
-        elif kind:
-            raise ValueError(f"unknown filter {kind}")
-        out[y] = above = line
-    return out
-
-
-def _png(raw: bytes) -> np.ndarray:
-    at, packed, palette = 8, [], None
-    width, height, bits, colour, _, _, interlaced = struct.unpack(">IIBBBBB", raw[16:29])
-    if bits != 8 or interlaced or colour not in CHANNELS:
-        raise ValueError(f"PNG with {bits} bits, colour type {colour}, interlace {interlaced} isn't read")
-    while at + 8 <= len(raw):
-        n, kind = struct.unpack_from(">I4s", raw, at)
-        if kind == b"PLTE":
-            palette = np.frombuffer(raw[at + 8 : at + 8 + n], np.uint8).reshape(-1, 3)
-        elif kind == b"IDAT":
-            packed.append(raw[at + 8 : at + 8 + n])
-        at += 12 + n
-    step = CHANNELS[colour]
-    rows = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + width * step)
-    pixels = _unfiltered(rows, step).reshape(height, width, step)
-    return palette[pixels[..., 0]] if colour == 3 else pixels
-
-
 def pixels(raw: bytes) -> np.ndarray:
     """(height, width, channels) of an image file."""
-    if raw[:8] == b"\x89PNG\r\n\x1a\n":
-        return _png(raw)
+    if raw[:8] == png.SIGNATURE:
+        return png.decode(raw)
+    if raw[:2] == b"\xff\xd8":
+        return jpeg.decode(raw)
     try:
         from PIL import Image
     except ImportError:
-        raise ValueError("only PNG images are read here") from None
+        raise ValueError("only PNG and JPEG images are read here") from None
     image = np.asarray(Image.open(io.BytesIO(raw)))
     return image if image.ndim == 3 else image[..., None]
 
@@ -91,11 +45,7 @@ def grey(p: np.ndarray) -> np.ndarray:
 
 def to_png(p: np.ndarray) -> bytes:
     """(height, width) or (height, width, 1, 2, 3 or 4) samples as a PNG file."""
-    p = p if p.ndim == 3 else p[..., None]
-    colour = {1: 0, 2: 4, 3: 2, 4: 6}[p.shape[2]]
-    rows = np.concatenate([np.zeros((len(p), 1), np.uint8), p.reshape(len(p), -1)], axis=1).tobytes()
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", p.shape[1], len(p), 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+    return png.encode(p)
 
 
 def features_of(raw: bytes) -> dict:
