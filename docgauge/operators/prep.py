@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docgauge.functions.geometry import union_box
 from docgauge.functions.text import _c, word_count
+from docgauge.operators import places
 
 
 def signature_line(text, is_last, y1, height, default_height: int = 3542) -> Column:
@@ -104,13 +105,17 @@ def diverse_sample(df: DataFrame, features: dict[str, str], target: int, key: Co
     return b.join(chosen.select("__key"), "__key").drop("__key", "bucket")
 
 
-def representative(df: DataFrame, score: str, seq: str, by: list[str] | None = None) -> DataFrame:
-    """Best, worst, median and, of more than five, the quartiles by `score` (null: 1), ties by `seq`; the same row may come twice. Adds `pick`."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    ranked = df.withColumn("__i", F.row_number().over(w.orderBy(F.coalesce(score, F.lit(1.0)), seq)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
-    n = F.col("__n")
-    at = F.array(*[F.struct(F.lit(name).alias("pick"), place.cast("long").alias("i"), (n > least).alias("there")) for name, place, least in (("best", F.lit(0), 0), ("worst", n - 1, 1), ("median", F.floor(n / 2), 2), ("lower", F.floor(n / 4), 5), ("upper", F.floor(3 * n / 4), 5))])
-    return ranked.withColumn("__p", F.explode(F.filter(at, lambda p: p["there"]))).where(F.col("__p")["i"] == F.col("__i")).withColumn("pick", F.col("__p")["pick"]).drop("__i", "__n", "__p")
+def representative(df: DataFrame, score: str, seq: str, by: list[str] | None = None, ranked: int = places.RANKED) -> DataFrame:
+    """Best, worst, median and, of more than five, the quartiles by `score` (null: 1), ties by `seq`; the same row may come twice. Adds `pick`.
+
+    No group is sorted: brackets of counted values close in on the places of all
+    groups (`places`).
+    """
+
+    def wanted(n: Column) -> Column:
+        return F.array(*[F.struct(F.lit(name).alias("pick"), place.cast("long").alias("i"), (n > least).alias("there")) for name, place, least in (("best", F.lit(0), 0), ("worst", n - 1, 1), ("median", F.floor(n / 2), 2), ("lower", F.floor(n / 4), 5), ("upper", F.floor(3 * n / 4), 5))])
+
+    return places.at_places(df, by or [], F.coalesce(F.col(score).cast("double"), F.lit(1.0)), seq, wanted, ranked)
 
 
 def runs(profile: DataFrame, by: list[str], y: str, dark: str, least: int = 12) -> DataFrame:
