@@ -350,8 +350,11 @@ def windows(text: str, kinds: tuple[str, ...] = tuple(KINDS_OF_ORDINARY)) -> lis
         own, own_tags, _ = window(names, i)
         at = min(i, half)
         if kinds and clear((own[:at] + own[at + 1 :], own_tags[:at] + own_tags[at + 1 :])):
-            drawn = TOKEN.findall(ordinary(draw, kinds))
-            added.append((own[:at] + drawn + own[at + 1 :], own_tags[:at] + [OUTSIDE] * len(drawn) + own_tags[at + 1 :], file))
+            drawn = TOKEN.findall(ordinary(draw, kinds))[:WINDOW]
+            # as many tokens as other windows have
+            less = min(at, len(drawn) // 2)
+            own, own_tags = own[less:at] + drawn + own[at + 1 :], own_tags[less:at] + [OUTSIDE] * len(drawn) + own_tags[at + 1 :]
+            added.append((own[: WINDOW + 3], own_tags[: WINDOW + 3], file))
 
     names, added = [t for t, _, _ in tokens], []
     found = [i for i, t in enumerate(tags) if t == BEGIN][:PER_DOC]
@@ -379,7 +382,7 @@ def windows(text: str, kinds: tuple[str, ...] = tuple(KINDS_OF_ORDINARY)) -> lis
     return [w for w in out if clear(w)] + added
 
 
-def fit(examples: list[tuple[list[str], list[int], list[str]]], rounds: int = 150, rate: float = 0.15, prior: float = 1e-4) -> Field:
+def fit(examples: list[tuple[list[str], list[int], list[str]]], rounds: int = 100, rate: float = 0.15, prior: float = 1e-4) -> Field:
     """Maximum likelihood over the windows."""
     seen: dict[str, int] = {}
     for tokens, tags, _ in examples:
