@@ -52,7 +52,8 @@ def run_candidates(preds: DataFrame, truth: DataFrame, missing: str = "skip", no
     if _has(preds, "errors") and _has(truth, "errors"):
         both = F.col("errors").isNotNull() & F.col(own("errors")).isNotNull()
         scores.append(mean_or_zero(F.when(both, error_f1("errors", own("errors")))).alias("error_detection_f1"))
-        overlap = let(F.struct(_boxes("errors").alias("p"), _boxes(own("errors")).alias("g")), lambda v: error_metrics(greedy(v["p"], v["g"]), F.size(v["g"]), F.size(v["p"])))
+        p, g = _boxes("errors"), _boxes(own("errors"))
+        overlap = error_metrics(greedy(p, g), F.size(g), F.size(p))
         scores.append(mean_or_zero(F.when(both, let(overlap, lambda m: F.when(m["matched"] > 0, m["mean_iou"])))).alias("bounding_box_iou"))
     out = latency_summary(preds, ["candidate"]).join(pages.groupBy("candidate").agg(*scores), "candidate", "left")
     for stage in ("stage1_latency", "stage2_latency"):

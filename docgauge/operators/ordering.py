@@ -1,12 +1,14 @@
-"""Reading order and rank correlation, as expressions over a page's arrays."""
+"""Reading order and rank correlation over a page's arrays: expressions, and pairs counted by merging (`pages`)."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docgauge.functions.geometry import to_xyxy
 from docgauge.functions.text import _c, let
+from docgauge.operators import pages
 
 
 def reading_order(boxes) -> Column:
@@ -17,30 +19,26 @@ def reading_order(boxes) -> Column:
 
 def ranks(order) -> Column:
     """The place of each index in an order of 0..n-1."""
-    o = _c(order)
-    return F.transform(o, lambda _, i: (F.array_position(o, i.cast("int")) - 1).cast("int"))
+    at = F.transform(_c(order), lambda v, i: F.struct(v.alias("v"), i.cast("int").alias("i")))
+    return F.transform(F.array_sort(at), lambda x: x["i"])
 
 
 def _pairs(a: Column, b: Column) -> Column:
-    """Of all pairs i < j: concordant, discordant, ties in a, ties in b."""
-    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in ("c", "d", "ta", "tb")])
-    rows = F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z, i: F.struct(z["a"].alias("a"), z["b"].alias("b"), i.alias("i")))
+    """Of all pairs i < j: concordant, discordant, ties in a, ties in b; by sorting and merging."""
 
-    def add(acc, x, y):
-        s = F.signum((x["a"] - y["a"]).cast("double")) * F.signum((x["b"] - y["b"]).cast("double"))
-        one = lambda test: F.when(test, 1).otherwise(0)
-        later = y["i"] > x["i"]
-        return F.struct(*[(acc[n] + one(later & t)).alias(n) for n, t in (("c", s > 0), ("d", s < 0), ("ta", x["a"] == y["a"]), ("tb", x["b"] == y["b"]))])
+    @F.arrow_udf("struct<c:bigint,d:bigint,ta:bigint,tb:bigint>")
+    def counts(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pages.pair_counts(x, y)
 
-    return let(rows, lambda rs: F.aggregate(rs, zero, lambda acc, x: F.aggregate(rs, acc, lambda acc2, y: add(acc2, x, y))))
+    return counts(a, b)
 
 
 def kendall_tau_b(a, b) -> Column:
-    """Ties count on each side; fewer than two, unequal lengths or a zero denominator give 0."""
+    """Ties count on each side; fewer than two, unequal lengths or a zero denominator give 0. Not for use within a lambda."""
     a, b = _c(a), _c(b)
     n = F.size(a).cast("double")
     total = n * (n - 1) / 2
-    value = let(_pairs(a, b), lambda k: F.coalesce(F.try_divide((k["c"] - k["d"]).cast("double"), F.sqrt((total - k["ta"]) * (total - k["tb"]))), F.lit(0.0)))
+    value = let(F.struct(_pairs(a, b).alias("k"), total.alias("n")), lambda v: F.coalesce(F.try_divide((v["k"]["c"] - v["k"]["d"]).cast("double"), F.sqrt((v["n"] - v["k"]["ta"]) * (v["n"] - v["k"]["tb"]))), F.lit(0.0)))
     return F.when((F.size(a) < 2) | (F.size(a) != F.size(b)), 0.0).otherwise(value)
 
 

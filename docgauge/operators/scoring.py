@@ -55,15 +55,20 @@ def _error_metrics(m: Column, n_gt) -> Column:
     return F.struct(m["mean_iou"].alias("mean_iou"), m["matched"].alias("matched"), F.when(_c(n_gt) == 0, 1.0).otherwise(m["recall"]).alias("recall"), F.when(_c(n_gt) == 0, 0.0).otherwise(m["precision"]).alias("precision"))
 
 
+def _of_kind(errors: Column, kind: str) -> Column:
+    """Boxes of the errors of one type."""
+    return F.transform(F.filter(errors, lambda e: e["type"] == kind), lambda e: e["bbox"])
+
+
 def error_f1(pred, gt, at_least: float = 0.5) -> Column:
     """Macro F1 over the known error types that either side has; each prediction takes the first free true error that overlaps enough. Arrays of structs of type and bbox."""
     pred, gt = _c(pred), _c(gt)
     none = F.array().cast("array<double>")
     scores = none
     for kind in ERROR_TYPES:
-        of = lambda xs, k=kind: F.transform(F.filter(xs, lambda e: e["type"] == k), lambda e: e["bbox"])
-        one = let(F.struct(of(pred).alias("p"), of(gt).alias("g")), lambda v: F.when(F.size(v["p"]) + F.size(v["g"]) > 0, F.array(2.0 * F.size(greedy(v["p"], v["g"], at_least, policy="first")) / (F.size(v["p"]) + F.size(v["g"])))).otherwise(none))
-        scores = F.concat(scores, one)
+        p, g = _of_kind(pred, kind), _of_kind(gt, kind)
+        n = F.size(p) + F.size(g)
+        scores = F.concat(scores, F.when(n > 0, F.array(2.0 * F.size(greedy(p, g, at_least, policy="first")) / n)).otherwise(none))
     return let(scores, lambda s: F.coalesce(F.try_divide(F.aggregate(s, F.lit(0.0), lambda a, x: a + x), F.size(s).cast("double")), F.lit(0.0)))
 
 
@@ -71,8 +76,8 @@ def order_metrics(pred, gt, gt_order=None, at_least: float = 0.05) -> Column:
     """kendall_tau, matched_blocks, total_gt_blocks: predictions in reading order take true boxes (overlap above `at_least`); their order is compared with the true ranks."""
     pred = _c(pred)
     seen = F.transform(reading_order(pred), lambda i: to_xyxy(F.get(pred, i)))
-    visits = let(F.struct(seen.alias("p"), corners(gt).alias("g")), lambda v: F.transform(greedy(v["p"], v["g"], at_least, strict=True), lambda m: m["g"]))
-    return let(visits, lambda v: _order_metrics(v, F.size(_c(gt)), None if gt_order is None else _c(gt_order)))
+    visits = F.transform(greedy(seen, corners(gt), at_least, strict=True), lambda m: m["g"])
+    return _order_metrics(visits, F.size(_c(gt)), None if gt_order is None else _c(gt_order))
 
 
 def _order_metrics(visits: Column, n_gt: Column, order: Column | None) -> Column:

@@ -163,8 +163,8 @@ def bbox_parse_string(spark, d):
 
 @query(f"WITH {FIX} SELECT page, i, g, round(iou, 9) AS iou FROM (SELECT pr.page, pr.i, gt.g, {iou_sql('pr', 'gt')} AS iou FROM pr JOIN gt ON pr.page = gt.page) WHERE iou > 0")
 def pairwise_iou(spark, d):
-    p = pages(spark, d).select("page", F.posexplode(matching.overlaps(G.corners("pred"), "gt")).alias("i", "row")).select("page", "i", F.posexplode("row").alias("g", "iou"))
-    return p.where("iou > 0").select("page", "i", "g", F.round("iou", 9).alias("iou"))
+    p = pages(spark, d).select("page", F.explode(matching.overlapping(G.corners("pred"), "gt")).alias("m"))
+    return p.select("page", F.col("m.p").alias("i"), "m.g", F.round("m.iou", 9).alias("iou"))
 
 
 @query(f"WITH RECURSIVE {FIX}, {greedy_sql('pr', 'gt', 'iou >= 0.1')} SELECT page, i AS p, g, round(iou, 6) AS iou FROM m")
