@@ -1,4 +1,4 @@
-"""Connectors to services: a chat model over HTTP for pages and for writing errors, and two stages as one candidate.
+"""Connectors to services: a document service and a chat model over HTTP for pages, a chat model for writing errors, and two stages as one candidate.
 
 A connector is a function of a page (a dict with image and content, or with text
 and blocks) for `connectors.infer`; it runs in Python workers.  `send` posts a
@@ -14,6 +14,9 @@ import time
 import urllib.request
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 NO_PLACE = [0, 0, 0, 0]
 ERRORS_PROMPT = """Find the writing errors in this transcription. Answer with a JSON object that has a list "errors"; each error has "type" ({types}), "block_index" (from 0) and "description".
 
@@ -72,14 +75,17 @@ def _in_fence(text: str) -> str:
 def errors_of(text: str, blocks: list[dict]) -> list[dict]:
     """The errors that an answer lists, placed by the block that they name; none where it can't be read."""
     try:
-        listed = json.loads(_in_fence(text)).get("errors", [])
-    except (json.JSONDecodeError, AttributeError):
+        answer = json.loads(_in_fence(text))
+    except json.JSONDecodeError:
         return []
+    listed = answer.get("errors") if isinstance(answer, dict) else None
     out = []
-    for e in listed:
-        k = e.get("block_index", -1)
-        known = isinstance(k, int) and 0 <= k < len(blocks)
-        out.append({"type": e.get("type", "unknown"), "bbox": blocks[k]["bbox"] if known else NO_PLACE, "description": e.get("description", "")})
+    for e in listed if isinstance(listed, list) else []:
+        if not isinstance(e, dict):
+            continue
+        k, kind, said = e.get("block_index", -1), e.get("type", "unknown"), e.get("description", "")
+        known = isinstance(k, int) and not isinstance(k, bool) and 0 <= k < len(blocks)
+        out.append({"type": kind if isinstance(kind, str) else "unknown", "bbox": blocks[k]["bbox"] if known else NO_PLACE, "description": said if isinstance(said, str) else ""})
     return out
 
 
@@ -98,6 +104,62 @@ def error_finder(send: Callable[[dict], dict], prompt: str = ERRORS_PROMPT, **op
     return find
 
 
+def _named(record: dict, name: str, default=None):
+    """A field under its name with underscores or in one word with capitals: services use both."""
+    first, *more = name.split("_")
+    return record.get(name, record.get(first + "".join(x.capitalize() for x in more), default))
+
+
+def document_blocks(document: dict, first_page: int = 0) -> list[dict]:
+    """A service's document: blocks of all pages with their page, text by anchors, box and confidence."""
+    text, out = document.get("text") or "", []
+    for number, page in enumerate(document.get("pages") or [], first_page):
+        size = _named(page, "dimension") or _named(page, "image") or {}
+        for block in page.get("blocks") or []:
+            layout = block.get("layout") or {}
+            parts = _named(_named(layout, "text_anchor") or {}, "text_segments") or []
+            corners = _named(_named(layout, "bounding_poly") or {}, "normalized_vertices") or []
+            xs, ys = ([int(v.get(k, 0.0) * size.get(side, 0)) for v in corners] for k, side in (("x", "width"), ("y", "height")))
+            box = [min(xs), min(ys), max(xs), max(ys)] if corners else NO_PLACE
+            said = "".join(text[int(_named(p, "start_index") or 0) : int(_named(p, "end_index") or 0)] for p in parts)
+            out.append({"page": number, "bbox": box, "text": said.strip(), "confidence": layout.get("confidence", 0.0)})
+    return out
+
+
+def document_reader(send: Callable[[dict], dict], mime: str = "image/png", pages_at_once: int = 15) -> Callable[[dict], dict]:
+    """A file's bytes to a document service; files of many pages are asked for in runs of `pages_at_once`, until a run comes back short.
+
+    Each block tells its page; `document_pages` makes a row of each.
+    """
+
+    def read(page: dict) -> dict:
+        content, texts, blocks, first = base64.b64encode(page["content"]).decode(), [], [], 0
+        began = time.perf_counter()
+        while True:
+            body = {"rawDocument": {"content": content, "mimeType": mime}}
+            if not mime.startswith("image/") or first:
+                body["processOptions"] = {"individualPageSelector": {"pages": list(range(first + 1, first + pages_at_once + 1))}}
+            document = send(body).get("document") or {}
+            texts.append(document.get("text") or "")
+            blocks += document_blocks(document, first)
+            got = len(document.get("pages") or [])
+            first += got
+            if got < pages_at_once or mime.startswith("image/"):
+                return {"text": "".join(texts), "blocks": blocks, "stage1_latency": time.perf_counter() - began}
+
+    return read
+
+
+def document_pages(inferred: DataFrame) -> DataFrame:
+    """What `connectors.infer` made with a `document_reader`: a row per page with blocks, in order: candidate, run, image, page, text, blocks."""
+    kind = "array<struct<page:int,bbox:array<double>,text:string,confidence:double>>"
+    by_page = inferred.select("candidate", "run", "image", F.posexplode(F.from_json("blocks", kind)).alias("at", "b"))
+    # the blocks of a page are what one answer held
+    rows = by_page.groupBy("candidate", "run", "image", F.col("b.page").alias("page")).agg(F.array_sort(F.collect_list(F.struct("at", F.struct("b.bbox", "b.text", "b.confidence").alias("b")))).alias("r"))
+    blocks = F.transform("r", lambda x: x["b"])
+    return rows.select("candidate", "run", "image", "page", F.array_join(F.transform(blocks, lambda b: b["text"]), "\n").alias("text"), blocks.alias("blocks"))
+
+
 def two_stages(read: Callable[[dict], dict], judge: Callable[[dict], dict]) -> Callable[[dict], dict]:
     """One candidate of two: what the second finds is laid over what the first read."""
 
@@ -105,4 +167,5 @@ def two_stages(read: Callable[[dict], dict], judge: Callable[[dict], dict]) -> C
         first = read(page)
         return {**first, **judge({**page, **first})}
 
+    run.paced = getattr(read, "paced", False) or getattr(judge, "paced", False)
     return run
