@@ -679,3 +679,55 @@ def image_kinds(spark, d):
 
     made = table(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id")).mapInArrow(files, "image string, content binary")
     return made.mapInArrow(sums, "image string, channels int, total long, placed long")
+
+
+@query("SELECT page_id || '.html' AS member, strlen(coalesce(html, '')) AS size, sha256(coalesce(html, '')) AS sha FROM pages")
+def archive_members(spark, d):
+    """The pages in zip archives, read again as rows."""
+    import uuid
+
+    from docgauge.operators.tables import shared_folder
+    from docgauge.sources import archives
+
+    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    rows = table(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("member"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    archives.save_archives(rows, folder).collect()  # a name and a count for each archive
+    return archives.members(spark, folder, 1 << 20).select("member", "size", F.sha2("content", 256).alias("sha"))
+
+
+#: Boxes of a page's image: true ones of three samples' width, predicted ones of two, inwards from the corners.
+def _on_outline(box: tuple[str, str, str, str], width: int) -> str:
+    a, b, c, e = box
+    return f"(x BETWEEN {a} AND {c} AND y BETWEEN {b} AND {e} AND NOT (x BETWEEN {a} + {width} AND {c} - {width} AND y BETWEEN {b} + {width} AND {e} - {width}))"
+
+
+_TRUE_BOX, _PREDICTED_BOX = ("page_id % 5 - 2", "page_id % 7", "page_id % 5 + 9", "page_id % 7 + 12"), ("page_id % 6", "page_id % 11 + 3", "page_id % 6 + 8", "page_id % 11 + 9")
+
+
+@query(f"""WITH v AS (SELECT page_id, c, CASE WHEN {_on_outline(_PREDICTED_BOX, 2)} THEN CASE c WHEN 0 THEN 255 ELSE 40 END WHEN {_on_outline(_TRUE_BOX, 3)} THEN CASE c WHEN 1 THEN 200 ELSE 0 END ELSE {_PIXEL_SQL} END AS o, x + 16 * y + 400 * c AS spot
+FROM pages, range(16) a(x), range(25) b(y), range(3) k(c))
+SELECT page_id || '.png' AS image, CAST(sum(o) AS BIGINT) AS total, CAST(sum(o * spot) AS BIGINT) AS placed FROM v GROUP BY page_id""")
+def image_overlays(spark, d):
+    """True and predicted boxes drawn on the pages' images, read again: sums of samples, and weighted by their place."""
+    import numpy as np
+    import pyarrow as pa
+
+    from docgauge.sources import images, overlays
+
+    def files(batches):
+        x, y = np.arange(16), np.arange(25)[:, None]
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            content = [images.to_png(((k * 7 + x * 13 + y * y * 29) % 256).astype(np.uint8)) for k in ids]
+            boxes_ = lambda make: pa.array([[[float(v) for v in make(k)]] for k in ids], pa.list_(pa.list_(pa.float64())))
+            true, predicted = boxes_(lambda k: (k % 5 - 2, k % 7, k % 5 + 9, k % 7 + 12)), boxes_(lambda k: (k % 6, k % 11 + 3, k % 6 + 8, k % 11 + 9))
+            yield pa.RecordBatch.from_arrays([pa.array([f"{k}.png" for k in ids], pa.string()), pa.array(content, pa.binary()), true, predicted], ["image", "content", "gt", "pred"])
+
+    def sums(batches):
+        for b in batches:
+            read = [images.pixels(raw.as_py()).astype(np.int64) for raw in b.column(1)]
+            places = [(np.arange(p.shape[1])[:, None] + 16 * np.arange(len(p))[:, None, None] + 400 * np.arange(3)) for p in read]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int(p.sum()) for p in read], pa.int64()), pa.array([int((p * at).sum()) for p, at in zip(read, places)], pa.int64())], ["image", "total", "placed"])
+
+    made = table(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id")).mapInArrow(files, "image string, content binary, gt array<array<double>>, pred array<array<double>>")
+    return overlays.overlays(made, labels=False).select("image", "content").mapInArrow(sums, "image string, total long, placed long")
