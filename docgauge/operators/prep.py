@@ -78,13 +78,16 @@ def cut_points(df: DataFrame, *features: str) -> DataFrame:
                 at[k], narrower = (p, q[0], q[1], a, b - a), True
         if not narrower:
             break
-    # one more scan for what the brackets hold
-    held = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), x[f].cast("double").alias("x"), x[f].between(lo, hi).alias("held")) for i, ((f, _), (_, lo, hi, _, _)) in enumerate(at.items())]), lambda v: v["held"])
-    ranked = df.select(F.explode(held).alias("v")).groupBy("v.i", "v.x").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(Window.partitionBy("i").orderBy("x")))
-    places = list(at.items())
-    due = F.element_at(F.array(*[F.lit(p - below) for _, (p, _, _, below, _) in places]), F.col("i") + 1)
-    kinds = dict(df.select(*[x[f].alias(f) for f in features]).dtypes)
-    return ranked.where(F.col("upto") > due).agg(*[F.min(F.when(F.col("i") == i, F.col("x"))).cast(kinds[f]).alias(f"{f}_{side}") for i, ((f, side), _) in enumerate(places)])
+    # what the brackets of a feature hold is ranked in the feature's own type, a scan for each feature
+    out = None
+    for f in features:
+        own = [(i, side, *at[(f, side)]) for i, side in enumerate(("low", "high"))]
+        held = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), x[f].alias("x"), x[f].between(lo, hi).alias("held")) for i, _, _, lo, hi, _, _ in own]), lambda v: v["held"])
+        ranked = df.select(F.explode(held).alias("v")).groupBy("v.i", "v.x").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(Window.partitionBy("i").orderBy("x")))
+        due = F.element_at(F.array(*[F.lit(p - below) for _, _, p, _, _, below, _ in own]), F.col("i") + 1)
+        one = ranked.where(F.col("upto") > due).agg(*[F.min(F.when(F.col("i") == i, F.col("x"))).alias(f"{f}_{side}") for i, side, *_ in own])
+        out = one if out is None else out.crossJoin(one)  # single rows
+    return out
 
 
 def bucket(df: DataFrame, features: dict[str, str]) -> DataFrame:

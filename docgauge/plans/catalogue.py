@@ -731,3 +731,7 @@ def image_overlays(spark, d):
 
     made = table(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id")).mapInArrow(files, "image string, content binary, gt array<array<double>>, pred array<array<double>>")
     return overlays.overlays(made, labels=False).select("image", "content").mapInArrow(sums, "image string, total long, placed long")
+
+
+# the queries whose way leads through files register themselves
+from docgauge.plans import files  # noqa: E402, F401

@@ -54,3 +54,11 @@ def test_plan_has_no_window_over_rows(spark):
     plan = prep.representative(df, "cer", "seq", ["source"])._jdf.queryExecution().optimizedPlan().toString()
     # every window stands above an aggregate that counts values
     assert "Window" in plan and all("Aggregate" in part for part in plan.split("Window [")[1:])
+
+
+def test_cut_points_beyond_doubles(spark):
+    """Long values that fall together as doubles are still told apart."""
+    base = 1 << 60
+    df = spark.createDataFrame([(base + k, k % 7) for k in range(31)], "big long, small long").repartition(3)
+    got = prep.cut_points(df, "big", "small").first()
+    assert (got.big_low, got.big_high) == (base + 10, base + 20) and (got.small_low, got.small_high) == (sorted(k % 7 for k in range(31))[10], sorted(k % 7 for k in range(31))[20])
