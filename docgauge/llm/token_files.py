@@ -39,8 +39,8 @@ from docgauge.llm.tokens import cache_for, gathered, tokenizer_path
 
 MAGIC = b"DACTOK1\n"
 CHUNK, BLOCK, SEGMENT = 8, 512, 4_000_000
-#: Places of a file that are read by random access as well.
-SPOTS = 64
+#: Bytes of a section that are read at once.
+AHEAD = 1 << 20
 END = 1
 
 
@@ -121,25 +121,72 @@ def write_segment(uri: str, doc_ids: list, starts: np.ndarray, ids: np.ndarray)
 
 
 class Segment:
-    """A file, opened: `doc_ids`, `starts` and random access through `dac`."""
+    """A file, opened lazily: the header, the documents' directory and the ranks are read, codes only where they are asked for.
 
-    def __init__(self, uri: str):
+    `document(i)` finds a document's codes on each level by one look-up in the rank
+    directory.  Reads go `AHEAD` bytes on, so documents asked for in turn share them.
+    """
+
+    def __init__(self, uri: str, ahead: int = AHEAD):
         store, path = file_system(uri)
-        with store.open_input_file(path) as f:
-            raw = f.read()
-        if raw[:8] != MAGIC:
+        self.file, self.ahead, self.bytes_read, self._held = store.open_input_file(path), ahead, 0, {}
+        start = self._at(0, 12)
+        if start[:8] != MAGIC:
             raise ValueError(f"{uri}: not a token file")
-        (n,) = struct.unpack_from("<I", raw, 8)
-        head, at, found = json.loads(raw[12 : 12 + n]), 12 + n, {}
+        (n,) = struct.unpack_from("<I", start, 8)
+        head, at = json.loads(self._at(12, n)), 12 + n
+        self.sections = {}
         for name, kind, size in head["sections"]:
-            found[name] = np.frombuffer(raw[at : at + size], kind)
+            self.sections[name] = (at, np.dtype(kind), size)
             at += size
-        self.doc_ids = [None if null else x for x, null in zip(found["doc_ids"].tolist(), found["doc_null"].tolist())]
-        self.starts = found["starts"]
-        self.dac = Dac([tuple(found[f"{x}{k}"] for x in ("chunks", "bits", "ranks")) for k in range(sum(x.startswith("chunks") for x in found))], head["n_tokens"])
+        whole = lambda name: np.frombuffer(self._at(self.sections[name][0], self.sections[name][2]), self.sections[name][1])
+        self.doc_ids = [None if null else x for x, null in zip(whole("doc_ids").tolist(), whole("doc_null").tolist())]
+        self.starts, self.n = whole("starts"), head["n_tokens"]
+        self.ranks = [whole(name) for name in self.sections if name.startswith("ranks")]
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.file.close()
+
+    def _at(self, offset: int, n: int) -> bytes:
+        self.bytes_read += n
+        return self.file.read_at(n, offset)
+
+    def _bytes(self, name: str, a: int, b: int) -> np.ndarray:
+        """Bytes a..b-1 of a section."""
+        at, _, size = self.sections[name]
+        first, held = self._held.get(name, (0, b""))
+        if not first <= a <= b <= first + len(held):
+            first, held = a, self._at(at + a, min(size - a, max(b - a, self.ahead)))
+            self._held[name] = first, held
+        return np.frombuffer(held, np.uint8, b - a, a - first)
+
+    def run(self, a: int, b: int) -> np.ndarray:
+        """The ids at a..b-1: on each level a rank, and the codes from there on."""
+        out, where = np.zeros(b - a, np.uint32), None
+        for k, ranks in enumerate(self.ranks):
+            if a >= b:
+                break
+            chunks = self._bytes(f"chunks{k}", a, b).astype(np.uint32)
+            if where is None:
+                out |= chunks
+            else:
+                out[where] |= chunks << np.uint32(CHUNK * k)
+            if k + 1 == len(self.ranks):
+                break
+            block = a // BLOCK
+            bits = np.unpackbits(self._bytes(f"bits{k}", block * BLOCK // 8, (b + 7) // 8), bitorder="little")
+            before, more = bits[: a - block * BLOCK], bits[a - block * BLOCK : b - block * BLOCK]
+            on = np.flatnonzero(more)
+            where = on if where is None else where[on]
+            a = int(ranks[block]) + int(np.count_nonzero(before))
+            b = a + len(on)
+        return out
 
     def document(self, i: int) -> np.ndarray:
-        return self.dac.run(int(self.starts[i]), int(self.starts[i + 1]))
+        return self.run(int(self.starts[i]), int(self.starts[i + 1]))
 
 
 def write_files(docs: DataFrame, path: str, end: int = END) -> DataFrame:
@@ -194,21 +241,16 @@ def write_files(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 
 
 def read_files(manifest: DataFrame) -> DataFrame:
-    """From the files: doc_id, start, n_tokens, ids_crc32."""
+    """From the files, each document by random access: doc_id, start, n_tokens, ids_crc32."""
 
     def read(batches):
         for b in batches:
             for uri, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = Segment(uri)
-                if s.dac.n:  # what random access gives at some places is what stands there in sequence
-                    some = np.unique(np.linspace(0, s.dac.n - 1, SPOTS).astype(np.int64))
-                    if any(s.dac.run(i, i + 1)[0] != x for i, x in zip(some.tolist(), s.dac.take(some).tolist())):
-                        raise ValueError(f"{uri}: the codes don't agree with their directory")
-                raw = memoryview(s.dac.run(0, s.dac.n).astype("<u4").tobytes())
-                at = s.starts.tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.doc_ids, pa.int64()), pa.array(s.starts[:-1] + first), pa.array(np.diff(s.starts)), pa.array([zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(at, at[1:])], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
-                )
+                with Segment(uri) as s:
+                    found = [s.document(i) for i in range(len(s.doc_ids))]
+                crcs = [zlib.crc32(x.astype("<u4", copy=False)) for x in found]
+                columns = [pa.array(s.doc_ids, pa.int64()), pa.array(s.starts[:-1] + first), pa.array([len(x) for x in found], pa.int64()), pa.array(crcs, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = manifest.select("uri", "first")
     return files.repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 2)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
