@@ -677,7 +677,7 @@ def image_kinds(spark, d):
             places = [(np.arange(p.shape[1])[:, None] + 16 * np.arange(len(p))[:, None, None] + 400 * np.arange(p.shape[2])) for p in read]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p.shape[2] for p in read], pa.int32()), pa.array([int(p.sum()) for p in read], pa.int64()), pa.array([int((p * at).sum()) for p, at in zip(read, places)], pa.int64())], ["image", "channels", "total", "placed"])
 
-    made = table(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id")).mapInArrow(files, "image string, content binary")
+    made = spread(table(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id"))).mapInArrow(files, "image string, content binary")
     return made.mapInArrow(sums, "image string, channels int, total long, placed long")
 
 
