@@ -640,6 +640,22 @@ def image_crops(spark, d):
     return images.cropped(made, pad=1).mapInArrow(sums, "image string, width int, height int, total long")
 
 
+def placed_sums(batches):
+    """Batches with image and content -> image, channels, the sum of its samples, and that of samples weighted by their place; one image's samples at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    from docgauge.sources import images
+
+    for b in batches:
+        rows = []
+        for image, raw in zip(b.column("image").to_pylist(), b.column("content")):
+            p = images.pixels(raw.as_py()).astype(np.int64)
+            places = np.arange(p.shape[1])[:, None] + 16 * np.arange(len(p))[:, None, None] + 400 * np.arange(p.shape[2])
+            rows.append((image, p.shape[2], int(p.sum()), int((p * places).sum())))
+        yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["image", "channels", "total", "placed"])
+
+
 #: Kinds of image files: bits, channels, filters of the rows in turn, interlaced, palette.
 FILE_KINDS = ((8, 1, (0, 1, 2, 3, 4), False, False), (8, 1, (4, 3), True, False), (4, 1, (4,), False, False), (2, 1, (3, 0), True, False), (1, 1, (4, 2), False, False), (16, 1, (1, 4), False, False), (8, 3, (4, 3, 2, 1, 0), False, False), (8, 4, (3, 4), True, False), (4, 1, (2, 4), False, True), (16, 2, (3,), True, False))
 _FILE_BITS = "CASE page_id % 10 " + " ".join(f"WHEN {k} THEN {f[0]}" for k, f in enumerate(FILE_KINDS)) + " END"
@@ -661,7 +677,7 @@ def image_kinds(spark, d):
 
     def files(batches):
         x, y, c = np.arange(16)[:, None], np.arange(25)[:, None, None], np.arange(4)
-        for b in batches:
+        for b in images.few(batches):
             content = []
             for k in b.column(0).to_pylist():
                 bits, channels, filters, interlaced, palette = kinds[k % 10]
@@ -671,14 +687,8 @@ def image_kinds(spark, d):
                 content.append(png.encode(s, bits, np.array(filters), interlaced, colours))
             yield pa.RecordBatch.from_arrays([pa.array([f"{k}.png" for k in b.column(0).to_pylist()], pa.string()), pa.array(content, pa.binary())], ["image", "content"])
 
-    def sums(batches):
-        for b in batches:
-            read = [images.pixels(raw.as_py()).astype(np.int64) for raw in b.column(1)]
-            places = [(np.arange(p.shape[1])[:, None] + 16 * np.arange(len(p))[:, None, None] + 400 * np.arange(p.shape[2])) for p in read]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p.shape[2] for p in read], pa.int32()), pa.array([int(p.sum()) for p in read], pa.int64()), pa.array([int((p * at).sum()) for p, at in zip(read, places)], pa.int64())], ["image", "channels", "total", "placed"])
-
-    made = spread(table(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id"))).mapInArrow(files, "image string, content binary")
-    return made.mapInArrow(sums, "image string, channels int, total long, placed long")
+    ids = spread(table(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id")))
+    return images.in_turn(ids, "image string, channels int, total long, placed long", files, placed_sums)
 
 
 @query("SELECT page_id || '.html' AS member, strlen(coalesce(html, '')) AS size, sha256(coalesce(html, '')) AS sha FROM pages")
@@ -716,21 +726,15 @@ def image_overlays(spark, d):
 
     def files(batches):
         x, y = np.arange(16), np.arange(25)[:, None]
-        for b in batches:
+        for b in images.few(batches):
             ids = b.column(0).to_pylist()
             content = [images.to_png(((k * 7 + x * 13 + y * y * 29) % 256).astype(np.uint8)) for k in ids]
             boxes_ = lambda make: pa.array([[[float(v) for v in make(k)]] for k in ids], pa.list_(pa.list_(pa.float64())))
             true, predicted = boxes_(lambda k: (k % 5 - 2, k % 7, k % 5 + 9, k % 7 + 12)), boxes_(lambda k: (k % 6, k % 11 + 3, k % 6 + 8, k % 11 + 9))
             yield pa.RecordBatch.from_arrays([pa.array([f"{k}.png" for k in ids], pa.string()), pa.array(content, pa.binary()), true, predicted], ["image", "content", "gt", "pred"])
 
-    def sums(batches):
-        for b in batches:
-            read = [images.pixels(raw.as_py()).astype(np.int64) for raw in b.column(1)]
-            places = [(np.arange(p.shape[1])[:, None] + 16 * np.arange(len(p))[:, None, None] + 400 * np.arange(3)) for p in read]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int(p.sum()) for p in read], pa.int64()), pa.array([int((p * at).sum()) for p, at in zip(read, places)], pa.int64())], ["image", "total", "placed"])
-
-    made = table(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id")).mapInArrow(files, "image string, content binary, gt array<array<double>>, pred array<array<double>>")
-    return overlays.overlays(made, labels=False).select("image", "content").mapInArrow(sums, "image string, total long, placed long")
+    ids = table(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id"))
+    return images.in_turn(ids, "image string, channels int, total long, placed long", files, overlays.drawn(labels=False), placed_sums).drop("channels")
 
 
 # the queries whose way leads through files register themselves

@@ -77,11 +77,32 @@ def manifest(images: DataFrame) -> DataFrame:
     return images.select("image", "path", "content").mapInArrow(rows, FEATURES)
 
 
-def cropped(images: DataFrame, pad: int = 20) -> DataFrame:
-    """`images` (image, content, crop_bbox) -> image, content (a PNG file of the padded box), width, height, error."""
+def in_turn(rows: DataFrame, schema: str, *steps) -> DataFrame:
+    """`rows` through steps, each from an iterator of record batches to the next one's: a task has one Python process however many steps there are."""
+
+    def run(batches):
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    return rows.mapInArrow(run, schema)
+
+
+def few(batches, n: int = 256):
+    """The batches in slices of `n` rows: steps that make or read samples hold those of one slice at most."""
+    for b in batches:
+        for at in range(0, b.num_rows, n):
+            yield b.slice(at, n)
+
+
+CROPPED = "image string, content binary, width int, height int, error string"
+
+
+def crops(pad: int = 20):
+    """The step of `cropped`: batches of image, content, crop_bbox -> a batch an image."""
 
     def rows(batches):
-        for b in batches:
+        for b in few(batches):
             for image, raw, box in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 content = width = height = error = None
                 try:
@@ -95,7 +116,12 @@ def cropped(images: DataFrame, pad: int = 20) -> DataFrame:
                     error = str(e) or type(e).__name__
                 yield pa.RecordBatch.from_arrays([pa.array([image]), pa.array([content], pa.binary()), pa.array([width], pa.int32()), pa.array([height], pa.int32()), pa.array([error], pa.string())], ["image", "content", "width", "height", "error"])
 
-    return images.select("image", "content", "crop_bbox").mapInArrow(rows, "image string, content binary, width int, height int, error string")
+    return rows
+
+
+def cropped(images: DataFrame, pad: int = 20) -> DataFrame:
+    """`images` (image, content, crop_bbox) -> image, content (a PNG file of the padded box), width, height, error."""
+    return images.select("image", "content", "crop_bbox").mapInArrow(crops(pad), CROPPED)
 
 
 def save_files(images: DataFrame, folder: str) -> DataFrame:

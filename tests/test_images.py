@@ -111,3 +111,31 @@ def test_damaged_jpeg():
 
 def test_zigzag():
     assert jpeg.ZIGZAG[:10].tolist() == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and sorted(jpeg.ZIGZAG) == list(range(64)) and jpeg.ZIGZAG[-1] == 63
+
+
+def python_processes(df) -> int:
+    """Python steps of the plan that have a process of their own in each task."""
+    return str(df._jdf.queryExecution().executedPlan()).count("MapInArrow")
+
+
+@pytest.mark.parametrize("name", ["image_overlays", "image_kinds"])
+def test_one_python_process_a_task(spark, sf, name):
+    from docgauge.plans import catalogue
+
+    assert python_processes(catalogue.QUERIES[name](spark, sf)) == 1
+
+
+def test_sums_hold_one_image():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from docgauge.plans.catalogue import placed_sums
+
+    raw = images.to_png(np.full((25, 16, 3), 7, np.uint8))
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(4000)]), pa.array([raw] * 4000, pa.binary())], ["image", "content"])
+    tracemalloc.start()
+    sums = pa.Table.from_batches(placed_sums([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(sums["total"].to_pylist()) == {25 * 16 * 3 * 7} and most < 10e6  # all images' samples as whole numbers: 38 MB
