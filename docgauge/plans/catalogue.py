@@ -625,7 +625,7 @@ def image_crops(spark, d):
 
     def files(batches):
         x, y = np.arange(16), np.arange(25)[:, None]
-        for b in batches:
+        for b in images.few(batches):
             ids = b.column(0).to_pylist()
             content = [images.to_png(((k * 7 + x * 13 + y * y * 29) % 256).astype(np.uint8)) for k in ids]
             boxes_ = [[k % 9, k % 20, k % 9 + 5, k % 20 + 4] for k in ids]
@@ -636,8 +636,8 @@ def image_crops(spark, d):
             total = [int(images.pixels(raw.as_py()).sum(dtype=np.int64)) for raw in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(total, pa.int64())], ["image", "width", "height", "total"])
 
-    made = table(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id")).mapInArrow(files, "image string, content binary, crop_bbox array<int>")
-    return images.cropped(made, pad=1).mapInArrow(sums, "image string, width int, height int, total long")
+    ids = table(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id"))
+    return images.in_turn(ids, "image string, width int, height int, total long", files, images.crops(pad=1), sums)
 
 
 def placed_sums(batches):

@@ -118,7 +118,7 @@ def python_processes(df) -> int:
     return str(df._jdf.queryExecution().executedPlan()).count("MapInArrow")
 
 
-@pytest.mark.parametrize("name", ["image_overlays", "image_kinds"])
+@pytest.mark.parametrize("name", ["image_overlays", "image_kinds", "image_crops"])
 def test_one_python_process_a_task(spark, sf, name):
     from docgauge.plans import catalogue
 
