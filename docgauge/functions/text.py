@@ -35,10 +35,25 @@ def _rate(distance: Column, pred_n: Column, gt_n: Column) -> Column:
     return F.when(gt_n == 0, F.when(pred_n > 0, 1.0).otherwise(0.0)).otherwise(F.try_divide(distance.cast("double"), gt_n.cast("double")))
 
 
+def distance(a, b) -> Column:
+    """Levenshtein distance. Texts of one length are at most as far apart as they have places that differ, and at least
+    as far as one's characters exceed the other's; where both say the same, the table of all pairs of characters is spared."""
+    return let(F.struct(_c(a).alias("a"), _c(b).alias("b")), lambda v: _distance(v["a"], v["b"]))
+
+
+def _distance(a: Column, b: Column) -> Column:
+    total = lambda xs, f: F.aggregate(xs, F.lit(0), lambda n, x: n + f(x))
+    count = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    most = total(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("int")), lambda x: x)
+    least = total(F.array_distinct(F.split(b, "")), lambda c: F.greatest(F.lit(0), count(b, c) - count(a, c)))
+    within = let(F.struct(most.alias("most"), least.alias("least")), lambda d: F.when(d["most"] == d["least"], d["most"]).otherwise(F.levenshtein(a, b)))
+    return F.when((F.length(a) == F.length(b)) & (F.length(a) > 0), within).otherwise(F.levenshtein(a, b))
+
+
 def cer(pred, gt) -> Column:
     """Character error rate: Levenshtein distance by length of the truth; may exceed 1. An empty truth gives 1, or 0 for an empty prediction."""
     pred, gt = _c(pred), _c(gt)
-    return _rate(F.levenshtein(pred, gt), F.length(pred), F.length(gt))
+    return _rate(distance(pred, gt), F.length(pred), F.length(gt))
 
 
 def word_distance(a: Column, b: Column) -> Column:

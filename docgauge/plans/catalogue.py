@@ -9,7 +9,7 @@ from docgauge.functions import parsers as P
 from docgauge.functions import text as T
 from docgauge.operators import evaluation, matching, ordering, prep, scoring
 from docgauge.plans.fixtures import SQL as FIX
-from docgauge.plans.fixtures import TYPES, blocks, greedy_sql, iou_sql, pages, spread, table
+from docgauge.plans.fixtures import TYPES, blocks, greedy_sql, iou_sql, pages, spread, squared, table
 from docgauge.sources import readers
 
 QUERIES: dict = {}
@@ -48,7 +48,7 @@ def cer_normalized(spark, d):
 
 @query(f"""SELECT conv_id, turn, round(cer, 6) AS cer FROM ({_sql_cer("SELECT conv_id, turn, text AS g, translate(text, 'el', 'c1') AS p FROM conversations")})""")
 def cer_by_turn(spark, d):
-    return spread(table(spark, d, "conversations")).select("conv_id", "turn", r6(T.cer(F.translate("text", "el", "c1"), "text")).alias("cer"))
+    return spread(table(spark, d, "conversations"), squared("text")).select("conv_id", "turn", r6(T.cer(F.translate("text", "el", "c1"), "text")).alias("cer"))
 
 
 @query("""SELECT pred, gt, CASE WHEN gt = '' THEN CASE WHEN pred <> '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE levenshtein(pred, gt)::DOUBLE / length(gt) END AS cer

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -10,12 +12,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """`df` over all cores if its scan has fewer splits, before work that takes far more time a row than moving it; larger scans stay as they are."""
+#: Fixed value: pairs of characters that a task compares, about: some 20 seconds where all are compared.
+PAIRS = 1 << 31
+
+
+def spread(df: DataFrame, pairs: Column | None = None) -> DataFrame:
+    """`df` over all cores if its scan has fewer splits, before work that takes far more time a row than moving it; larger scans stay as they are.
+
+    With `pairs`, a row's pairs to compare, the rows are dealt out over as many partitions as have about PAIRS each: a
+    larger table has more tasks, not longer ones.
+    """
     n = df.sparkSession.sparkContext.defaultParallelism
+    if pairs is not None:
+        total = df.agg(F.sum(pairs)).first()[0] or 0
+        return df.repartition(max(n, math.ceil(total / PAIRS)))
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+def squared(text: str) -> Column:
+    """Pairs of characters of a text and one of its length."""
+    return F.length(text).cast("double") ** 2
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page, b (its index), l_partkey, l_suppkey, gt box; dx, dy; pred box or null, as xywh where the part's number is a multiple of 7."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")

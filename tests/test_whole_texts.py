@@ -1,8 +1,10 @@
 """Queries over whole tables and whole texts, against brute force: what their SQL doesn't cover."""
 
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from docgauge.plans import catalogue
 
@@ -80,3 +82,29 @@ def test_signatures_of_whole_texts(spark, tmp_path):
         if not (t == last[c] and "Name:" in x or len(x.split()) <= 2 and t * 900 > 0.85 * 3542):
             want.add((c, t))
     assert {tuple(r) for r in catalogue.QUERIES["signature_filter"](spark, str(tmp_path)).collect()} == want
+
+
+def test_distance_is_exact(spark):
+    from docgauge.functions import text as T
+
+    rng = random.Random(5)
+    word = lambda letters, most: "".join(rng.choice(letters) for _ in range(rng.randrange(most)))
+    rows = [("", ""), ("a", ""), ("", "a"), (None, "a"), ("a", None), ("abc", "bca"), ("aab", "abb"), ("ab", "ba")]
+    for letters in ("ab", "abcdefgh", "aé一\U0001f600 "):
+        for _ in range(150):
+            a = word(letters, 12)
+            rows += [(a, word(letters, 12)), (a, "".join(rng.choice(letters) for _ in a)), (a, a.replace("a", "x"))]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.where(~T.distance("a", "b").eqNullSafe(F.levenshtein("a", "b"))).count() == 0
+
+
+@pytest.mark.parametrize("name", ["cer_by_turn"])
+def test_larger_tables_have_more_tasks(spark, sf, name, monkeypatch):
+    """The pairs of characters that a task compares are bounded, whatever the table's splits."""
+    from docgauge.plans import fixtures
+
+    texts = fixtures.table(spark, sf, "conversations")
+    total = texts.agg(F.sum(F.length("text").cast("double") ** 2)).first()[0]
+    monkeypatch.setattr(fixtures, "PAIRS", total / 23, raising=False)
+    plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert [int(n) for n in re.findall(r"Repartition (\d+)", plan)] == [23]
