@@ -42,7 +42,7 @@ def _sql_cer(source: str) -> str:
 
 @query(f"""SELECT role, round(avg(cer), 6) AS mean_cer, count(*) AS n FROM ({_sql_cer(f"SELECT role, translate(t, 'el', 'c1') AS p, t AS g FROM (SELECT role, {_SQL_NORM} AS t FROM conversations)")}) GROUP BY role""")
 def cer_normalized(spark, d):
-    c = spread(table(spark, d, "conversations"))
+    c = spread(table(spark, d, "conversations"), squared("text"))
     return c.select("role", T.cer_normalized(F.translate("text", "el", "c1"), "text").alias("cer")).groupBy("role").agg(r6(F.avg("cer")).alias("mean_cer"), F.count(F.lit(1)).alias("n"))
 
 
@@ -75,7 +75,7 @@ st AS (SELECT k, 0 AS i, j, j AS d FROM pw
 e AS (SELECT st.k, d FROM st JOIN w ON w.k = st.k AND st.i = len(w.g) AND st.j = len(w.p))
 SELECT conv_id, turn, round(CASE WHEN len(g) = 0 THEN 0.0 ELSE d::DOUBLE / len(g) END, 6) AS wer FROM w JOIN e ON e.k = w.k""")
 def wer_normalized(spark, d):
-    c = spread(table(spark, d, "conversations"))
+    c = spread(table(spark, d, "conversations"), squared("text") / 4)  # a word and a space take two characters at least
     return c.select("conv_id", "turn", r6(T.wer_normalized(F.translate("text", "el", "c1"), "text")).alias("wer"))
 
 

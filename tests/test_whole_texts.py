@@ -98,8 +98,8 @@ def test_distance_is_exact(spark):
     assert df.where(~T.distance("a", "b").eqNullSafe(F.levenshtein("a", "b"))).count() == 0
 
 
-@pytest.mark.parametrize("name", ["cer_by_turn"])
-def test_larger_tables_have_more_tasks(spark, sf, name, monkeypatch):
+@pytest.mark.parametrize("name,tasks", [("cer_by_turn", 23), ("cer_normalized", 23), ("wer_normalized", 6)])
+def test_larger_tables_have_more_tasks(spark, sf, name, tasks, monkeypatch):
     """The pairs of characters that a task compares are bounded, whatever the table's splits."""
     from docgauge.plans import fixtures
 
@@ -107,4 +107,4 @@ def test_larger_tables_have_more_tasks(spark, sf, name, monkeypatch):
     total = texts.agg(F.sum(F.length("text").cast("double") ** 2)).first()[0]
     monkeypatch.setattr(fixtures, "PAIRS", total / 23, raising=False)
     plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
-    assert [int(n) for n in re.findall(r"Repartition (\d+)", plan)] == [23]
+    assert [int(n) for n in re.findall(r"Repartition (\d+)", plan)] == [tasks]
