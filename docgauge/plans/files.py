@@ -91,8 +91,8 @@ def report_documents(spark, d):
     rows = table(spark, d, "events").select(F.when(k % 3 == 0, "c 1").otherwise("d/2").alias("candidate"), F.concat(F.lit("i"), k.cast("string")).alias("image"), F.col("value").alias("cer"), F.col("event_type").alias("text"))
     path = _folder(spark, "reports")
     sinks.save_documents(rows.groupBy("candidate").agg(F.count(F.lit(1)).alias("n"), F.first("candidate").alias("name")), rows, path).collect()  # a row a candidate
-    read = readers.json_rows(spark, f"{path}/*.json", "summary struct<n:long,name:string>, images array<struct<image:string,cer:double,text:string>>")
-    return read.select(F.col("summary.name").alias("candidate"), F.explode("images").alias("i")).select("candidate", "i.*")
+    read = readers.document_images(spark, f"{path}/*.json", "struct<n:long,name:string>", "struct<image:string,cer:double,text:string>")
+    return read.select(F.col("summary.name").alias("candidate"), "image.*")
 
 
 def _suffixed(spark, d) -> DataFrame:

@@ -39,6 +39,15 @@ def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
 
+def document_images(spark: SparkSession, path: str, summary: str, image: str) -> DataFrame:
+    """summary and image (structs of these types) of documents as `sinks.save_documents` writes them: a line an image, so that a document of any size is read in splits and never is a row."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    head = F.col("value").startswith('{"summary": ')  # rows have no space there
+    heads = lines.where(head).select("path", F.from_json(F.concat("value", F.lit("]}")), f"struct<summary:{summary}>")["summary"].alias("summary"))
+    rows = lines.where(F.col("value").startswith("{") & ~head).select("path", F.from_json(F.regexp_replace("value", ",$", ""), image).alias("image"))
+    return rows.join(F.broadcast(heads), "path").select("summary", "image")  # a head for each document
+
+
 def truth(spark: SparkSession, path: str) -> DataFrame:
     return json_rows(spark, path, TRUTH)
 

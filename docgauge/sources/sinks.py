@@ -44,7 +44,7 @@ def save_documents(summary: DataFrame, images: DataFrame, folder: str, by: str =
 
     However many images a candidate has, none of its rows is gathered: they are
     sorted by ranges into parts of lines, and a task per candidate copies the
-    parts, one line at a time, into the document, which appears under its name
+    parts, a few megabytes at a time, into the document, which appears under its name
     only when complete.  Gives candidate, path, n; names follow from the candidate.
     """
     import uuid
@@ -57,11 +57,10 @@ def save_documents(summary: DataFrame, images: DataFrame, folder: str, by: str =
     row = F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})
     name = F.substring(F.to_json(F.struct(F.coalesce(F.col(image).cast("string"), F.lit("")).alias("i"))), F.lit(6), F.length(F.to_json(F.struct(F.coalesce(F.col(image).cast("string"), F.lit("")).alias("i")))) - 6)
     lines = images.select(place.alias("place"), F.col(image).alias("at"), (F.concat(name, F.lit(": "), row) if as_map else row).alias("value"))
-    lines.repartitionByRange("place", "at").sortWithinPartitions("place", "at").select("place", "value").write.partitionBy("place").text(parts)
+    lines.repartitionByRange("place", "at").sortWithinPartitions("place", "at").select("place", "value").write.partitionBy("place").option("lineSep", ",\n").text(parts)
     heads = summary.select(F.col(by).cast("string").alias("candidate"), place.alias("place"), F.to_json(F.struct(*[c for c in summary.columns if c != by]), {"ignoreNullFields": "false"}).alias("summary"))
 
     def join(batches):
-        import io
         import re
 
         import pyarrow as pa
@@ -76,13 +75,16 @@ def save_documents(summary: DataFrame, images: DataFrame, folder: str, by: str =
                 part = f"{path}.{uuid.uuid4().hex}.tmp"
                 with store.open_output_stream(part) as out:
                     out.write(f'{{"summary": {head}, '.encode() + (b'"per_image": {' if as_map else b'"images": ['))
+                    last = b""  # two bytes stay back: the last row has no comma after it
                     for f in files:
                         with store.open_input_stream(f) as raw:
-                            for line in io.BufferedReader(raw, 1 << 20):
-                                out.write((b",\n" if n else b"\n") + line.rstrip(b"\n"))
-                                n += 1
+                            while block := raw.read(1 << 22):
+                                n += block.count(b"\n")
+                                block = (last or b"\n") + block
+                                out.write(block[:-2])
+                                last = block[-2:]
                     out.write(b"\n}}\n" if as_map else b"\n]}\n")
                 store.move(part, path)
                 yield pa.RecordBatch.from_arrays([pa.array([candidate], pa.string()), pa.array([path]), pa.array([n], pa.int64())], ["candidate", "path", "n"])
 
-    return heads.repartition("place").mapInArrow(join, "candidate string, path string, n long")
+    return heads.repartition(spark.sparkContext.defaultParallelism, "place").mapInArrow(join, "candidate string, path string, n long")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docgauge.sources import archives, images, overlays, sinks
+from docgauge.sources import archives, images, overlays, readers, sinks
 
 FILES = {f"dir/{k}.xml": bytes([k]) * (k * 700) for k in range(12)} | {"long/" + "n" * 180 + ".xml": b"long name", "empty": b""}
 
@@ -77,6 +77,20 @@ def test_documents_of_any_size(spark, tmp_path):
                 assert doc["images"] == [{"image": i, **m} for i, m in want.items()]
 
 
+def test_documents_are_read_in_splits(spark, tmp_path):
+    rows = spark.range(4000).select(F.lit("c").alias("candidate"), F.concat(F.lit("i"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("image"), F.lit('{"summary": "a",\n]}').alias("text"))
+    summary = spark.createDataFrame([("c", 3, "n"), ("none", 0, "m")], "candidate string, n long, name string")
+    sinks.save_documents(summary, rows, str(tmp_path / "out")).collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20000)
+    try:
+        read = readers.document_images(spark, str(tmp_path / "out/*.json"), "struct<n:long,name:string>", "struct<image:string,text:string>")
+        sizes = [sum(1 for _ in p) for p in read.select("image.image").rdd.glom().collect()]
+        got = read.select("summary.*", "image.*").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert max(sizes) < 1000 and sorted((r.n, r.name, r.image, r.text) for r in got) == [(3, "n", f"i{k:05}", '{"summary": "a",\n]}') for k in range(4000)]
+
+
 def test_outlines_and_labels():
     p = np.zeros((30, 40, 3), np.uint8)
     overlays.outline(p, (5, 6, 14, 15), (9, 8, 7), 2)
