@@ -176,3 +176,17 @@ def pair_counts(a: pa.Array, b: pa.Array) -> pa.Array:
     discordant = inversions(v, offsets)
     ordered = n * (n - 1) // 2 - _tied(u, of=of, pages=pages) - _tied(v, of=of, pages=pages) + _tied(u, v, of=of, pages=pages)
     return pa.StructArray.from_arrays([pa.array(z, pa.int64()) for z in (ordered - discordant, discordant, equal_a, equal_b)], ["c", "d", "ta", "tb"])
+
+
+def visited(pred: pa.Array, gt: pa.Array, order: pa.Array, at_least: float) -> pa.Array:
+    """Per page the true boxes that predictions in turn take, and the counts of pairs of their places with the boxes (`own`) and with the boxes' ranks in `order` (`ranked`)."""
+    taken = greedy(pred, gt, at_least, True, "best", False)
+    offsets, g = taken.offsets, taken.values.field("g")
+    sizes = np.diff(offsets.to_numpy())
+    page = np.repeat(np.arange(len(pred)), sizes)
+    lists = lambda values: pa.ListArray.from_arrays(offsets, values)
+    visits, places = lists(g), lists(pa.array(np.arange(len(g)) - offsets.to_numpy()[page], pa.int32()))
+    ranks, rank_offsets = _flat(order)
+    at = rank_offsets[page] + g.to_numpy()
+    ranked = lists(ranks.take(pa.array(at, mask=at >= rank_offsets[page + 1])))
+    return pa.StructArray.from_arrays([visits, pair_counts(visits, places), pair_counts(places, ranked)], ["visits", "own", "ranked"])

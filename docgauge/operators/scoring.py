@@ -9,7 +9,7 @@ from docgauge.functions.parsers import ERROR_TYPES
 from docgauge.functions.text import _c, cer, cer_normalized, let, wer, wer_normalized
 from docgauge.functions.geometry import corners, to_xyxy
 from docgauge.operators.matching import greedy
-from docgauge.operators.ordering import kendall_tau_b, reading_order
+from docgauge.operators.ordering import reading_order, tau_of, visited
 
 EMPTY_BOXES = "array<array<double>>"
 
@@ -76,16 +76,13 @@ def order_metrics(pred, gt, gt_order=None, at_least: float = 0.05) -> Column:
     """kendall_tau, matched_blocks, total_gt_blocks: predictions in reading order take true boxes (overlap above `at_least`); their order is compared with the true ranks."""
     pred = _c(pred)
     seen = F.transform(reading_order(pred), lambda i: to_xyxy(F.get(pred, i)))
-    visits = F.transform(greedy(seen, corners(gt), at_least, strict=True), lambda m: m["g"])
-    return _order_metrics(visits, F.size(_c(gt)), None if gt_order is None else _c(gt_order))
+    order = F.lit(None).cast("array<int>") if gt_order is None else _c(gt_order)
+    return let(visited(seen, corners(gt), order, at_least), lambda v: _order_metrics(v, F.size(_c(gt)), F.lit(False) if gt_order is None else F.size(order) == F.size(_c(gt))))
 
 
-def _order_metrics(visits: Column, n_gt: Column, order: Column | None) -> Column:
-    places = F.transform(visits, lambda _, i: i.cast("int"))
-    tau = kendall_tau_b(visits, places)
-    if order is not None:
-        tau = F.when(F.size(order) == n_gt, kendall_tau_b(places, F.transform(visits, lambda g: F.get(order, g)))).otherwise(tau)
-    return F.struct(F.when(F.size(visits) >= 2, tau).otherwise(0.0).alias("kendall_tau"), F.size(visits).alias("matched_blocks"), n_gt.alias("total_gt_blocks"))
+def _order_metrics(v: Column, n_gt: Column, known: Column) -> Column:
+    n = F.size(v["visits"])
+    return F.struct(F.when(known, tau_of(v["ranked"], n)).otherwise(tau_of(v["own"], n)).alias("kendall_tau"), n.alias("matched_blocks"), n_gt.alias("total_gt_blocks"))
 
 
 def with_truth(preds: DataFrame, truth: DataFrame, missing: str = "skip", key: str = "image", seq: str | None = None) -> DataFrame:

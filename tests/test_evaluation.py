@@ -207,3 +207,11 @@ def test_cut_points_in_rounds(spark, monkeypatch, ranked):
     assert dict(prep.cut_points(df, "a", "b").dtypes) == {"a_low": "bigint", "a_high": "bigint", "b_low": "double", "b_high": "double"}
     none = prep.cut_points(df.limit(0), "a", "b").first()
     assert none.a_low is None and none.b_high is None
+
+
+@pytest.mark.parametrize("name", ["layout_eval_images", "layout_report"])
+def test_one_python_step_a_page(spark, sf, name):
+    """Matches and the order's counts take one Python process a task, not one after another."""
+    from docgauge.plans import catalogue
+
+    assert str(catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan()).count("ArrowEvalPython") == 1
